@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kindred.llm import bpe, langid, neardup, quality, secrets, telephony
+from kindred.llm import bpe, langid, mixing, neardup, quality, secrets, shards, telephony
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,10 +36,18 @@ def op7_setsketch_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.chosen(table(spark, sf_dir, "documents"))
+
+
+def op9_karmarkar_karp_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.byte_shards(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.scored(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_secret_scan, op4_telephony, op5_byte_bpe, op6_language_id, op7_setsketch_near_dup, op10_quality)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_secret_scan, op4_telephony, op5_byte_bpe, op6_language_id, op7_setsketch_near_dup, op8_mixing, op9_karmarkar_karp_shards, op10_quality)}
 ORACLE_SQL: dict[str, str] = {}
