@@ -28,7 +28,7 @@ from kindred.llm.common import prepare
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pieces whose ids a task remembers; when there are more it forgets all and begins again. Their longest form in bytes.
-REMEMBERED, SHORT = 400_000, 64
+REMEMBERED, SHORT = 1_000_000, 64
 
 
 @lru_cache(maxsize=4)
@@ -38,81 +38,77 @@ def ranks(path: str) -> dict[bytes, int]:
 
 
 @lru_cache(maxsize=4)
-def vocabulary(path: str) -> tuple[dict[tuple[int, int], int], list[int], list[bytes]]:
-    """The rank of each pair of tokens whose joined bytes are a token is found on demand; here: a cache for it, byte tokens, tokens' bytes."""
+def vocabulary(path: str) -> tuple[dict[int, int], np.ndarray, np.ndarray, list[bytes]]:
+    """The rank of the token that a pair of tokens (left << 17 | right) joins to; that of pairs of bytes, -1 if none; tokens of bytes; tokens' bytes."""
     table = ranks(path)
     by_id = [b""] * (max(table.values()) + 1)
+    pairs: dict[int, int] = {}
     for token, k in table.items():
         by_id[k] = token
-    return {}, [table[bytes([b])] for b in range(256)], by_id
+        for cut in range(1, len(token)):
+            left, right = table.get(token[:cut]), table.get(token[cut:])
+            if left is not None and right is not None:
+                pairs[left << 17 | right] = k
+    single = np.array([table[bytes([b])] for b in range(256)])
+    return pairs, np.array([[table.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)]), single, by_id
 
 
 def replay(pieces: list[bytes], path: str) -> list[np.ndarray]:
     """The token ids of each piece."""
-    table = ranks(path)
-    known, single, by_id = vocabulary(path)
-    symbols: list[int] = []
-    first: list[int] = []
-    for p in pieces:
-        first.append(len(symbols))
-        symbols += [single[b] for b in p]
-        symbols.append(-1)  # the end of a piece pairs with nothing
-    after = list(range(1, len(symbols) + 1))
-    before = list(range(-1, len(symbols) - 1))
-    index: dict[int, list[int]] = {}
-    heap: list[int] = []
-
-    def pair_rank(a: int, b: int) -> int:
-        """Rank of the joined token, -1 if there is none."""
-        r = known.get((a, b))
-        if r is None:
-            r = known[(a, b)] = table.get(by_id[a] + by_id[b], -1)
-        return r
-
-    def enter(at: int) -> None:
-        a, b = symbols[at], symbols[after[at]]
-        if a < 0 or b < 0:
-            return
-        r = pair_rank(a, b)
-        if r < 0:
-            return
-        # One token can come of several pairs; they share its rank and so its place in the order.
-        spots = index.get(r)
-        if spots is None:
-            index[r] = [at]
-            heapq.heappush(heap, r)
-        else:
-            spots.append(at)
-
-    for at in range(len(symbols) - 1):
-        if symbols[at] >= 0:
-            enter(at)
+    pairs, of_bytes, single, _ = vocabulary(path)
+    # One row of symbols; an end of -1 stands before, between and after the pieces and pairs with nothing.
+    size = np.array([len(p) for p in pieces])
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    at = np.arange(len(data)) + np.repeat(np.arange(1, len(pieces) + 1), size)
+    n = len(data) + len(pieces) + 1
+    flat = np.full(n, -1)
+    flat[at] = single[data]
+    rank = np.full(n, -1)
+    if len(data) > 1:
+        rank[at[:-1]] = np.where(np.diff(at) == 1, of_bytes[data[:-1], data[1:]], -1)
+    spots = np.flatnonzero(rank >= 0)
+    spots = spots[np.argsort(rank[spots], kind="stable")]
+    heap, cut = np.unique(rank[spots], return_index=True)
+    index = dict(zip(heap.tolist(), map(np.ndarray.tolist, np.split(spots, cut[1:])), strict=True)) if len(heap) else {}
+    heap = heap.tolist()  # ascending, so a heap
+    symbols, after, before = flat.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+    look, find = pairs.get, index.get
     while heap:
         r = heapq.heappop(heap)
+        # One token can come of several pairs; they share its rank and so its place in the order.
         spots = index.pop(r)
         spots.sort()
         for at in spots:
             a = symbols[at]
-            nxt = after[at]
-            if a < 0 or nxt >= len(symbols):
+            if a < 0:
                 continue
-            b = symbols[nxt]
-            if b < 0 or pair_rank(a, b) != r:
+            gone = after[at]
+            b = symbols[gone]
+            if b < 0 or look(a << 17 | b) != r:
                 continue  # a merge beside it has changed it
             symbols[at] = r
-            symbols[nxt] = -2
-            after[at] = after[nxt]
-            before[after[nxt]] = at
-            prev = before[at]
-            if prev >= 0 and symbols[prev] >= 0:
-                enter(prev)
-            enter(at)
+            symbols[gone] = -2
+            right = after[at] = after[gone]
+            before[right] = at
+            left = before[at]
+            a, b = symbols[left], symbols[right]
+            if a >= 0 and (q := look(a << 17 | r)) is not None:
+                if (own := find(q)) is None:
+                    index[q] = [left]
+                    heapq.heappush(heap, q)
+                else:
+                    own.append(left)
+            if b >= 0 and (q := look(r << 17 | b)) is not None:
+                if (own := find(q)) is None:
+                    index[q] = [at]
+                    heapq.heappush(heap, q)
+                else:
+                    own.append(at)
     flat = np.array(symbols, np.int64)
     keep = flat >= 0
-    ends = [*first[1:], len(symbols)]
-    count = np.concatenate([[0], np.cumsum(keep)])
+    count = np.concatenate([[0], np.cumsum(keep)])[np.concatenate([[0], np.cumsum(size + 1)])]
     ids = flat[keep].astype("<u4")
-    return [ids[count[a] : count[z]] for a, z in zip(first, ends, strict=True)]
+    return [ids[a:z] for a, z in zip(count[:-1].tolist(), count[1:].tolist(), strict=True)]
 
 
 class Encoder:
@@ -153,7 +149,7 @@ def encoder(path: str) -> Encoder:
 
 def decode(ids: bytes, path: str) -> bytes:
     """The bytes of token ids."""
-    by_id = vocabulary(path)[2]
+    by_id = vocabulary(path)[3]
     return b"".join([by_id[k] for k in np.frombuffer(ids, "<u4").tolist()])
 
 
