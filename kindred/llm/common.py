@@ -11,9 +11,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kindred.llm.words import U64, mix64
 
 #: Bytes of text that one numpy step works on; a longer single text is a step of its own.
 STEP_BYTES = 1 << 20
+#: Bits of a key filter, whatever the number of keys.
+FILTER_BITS = 1 << 25
 
 
 def prepare(spark: SparkSession) -> None:
@@ -64,12 +69,32 @@ def text_steps(texts: pa.Array, step: int = STEP_BYTES) -> Iterator[tuple[int, i
         lo = hi
 
 
-def binary_rows(rows: list[bytes | memoryview | np.ndarray]) -> pa.Array:
-    """An Arrow binary column of the rows."""
-    return pa.array([x.tobytes() if isinstance(x, np.ndarray) else x for x in rows], pa.binary())
+def _filter_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys -> the 64-bit words of the filter that the task's keys set."""
+    total = np.zeros(FILTER_BITS // 64, U64)
+    for batch in batches:
+        for spots in _spots(batch.column(0).to_numpy()):
+            np.bitwise_or.at(total, (spots >> U64(6)).astype(np.int64), U64(1) << (spots & U64(63)))
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some].view(np.int64))], ["word", "bits"])
+
+
+def _spots(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    mixed = mix64(keys.astype(np.int64, copy=False).view(U64))
+    return mixed & U64(FILTER_BITS - 1), (mixed >> U64(32)) & U64(FILTER_BITS - 1)
+
+
+class KeyFilter:
+    """A filter of fixed size: holds every key of a table, and some others. It saves work and never decides."""
 
+    def __init__(self, keys: DataFrame):
+        """keys: one column of longs without nulls. The driver gets FILTER_BITS / 64 numbers at most."""
+        told = keys.mapInArrow(_filter_words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+        held = np.zeros(FILTER_BITS // 64, np.int64)
+        held[told.column("word").to_numpy()] = told.column("bits").to_numpy()
+        self.bits = held.view(np.uint8)
 
-def frames(batch: pa.RecordBatch | pa.Table, name: str) -> pa.Array:
-    """A column as one array."""
-    col = batch.column(name)
-    return col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        first, second = _spots(keys)
+        look = lambda spots: (self.bits[spots >> U64(3)] >> (spots & U64(7)).astype(np.uint8)) & 1
+        return (look(first) & look(second)).astype(bool)

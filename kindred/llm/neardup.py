@@ -1,12 +1,12 @@
 """Near-duplicate documents by SetSketch registers over word shingles.
 
 A document's set holds its distinct 5-word shingles (with fewer words: the whole sequence as one; without words: nothing), as
-64-bit hashes. A sketch has 96 registers: register i holds floor(1 - log_b(least exponential variate of the set under hash i)),
+64-bit hashes. A sketch has 72 registers: register i holds floor(1 - log_b(least exponential variate of the set under hash i)),
 cut to 0..65535 - exponentially spaced, truncated minima, of which the larger of two is that of a union (`merge`). Equal
 registers are the likelier the more two sets share, so bands of three registers, read as exact keys, deal out candidates; at a
-similarity of 0.75 all 32 bands differ with probability 2e-8. A pair's similarity is estimated jointly from its registers by
+similarity of 0.75 all 24 bands differ with probability 2e-6. A pair's similarity is estimated jointly from its registers by
 maximum likelihood, given the sets' sizes, and a pair for which 0.75 is out of question is dropped (its log-likelihood lies
-REJECT below the best, about seven standard deviations). All others are verified on the full sets.
+REJECT below the best, about six standard deviations). All others are verified on the full sets.
 
 Groups of any size stay linear. Equal sets count once. In a bucket each set is linked to two pivots that vary by bucket, never
 to all others. Their verified links give components; only buckets that still hold several components are looked at again, and
@@ -26,16 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import materialize, prepare, text_steps
+from kindred.llm.common import KeyFilter, materialize, prepare, text_steps
 from kindred.llm.components import components
 from kindred.llm.words import U64, mix64, numbers, words
 
 WIDTH = 5
-REGISTERS, ROWS = 96, 3
+REGISTERS, ROWS = 72, 3
 BANDS = REGISTERS // ROWS
 BASE, RATE, MOST = 1.001, 20.0, 65535
 #: Log-likelihood by which 0.75 may lie below the best estimate.
-REJECT = 25.0
+REJECT = 18.0
 #: Sets of a block in the second look.
 BLOCK = 128
 _TERMS = numbers(WIDTH, 2) | U64(1)
@@ -95,6 +95,15 @@ def bands(regs: np.ndarray) -> np.ndarray:
     return (np.arange(BANDS, dtype=np.int64) << 48) | r[:, :, 0] << 32 | r[:, :, 1] << 16 | r[:, :, 2]
 
 
+def from_bands(keys: np.ndarray) -> np.ndarray:
+    """The registers that band keys tell."""
+    keys = keys.reshape(-1, BANDS)
+    out = np.empty((len(keys), BANDS, ROWS), np.uint16)
+    for k in range(ROWS):
+        out[:, :, k] = keys >> (16 * (ROWS - 1 - k)) & MOST
+    return out.reshape(-1, REGISTERS)
+
+
 _GRID = np.linspace(0, 1, 201)
 
 
@@ -150,40 +159,68 @@ def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([key.slice(lo, hi - lo), pa.array(size), pa.array(halves[0]), pa.array(halves[1]), lists], ["key", "n", "h1", "h2", "bands"])
 
 
-def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, text -> key, registers, sorted set."""
-    for batch in batches:
-        key = batch.column(0)
-        for lo, hi, data, bounds in text_steps(batch.column(1)):
-            hashes, start = shingles(data, bounds)
-            regs = registers(hashes, start)
-            sets = [np.unique(hashes[a:z]).tobytes() for a, z in zip(start[:-1], start[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([key.slice(lo, hi - lo), pa.array([r.tobytes() for r in regs], pa.binary()), pa.array(sets, pa.binary())], ["id", "regs", "members"])
+def _full_sets(wanted: KeyFilter):
+    """key, text -> key and sorted set of the keys that may be wanted."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = batch.column(0)
+            own = np.flatnonzero(wanted(key.to_numpy()))
+            key, text = key.take(pa.array(own)), batch.column(1).take(pa.array(own))
+            for lo, hi, data, bounds in text_steps(text):
+                hashes, start = shingles(data, bounds)
+                sets = [np.unique(hashes[a:z]).tobytes() for a, z in zip(start[:-1], start[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([key.slice(lo, hi - lo), pa.array(sets, pa.binary())], ["id", "members"])
 
-def _arrays(col: pa.Array, kind: type) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_buffer(), kind) for x in col]
+    return run
 
 
-def verified(regs_a: pa.Array, regs_b: pa.Array, set_a: pa.Array, set_b: pa.Array) -> pa.Array:
-    """Of each pair, whether it is a link."""
-    if not len(set_a):
+def _sets(col: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), U64) for x in col]
+
+
+def plausible(bands_a: pa.Array, bands_b: pa.Array, size_a: pa.Array, size_b: pa.Array) -> pa.Array:
+    """Of each pair, whether its registers and sizes leave a link possible."""
+    if not len(size_a):
         return pa.array([], pa.bool_())
-    a, b = _arrays(set_a, U64), _arrays(set_b, U64)
-    sizes = [np.array([len(x) for x in s], np.int64) for s in (a, b)]
-    out = possible(np.vstack(_arrays(regs_a, np.uint16)), np.vstack(_arrays(regs_b, np.uint16)), *sizes)
-    for k in np.flatnonzero(out):
-        out[k] = linked(a[k], b[k])
-    return pa.array(out)
-
-
-def block_links(table: pa.Table) -> pa.Table:
-    """Links between components that the sets of a block give: side 0 meets side 1, or in a block of one side (2) all meet."""
-    side, comp = table.column("side").to_numpy(), table.column("comp").to_numpy()
-    regs = np.vstack(_arrays(table.column("regs").combine_chunks(), np.uint16))
-    sets = _arrays(table.column("members").combine_chunks(), U64)
-    size = np.array([len(s) for s in sets], np.int64)
-    left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if (side < 2).any() else (np.arange(len(side)),) * 2
+    return pa.array(possible(from_bands(bands_a.flatten().to_numpy()), from_bands(bands_b.flatten().to_numpy()), size_a.to_numpy(), size_b.to_numpy()))
+
+
+def verified(set_a: pa.Array, set_b: pa.Array) -> pa.Array:
+    """Of each pair, whether it is a link."""
+    return pa.array([linked(a, b) for a, b in zip(_sets(set_a), _sets(set_b), strict=True)], pa.bool_())
+
+
+def _sides(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Side 0 meets side 1; in a cell of side 2 all meet."""
+    return (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if (side < 2).any() else (np.arange(len(side)),) * 2
+
+
+def cell_survivors(table: pa.Table) -> pa.Table:
+    """Rows of a cell that could link to another component, by a pair whose first common band is the cell's."""
+    side, comp, n = (table.column(c).to_numpy() for c in ("side", "comp", "n"))
+    keys = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+    regs, band = from_bands(keys), table.column("band")[0].as_py() >> 48
+    left, right = _sides(side)
+    lives = np.zeros(len(side), bool)
+    for i in left:
+        js = right[comp[right] != comp[i]]
+        js = js[4 * np.minimum(n[js], n[i]) >= 3 * np.maximum(n[js], n[i])]
+        if band and len(js):
+            js = js[~(keys[js, :band] == keys[i, :band]).any(1)]
+        if len(js):
+            js = js[possible(np.broadcast_to(regs[i], (len(js), REGISTERS)), regs[js], np.full(len(js), n[i]), n[js])]
+            lives[js] = True
+            lives[i] |= len(js) > 0
+    return table.filter(pa.array(lives)).select(["band", "kind", "x", "y", "side", "comp", "id", "n", "bands"])
+
+
+def cell_links(table: pa.Table) -> pa.Table:
+    """Links between components that the full sets of a cell give; those that others imply are left out."""
+    side, comp, n = (table.column(c).to_numpy() for c in ("side", "comp", "n"))
+    regs = from_bands(table.column("bands").combine_chunks().flatten().to_numpy())
+    sets = _sets(table.column("members").combine_chunks())
+    left, right = _sides(side)
     parent = {int(c): int(c) for c in comp}
 
     def root(c: int) -> int:
@@ -194,7 +231,7 @@ def block_links(table: pa.Table) -> pa.Table:
     found = []
     for i in left:
         js = right[comp[right] != comp[i]]
-        js = js[possible(np.broadcast_to(regs[i], (len(js), REGISTERS)), regs[js], np.full(len(js), size[i]), size[js])] if len(js) else js
+        js = js[possible(np.broadcast_to(regs[i], (len(js), REGISTERS)), regs[js], np.full(len(js), n[i]), n[js])] if len(js) else js
         for j in js:
             a, b = root(int(comp[i])), root(int(comp[j]))
             if a != b and linked(sets[i], sets[j]):
@@ -209,39 +246,48 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     plain = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     rows = materialize(plain.mapInArrow(set_rows, "key long, n long, h1 long, h2 long, bands array<long>"), "sets")
     alone = "n > 0 and key is not null"
-    unique = rows.where(alone).groupBy("h1", "h2").agg(F.min("key").alias("rep"), F.min_by("bands", "key").alias("bands"))
+    unique = rows.where(alone).groupBy("h1", "h2").agg(F.min("key").alias("rep"), F.min_by("bands", "key").alias("bands"), F.min("n").alias("n"))
     unique = materialize(unique, "unique")
+
+    def with_sets(ids: DataFrame, name: str) -> DataFrame:
+        """The full sets of ids, from a second look at the texts that a filter of fixed size lets through."""
+        found = plain.where("key is not null").mapInArrow(_full_sets(KeyFilter(ids)), "id long, members binary").join(ids, "id", "left_semi")
+        return materialize(found.groupBy("id").agg(F.min("members").alias("members")), name)
+
     bucket = unique.select("rep", F.explode("bands").alias("band"))
     # Two pivots of each bucket: the sets with the least hash, under two hashes that also depend on the bucket.
     spot = lambda salt: F.struct(F.xxhash64("band", "rep", F.lit(salt)).alias("h"), "rep")
     pivots = bucket.groupBy("band").agg(F.count("rep").alias("n"), F.min(spot(1))["rep"].alias("p"), F.min(spot(2))["rep"].alias("q")).where("n > 1")
     shared = materialize(bucket.join(pivots, "band"), "buckets")
     pairs = shared.select("rep", F.explode(F.array_distinct(F.array("p", "q"))).alias("other")).where("rep != other")
-    pairs = materialize(pairs.select(F.greatest("rep", "other").alias("a"), F.least("rep", "other").alias("b")).distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    sets = plain.join(wanted, "key").mapInArrow(full_sets, "id long, regs binary, members binary").dropDuplicates(["id"])
-    sets = materialize(sets, "members")
-    a = sets.select(F.col("id").alias("a"), F.col("regs").alias("ra"), F.col("members").alias("ma"))
-    b = sets.select(F.col("id").alias("b"), F.col("regs").alias("rb"), F.col("members").alias("mb"))
-    links = pairs.join(a, "a").join(b, "b").where(F.arrow_udf(verified, "boolean")("ra", "rb", "ma", "mb")).select("a", "b")
+    pairs = pairs.select(F.greatest("rep", "other").alias("a"), F.least("rep", "other").alias("b")).distinct()
+    own = lambda side: unique.select(F.col("rep").alias(side), F.col("bands").alias(f"bands_{side}"), F.col("n").alias(f"n_{side}"))
+    pairs = pairs.join(own("a"), "a").join(own("b"), "b").where(F.arrow_udf(plausible, "boolean")("bands_a", "bands_b", "n_a", "n_b"))
+    pairs = materialize(pairs.select("a", "b"), "pairs")
+    sets = with_sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "members")
+    members = lambda side: sets.select(F.col("id").alias(side), F.col("members").alias(f"m_{side}"))
+    links = pairs.join(members("a"), "a").join(members("b"), "b").where(F.arrow_udf(verified, "boolean")("m_a", "m_b")).select("a", "b")
     first = materialize(components(links), "first")
 
-    placed = shared.where("n > 3").select("band", "rep").join(first.withColumnRenamed("id", "rep"), "rep", "left").select("band", "rep", F.coalesce("root", "rep").alias("comp"))
+    # Buckets of which the pivots' pairs don't say all.
+    placed = shared.where("n > 3 or (n = 3 and p = q)").select("band", "rep").join(first.withColumnRenamed("id", "rep"), "rep", "left").select("band", "rep", F.coalesce("root", "rep").alias("comp"))
     parts = placed.groupBy("band", "comp").agg(F.count("rep").alias("n"))
     mixed = parts.groupBy("band").agg(F.count("comp").alias("parts"), F.max(F.struct("n", "comp"))["comp"].alias("main"), F.max("n").alias("most"), F.sum("n").alias("all")).where("parts > 1")
     mixed = mixed.select("band", "main", F.ceil(F.col("most") / BLOCK).alias("blocks"), F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("rests"))
     placed = placed.join(mixed, "band").withColumn("rest", F.col("comp") != F.col("main"))
     place = lambda salt, n: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n))
     count = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-    own = F.col("rest")
     # Main sets keep to their block and meet each chunk of the others; the others meet each block, each chunk and themselves.
-    cells = placed.select("band", "rep", "comp", F.explode(F.when(~own, F.transform(count("rests"), lambda c: F.struct(F.lit(0).alias("kind"), place(1, "blocks").alias("x"), c.alias("y"), F.lit(0).alias("side")))).otherwise(
+    cells = placed.select("band", "rep", "comp", F.explode(F.when(~F.col("rest"), F.transform(count("rests"), lambda c: F.struct(F.lit(0).alias("kind"), place(1, "blocks").alias("x"), c.alias("y"), F.lit(0).alias("side")))).otherwise(
         F.concat(
             F.transform(count("blocks"), lambda x: F.struct(F.lit(0).alias("kind"), x.alias("x"), place(2, "rests").alias("y"), F.lit(1).alias("side"))),
             F.transform(count("rests"), lambda c: F.struct(F.lit(1).alias("kind"), F.least(c, place(2, "rests")).alias("x"), F.greatest(c, place(2, "rests")).alias("y"), F.when(c == place(2, "rests"), 2).when(c > place(2, "rests"), 0).otherwise(1).alias("side"))),
         ))).alias("c"))
-    cells = cells.select("band", "c.*", "comp", F.col("rep").alias("id")).join(sets, "id")
-    found = cells.groupBy("band", "kind", "x", "y").applyInArrow(block_links, "a long, b long")
+    cells = cells.select("band", "c.*", "comp", F.col("rep").alias("id")).join(unique.select(F.col("rep").alias("id"), "n", "bands"), "id")
+    lives = "band long, kind int, x long, y long, side int, comp long, id long, n long, bands array<long>"
+    cells = materialize(cells.groupBy("band", "kind", "x", "y").applyInArrow(cell_survivors, lives), "cells")
+    more = with_sets(cells.select("id").distinct(), "more")
+    found = cells.join(more, "id").groupBy("band", "kind", "x", "y").applyInArrow(cell_links, "a long, b long")
     second = components(found)
     root = first.withColumnRenamed("root", "mid").join(second.select(F.col("id").alias("mid"), F.col("root").alias("top")), "mid", "left").select("id", F.coalesce("top", "mid").alias("root"))
     late = second.join(first.select("id"), "id", "left_anti")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import ann, bpe, langid, mixing, neardup, quality, secrets, shards, telephony
+from kindred.llm import ann, bpe, langid, linedup, mixing, neardup, quality, secrets, shards, telephony
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digests(table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linedup.line_report(table(spark, sf_dir, "documents"))
+
+
 def op3_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -54,5 +58,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_secret_scan, op3_multi_index_hashing, op4_telephony, op5_byte_bpe, op6_language_id, op7_setsketch_near_dup, op8_mixing, op9_karmarkar_karp_shards, op10_quality)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_multi_index_hashing, op4_telephony, op5_byte_bpe, op6_language_id, op7_setsketch_near_dup, op8_mixing, op9_karmarkar_karp_shards, op10_quality)}
 ORACLE_SQL: dict[str, str] = {}
