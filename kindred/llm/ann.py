@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.llm.common import prepare
+from kindred.llm.common import prepare, sample
 
 GROUPS, GROUP_BITS, TURNS = 4, 64, 30
 #: Vectors that are learned from (those with the least hash of their key), and queries among them that set the radius.
@@ -150,12 +150,12 @@ def nearest(vectors: DataFrame, queries: Column, key: str = "vec_id", vector: st
     whole = F.col(key).isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(v, lambda c: c != 0)
     rows = vectors.where(F.coalesce(whole, F.lit(False))).select(F.col(key).cast("long").alias("key"), F.transform(v, lambda c: c.cast("double")).alias("vec"), F.coalesce(queries, F.lit(False)).alias("asks"))
     total = rows.agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).first()
-    sample = [r.vec for r in rows.select("key", "vec").orderBy(F.xxhash64("key"), "key", "vec").limit(SAMPLE).collect()]
+    learned = [r.vec for r in sample(rows.select("key", "vec"), "key", SAMPLE).collect()]
     codes = None
-    if sample:
-        sizes, times = np.unique([len(s) for s in sample], return_counts=True)
+    if learned:
+        sizes, times = np.unique([len(v) for v in learned], return_counts=True)
         dim = int(sizes[times.argmax()])
-        codes = fit(np.array([s for s in sample if len(s) == dim]), near)
+        codes = fit(np.array([v for v in learned if len(v) == dim]), near)
     many, asked = max(1, -(-total.n // ROWS)), max(1, -(-total.q // QUERIES))
     place = lambda salt, n: F.pmod(F.xxhash64("key", F.lit(salt)), F.lit(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))

@@ -48,6 +48,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sample(df: DataFrame, key: str, most: int) -> DataFrame:
+    """At most `most` rows of df: those with the least hashes of their key. A count and a bound on the hash come first, so tasks
+    send few rows more than are wanted, however many tasks there are."""
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 30))
+    bound = -(-(1 << 30) * (most + 8 * int(most**0.5) + 64) // max(1, df.count()))
+    return df.where(place < min(bound, 1 << 30)).orderBy(place, *df.columns).limit(most)
+
+
 def text_steps(texts: pa.Array, step: int = STEP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of texts of about `step` bytes: first row, end row, their UTF-8 bytes, the rows' bounds in these. Null is empty."""
     if isinstance(texts, pa.ChunkedArray):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import prepare, text_steps
+from kindred.llm.common import prepare, sample, text_steps
 
 WINDOW, EMBEDDED, PER_WIDTH = 192, 8, 8
 WIDTHS = (2, 3, 4)
@@ -141,7 +141,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     free = docs.where(F.col(lang).isNotNull() & F.col(key).isNotNull() & F.col(text).isNotNull() & (F.crc32(own) % held_out[0] != held_out[1]))
     place = lambda salt: F.pmod(F.xxhash64(key, F.lit(salt)), F.greatest(F.length(text) - WINDOW, F.lit(1))).cast("int") + 1
     piece = lambda salt: F.substring(F.col(text), place(salt), F.lit(WINDOW)).alias(f"w{salt}")
-    rows = free.select(F.xxhash64(key).alias("h"), F.col(key).alias("key"), F.col(lang).alias("lang"), piece(1), piece(2)).orderBy("h", "key", "w1", "w2").limit(learned).collect()
+    rows = sample(free.select(F.col(key).alias("key"), F.col(lang).alias("lang"), piece(1), piece(2)), "key", learned).collect()
     return fit([(r.lang, piece.encode()[:WINDOW]) for r in rows for piece in (r.w1, r.w2)])
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import prepare, text_steps
+from kindred.llm.common import prepare, sample, text_steps
 from kindred.llm.words import U64, words
 
 BITS, FACTORS = 14, 8
@@ -159,9 +159,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     prepare(docs.sparkSession)
     free = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & (F.crc32(F.col(key).cast("string")) % held_out[0] != held_out[1]))
     free = free.groupBy(F.col(key).alias("key")).agg(F.min(label).cast("int").alias("label"))
-    taken = [free.where(F.col("label") == k).orderBy(F.xxhash64("key"), "key").limit(per_class) for k in (0, 1)]
-    sample = F.broadcast(taken[0].unionByName(taken[1]))  # 2 * per_class rows at most
-    found = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(sample, "key")
+    taken = [sample(free.where(F.col("label") == k), "key", per_class) for k in (0, 1)]
+    chosen = F.broadcast(taken[0].unionByName(taken[1]))  # 2 * per_class rows at most
+    found = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(chosen, "key")
     rows = found.select("key", "label", "text").mapInArrow(_with_key, "key string, label int, place array<int>, value array<double>, stats array<double>, told array<int>").collect()
     rows = sorted(rows, key=lambda r: (r.key, len(r.place), r.place[:3]))
     return fit([(r.label, np.array(r.place, np.int64), np.array(r.value), np.array(r.stats), np.array(r.told, np.int64)) for r in rows])
