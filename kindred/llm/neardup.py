@@ -37,7 +37,7 @@ BASE, RATE, MOST = 1.001, 20.0, 65535
 #: Log-likelihood by which 0.75 may lie below the best estimate.
 REJECT = 18.0
 #: Sets of a block in the second look.
-BLOCK = 128
+BLOCK = 512
 _TERMS = numbers(WIDTH, 2) | U64(1)
 _SEEDS = numbers(REGISTERS, 3) | U64(1)
 SIGN = U64(1 << 63)
