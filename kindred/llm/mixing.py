@@ -97,46 +97,70 @@ def budgets(leaves: DataFrame, targets: Targets) -> DataFrame:
     return above.select(*LEVELS, F.expr(f"offer div {targets.epochs}").alias("tokens"), "budget")
 
 
-def mixed(docs: DataFrame, targets: Targets = PRODUCTION, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", domain=domain_of) -> DataFrame:
-    """The chosen rows of docs with all their columns and `__tokens`, `__epoch`, `__domain`; a row comes once for each epoch that has it."""
-    prepare(docs.sparkSession)
-    marked = docs.withColumn("__tokens", tokens(F.col(text))).withColumn("__domain", domain(F.col(source))).where(F.col("__tokens") > 0).where(F.col(key).isNotNull())
-    slim = marked.select(F.col("__domain").alias("domain"), F.col(lang).alias("lang"), F.col(source).alias("source"), F.col("__tokens").alias("tokens"), F.col(key).alias("key"))
-    slim = materialize(slim, "slim")
+def _slim(docs: DataFrame, key: str, text: str, lang: str, source: str, domain) -> DataFrame:
+    """What the choice needs to know of each document that has words and a key."""
+    rows = docs.select(domain(F.col(source)).alias("domain"), F.col(lang).alias("lang"), F.col(source).alias("source"), tokens(F.col(text)).alias("tokens"), F.col(key).alias("key"))
+    return materialize(rows.where("tokens > 0 and key is not null"), "slim")
+
+
+def _draw(targets: Targets, key: str, whole: str) -> Column:
+    return F.xxhash64(F.lit(targets.seed), F.col(whole), F.col(key))
+
+
+def _slot(h: Column, ranges: int) -> Column:
+    return F.floor(F.shiftrightunsigned(h, 33).cast("double") / 2**31 * ranges).cast("long")
+
+
+def _ends(slim: DataFrame, targets: Targets) -> tuple[DataFrame, int]:
+    """Of each leaf, as columns that start with __: whole epochs, tokens of one more, and the range, hash and key with which its prefix ends; the number of ranges."""
     leaves = budgets(slim.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")), targets)
     leaves = leaves.withColumn("whole", F.expr("budget div tokens")).withColumn("rest", F.expr("budget % tokens"))
     leaves = materialize(leaves, "leaves")
     ranges = max(1, -(-slim.count() // RANGE))
-    draw = lambda key, whole: F.xxhash64(F.lit(targets.seed), F.col(whole), F.col(key))
-    slot = lambda h: F.floor((F.shiftrightunsigned(h, 33)).cast("double") / 2**31 * ranges).cast("long")
     same = lambda a, b: [F.col(f"{a}{c}").eqNullSafe(F.col(f"{b}{c}")) for c in LEVELS]
+    own = [F.col(f"l_{c}") for c in LEVELS]
     tag = leaves.select(*[F.col(c).alias(f"l_{c}") for c in LEVELS], "whole", "rest")
-    drawn = slim.join(tag, same("", "l_")).withColumn("h", draw("key", "whole")).withColumn("slot", slot(F.col("h")))
-    sums = drawn.groupBy(*[f"l_{c}" for c in LEVELS], "slot").agg(F.sum("tokens").alias("tokens"), F.first("rest").alias("rest"))
-    run = Window.partitionBy(*[f"l_{c}" for c in LEVELS]).orderBy("slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    drawn = slim.join(tag, same("", "l_")).withColumn("slot", _slot(_draw(targets, "key", "whole"), ranges))
+    sums = drawn.groupBy(*own, "slot").agg(F.sum("tokens").alias("tokens"), F.first("rest").alias("rest"))
+    run = Window.partitionBy(*own).orderBy("slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = sums.withColumn("upto", F.sum("tokens").over(run))
     # The range in which the prefix ends: the first whose running sum passes the rest.
-    ends = sums.groupBy(*[f"l_{c}" for c in LEVELS]).agg(F.min(F.when(F.col("upto") > F.col("rest"), F.struct("slot", (F.col("upto") - F.col("tokens")).alias("before")))).alias("end"))
+    ends = sums.groupBy(*own).agg(F.min(F.when(F.col("upto") > F.col("rest"), F.struct("slot", (F.col("upto") - F.col("tokens")).alias("before")))).alias("end"))
     ends = ends.select(*[F.col(f"l_{c}").alias(f"e_{c}") for c in LEVELS], F.col("end.slot").alias("last"), F.col("end.before").alias("before"))
     plan = materialize(leaves.join(ends, same("", "e_")).select(*[F.col(c).alias(f"p_{c}") for c in LEVELS], "whole", "rest", "last", "before"), "plan")
-    own = [F.col("domain").eqNullSafe(F.col("p_domain")), F.col("lang").eqNullSafe(F.col("p_lang")), F.col("source").eqNullSafe(F.col("p_source"))]
-    edge = slim.join(plan, own).withColumn("h", draw("key", "whole")).where(slot(F.col("h")) == F.col("last"))
+    edge = slim.join(plan, same("", "p_")).withColumn("h", _draw(targets, "key", "whole")).where(_slot(F.col("h"), ranges) == F.col("last"))
+    # Rows of one key come together: their tokens are one step of the running sum.
     order = Window.partitionBy(*LEVELS).orderBy("h", "key").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    # rows of one key come together: their tokens are one step of the running sum
     fits = edge.withColumn("upto", F.sum("tokens").over(order)).where("before + upto <= rest").groupBy("p_domain", "p_lang", "p_source").agg(F.max(F.struct("h", "key")).alias("top"))
-    plan = plan.join(fits.select(*[F.col(f"p_{c}").alias(f"f_{c}") for c in LEVELS], F.col("top.h").alias("top_h"), F.col("top.key").alias("top_key")), same("p_", "f_"), "left").drop(*[f"f_{c}" for c in LEVELS])
-    plan = materialize(plan.select(*[F.col(c).alias(f"__{c}") for c in plan.columns]), "ends")
-    where = [F.col("__domain").eqNullSafe(F.col("__p_domain")), F.col(lang).eqNullSafe(F.col("__p_lang")), F.col(source).eqNullSafe(F.col("__p_source"))]
-    out = marked.join(plan, where).withColumn("__h", draw(key, "__whole"))
-    at = slot(F.col("__h"))
-    taken = F.col("__last").isNull() | (at < F.col("__last")) | ((at == F.col("__last")) & F.coalesce((F.col("__h") < F.col("__top_h")) | ((F.col("__h") == F.col("__top_h")) & (F.col(key) <= F.col("__top_key"))), F.lit(False)))
-    taken = taken & (F.col("__rest") > 0)
+    fits = fits.select(*[F.col(f"p_{c}").alias(f"f_{c}") for c in LEVELS], F.col("top.h").alias("top_h"), F.col("top.key").alias("top_key"))
+    plan = plan.join(fits, same("p_", "f_"), "left").drop(*[f"f_{c}" for c in LEVELS])
+    return materialize(plan.select(*[F.col(c).alias(f"__{c}") for c in plan.columns]), "ends"), ranges
+
+
+def _taken(rows: DataFrame, ends: DataFrame, ranges: int, targets: Targets, key: str, leaf: list[str]) -> DataFrame:
+    """The rows once for each epoch that has them, with `__epoch`; leaf: their columns of domain, language and source."""
+    where = [F.col(own).eqNullSafe(F.col(f"__p_{c}")) for own, c in zip(leaf, LEVELS, strict=True)]
+    out = rows.join(ends, where).withColumn("__h", _draw(targets, key, "__whole"))
+    at, h, top = _slot(F.col("__h"), ranges), F.col("__h"), F.col("__top_h")
+    fits = F.coalesce((h < top) | ((h == top) & (F.col(key) <= F.col("__top_key"))), F.lit(False))
+    taken = (F.col("__rest") > 0) & (F.col("__last").isNull() | (at < F.col("__last")) | ((at == F.col("__last")) & fits))
     times = F.col("__whole") + F.when(taken, 1).otherwise(0)
-    out = out.withColumn("__epoch", F.explode(F.when(times > 0, F.sequence(F.lit(0).cast("long"), times - 1))))
-    return out.select(*[docs[c] for c in docs.columns], "__tokens", "__domain", "__epoch")
+    return out.withColumn("__epoch", F.explode(F.when(times > 0, F.sequence(F.lit(0).cast("long"), times - 1))))
+
+
+def mixed(docs: DataFrame, targets: Targets = PRODUCTION, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", domain=domain_of) -> DataFrame:
+    """The chosen rows of docs with all their columns and `__epoch`; a row comes once for each epoch that has it."""
+    prepare(docs.sparkSession)
+    ends, ranges = _ends(_slim(docs, key, text, lang, source, domain), targets)
+    some = docs.where(F.col(key).isNotNull() & F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))).withColumn("__domain", domain(F.col(source)))
+    out = _taken(some, ends, ranges, targets, key, ["__domain", lang, source])
+    return out.select(*[docs[c] for c in docs.columns], "__epoch")
 
 
-def chosen(docs: DataFrame, targets: Targets = PRODUCTION, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+def chosen(docs: DataFrame, targets: Targets = PRODUCTION, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", domain=domain_of) -> DataFrame:
     """A row for each chosen document and epoch: key, domain, lang, source, n_tokens, epoch."""
-    out = mixed(docs, targets, key, text, lang, source)
-    return out.select(F.col(key).alias(key), F.col("__domain").alias("domain"), F.col(lang).alias("lang"), F.col(source).alias("source"), F.col("__tokens").alias("n_tokens"), F.col("__epoch").cast("int").alias("epoch"))
+    prepare(docs.sparkSession)
+    slim = _slim(docs, key, text, lang, source, domain)
+    ends, ranges = _ends(slim, targets)
+    out = _taken(slim, ends, ranges, targets, "key", list(LEVELS))
+    return out.select(F.col("key").alias(key), "domain", F.col("lang").alias(lang), F.col("source").alias(source), F.col("tokens").alias("n_tokens"), F.col("__epoch").cast("int").alias("epoch"))
