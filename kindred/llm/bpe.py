@@ -29,6 +29,8 @@ from kindred.llm.common import prepare
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pieces whose ids a task remembers; when there are more it forgets all and begins again. Their longest form in bytes.
 REMEMBERED, SHORT = 1_000_000, 64
+#: Pieces of one replay; positions of a pair from which its merges are made at once.
+PIECES, MANY = 100_000, 48
 
 
 @lru_cache(maxsize=4)
@@ -37,77 +39,134 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+class Vocabulary:
+    """Tokens and the pairs of tokens that join to one."""
+
+    def __init__(self, path: str):
+        table = ranks(path)
+        self.tokens = [b""] * (max(table.values()) + 1)
+        #: The rank of the token that left << 17 | right join to.
+        self.pairs: dict[int, int] = {}
+        for token, k in table.items():
+            self.tokens[k] = token
+            for cut in range(1, len(token)):
+                left, right = table.get(token[:cut]), table.get(token[cut:])
+                if left is not None and right is not None:
+                    self.pairs[left << 17 | right] = k
+        self.single = np.array([table[bytes([b])] for b in range(256)])
+        self.of_bytes = np.array([[table.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)])
+        keys, ranked = np.array(list(self.pairs), np.int64), np.array(list(self.pairs.values()), np.int64)
+        ends = np.arange(len(self.tokens) + 1)
+        left, right = keys >> 17, keys & ((1 << 17) - 1)
+        #: Pairs by their rank, by their left and by their right token: (where each token's begin, the other tokens, ranks or keys).
+        self.by_rank, self.by_left, self.by_right = (self._sorted(by, ends, *more) for by, more in ((ranked, (keys, ranked)), (left, (right, ranked)), (right, (left, ranked))))
+        self.scratch = np.full(len(self.tokens), -1)
+
+    @staticmethod
+    def _sorted(by: np.ndarray, ends: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray]:
+        order = np.argsort(by, kind="stable")
+        return np.searchsorted(by[order], ends).tolist(), x[order], y[order]
+
+    def joined(self, side: tuple[list[int], np.ndarray, np.ndarray], token: int, others: np.ndarray) -> np.ndarray:
+        """Ranks of a token with others on one side of it, -1 if there is none; others: -1 or less for none."""
+        at, partners, ranked = side
+        own = slice(at[token], at[token + 1])
+        self.scratch[partners[own]] = ranked[own]
+        out = np.where(others >= 0, self.scratch[np.maximum(others, 0)], -1)
+        self.scratch[partners[own]] = -1
+        return out
+
+
 @lru_cache(maxsize=4)
-def vocabulary(path: str) -> tuple[dict[int, int], np.ndarray, np.ndarray, list[bytes]]:
-    """The rank of the token that a pair of tokens (left << 17 | right) joins to; that of pairs of bytes, -1 if none; tokens of bytes; tokens' bytes."""
-    table = ranks(path)
-    by_id = [b""] * (max(table.values()) + 1)
-    pairs: dict[int, int] = {}
-    for token, k in table.items():
-        by_id[k] = token
-        for cut in range(1, len(token)):
-            left, right = table.get(token[:cut]), table.get(token[cut:])
-            if left is not None and right is not None:
-                pairs[left << 17 | right] = k
-    single = np.array([table[bytes([b])] for b in range(256)])
-    return pairs, np.array([[table.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)]), single, by_id
+def vocabulary(path: str) -> Vocabulary:
+    return Vocabulary(path)
 
 
 def replay(pieces: list[bytes], path: str) -> list[np.ndarray]:
     """The token ids of each piece."""
-    pairs, of_bytes, single, _ = vocabulary(path)
+    v = vocabulary(path)
     # One row of symbols; an end of -1 stands before, between and after the pieces and pairs with nothing.
     size = np.array([len(p) for p in pieces])
     data = np.frombuffer(b"".join(pieces), np.uint8)
     at = np.arange(len(data)) + np.repeat(np.arange(1, len(pieces) + 1), size)
     n = len(data) + len(pieces) + 1
-    flat = np.full(n, -1)
-    flat[at] = single[data]
+    row = np.full(n, -1)
+    row[at] = v.single[data]
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
     rank = np.full(n, -1)
     if len(data) > 1:
-        rank[at[:-1]] = np.where(np.diff(at) == 1, of_bytes[data[:-1], data[1:]], -1)
+        rank[at[:-1]] = np.where(np.diff(at) == 1, v.of_bytes[data[:-1], data[1:]], -1)
     spots = np.flatnonzero(rank >= 0)
     spots = spots[np.argsort(rank[spots], kind="stable")]
     heap, cut = np.unique(rank[spots], return_index=True)
     index = dict(zip(heap.tolist(), map(np.ndarray.tolist, np.split(spots, cut[1:])), strict=True)) if len(heap) else {}
     heap = heap.tolist()  # ascending, so a heap
-    symbols, after, before = flat.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
-    look, find = pairs.get, index.get
+    symbol, following, preceding = memoryview(row), memoryview(after), memoryview(before)
+    look, find = v.pairs.get, index.get
+
+    def enter(q: int, spots: list[int]) -> None:
+        own = find(q)
+        if own is None:
+            index[q] = spots
+            heapq.heappush(heap, q)
+        else:
+            own += spots
+
+    def at_once(r: int, spots: np.ndarray) -> bool:
+        """Makes a merge at all its positions; not if one of them overlaps another."""
+        gone = after[spots]
+        keys = (row[spots] << 17) | row[gone]
+        valid = np.zeros(len(spots), bool)
+        start, pairs, _ = v.by_rank
+        for key in pairs[start[r] : start[r + 1]]:
+            valid |= keys == key
+        valid &= (row[spots] >= 0) & (row[gone] >= 0)
+        spots, gone = spots[valid], gone[valid]
+        if len(spots) > 1 and (gone[:-1] >= spots[1:]).any():
+            return False
+        right = after[gone]
+        row[spots], row[gone] = r, -2
+        after[spots], before[right] = right, spots
+        left = before[spots]
+        for places, q in ((left, v.joined(v.by_right, r, row[left])), (spots, v.joined(v.by_left, r, row[right]))):
+            some = np.flatnonzero(q >= 0)
+            if len(some):
+                some = some[np.argsort(q[some], kind="stable")]
+                each, cut = np.unique(q[some], return_index=True)
+                own = places[some].tolist()
+                cut = [*cut.tolist(), len(own)]
+                for k, rank in enumerate(each.tolist()):
+                    enter(rank, own[cut[k] : cut[k + 1]])
+        return True
+
     while heap:
         r = heapq.heappop(heap)
         # One token can come of several pairs; they share its rank and so its place in the order.
         spots = index.pop(r)
+        if len(spots) >= MANY and at_once(r, np.unique(spots)):
+            continue
         spots.sort()
         for at in spots:
-            a = symbols[at]
+            a = symbol[at]
             if a < 0:
                 continue
-            gone = after[at]
-            b = symbols[gone]
+            gone = following[at]
+            b = symbol[gone]
             if b < 0 or look(a << 17 | b) != r:
                 continue  # a merge beside it has changed it
-            symbols[at] = r
-            symbols[gone] = -2
-            right = after[at] = after[gone]
-            before[right] = at
-            left = before[at]
-            a, b = symbols[left], symbols[right]
+            symbol[at] = r
+            symbol[gone] = -2
+            right = following[at] = following[gone]
+            preceding[right] = at
+            left = preceding[at]
+            a, b = symbol[left], symbol[right]
             if a >= 0 and (q := look(a << 17 | r)) is not None:
-                if (own := find(q)) is None:
-                    index[q] = [left]
-                    heapq.heappush(heap, q)
-                else:
-                    own.append(left)
+                enter(q, [left])
             if b >= 0 and (q := look(r << 17 | b)) is not None:
-                if (own := find(q)) is None:
-                    index[q] = [at]
-                    heapq.heappush(heap, q)
-                else:
-                    own.append(at)
-    flat = np.array(symbols, np.int64)
-    keep = flat >= 0
+                enter(q, [at])
+    keep = row >= 0
     count = np.concatenate([[0], np.cumsum(keep)])[np.concatenate([[0], np.cumsum(size + 1)])]
-    ids = flat[keep].astype("<u4")
+    ids = row[keep].astype("<u4")
     return [ids[a:z] for a, z in zip(count[:-1].tolist(), count[1:].tolist(), strict=True)]
 
 
@@ -131,8 +190,8 @@ class Encoder:
             memory = self.memory
             new = [p for p in {p for x in pieces for p in x} if p not in memory]
             long: dict[str, bytes] = {}
-            for lo in range(0, len(new), 50_000):
-                part = new[lo : lo + 50_000]
+            for lo in range(0, len(new), PIECES):
+                part = new[lo : lo + PIECES]
                 for p, ids in zip(part, replay([p.encode() for p in part], self.path), strict=True):
                     (memory if len(p) <= SHORT else long)[p] = ids.tobytes()
             look = memory.__getitem__ if not long else lambda p: memory.get(p) or long[p]
@@ -149,7 +208,7 @@ def encoder(path: str) -> Encoder:
 
 def decode(ids: bytes, path: str) -> bytes:
     """The bytes of token ids."""
-    by_id = vocabulary(path)[3]
+    by_id = vocabulary(path).tokens
     return b"".join([by_id[k] for k in np.frombuffer(ids, "<u4").tolist()])
 
 
