@@ -22,6 +22,11 @@ KEYWORDS = (
 SYNONYMS = {"JS": "JavaScript", "TS": "TypeScript", "Golang": "Go"}
 
 
+def let(value: Column, use) -> Column:
+    """use(value), where value is worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def every(c: Column, pattern: str) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
 
@@ -109,21 +114,17 @@ PRESENT = r"(?i)(?<![A-Za-z0-9_])(present|current)(?![A-Za-z0-9_])"
 def date_range(line: Column) -> Column:
     """struct<start, end, span> of a line: months by name, else by number, else years; a second date or `Present` is the end."""
     month_of = lambda d: F.concat(F.regexp_extract(d, r"(\d{4})$", 1), F.lit("-"), month_number(d))
-    tiers = (
-        (NAMED, month_of),
-        (NUMBERED, lambda d: F.regexp_replace(d, "/", "-")),
-        (YEAR, lambda d: F.concat(d, F.lit("-01"))),
-    )
-    start, end, span = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("string")
-    for pattern, told in reversed(tiers):
-        found = every(line, pattern)
-        here = F.size(found) > 0
-        one = F.size(found) == 1
-        tail = F.regexp_substr(line, F.lit(rf"{pattern}[\s\S]*$"))
-        present = tail.rlike(PRESENT)
-        long = F.regexp_substr(line, F.lit(rf"{pattern}[\s\S]*{pattern}"))
-        until = F.regexp_substr(line, F.lit(rf"{pattern}[\s\S]*?{PRESENT}"))
-        start = F.when(here, told(first(found))).otherwise(start)
-        end = F.when(here & ~one, told(F.get(found, F.lit(1)))).when(here & present, F.lit("Present")).when(~here, end)
-        span = F.when(here & ~one, long).when(here & present, until).when(here, first(found)).otherwise(span)
-    return F.struct(start.alias("start"), end.alias("end"), span.alias("span"))
+    none = F.lit(None).cast("string")
+
+    def tier(pattern: str, told) -> Column:
+        def of(found: Column) -> Column:
+            tail = F.regexp_substr(line, F.lit(rf"{pattern}[\s\S]*$"))
+            two, present = F.size(found) > 1, tail.rlike(PRESENT)
+            end = F.when(two, told(F.get(found, F.lit(1)))).when(present, F.lit("Present"))
+            span = F.when(two, F.regexp_substr(line, F.lit(rf"{pattern}[\s\S]*{pattern}"))).when(present, F.regexp_substr(line, F.lit(rf"{pattern}[\s\S]*?{PRESENT}"))).otherwise(first(found))
+            return F.when(F.size(found) > 0, F.struct(told(first(found)).alias("start"), end.alias("end"), span.alias("span")))
+
+        return let(every(line, pattern), of)
+
+    tiers = (NAMED, month_of), (NUMBERED, lambda d: F.regexp_replace(d, "/", "-")), (YEAR, lambda d: F.concat(d, F.lit("-01")))
+    return F.coalesce(*[tier(*t) for t in tiers], F.struct(none.alias("start"), none.alias("end"), none.alias("span")))

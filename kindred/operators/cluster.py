@@ -17,7 +17,7 @@ from kindred.functions import fuzzy
 from kindred.functions.scalars import folded, trimmed
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
+def kept(df: DataFrame, name: str) -> DataFrame:
     """df as a written table in the folder of spark.checkpoint.dir; its lineage ends there."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -131,10 +131,10 @@ def roots(records: DataFrame, links: DataFrame, most_rounds: int = 200) -> DataF
     Labels go down the links a round at a time, and each round also looks two steps ahead (a link to a record that is not a root
     is followed to what that one reaches), so long chains take a number of rounds that grows with the logarithm of their length.
     """
-    links = _kept(links, "links")
+    links = kept(links, "links")
     inner = links.select(F.col("later").alias("rec_ord")).distinct()
     label = records.select("rec_ord").join(inner, "rec_ord", "left_anti").select("rec_ord", F.col("rec_ord").alias("label"))
-    reach = _kept(links.select("later", F.col("earlier").alias("far")), "reach")
+    reach = kept(links.select("later", F.col("earlier").alias("far")), "reach")
     ends = label.select(F.col("rec_ord").alias("far"), "label")
     for _ in range(most_rounds):
         # Keep of each record the roots it has reached as their least, and the others to be followed on.
@@ -146,7 +146,7 @@ def roots(records: DataFrame, links: DataFrame, most_rounds: int = 200) -> DataF
         if not n:
             reach = done
             break
-        reach = _kept(done.unionByName(on).distinct(), "reach")
+        reach = kept(done.unionByName(on).distinct(), "reach")
     else:
         raise RuntimeError(f"no rest after {most_rounds} rounds")
     return label.select("rec_ord", F.col("label").alias("group_id")).unionByName(reach.groupBy("later").agg(F.min("far").alias("group_id")).select(F.col("later").alias("rec_ord"), "group_id"))

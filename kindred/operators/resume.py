@@ -31,48 +31,61 @@ BULLET = r"^[•\-*◦]"
 
 def blocks_of(lines: Column, opens: Callable[[Column], Column]) -> Column:
     """array<struct<first, lines>>: a block runs from a line that opens one to before the next; what comes before the first is left out."""
-    n = F.size(lines)
-    marked = F.transform(lines, lambda x, k: F.when(opens(x), k))
-    heads = F.array_compact(marked)
-    until = lambda k: F.coalesce(F.get(heads, k + 1), n)
-    return F.transform(heads, lambda h, k: F.struct(h.alias("first"), F.slice(lines, h + 1, until(k) - h).alias("lines")))
+
+    def cut(ls: Column) -> Column:
+        heads = F.array_compact(F.transform(ls, lambda x, k: F.when(opens(x), k)))
+        part = lambda hs: F.transform(hs, lambda h, k: F.struct(h.alias("first"), F.slice(ls, h + 1, F.coalesce(F.get(hs, k + 1), F.size(ls)) - h).alias("lines")))
+        return text.let(heads, part)
+
+    return text.let(lines, cut)
 
 
 def section(whole: Column, heading: str, most: int, stop: str) -> Column:
     """The lines after a section's heading, up to a line that begins another section."""
-    low = F.lower(whole)
-    at = F.regexp_instr(low, F.lit(heading))
-    found = F.slice(text.lines(F.substring(whole, at, F.length(whole))), 2, most)
-    ends = F.array_compact(F.transform(found, lambda x, k: F.when(x.rlike(stop), k)))
-    upto = F.coalesce(F.get(ends, F.lit(0)), F.size(found))
-    return F.when(at > 0, F.slice(found, 1, upto)).otherwise(F.array().cast("array<string>"))
+    at = F.regexp_instr(F.lower(whole), F.lit(heading))
+
+    def upto(found: Column) -> Column:
+        ends = F.array_compact(F.transform(found, lambda x, k: F.when(x.rlike(stop), k)))
+        return F.slice(found, 1, F.coalesce(F.get(ends, F.lit(0)), F.size(found)))
+
+    return F.when(at > 0, text.let(F.slice(text.lines(F.substring(whole, at, F.length(whole))), 2, most), upto)).otherwise(F.array().cast("array<string>"))
 
 
 def _cut(line: Column, span: Column) -> Column:
     """The line without its date and without brackets that are left empty."""
-    rest = F.when(span.isNotNull(), F.concat(F.substring(line, 1, F.instr(line, span) - 1), F.substring(line, F.instr(line, span) + F.length(span), F.length(line)))).otherwise(line)
+    rest = F.when(span.isNotNull(), F.concat(F.substring(line, F.lit(1), F.instr(line, span) - 1), F.substring(line, F.instr(line, span) + F.length(span), F.length(line)))).otherwise(line)
     return trimmed(F.regexp_replace(F.regexp_replace(rest, r"\(\s*\)", ""), r"\[\s*\]", ""))
 
 
 def _job(block: Column) -> Column:
     head, rest = block["lines"][0], F.slice(block["lines"], 2, 1000)
-    date = text.date_range(head)
-    clean = trimmed(F.regexp_replace(_cut(head, date["span"]), r"[-–—,@|]+$", ""))
-    parts = F.filter(F.split(clean, rf"(?i)\s*(?:[-–—@,|]|{_B}at{_E})\s*"), lambda p: p != "")
-    split = F.size(parts) >= 2
-    next_ = F.get(rest, F.lit(0))
-    plain = next_.isNotNull() & ~next_.rlike(BULLET) & text.date_range(next_)["start"].isNull()
-    takes = ~split & F.coalesce(plain, F.lit(False))
-    company = F.when(split, trimmed(parts[1])).when(takes, trimmed(F.get(F.split(next_, ","), F.lit(0))))
-    told = F.slice(rest, F.when(takes, 2).otherwise(1), 1000)
-    summary = F.array_join(F.filter(F.transform(told, lambda x: trimmed(F.regexp_replace(x, rf"{BULLET}\s*", ""))), lambda x: x != ""), " ")
     empty = lambda c: F.nullif(c, F.lit(""))
-    return F.struct(empty(company).alias("company"), empty(F.when(split, trimmed(parts[0])).otherwise(clean)).alias("title"), date["start"].alias("start"), date["end"].alias("end"), empty(summary).alias("summary"))
+
+    def dated(date: Column) -> Column:
+        clean = trimmed(F.regexp_replace(_cut(head, date["span"]), r"[-–—,@|]+$", ""))
+        parts = lambda c: F.filter(F.split(c, rf"(?i)\s*(?:[-–—@,|]|{_B}at{_E})\s*"), lambda p: p != "")
+        return text.let(F.struct(clean.alias("clean"), parts(clean).alias("parts")), lambda h: told(date, h))
+
+    def told(date: Column, h: Column) -> Column:
+        split = F.size(h["parts"]) >= 2
+        next_ = F.get(rest, F.lit(0))
+        plain = next_.isNotNull() & ~next_.rlike(BULLET) & text.date_range(next_)["start"].isNull()
+
+        def with_next(takes: Column) -> Column:
+            company = F.when(split, trimmed(F.get(h["parts"], F.lit(1)))).when(takes, trimmed(F.get(F.split(next_, ","), F.lit(0))))
+            more = F.slice(rest, F.when(takes, 2).otherwise(1), 1000)
+            summary = F.array_join(F.filter(F.transform(more, lambda x: trimmed(F.regexp_replace(x, rf"{BULLET}\s*", ""))), lambda x: x != ""), " ")
+            title = F.when(split, trimmed(F.get(h["parts"], F.lit(0)))).otherwise(h["clean"])
+            return F.struct(empty(company).alias("company"), empty(title).alias("title"), date["start"].alias("start"), date["end"].alias("end"), empty(summary).alias("summary"))
+
+        return text.let(~split & F.coalesce(plain, F.lit(False)), with_next)
+
+    return text.let(text.date_range(head), dated)
 
 
 def _year(line: Column) -> Column:
-    d = text.date_range(line)
-    return F.when(d["end"].isNotNull() & (d["end"] != "Present"), F.substring(d["end"], 1, 4)).otherwise(F.substring(d["start"], 1, 4)).try_cast("int")
+    year = lambda d: F.when(d["end"].isNotNull() & (d["end"] != "Present"), F.substring(d["end"], 1, 4)).otherwise(F.substring(d["start"], 1, 4)).try_cast("int")
+    return text.let(text.date_range(line), year)
 
 
 def _degree(line: Column) -> Column:
@@ -94,15 +107,15 @@ def _study(line: Column) -> Column:
 
 def _school(block: Column) -> Column:
     head, rest = block["lines"][0], F.slice(block["lines"], 2, 1000)
-    clean = _cut(head, text.date_range(head)["span"])
     looked = F.slice(block["lines"], 1, 3)
-    degrees = F.transform(looked, lambda x: F.struct(_degree(x).alias("degree"), x.alias("line")))
-    first = F.get(F.filter(degrees, lambda d: d["degree"].isNotNull()), F.lit(0))
-    line = F.coalesce(first["line"], F.get(rest, F.lit(0)), F.lit(""))
+    degrees = F.filter(F.transform(looked, lambda x: F.struct(_degree(x).alias("degree"), x.alias("line"))), lambda d: d["degree"].isNotNull())
     years = F.filter(F.transform(rest, _year), lambda y: y.isNotNull())
-    return F.struct(
-        F.nullif(trimmed(F.get(F.split(clean, ",|-|—|–"), F.lit(0))), F.lit("")).alias("institution"), first["degree"].alias("degree"), _study(line).alias("field"), F.coalesce(_year(head), F.get(years, F.lit(0))).alias("end_year"),
+    clean = text.let(text.date_range(head), lambda d: _cut(head, d["span"]))
+    told = lambda d: F.struct(
+        F.nullif(trimmed(F.get(F.split(clean, ",|-|—|–"), F.lit(0))), F.lit("")).alias("institution"), d["degree"].alias("degree"),
+        text.let(F.coalesce(d["line"], F.get(rest, F.lit(0)), F.lit("")), _study).alias("field"), F.coalesce(_year(head), F.get(years, F.lit(0))).alias("end_year"),
     )
+    return text.let(F.get(degrees, F.lit(0)), told)
 
 
 def experience(whole: Column) -> Column:

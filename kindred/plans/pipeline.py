@@ -43,10 +43,11 @@ def run_pipeline(spark: SparkSession, sources: DataFrame, config: OutputConfig =
         if github is not None:
             own = github.select((F.col("source_pos").cast("long") * (1 << 32)).alias("rec_ord"), "source_pos", F.lit(0).alias("row_pos"), "source_id", "source_type", "r.raw_confidence", "r.fields")
             raw = raw.unionByName(own)
-        records = cluster._kept(normalize.normalized(raw), "records")
-        grouped = cluster._kept(cluster.cluster(records), "grouped")
+        raw = cluster.kept(raw, "raw")
+        records = cluster.kept(normalize.normalized(raw), "records")
+        grouped = cluster.kept(cluster.cluster(records), "grouped")
         profiles = confidence.scored(merge.profiles(grouped), merge.provenance(grouped), grouped)
-        judged = cluster._kept(canonical_faults(profiles), "profiles")
+        judged = cluster.kept(canonical_faults(profiles), "profiles")
         good = judged.where(F.size("faults") == 0).drop("faults")
         out = checked(projected(good, config, ("group_id",)), config)
         told = [

@@ -69,10 +69,6 @@ LINKS = """words AS (SELECT rec_ord, list_filter(string_split_regex(trim(regexp_
  grp AS (SELECT id rec_ord, min(root) group_id FROM walk GROUP BY id),
  g AS (SELECT recs.*, grp.group_id FROM recs JOIN grp USING(rec_ord))"""
 GROUPED = f"WITH RECURSIVE {RECS}, {LINKS} "
-#: Two decimals by the exact binary value, as `fixed2`.
-FIXED2 = "(SELECT (floor(p)+(CASE WHEN p-floor(p)>0.5 OR (p-floor(p)=0.5 AND err>=0) THEN 1 ELSE 0 END))/100e0 FROM (SELECT p, (xh*100e0-p)+(x-xh)*100e0 err FROM (SELECT x, x*100e0 p, c-(c-x) xh FROM (SELECT x, 134217729e0*x c FROM (SELECT cast({0} AS double) x) q1) q2) q3) q4)"
-
-
 def fixed2_sql(x: str) -> str:
     """`fixed2` of an expression over columns, without subqueries."""
     p, xh = f"(({x})*100e0)", f"((134217729e0*({x}))-((134217729e0*({x}))-({x})))"
@@ -245,7 +241,7 @@ def country_map(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", scalars.country(raw).alias("country"))
 
 
-@query("SELECT c_custkey, c_name AS name, concat('c',c_custkey,'@x.org') AS email, c_mktsegment AS current_company, CASE WHEN c_custkey%2=0 THEN c_acctbal END AS years_experience, CASE WHEN c_custkey%5=0 THEN 0.0 ELSE 0.95 END AS raw_confidence FROM (SELECT *, c_custkey%5=0 AS bad FROM customer) x WHERE NOT bad UNION ALL SELECT c_custkey, NULL, NULL, NULL, NULL, 0.0 FROM customer WHERE c_custkey%5=0")
+@query("SELECT c_custkey, c_name AS name, concat('c',c_custkey,'@x.org') AS email, c_mktsegment AS current_company, CASE WHEN c_custkey%2=0 THEN c_acctbal END AS years_experience, cast(0.95 AS double) AS raw_confidence FROM (SELECT *, c_custkey%5=0 AS bad FROM customer) x WHERE NOT bad UNION ALL SELECT c_custkey, NULL, NULL, NULL, NULL, cast(0.0 AS double) FROM customer WHERE c_custkey%5=0")
 def ats_json_map(spark, sf_dir):
     from kindred.operators.extract import ats_record
 
@@ -255,7 +251,7 @@ def ats_json_map(spark, sf_dir):
     return rows.select("c_custkey", "r.fields.name", "r.fields.email", "r.fields.current_company", "r.fields.years_experience", "r.raw_confidence")
 
 
-@query("SELECT p_partkey, CASE WHEN p_size%3=0 THEN 'JavaScript' WHEN p_size%3=1 THEN 'Spring Boot' ELSE concat('part ',p_size) END AS skill, CASE WHEN p_size%3=2 THEN 0.4 ELSE 1.0 END AS confidence FROM part")
+@query("SELECT p_partkey, CASE WHEN p_size%3=0 THEN 'JavaScript' WHEN p_size%3=1 THEN 'Spring Boot' ELSE concat('part ',p_size) END AS skill, cast(CASE WHEN p_size%3=2 THEN 0.4 ELSE 1.0 END AS double) AS confidence FROM part")
 def skill_exact(spark, sf_dir):
     k = F.col("p_size") % 3
     raw = F.when(k == 0, " javascript").when(k == 1, "SPRING boot").otherwise(F.concat(F.lit("part "), F.col("p_size").cast("string")))
@@ -405,7 +401,7 @@ def canonical_profiles(spark, sf_dir):
     return out.select("group_id", "candidate_id", "full_name", "headline", "overall_confidence", *[F.to_json(c).alias(c) for c in ("emails", "phones", "skills", "experience", "education", "provenance")], F.to_json("location").alias("location"), F.to_json("links").alias("links"))
 
 
-@query(GROUPED + ", s AS (SELECT group_id, count(*) n, count(email) e, count(phone) p, count(full_name) f FROM g GROUP BY group_id) SELECT group_id, (e>0 OR p>0) AS reachable, f>0 AS named, CASE WHEN f>0 AND (e>0 OR p>0) THEN 1.0 WHEN f>0 OR e>0 OR p>0 THEN 0.5 ELSE 0.0 END AS penalty FROM s")
+@query(GROUPED + ", s AS (SELECT group_id, count(*) n, count(email) e, count(phone) p, count(full_name) f FROM g GROUP BY group_id) SELECT group_id, (e>0 OR p>0) AS reachable, f>0 AS named, cast(CASE WHEN f>0 AND (e>0 OR p>0) THEN 1.0 WHEN f>0 OR e>0 OR p>0 THEN 0.5 ELSE 0.0 END AS double) AS penalty FROM s")
 def required_categories(spark, sf_dir):
     recs = grouped(spark, sf_dir)
     values = merge.resolved(merge.scalar_values(recs, ("full_name",))).select("group_id", F.col("value").alias("full_name"))
@@ -442,7 +438,7 @@ def _config(*fields: OutputField, **more) -> OutputConfig:
     return OutputConfig(tuple(fields), more.get("confidence", True), more.get("provenance", False), more.get("missing", "null"))
 
 
-@query("SELECT c_custkey AS group_id, c_name AS alias, CASE WHEN c_custkey%3<>0 THEN concat('c',c_custkey,'@x.org') END AS primary_email, concat('+1415555',lpad(cast(c_custkey AS varchar),4,'0')) AS phone, c_mktsegment AS region, 0.75 AS overall_confidence, CASE WHEN c_custkey%3=0 THEN 1 ELSE 0 END AS n_warnings FROM customer WHERE c_custkey<10000")
+@query("SELECT c_custkey AS group_id, c_name AS alias, CASE WHEN c_custkey%3<>0 THEN concat('c',c_custkey,'@x.org') END AS primary_email, concat('+1415555',lpad(cast(c_custkey AS varchar),4,'0')) AS phone, c_mktsegment AS region, cast(0.75 AS double) AS overall_confidence, CASE WHEN c_custkey%3=0 THEN 1 ELSE 0 END AS n_warnings FROM customer WHERE c_custkey<10000")
 def project_nested(spark, sf_dir):
     config = _config(OutputField("alias", "full_name", "string", True), OutputField("contact.primary_email", "emails[0]", "string", True), OutputField("contact.phone", "phones[0]", "string", False, "E164"), OutputField("region", "location.region", "string"))
     out = project.projected(simple_profiles(spark, sf_dir).where("group_id < 10000"), config, ("group_id",))
