@@ -116,8 +116,10 @@ def test_sketches():
     both = neardup.registers(np.concatenate([a, b]), np.array([0, 900]))
     assert (neardup.merge(one[0], one[1]) == both[0]).all()
     assert (neardup.from_bands(neardup.bands(one).ravel()) == one).all()
-    like = neardup.likelihoods(one[:1], both[:1], np.array([500.0]), np.array([900.0]))
-    assert abs(neardup._GRID[like[0].argmax()] - 500 / 900) < 0.2
+    c = rng.integers(0, 2**63, 900, dtype=np.uint64)
+    two = neardup.registers(np.concatenate([c[:600], c[300:]]), np.array([0, 600, 1200]))
+    like = neardup.likelihoods(two[:1], two[1:], np.array([600.0]), np.array([600.0]))
+    assert abs(neardup._GRID[like[0].argmax()] - 1 / 3) < 0.2
 
 
 def test_components(spark):
