@@ -132,6 +132,15 @@ def _linkedin(s: DataFrame) -> DataFrame:
     return s.select("source_pos", F.lit(0).alias("row_pos"), "source_id", "source_type", F.when(by_link, slug_record(link)).otherwise(linkedin_record(body)).alias("r"))
 
 
+def with_fixtures(sources: DataFrame, fixtures: DataFrame) -> DataFrame:
+    """sources whose LinkedIn link has a stored profile (slug, body) get that as their text; Spark picks the join by the fixtures' size."""
+    slug = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.col("text")), r"(?i)linkedin\.com/in/([^/?#\s]+)", 1))
+    own = fixtures.select(F.lower("slug").alias("__slug"), F.col("body").alias("__body")).dropDuplicates(["__slug"])
+    rows = sources.join(own, (slug == F.col("__slug")) & (F.col("source_type") == "linkedin_json"), "left")
+    found = F.col("__body").isNotNull()
+    return rows.withColumn("text", F.when(found, F.col("__body")).otherwise(F.col("text"))).withColumn("url", F.when(~found, F.col("url"))).drop("__slug", "__body")
+
+
 #: Extractors by source type; add one to read another type. Binary documents come as text: see kindred.sources.documents.
 EXTRACTORS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "recruiter_csv": csv_rows, "ats_json": _whole(ats_record), "linkedin_json": _linkedin, "resume_pdf": _whole(lambda t: resume_record(t, 0.7)),
