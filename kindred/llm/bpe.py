@@ -12,7 +12,6 @@ Null and empty texts have no tokens. Special tokens are not known: their strings
 from __future__ import annotations
 
 import base64
-import hashlib
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,7 +27,7 @@ from kindred.llm.common import prepare
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pieces whose ids a task remembers; when there are more it forgets all and begins again. Their longest form in bytes.
-REMEMBERED, SHORT = 400_000, 64
+REMEMBERED, SHORT = 300_000, 64
 #: Pieces of one replay; positions of a pair from which its merges are made at once.
 PIECES, MANY = 100_000, 48
 
@@ -44,11 +43,10 @@ class Vocabulary:
 
     def __init__(self, path: str):
         table = ranks(path)
-        self.tokens = [b""] * (max(table.values()) + 1)
+        many = max(table.values()) + 1
         #: The rank of the token that left << 17 | right join to.
         self.pairs: dict[int, int] = {}
         for token, k in table.items():
-            self.tokens[k] = token
             for cut in range(1, len(token)):
                 left, right = table.get(token[:cut]), table.get(token[cut:])
                 if left is not None and right is not None:
@@ -56,11 +54,11 @@ class Vocabulary:
         self.single = np.array([table[bytes([b])] for b in range(256)])
         self.of_bytes = np.array([[table.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)])
         keys, ranked = np.array(list(self.pairs), np.int64), np.array(list(self.pairs.values()), np.int64)
-        ends = np.arange(len(self.tokens) + 1)
+        ends = np.arange(many + 1)
         left, right = keys >> 17, keys & ((1 << 17) - 1)
         #: Pairs by their rank, by their left and by their right token: (where each token's begin, the other tokens, ranks or keys).
         self.by_rank, self.by_left, self.by_right = (self._sorted(by, ends, *more) for by, more in ((ranked, (keys, ranked)), (left, (right, ranked)), (right, (left, ranked))))
-        self.scratch = np.full(len(self.tokens), -1)
+        self.scratch = np.full(many, -1)
 
     @staticmethod
     def _sorted(by: np.ndarray, ends: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray]:
@@ -201,14 +199,18 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
-    """One for each Python worker."""
-    return Encoder(path)
+def tokens(path: str) -> list[bytes]:
+    """The bytes of each id."""
+    table = ranks(path)
+    by_id = [b""] * (max(table.values()) + 1)
+    for token, k in table.items():
+        by_id[k] = token
+    return by_id
 
 
 def decode(ids: bytes, path: str) -> bytes:
     """The bytes of token ids."""
-    by_id = vocabulary(path).tokens
+    by_id = tokens(path)
     return b"".join([by_id[k] for k in np.frombuffer(ids, "<u4").tolist()])
 
 
@@ -217,11 +219,12 @@ def encode_column(docs: DataFrame, text: str = "text", out: str = "ids", path: s
     prepare(docs.sparkSession)
     where = path or public_tokenizers.path(VOCABULARY)
 
-    @F.arrow_udf("binary")
-    def encoded(texts: pa.Array) -> pa.Array:
-        return pa.array(list(encoder(where)([t or "" for t in texts.to_pylist()])), pa.binary())
+    def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encode = Encoder(where)  # the task's own: what it remembers goes when the task ends
+        for texts in batches:
+            yield pa.array(list(encode([t or "" for t in texts.to_pylist()])), pa.binary())
 
-    return docs.withColumn(out, encoded(F.col(text)))
+    return docs.withColumn(out, F.arrow_udf(encoded, "binary")(F.col(text)))
 
 
 def decode_column(docs: DataFrame, ids: str = "ids", out: str = "decoded", path: str | None = None) -> DataFrame:
@@ -229,18 +232,14 @@ def decode_column(docs: DataFrame, ids: str = "ids", out: str = "decoded", path:
     prepare(docs.sparkSession)
     where = path or public_tokenizers.path(VOCABULARY)
 
-    @F.arrow_udf("binary")
-    def decoded(column: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else decode(x, where) for x in column.to_pylist()], pa.binary())
+    def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            yield pa.array([None if x is None else decode(x, where) for x in column.to_pylist()], pa.binary())
 
-    return docs.withColumn(out, decoded(F.col(ids)))
+    return docs.withColumn(out, F.arrow_udf(decoded, "binary")(F.col(ids)))
 
 
 def token_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """A row for each document: its number of tokens, a digest of its ids, and one of what they decode to."""
     both = decode_column(encode_column(docs.select(key, text), text, "ids", path), "ids", "decoded", path)
     return both.select(key, (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
-
-
-def digest(ids: bytes) -> str:
-    return hashlib.sha256(ids).hexdigest()

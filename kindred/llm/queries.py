@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import ann, bpe, langid, linedup, mixing, neardup, quality, secrets, shards, telephony
+from kindred.llm import ann, bpe, langid, linedup, mixing, neardup, oracles, quality, secrets, shards, telephony
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,4 +59,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_multi_index_hashing, op4_telephony, op5_byte_bpe, op6_language_id, op7_setsketch_near_dup, op8_mixing, op9_karmarkar_karp_shards, op10_quality)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": oracles.LINE_DEDUP, "op7_setsketch_near_dup": oracles.NEAR_DUPLICATES}
