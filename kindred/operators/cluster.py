@@ -7,6 +7,8 @@ before, which gives the same roots as links to all holders and stays linear for
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -25,6 +27,7 @@ def kept(df: DataFrame, name: str) -> DataFrame:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="kindred-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
