@@ -241,5 +241,15 @@ def decode_column(docs: DataFrame, ids: str = "ids", out: str = "decoded", path:
 
 def token_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """A row for each document: its number of tokens, a digest of its ids, and one of what they decode to."""
-    both = decode_column(encode_column(docs.select(key, text), text, "ids", path), "ids", "decoded", path)
-    return both.select(key, (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    prepare(docs.sparkSession)
+    where = path or public_tokenizers.path(VOCABULARY)
+    form = pa.struct([("ids", pa.binary()), ("decoded", pa.binary())])
+
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encode = Encoder(where)
+        for texts in batches:
+            ids = list(encode([t or "" for t in texts.to_pylist()]))
+            yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array([decode(x, where) for x in ids], pa.binary())], fields=list(form))
+
+    rows = docs.select(key, F.arrow_udf(both, "struct<ids:binary,decoded:binary>")(F.col(text)).alias("t"))
+    return rows.select(key, (F.length("t.ids") / 4).cast("long").alias("n_tokens"), F.sha2("t.ids", 256).alias("ids_sha256"), F.sha2("t.decoded", 256).alias("decoded_sha256"))

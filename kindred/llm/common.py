@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from kindred.llm.words import U64, mix64
 
 #: Bytes of text that one numpy step works on; a longer single text is a step of its own.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
 #: Bits of a key filter, whatever the number of keys.
 FILTER_BITS = 1 << 25
 

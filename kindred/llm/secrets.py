@@ -1,7 +1,7 @@
 """Secret scans by a trigram inverted index.
 
 Each rule is a regex with a Boolean trigram query that every match satisfies (`trigram_query` derives it from the regex).
-Texts are indexed in segments of about a megabyte: the postings of a trigram are the segment's rows whose ASCII-lowered bytes
+Texts are indexed in segments of about half a megabyte: the postings of a trigram are the segment's rows whose ASCII-lowered bytes
 hold it. A query's candidates are the and/or of postings; only they are verified by the regex. A rule without a mandatory
 trigram (a run of hex digits) scans each text fully. Segments lie in tasks, so the index needs no shuffle, and a trigram that
 is in very many documents is a bitmap in each segment rather than one long list.
