@@ -33,7 +33,7 @@ def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("low"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("low").alias("b"))
         links = materialize(small.where("a > b").distinct(), "small")
-        now = links.agg(F.count("a"), F.sum("a"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        now = links.agg(F.count("a"), F.sum(F.col("a").cast("decimal(38,0)")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break
         state = now

@@ -12,9 +12,11 @@ overlap from 128 parities, 256 for long lines (of the members by hash; sets diff
 of which lose no match. Pairs that are left are verified on the full sets. Common
 members are salted: the shorter side is split, the longer goes to every salt.
 
-A group of many lines that match each other isn't expanded into all pairs. Of each line and member the likeliest and the oldest
-candidates are tried first, which decides nearly all lines; lines that were left with untried candidates and without an earlier
-match have all their candidates tried in a second round, so every line is decided exactly.
+The report tells every link between lines of different words and the class that links and equal words put a line in, so there all
+candidates are verified. Where only removals are wanted, a group of many lines that match each other isn't expanded into all pairs:
+of each line and member the likeliest and the oldest candidates are tried first, which decides nearly all lines; lines that were
+left with untried candidates and without an earlier match have all their candidates tried in a second round, so every line is
+decided exactly.
 
 Null texts have no lines. Documents with a null key are left alone and match nothing. Rows that repeat a key and line are the
 same line, and are kept or removed together. Empty tables give empty results.
@@ -29,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kindred.llm import components
 from kindred.llm.common import KeyFilter, materialize, prepare, text_steps
 from kindred.llm.words import U64, mix64, words
 
@@ -204,11 +207,15 @@ def _rest(asking: KeyFilter):
     return lambda group: _candidates(group, asking)
 
 
-def _candidates(table: pa.Table, asking: KeyFilter | None) -> pa.Table:
+def _every(group: pa.Table) -> pa.Table:
+    return _candidates(group, None, every=True)
+
+
+def _candidates(table: pa.Table, asking: KeyFilter | None, every: bool = False) -> pa.Table:
     """Pairs of line keys of one group that pass the filters.
 
-    At first, of each line and member only the pairs with the likeliest and with the oldest lines, and for each line of which a
-    pair is left out a row without b. Later, all pairs of the lines that are asking.
+    With `every`, all of them. Else at first, of each line and member only the pairs with the likeliest and with the oldest lines,
+    and for each line of which a pair is left out a row without b. Later, all pairs of the lines that are asking.
     """
     token, key, bits, more, size, spot, when = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(name).combine_chunks()]) for name, kind in ENTRY.items())
     bits, long = bits.reshape(-1, 2), size > LONG
@@ -252,7 +259,7 @@ def _candidates(table: pa.Table, asking: KeyFilter | None) -> pa.Table:
             apart[k] = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) + np.bitwise_count(x ^ bits[i[k]] ^ y ^ bits[j[k]]).sum(1, dtype=np.int64)
             out = k[7 * ((both[k] - apart[k]) // 2) < 3 * both[k]]
             i, j, both, apart = (np.delete(x, out) for x in (i, j, both, apart))
-        if asks is None and len(i):
+        if asks is None and not every and len(i):
             late = (when[i] > when[j]) | ((when[i] == when[j]) & (key[i] > key[j]))
             later, older = np.where(late, i, j), np.where(late, j, i)
             tried = np.zeros(len(i), bool)
@@ -319,8 +326,11 @@ def _wanted_members(rarity: np.ndarray, asking: KeyFilter):
     return run
 
 
-def line_tables(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Documents (key, lines), lines (key, line, a, b), classes of equal lines (a, b, first, gone)."""
+def line_tables(docs: DataFrame, key: str = "doc_id", text: str = "text", every: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents (key, lines), lines (key, line, a, b), sets of equal lines (a, b, first, gone).
+
+    With `every`, these also have n (lines), links (to other sets) and root (first line that links and equal words reach).
+    """
     prepare(docs.sparkSession)
     plain = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where("key is not null and text is not null")
     parts = materialize(plain.mapInArrow(survey, PARTS), "lines")
@@ -333,20 +343,34 @@ def line_tables(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tup
     groups = int(max(8, total.sum() // GROUP))
     packed = "group long, " + ", ".join(f"{c} binary" for c in ENTRY)
     lines = parts.where("kind = 0").select("key", F.inline(F.arrays_zip(F.col("a").alias("line"), F.col("b").alias("a"), F.col("c").alias("b"))))
-    classes = materialize(lines.groupBy("a", "b").agg(F.min(F.struct("key", "line")).alias("first")), "classes")
+    classes = materialize(lines.groupBy("a", "b").agg(F.min(F.struct("key", "line")).alias("first"), F.count("*").alias("n")), "classes")
     firsts = classes.groupBy("a").agg(F.min("first").alias("first"))
 
-    def matched(pairs: DataFrame, name: str) -> DataFrame:
-        """(id, other): lines that match an earlier one, and the first place of the earliest of these."""
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """(a, b, first_a, first_b): the pairs that match, and their first places."""
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         sets = plain.mapInArrow(_fetch(KeyFilter(wanted)), "id long, members binary").join(wanted, "id", "left_semi").groupBy("id").agg(F.first("members").alias("members"))
         sets = materialize(sets.join(firsts.withColumnRenamed("a", "id"), "id"), f"{name}-sets")
         side = lambda k: sets.select(F.col("id").alias(k), F.col("members").alias(f"m_{k}"), F.col("first").alias(f"first_{k}"))
-        links = pairs.join(side("a"), "a").join(side("b"), "b").where(F.arrow_udf(matches, "boolean")("m_a", "m_b"))
+        return pairs.join(side("a"), "a").join(side("b"), "b").where(F.arrow_udf(matches, "boolean")("m_a", "m_b")).select("a", "b", "first_a", "first_b")
+
+    def matched(pairs: DataFrame, name: str) -> DataFrame:
+        """(id, other): lines that match an earlier one, and the first place of the earliest of these."""
         late = F.col("first_a") > F.col("first_b")
-        ends = links.select(F.when(late, F.col("a")).otherwise(F.col("b")).alias("id"), F.least("first_a", "first_b").alias("other")).where(F.col("first_a") != F.col("first_b"))
+        ends = verified(pairs, name).where(F.col("first_a") != F.col("first_b")).select(F.when(late, F.col("a")).otherwise(F.col("b")).alias("id"), F.least("first_a", "first_b").alias("other"))
         return materialize(ends.groupBy("id").agg(F.min("other").alias("other")), f"{name}-matched")
 
+    if every:
+        pairs = materialize(plain.mapInArrow(_prefixes(rarity, salts, groups), packed).groupBy("group").applyInArrow(_every, "a long, b long").distinct(), "pairs")
+        links = materialize(verified(pairs, "every"), "links")
+        ends = links.select("a", F.col("first_b").alias("other")).unionByName(links.select(F.col("b").alias("a"), F.col("first_a").alias("other")))
+        roots = materialize(components.components(links.select("a", "b")).join(firsts.withColumnRenamed("a", "id"), "id"), "roots")
+        least = roots.groupBy("root").agg(F.min("first").alias("place"))
+        roots = roots.join(least, "root").select(F.col("id").alias("a"), "place")
+        told = classes.join(ends.groupBy("a").agg(F.min("other").alias("other"), F.count("*").alias("links")), "a", "left").join(roots, "a", "left")
+        told = told.select("a", "b", "first", F.coalesce(F.col("other") < F.col("first"), F.lit(False)).alias("gone"), "n", F.coalesce("links", F.lit(0).cast("long")).alias("links"), F.coalesce("place", "first").alias("root"))
+        return parts.where("kind = 0").select("key", "lines"), lines, materialize(told, "told")
+
     found = plain.mapInArrow(_prefixes(rarity, salts, groups), packed).groupBy("group").applyInArrow(_first, "a long, b long")
     found = materialize(found.distinct(), "pairs")
     gone = matched(found.where("b is not null"), "first")
@@ -377,11 +401,23 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 
 def line_report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each document: key, n_lines, n_removed, n_near, removed (line numbers, comma-joined)."""
-    told = removed_lines(docs, key, text).withColumnRenamed("key", "__key")
-    zero = F.lit(0).cast("long")
-    rows = docs.select(key).join(told, F.col(key).cast("long") == F.col("__key"), "left")
-    return rows.select(key, *[F.coalesce(c, zero).alias(c) for c in ("n_lines", "n_removed", "n_near")], F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed"))
+    """A row for each document: key, n_lines, n_removed, n_near, n_links, removed, class_ids.
+
+    n_links: links of its lines to sets of lines with other words. removed: line numbers, comma-joined. class_ids: line=key:line of
+    each line that equals or matches another, comma-joined; the second half is the earliest line of the class.
+    """
+    rows, lines, sets = line_tables(docs, key, text, every=True)
+    marked = lines.join(sets, ["a", "b"]).withColumn("out", F.col("gone") | (F.struct("key", "line") != F.col("first")))
+    told = F.struct("line", F.concat_ws(":", "root.key", "root.line").alias("root"))
+    own = marked.groupBy("key").agg(
+        F.count_if("gone").alias("n_near"), F.sum("links").alias("n_links"), F.array_sort(F.collect_set(F.when(F.col("out"), F.col("line")))).alias("removed"),
+        F.array_sort(F.collect_set(F.when((F.col("n") > 1) | (F.col("links") > 0), told))).alias("classes"),
+    )
+    own = rows.groupBy("key").agg(F.max("lines").cast("long").alias("n_lines")).join(own, "key", "left").withColumn("n_removed", F.size(F.coalesce("removed", F.array().cast("array<bigint>"))).cast("long"))
+    zero, blank = F.lit(0).cast("long"), F.lit("")
+    rows = docs.select(key).join(own.withColumnRenamed("key", "__key"), F.col(key).cast("long") == F.col("__key"), "left")
+    classes = F.array_join(F.transform("classes", lambda x: F.concat_ws("=", x["line"], x["root"])), ",")
+    return rows.select(key, *[F.coalesce(c, zero).alias(c) for c in ("n_lines", "n_removed", "n_near", "n_links")], F.coalesce(F.array_join("removed", ","), blank).alias("removed"), F.coalesce(classes, blank).alias("class_ids"))
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str | None = "n_chars") -> DataFrame:

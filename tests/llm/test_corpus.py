@@ -318,3 +318,41 @@ def test_a_large_group_of_near_lines(spark):
     want = line_matches(rows)
     for r in linedup.line_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect():
         assert r.removed == ",".join(map(str, sorted(want[r.doc_id])))
+
+
+def test_links_and_classes_of_near_lines(spark):
+    """Every pair of near lines of a group counts, and each line has the earliest line of its class."""
+    rng = random.Random(5)
+    base, rows = [f"w{k}" for k in range(40)], []
+    for k in range(120):
+        words = list(base)
+        for _ in range(rng.randrange(9)):
+            words[rng.randrange(40)] = f"v{rng.randrange(10**6)}"
+        rows.append((k * 7 % 120, f"{' '.join(words)}\n{' '.join(f'u{rng.randrange(10**6)}' for _ in range(12))}\nalpha beta gamma delta row {k // 2}"))
+    bags = {}
+    for key, text in sorted(rows):
+        for k, line in enumerate(text.split("\n")):
+            bags.setdefault(tuple(sorted(line.split())), []).append((key, k))
+    sets = [(collections.Counter(b), places) for b, places in bags.items()]
+    near = collections.defaultdict(set)
+    for x, (p, _) in enumerate(sets):
+        for y, (q, _) in enumerate(sets[:x]):
+            shared = (p & q).total()
+            if 4 * shared >= 3 * (p.total() + q.total() - shared):
+                near[x].add(y)
+                near[y].add(x)
+    links, told = collections.Counter(), collections.defaultdict(list)
+    for x, (_, places) in enumerate(sets):
+        reached, todo = {x}, [x]
+        while todo:
+            new = near[todo.pop()] - reached
+            reached |= new
+            todo += new
+        first = min(place for y in reached for place in sets[y][1])
+        for key, k in places:
+            links[key] += len(near[x])
+            if near[x] or len(places) > 1:
+                told[key].append((k, f"{k}={first[0]}:{first[1]}"))
+    assert max(links.values()) > 60
+    for r in linedup.line_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect():
+        assert (r.n_links, r.class_ids) == (links[r.doc_id], ",".join(x for _, x in sorted(told[r.doc_id])))
