@@ -424,10 +424,11 @@ def simple_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     k = F.col("c_custkey")
     none = F.lit(None).cast("string")
+    n = F.lpad((F.lit(4155550000) + k).cast("string"), 10, "0")  # (415) 555-0000 and on: ten digits for every key
     return c.select(
         k.alias("group_id"), F.concat(F.lit("id"), k.cast("string")).alias("candidate_id"), F.col("c_name").alias("full_name"),
         F.when(k % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("c"), k.cast("string"), F.lit("@x.org")))).alias("emails"),
-        F.array(F.concat(F.lit("(415) 555-"), F.lpad(k.cast("string"), 4, "0"))).alias("phones"),
+        F.array(F.concat(F.lit("("), F.substring(n, 1, 3), F.lit(") "), F.substring(n, 4, 3), F.lit("-"), F.substring(n, 7, 4))).alias("phones"),
         F.struct(none.alias("city"), F.col("c_mktsegment").alias("region"), F.lit("US").alias("country")).alias("location"), F.when(k % 2 == 0, F.col("c_acctbal")).alias("years_experience"),
         F.array(F.struct(F.lit("Go").alias("name"), F.lit(0.5).alias("confidence"), F.array(F.lit("s")).alias("sources"))).alias("skills"),
         F.array(F.struct(F.lit("direct").alias("method"))).alias("provenance"), F.lit(0.75).alias("overall_confidence"),
@@ -441,7 +442,7 @@ def _config(*fields: OutputField, **more) -> OutputConfig:
 @query("SELECT c_custkey AS group_id, c_name AS alias, CASE WHEN c_custkey%3<>0 THEN concat('c',c_custkey,'@x.org') END AS primary_email, concat('+1415555',lpad(cast(c_custkey AS varchar),4,'0')) AS phone, c_mktsegment AS region, cast(0.75 AS double) AS overall_confidence, CASE WHEN c_custkey%3=0 THEN 1 ELSE 0 END AS n_warnings FROM customer WHERE c_custkey<10000")
 def project_nested(spark, sf_dir):
     config = _config(OutputField("alias", "full_name", "string", True), OutputField("contact.primary_email", "emails[0]", "string", True), OutputField("contact.phone", "phones[0]", "string", False, "E164"), OutputField("region", "location.region", "string"))
-    out = project.projected(simple_profiles(spark, sf_dir).where("group_id < 10000"), config, ("group_id",))
+    out = project.projected(simple_profiles(spark, sf_dir), config, ("group_id",))
     return out.select("group_id", "alias", "contact.primary_email", "contact.phone", "region", "overall_confidence", F.size("warnings").alias("n_warnings"))
 
 
