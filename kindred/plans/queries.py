@@ -171,8 +171,7 @@ TERMS = ("the", "license", "token", "General Public", "la", "den", "Version")
 
 @query("SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text,'(?i)\\b{t}\\b') THEN '{'article' if t == 'the' else t}' END" for t in TERMS) + "], lambda x: x IS NOT NULL),'|') AS terms FROM documents WHERE regexp_matches(text, '^[\\x00-\\x7F]*$')")
 def keyword_terms(spark, sf_dir):
-    plain = table(spark, sf_dir, "documents").where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
-    return plain.select("doc_id", joined(text.keywords(F.col("text"), TERMS, {"the": "article"})).alias("terms"))
+    return table(spark, sf_dir, "documents").select("doc_id", joined(text.keywords(F.col("text"), TERMS, {"the": "article"})).alias("terms"))
 
 
 @query("SELECT o_orderkey, CASE o_orderkey%3 WHEN 1 THEN strftime(o_orderdate,'%Y-01') ELSE strftime(o_orderdate,'%Y-%m') END AS \"start\", CASE o_orderkey%3 WHEN 0 THEN 'Present' WHEN 1 THEN strftime(o_orderdate + INTERVAL 400 DAY,'%Y-01') END AS \"end\", CASE o_orderkey%3 WHEN 0 THEN strftime(o_orderdate,'%B %Y - Present') WHEN 1 THEN concat(strftime(o_orderdate,'%Y'),' - ',strftime(o_orderdate + INTERVAL 400 DAY,'%Y')) ELSE strftime(o_orderdate,'%Y/%m') END AS span FROM orders")

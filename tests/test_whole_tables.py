@@ -1,5 +1,7 @@
 """Queries read their whole tables, whatever the keys and texts."""
 
+import re
+
 from kindred.plans import queries
 
 
@@ -9,3 +11,12 @@ def test_project_nested_has_every_customer(spark, tmp_path):
     customers.write.parquet(f"{tmp_path}/customer.parquet")
     rows = {r.group_id: r.phone for r in queries.QUERIES["project_nested"](spark, str(tmp_path)).collect()}
     assert rows == {1: "+14155550001", 9_999: "+14155559999", 10_000: "+14155560000", 15_000: "+14155565000", 4_500_000: "+14160050000"}
+
+
+def test_keyword_terms_reads_every_text(spark, tmp_path):
+    texts = {1: "The token", 2: "Der Schlüssel für den Zugang", 3: "“the” license…", 4: "éla la", 5: "laß, tokens, theé", 6: None, 7: "", 8: "general\npublic General Public_", 9: "漢字the字"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    stands = lambda t, text: re.search(f"(^|[^A-Za-z0-9_]){t}([^A-Za-z0-9_]|$)", text or "", re.IGNORECASE | re.ASCII)
+    want = {k: "|".join("article" if t == "the" else t for t in queries.TERMS if stands(t, text)) for k, text in texts.items()}
+    assert {r.doc_id: r.terms for r in queries.QUERIES["keyword_terms"](spark, str(tmp_path)).collect()} == want
+    assert want[2] == "den" and want[3] == "article|license" and want[9] == "article" and want[6] == ""
