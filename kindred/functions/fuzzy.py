@@ -87,6 +87,23 @@ def close_names(a: Column, b: Column) -> Column:
     return F.pandas_udf(run, "boolean")(a, b)
 
 
+def pieces(pattern: Column) -> Column:
+    """The first three letters of each of k + 1 pieces of a name, whose first 32 letters can have k errors within NAME_LIMIT.
+
+    k errors leave one of the pieces unchanged, so a name that close_names finds in another has one of these among the other's grams.
+    """
+    size = F.least(F.length(pattern), F.lit(32))
+    parts = F.floor(size * NAME_LIMIT + 1e-9).cast("int") + 1
+    start = lambda k: F.floor(k * size / parts).cast("int")
+    return F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.substring(pattern, start(k) + 1, F.least(start(k + 1) - start(k), F.lit(3))))
+
+
+def grams(text: Column) -> Column:
+    """All parts of a name of one to three letters."""
+    at = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
+    return F.array_distinct(F.flatten(F.transform(at, lambda k: F.array(*[F.substring(text, k, F.lit(n)) for n in (1, 2, 3)]))))
+
+
 def shared_words(a: Column, b: Column) -> Column:
     """How many words of a are in b, as a double; an initial and a word that it begins count one half."""
     half = lambda w: F.exists(b, lambda v: ((F.length(w) == 1) & v.startswith(w)) | ((F.length(v) == 1) & w.startswith(v)))

@@ -104,11 +104,12 @@ def close_name_links(records: DataFrame) -> DataFrame:
         F.array_compact(F.array(*[F.concat(F.lit(f"{k}:"), trimmed(F.lower(F.col("location")[k]))) for k in ("city", "region", "country")])),
         F.transform(F.array_distinct(skills), lambda s: F.concat(F.lit("skill:"), s)),
     )
-    # Close names share the first letter of a word, or are alike as wholes: then their lengths and first or last letters are.
-    letters = F.array_distinct(F.transform("words", lambda w: F.substring(w, 1, 1)))
-    dealt = people.select("rec_ord", F.explode(F.array_distinct(keys)).alias("key"), letters.alias("letters")).where("not key rlike ':$'").select("rec_ord", "key", F.explode("letters").alias("letter"))
-    a, b = dealt.select("key", "letter", F.col("rec_ord").alias("later")), dealt.select("key", "letter", F.col("rec_ord").alias("earlier"))
-    pairs = a.join(b, ["key", "letter"]).where("later > earlier").select("later", "earlier").distinct()
+    # Names with enough words in common share the first letter of a word. If they are alike as wholes, a piece of the later one is in the earlier one.
+    letters = F.transform("words", lambda w: F.concat(F.lit("letter:"), F.substring(w, 1, 1)))
+    name = F.array_join("words", " ")
+    held = people.select("rec_ord", F.explode(F.array_distinct(keys)).alias("key"), letters.alias("letters"), fuzzy.pieces(name).alias("pieces"), fuzzy.grams(name).alias("grams")).where("not key rlike ':$'")
+    deal = lambda part, place: held.select("key", F.col("rec_ord").alias(place), F.explode(F.array_union("letters", part)).alias("part"))
+    pairs = deal("pieces", "later").join(deal("grams", "earlier"), ["key", "part"]).where("later > earlier").select("later", "earlier").distinct()
     own = people.select("rec_ord", "words", "companies", "location", "skills")
     full = pairs.join(own.select(F.col("rec_ord").alias("later"), *[F.col(c).alias(f"{c}_a") for c in own.columns[1:]]), "later")
     full = full.join(own.select(F.col("rec_ord").alias("earlier"), *[F.col(c).alias(f"{c}_b") for c in own.columns[1:]]), "earlier")
