@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
+from inspect import isgeneratorfunction, signature
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +20,9 @@ from kindred.llm.words import U64, mix64
 
 #: Bytes of text that one numpy step works on; a longer single text is a step of its own.
 STEP_BYTES = 1 << 19
-#: Bits of a key filter, whatever the number of keys.
-FILTER_BITS = 1 << 25
+#: Bits of the largest key filter: a broadcast of 32 MB.
+FILTER_MOST = 1 << 28
+_LIBC = ctypes.CDLL(None)
 
 
 def prepare(spark: SparkSession) -> None:
@@ -48,6 +52,36 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Returns what numpy and Arrow have freed to the system. Python workers outlive their tasks, and an executor has several."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+def frugal(function: Callable) -> Callable:
+    """The function of a Python task, which gives freed memory back when it is done; for an Arrow function of columns, after each batch."""
+    if isgeneratorfunction(function):
+
+        @wraps(function)
+        def run(*columns):
+            try:
+                yield from function(*columns)
+            finally:
+                give_back()
+    else:
+
+        @wraps(function)
+        def run(*columns):
+            try:
+                return function(*columns)
+            finally:
+                give_back()
+
+    run.__signature__ = signature(function)  # Spark counts the arguments
+    return run
+
+
 def sample(df: DataFrame, key: str, most: int) -> DataFrame:
     """At most `most` rows of df: those with the least hashes of their key. A count and a bound on the hash come first, so tasks
     send few rows more than are wanted, however many tasks there are."""
@@ -77,32 +111,42 @@ def text_steps(texts: pa.Array, step: int = STEP_BYTES) -> Iterator[tuple[int, i
         lo = hi
 
 
-def _filter_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keys -> the 64-bit words of the filter that the task's keys set."""
-    total = np.zeros(FILTER_BITS // 64, U64)
-    for batch in batches:
-        for spots in _spots(batch.column(0).to_numpy()):
-            np.bitwise_or.at(total, (spots >> U64(6)).astype(np.int64), U64(1) << (spots & U64(63)))
-    some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some].view(np.int64))], ["word", "bits"])
+def _filter_words(size: int):
+    """Keys -> the 64-bit words of the filter of `size` bits that the task's keys set."""
+
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size // 64, U64)
+        for batch in batches:
+            for spots in _spots(batch.column(0).to_numpy(), size):
+                np.bitwise_or.at(total, (spots >> U64(6)).astype(np.int64), U64(1) << (spots & U64(63)))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some].view(np.int64))], ["word", "bits"])
+
+    return run
 
 
-def _spots(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _spots(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     mixed = mix64(keys.astype(np.int64, copy=False).view(U64))
-    return mixed & U64(FILTER_BITS - 1), (mixed >> U64(32)) & U64(FILTER_BITS - 1)
+    return mixed & U64(size - 1), (mixed >> U64(32)) & U64(size - 1)
 
 
 class KeyFilter:
-    """A filter of fixed size: holds every key of a table, and some others. It saves work and never decides."""
+    """Holds every key of a table, and some others: one in sixty up to FILTER_MOST / 16 keys, beyond that more. It saves work before a
+    join and never decides."""
 
     def __init__(self, keys: DataFrame):
-        """keys: one column of longs without nulls. The driver gets FILTER_BITS / 64 numbers at most."""
-        told = keys.mapInArrow(_filter_words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-        held = np.zeros(FILTER_BITS // 64, np.int64)
+        """keys: one column of longs without nulls. The driver gets FILTER_MOST / 64 numbers at most."""
+        self.size = 1 << 16
+        wanted = 16 * keys.count()
+        while self.size < min(wanted, FILTER_MOST):
+            self.size *= 2
+        told = keys.mapInArrow(_filter_words(self.size), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+        held = np.zeros(self.size // 64, np.int64)
         held[told.column("word").to_numpy()] = told.column("bits").to_numpy()
         self.bits = held.view(np.uint8)
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
-        first, second = _spots(keys)
+        first, second = _spots(keys, self.size)
         look = lambda spots: (self.bits[spots >> U64(3)] >> (spots & U64(7)).astype(np.uint8)) & 1
         return (look(first) & look(second)).astype(bool)

@@ -8,10 +8,11 @@ similarity of 0.75 all 24 bands differ with probability 2e-6. A pair's similarit
 maximum likelihood, given the sets' sizes, and a pair for which 0.75 is out of question is dropped (its log-likelihood lies
 REJECT below the best, about six standard deviations). All others are verified on the full sets.
 
-Groups of any size stay linear. Equal sets count once. In a bucket each set is linked to two pivots that vary by bucket, never
-to all others. Their verified links give components; only buckets that still hold several components are looked at again, and
-there only sets outside the bucket's main component meet the others, in blocks of bounded size, in which links already implied
-are left out. So every pair that shares a band is decided, and no link between different components is lost.
+Groups of any size stay linear. Equal sets count once. In a bucket each set meets the one with the least key, never all others;
+as that order is the same in all buckets, a set of a large group meets few others. Their verified links give components. Only
+buckets that still hold several components are looked at again, and there only sets outside the bucket's main component meet the
+others, in blocks of bounded size, in which links already implied are left out. So every pair that shares a band is decided, and
+no link between different components is lost.
 
 Rows with a null key or without words are linked with nothing and kept. Rows that repeat a key and text are one set; all such
 rows get the same component, and all are kept if their key is the component's smallest.
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import KeyFilter, materialize, prepare, text_steps
+from kindred.llm.common import KeyFilter, frugal, materialize, prepare, text_steps
 from kindred.llm.components import components
 from kindred.llm.words import U64, mix64, numbers, words
 
@@ -144,6 +145,7 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * shared >= 75 * (len(x) + len(y) - shared)
 
 
+@frugal
 def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """key, text -> key, size, two halves of a hash of the set, band keys."""
     for batch in batches:
@@ -162,6 +164,7 @@ def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _full_sets(wanted: KeyFilter):
     """key, text -> key and sorted set of the keys that may be wanted."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key = batch.column(0)
@@ -179,6 +182,7 @@ def _sets(col: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), U64) for x in col]
 
 
+@frugal
 def plausible(bands_a: pa.Array, bands_b: pa.Array, size_a: pa.Array, size_b: pa.Array) -> pa.Array:
     """Of each pair, whether its registers and sizes leave a link possible."""
     if not len(size_a):
@@ -186,6 +190,7 @@ def plausible(bands_a: pa.Array, bands_b: pa.Array, size_a: pa.Array, size_b: pa
     return pa.array(possible(from_bands(bands_a.flatten().to_numpy()), from_bands(bands_b.flatten().to_numpy()), size_a.to_numpy(), size_b.to_numpy()))
 
 
+@frugal
 def verified(set_a: pa.Array, set_b: pa.Array) -> pa.Array:
     """Of each pair, whether it is a link."""
     return pa.array([linked(a, b) for a, b in zip(_sets(set_a), _sets(set_b), strict=True)], pa.bool_())
@@ -196,6 +201,7 @@ def _sides(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if (side < 2).any() else (np.arange(len(side)),) * 2
 
 
+@frugal
 def cell_survivors(table: pa.Table) -> pa.Table:
     """Rows of a cell that could link to another component, by a pair whose first common band is the cell's."""
     side, comp, n = (table.column(c).to_numpy() for c in ("side", "comp", "n"))
@@ -215,6 +221,7 @@ def cell_survivors(table: pa.Table) -> pa.Table:
     return table.filter(pa.array(lives)).select(["band", "kind", "x", "y", "side", "comp", "id", "n", "bands"])
 
 
+@frugal
 def cell_links(table: pa.Table) -> pa.Table:
     """Links between components that the full sets of a cell give; those that others imply are left out."""
     side, comp, n = (table.column(c).to_numpy() for c in ("side", "comp", "n"))
@@ -255,22 +262,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         return materialize(found.groupBy("id").agg(F.min("members").alias("members")), name)
 
     bucket = unique.select("rep", F.explode("bands").alias("band"))
-    # Two pivots of each bucket: the sets with the least hash, under two hashes that also depend on the bucket.
-    spot = lambda salt: F.struct(F.xxhash64("band", "rep", F.lit(salt)).alias("h"), "rep")
-    pivots = bucket.groupBy("band").agg(F.count("rep").alias("n"), F.min(spot(1))["rep"].alias("p"), F.min(spot(2))["rep"].alias("q")).where("n > 1")
+    pivots = bucket.groupBy("band").agg(F.count("rep").alias("n"), F.min("rep").alias("p")).where("n > 1")
     shared = materialize(bucket.join(pivots, "band"), "buckets")
-    pairs = shared.select("rep", F.explode(F.array_distinct(F.array("p", "q"))).alias("other")).where("rep != other")
-    pairs = pairs.select(F.greatest("rep", "other").alias("a"), F.least("rep", "other").alias("b")).distinct()
     own = lambda side: unique.select(F.col("rep").alias(side), F.col("bands").alias(f"bands_{side}"), F.col("n").alias(f"n_{side}"))
-    pairs = pairs.join(own("a"), "a").join(own("b"), "b").where(F.arrow_udf(plausible, "boolean")("bands_a", "bands_b", "n_a", "n_b"))
-    pairs = materialize(pairs.select("a", "b"), "pairs")
-    sets = with_sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "members")
-    members = lambda side: sets.select(F.col("id").alias(side), F.col("members").alias(f"m_{side}"))
-    links = pairs.join(members("a"), "a").join(members("b"), "b").where(F.arrow_udf(verified, "boolean")("m_a", "m_b")).select("a", "b")
-    first = materialize(components(links), "first")
-
-    # Buckets of which the pivots' pairs don't say all.
-    placed = shared.where("n > 3 or (n = 3 and p = q)").select("band", "rep").join(first.withColumnRenamed("id", "rep"), "rep", "left").select("band", "rep", F.coalesce("root", "rep").alias("comp"))
+
+    def linked_pairs(pairs: DataFrame) -> DataFrame:
+        """Which of the pairs (rep, p) are links, as (a, b)."""
+        pairs = pairs.select(F.greatest("rep", "p").alias("a"), F.least("rep", "p").alias("b")).distinct()
+        pairs = pairs.join(own("a"), "a").join(own("b"), "b").where(F.arrow_udf(plausible, "boolean")("bands_a", "bands_b", "n_a", "n_b"))
+        pairs = materialize(pairs.select("a", "b"), "pairs")
+        sets = with_sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "members")
+        members = lambda side: sets.select(F.col("id").alias(side), F.col("members").alias(f"m_{side}"))
+        return pairs.join(members("a"), "a").join(members("b"), "b").where(F.arrow_udf(verified, "boolean")("m_a", "m_b")).select("a", "b")
+
+    # Each set meets its bucket's least.
+    first = materialize(components(linked_pairs(shared.where("rep != p").select("rep", "p"))), "first")
+    # Buckets of which these pairs don't say all: those that hold several components, `main` the largest.
+    placed = shared.where("n > 2").select("band", "rep").join(first.withColumnRenamed("id", "rep"), "rep", "left").select("band", "rep", F.coalesce("root", "rep").alias("comp"))
     parts = placed.groupBy("band", "comp").agg(F.count("rep").alias("n"))
     mixed = parts.groupBy("band").agg(F.count("comp").alias("parts"), F.max(F.struct("n", "comp"))["comp"].alias("main"), F.max("n").alias("most"), F.sum("n").alias("all")).where("parts > 1")
     mixed = mixed.select("band", "main", F.ceil(F.col("most") / BLOCK).alias("blocks"), F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("rests"))

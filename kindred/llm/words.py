@@ -46,7 +46,7 @@ def powers(base: int, n: int) -> np.ndarray:
         have = np.full(max(n, 1 << 16), base, U64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        if len(have) <= 1 << 22:
+        if len(have) <= 1 << 20:
             _powers[base] = have
     return have[:n]
 
