@@ -1,16 +1,22 @@
 """Line deduplication by an exact set-similarity join.
 
-A line's set holds its words (A-Z as a-z), a word that comes k times as k members. Lines of LEAST words or more whose sets have a
-Jaccard similarity of 3/4 or more match; a line that matches an earlier one (by key, then line number) is removed, whether or
-not that one stays. Shorter lines are left alone.
+A line's set holds its words (A-Z as a-z), a word that comes k times as k members. Lines of LEAST_WORDS words or more, or of
+LEAST_BYTES bytes besides white space, whose sets have a Jaccard similarity of 3/4 or more match; a line that matches an earlier
+one (by key, then line number) is removed, whether or not that one stays. Shorter lines are left alone: they repeat in clean
+texts by chance. The second measure takes in lines of scripts without spaces and long lines of few words.
 
 Equal sets are found by a 128-bit hash of the set. For the rest, members are ordered by rarity: by the count, over all
-documents, of their hash's bucket (a table of 2**16 sums, whatever the corpus), then by hash. A pair that matches shares a member
+documents, of their word's bucket (a table of RARITY sums, whatever the corpus), then by hash. A pair that matches shares a member
 among the first n - ceil(3n/4) + 1 of the longer line and the first m - ceil(6m/7) + 1 of the shorter, so only these prefixes are
 dealt out, by member, packed as arrays. There a pair must pass the length filter, the positional filter and a bound on the
 overlap from 128 parities, 256 for long lines (of the members by hash; sets differ in as many members at least as parities), all
-of which lose no match. Pairs that are left are verified on the full sets. Common
-members are salted: the shorter side is split, the longer goes to every salt.
+of which lose no match. Members that very many prefixes hold, as counted over all documents, are dealt out in blocks that meet
+two by two, so no group of prefixes is large.
+
+What passes are lists of partners, a row for each line of a group. These candidates' components are dealt into cells of bounded
+size, to which each line's full set goes once (and in components larger than a cell once for each other block). A cell verifies
+its candidates and tells of each line the number of its links, its earliest partner and a link towards its class; so pairs are
+never rows.
 
 The report tells every link between lines of different words and the class that links and equal words put a line in, so there all
 candidates are verified. Where only removals are wanted, a group of many lines that match each other isn't expanded into all pairs:
@@ -18,8 +24,9 @@ of each line and member the likeliest and the oldest candidates are tried first,
 left with untried candidates and without an earlier match have all their candidates tried in a second round, so every line is
 decided exactly.
 
-Null texts have no lines. Documents with a null key are left alone and match nothing. Rows that repeat a key and line are the
-same line, and are kept or removed together. Empty tables give empty results.
+Null and empty texts have no lines that are looked at. Very long texts and lines are handled whole, a text at a time. Documents
+with a null key are left alone and match nothing. Rows that repeat a key and line are the same line, and are kept or removed
+together; ties don't arise, as key and number order all lines. Empty tables give empty results; other columns take no part.
 """
 
 from __future__ import annotations
@@ -32,31 +39,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm import components
-from kindred.llm.common import KeyFilter, materialize, prepare, text_steps
+from kindred.llm.common import KeyFilter, frugal, materialize, prepare, text_steps
 from kindred.llm.words import U64, mix64, words
 
-#: Words of the shortest line that is looked at.
-LEAST = 5
-#: Buckets of the table of counts.
-COUNTS = 1 << 16
-#: Members of a salt, and of a group of prefixes, that are aimed at.
-SALT, GROUP = 2_000_000, 2_000_000
+#: A line is looked at if it has so many words, or so many bytes besides white space.
+LEAST_WORDS, LEAST_BYTES = 5, 16
+#: Buckets of the table of words' counts, and of the table of prefixes' counts; tables are added up in parts.
+RARITY, HELD, PART = 1 << 18, 1 << 16, 1 << 12
+#: Prefix members of a block of a hot member, and of a group of prefixes, that are aimed at; the least number of groups.
+BLOCK, GROUP, GROUPS = 100_000, 1_000_000, 64
+#: Lines of a cell in which candidates are verified.
+CELL = 2048
 #: Prefix members that a task packs at once; pairs that numpy looks at together.
 PACK, STEP = 1 << 18, 1 << 18
 #: Words from which a line has 256 parities instead of 128.
 LONG = 110
 _ODD = U64(0x9E3779B97F4A7C15)
-#: What is dealt out of a member of a prefix, packed.
-ENTRY = {"token": np.uint32, "key": np.int64, "bits": U64, "more": U64, "size": np.uint32, "spot": np.uint32, "when": np.uint32}
+#: What is dealt out of a member of a prefix, packed: plain numbers, and counts in as few bytes as the largest needs.
+PLAIN = {"token": np.uint32, "key": np.int64, "bits": U64, "more": U64, "when": np.uint32}
+SHORT = ("size", "spot", "mark")
 #: Candidates of a line and member that are tried first: so many by likeness, and so many by age.
 FIRST = 2
 
 
 class Lines:
-    """The lines of texts with LEAST words or more: their text, number, and words (as hashes, a line's together)."""
+    """The lines of texts that are looked at: their text, number, and words (as hashes, a line's together)."""
 
     def __init__(self, data: np.ndarray, bounds: np.ndarray):
-        starts, _, hashes, _ = words(data, bounds)
+        starts, ends, hashes, _ = words(data, bounds)
         feed = data == 10
         # A line's number is the count of line feeds before it in its text. Empty lines that begin where another does have no words.
         begin = np.unique(np.concatenate([bounds[:-1], np.flatnonzero(feed) + 1]))
@@ -64,7 +74,8 @@ class Lines:
         self.per_text = feeds[bounds[1:]] - feeds[bounds[:-1]] + 1
         at = np.searchsorted(starts, begin)
         count = np.diff(np.append(at, len(starts)))
-        own = count >= LEAST
+        solid = np.concatenate([[0], np.cumsum(ends - starts)])
+        own = (count > 0) & ((count >= LEAST_WORDS) | (solid[at + count] - solid[at] >= LEAST_BYTES))
         self.word = hashes[np.repeat(own, count)]
         begin, self.count = begin[own], count[own]
         self.text = np.searchsorted(bounds, begin, "right") - 1
@@ -88,11 +99,11 @@ class Lines:
         part.line = np.repeat(np.arange(len(part.count)), part.count)
         return part
 
-    def members(self, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Members line by line, the rarest first, and their words' buckets. A word's second occurrence is another member than its first."""
-        bucket = (self.word >> U64(48)).astype(np.int64)
-        if len(self.count) < 1 << 18:
-            order = np.argsort((self.line.astype(U64) << U64(46)) | (rarity[bucket] << U64(30)) | (self.word & U64((1 << 30) - 1)))
+    def members(self, rarity: np.ndarray) -> np.ndarray:
+        """Members line by line, the rarest first. A word's second occurrence is another member than its first."""
+        bucket = (self.word >> U64(46)).astype(np.int64)
+        if len(self.count) < 1 << 16:
+            order = np.argsort((self.line.astype(U64) << U64(48)) | (rarity[bucket] << U64(30)) | (self.word & U64((1 << 30) - 1)))
         else:
             order = np.lexsort((self.word & U64((1 << 30) - 1), rarity[bucket], self.line))
         word = self.word[order]
@@ -100,29 +111,86 @@ class Lines:
         new[1:] = (word[1:] != word[:-1]) | (self.line[1:] != self.line[:-1])
         first = np.flatnonzero(new)
         times = np.arange(len(word)) - np.repeat(first, np.diff(np.append(first, len(word))))
-        return mix64(word + times.astype(U64) * _ODD), bucket[order]
+        return mix64(word + times.astype(U64) * _ODD)
+
+    def prefixes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Each member's place in its line, and the places of those in the prefixes."""
+        spot = np.arange(len(self.word)) - np.repeat(self.start[:-1], self.count)
+        return spot, np.flatnonzero(spot < np.repeat(self.count - (3 * self.count + 3) // 4 + 1, self.count))
 
 
+TABLE = "part long, counts array<long>"
 PARTS = "kind int, key long, lines int, a array<long>, b array<long>, c array<long>"
+FOUND = "a long, root long, others binary"
 
 
-def _lists(*rows: np.ndarray) -> list[pa.Array]:
-    return [pa.array([r], pa.list_(pa.int64())) for r in rows]
+def _parts(total: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """The parts of a table of counts that hold any."""
+    return [(k, x) for k, x in enumerate(total.reshape(-1, PART)) if x.any()]
 
 
-def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, text -> kind 0: a document's lines (numbers, two halves of keys); kind 1: the task's counts of members by bucket."""
-    total = np.zeros(COUNTS, np.int64)
-    names = ["kind", "key", "lines", "a", "b", "c"]
+@frugal
+def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, text -> the task's counts of words by bucket."""
+    total = np.zeros(RARITY, np.int64)
     for batch in batches:
-        for lo, hi, data, bounds in text_steps(batch.column(1)):
-            found = Lines(data, bounds)
-            total += np.bincount((found.word >> U64(48)).astype(np.int64), minlength=COUNTS)
-            cut = np.searchsorted(found.text, np.arange(hi - lo + 1)).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(x.astype(np.int64))) for x in (found.number, *found.keys())]
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(hi - lo, np.int32)), batch.column(0).slice(lo, hi - lo), pa.array(found.per_text.astype(np.int32)), *lists], names)
-    some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([None], pa.int64()), pa.array([0], pa.int32()), *_lists(some, total[some], some[:0])], names)
+        for _, _, data, bounds in text_steps(batch.column(1)):
+            total += np.bincount((Lines(data, bounds).word >> U64(46)).astype(np.int64), minlength=RARITY)
+    for k, counts in _parts(total):
+        yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([counts], pa.list_(pa.int64()))], ["part", "counts"])
+
+
+@frugal
+def _added(table: pa.Table) -> pa.Table:
+    counts = table.column("counts").combine_chunks().flatten().to_numpy().reshape(-1, PART).sum(0)
+    return pa.table({"part": table.column("part").slice(0, 1), "counts": pa.array([counts], pa.list_(pa.int64()))})
+
+
+def _table(rows: DataFrame, size: int) -> np.ndarray:
+    """The sum of tables of counts (part, counts)."""
+    total = np.zeros((size // PART, PART), np.int64)
+    added = rows.groupBy("part").applyInArrow(_added, TABLE).toArrow()  # `size` numbers at most
+    for k, counts in zip(added.column("part").to_pylist(), added.column("counts"), strict=True):
+        total[k] = counts.values.to_numpy()
+    return total.ravel()
+
+
+class _Seen:
+    """Which line keys a task meets for the first time; it forgets now and then, so it only saves work."""
+
+    def __init__(self, most: int = 300_000):
+        self.keys: set[int] = set()
+        self.most = most
+
+    def fresh(self, keys: np.ndarray) -> list[int]:
+        if len(self.keys) > self.most:
+            self.keys.clear()
+        return [k for k, key in enumerate(keys.tolist()) if key not in self.keys and not self.keys.add(key)]
+
+
+def _survey(rarity: np.ndarray):
+    """key, text -> kind 0: a document's lines (numbers, two halves of keys); kind 1: the task's counts of prefix members by bucket."""
+
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen = np.zeros(HELD, np.int64), _Seen()
+        names = ["kind", "key", "lines", "a", "b", "c"]
+        for batch in batches:
+            for lo, hi, data, bounds in text_steps(batch.column(1)):
+                f = Lines(data, bounds)
+                cut = np.searchsorted(f.text, np.arange(hi - lo + 1)).astype(np.int32)
+                keys = f.keys()
+                lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(x.astype(np.int64))) for x in (f.number, *keys)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(hi - lo, np.int32)), batch.column(0).slice(lo, hi - lo), pa.array(f.per_text.astype(np.int32)), *lists], names)
+                if fresh := seen.fresh(keys[0]):
+                    f = f.some(fresh)
+                    member, (_, at) = f.members(rarity), f.prefixes()
+                    total += np.bincount((member[at] >> U64(48)).astype(np.int64), minlength=HELD)
+        for k, counts in _parts(total):
+            none = pa.array([None], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([k]), pa.array([0], pa.int32()), pa.array([counts], pa.list_(pa.int64())), none, none], names)
+
+    return run
 
 
 def _parities(member: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -135,24 +203,28 @@ def _halved(parities: np.ndarray) -> np.ndarray:
     return parities[:, :2] ^ parities[:, 2:]
 
 
-def _prefixes(rarity: np.ndarray, salts: np.ndarray, groups: int, wanted: KeyFilter | None = None):
-    """rarity: each bucket's place in the order; salts: how many salts its members have; wanted: the only members dealt out."""
+def _prefixes(rarity: np.ndarray, blocks: np.ndarray, groups: int, wanted: KeyFilter | None = None):
+    """rarity: each bucket's place in the order; blocks: into how many a bucket's members are dealt; wanted: the only members dealt out."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        seen: set[int] = set()
+        seen = _Seen()
         n = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             columns = [np.concatenate(x) for x in zip(*held, strict=True)]
             held.clear()
             order = np.argsort(columns[0], kind="stable")
-            group, token, key, bits, size, spot, when = (x[order] for x in columns)
+            group, token, key, bits, when, size, spot, mark = (x[order] for x in columns)
             cut = np.searchsorted(group, np.arange(groups + 1))
             some = np.flatnonzero(np.diff(cut))
-            pack = [pa.array([f(slice(cut[g], cut[g + 1])).tobytes() for g in some], pa.binary()) for f in (
-                lambda k: token[k], lambda k: key[k], lambda k: _halved(bits[k]), lambda k: bits[k][size[k] > LONG][:, 2:], lambda k: size[k], lambda k: spot[k], lambda k: when[k])]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *pack], ["group", *ENTRY])
+            least = lambda x: x.astype(np.min_scalar_type(int(x.max(initial=0))))
+            own = [slice(cut[g], cut[g + 1]) for g in some]
+            pack = [[f(k).tobytes() for k in own] for f in (
+                lambda k: token[k], lambda k: key[k], lambda k: _halved(bits[k]), lambda k: bits[k][size[k] > LONG][:, 2:], lambda k: when[k],
+                lambda k: least(size[k]), lambda k: least(spot[k]), lambda k: mark[k])]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *(pa.array(x, pa.binary()) for x in pack)], ["group", *PLAIN, *SHORT])
 
         for batch in batches:
             for lo, hi, data, bounds in text_steps(batch.column(1)):
@@ -160,28 +232,26 @@ def _prefixes(rarity: np.ndarray, salts: np.ndarray, groups: int, wanted: KeyFil
                 age = np.clip(batch.column(0).slice(lo, hi - lo).to_numpy(), 0, 2**32 - 1).astype(np.uint32)
                 # The task's repeats of a line go here, so a line that is everywhere leaves each task a few times at most.
                 keys = f.keys()[0]
-                if len(seen) > 300_000:
-                    seen.clear()
-                fresh = [k for k, key in enumerate(keys.tolist()) if key not in seen and not seen.add(key)]
-                if not fresh:
+                if not (fresh := seen.fresh(keys)):
                     continue
                 f, keys = f.some(fresh), keys[fresh]
-                member, bucket = f.members(rarity)
+                member = f.members(rarity)
                 bits, size = _parities(member, f.start), f.count
-                spot = np.arange(len(member)) - np.repeat(f.start[:-1], size)
-                at = np.flatnonzero(spot < np.repeat(size - (3 * size + 3) // 4 + 1, size))
+                spot, at = f.prefixes()
                 if wanted is not None:
                     at = at[wanted(member[at].view(np.int64))]
-                line, spot, member, many = f.line[at], spot[at], member[at], salts[bucket[at]]
+                line, spot, member = np.repeat(np.arange(len(size)), size)[at], spot[at], member[at]
                 index = spot < (size - (6 * size + 6) // 7 + 1)[line]
-                key = keys[line]
+                key, many = keys[line], blocks[(member >> U64(48)).astype(np.int64)]
                 own = (key.view(U64) % many.astype(U64)).astype(np.int64)
-                for salt in range(int(many.max(initial=1))):
-                    k = np.flatnonzero(many > salt)
-                    token = mix64(member[k] + U64(salt) * _ODD)
-                    mark = (spot[k] << 1 | (index[k] & (own[k] == salt))).astype(np.uint32)
+                for block in range(int(many.max(initial=1))):
+                    # An entry goes to the cell of its own block and to one with each other block; mark: its side there, 2 if it is alone.
+                    k = np.flatnonzero(many > block)
+                    low, high = np.minimum(own[k], block), np.maximum(own[k], block)
+                    token = mix64(member[k] + (low * 0x10001 + high * 0x10000003).astype(U64) * _ODD)
+                    side = np.where(low == high, 2, (own[k] == high).astype(np.int64))
                     group = ((token >> U64(32)) % U64(groups)).astype(np.uint16 if groups < 1 << 16 else np.int64)
-                    held.append((group, token.astype(np.uint32), key[k], bits[line[k]], size[line[k]].astype(np.uint32), mark, age[f.text[line[k]]]))
+                    held.append((group, token.astype(np.uint32), key[k], bits[line[k]], age[f.text[line[k]]], size[line[k]], spot[k], (side << 1 | index[k]).astype(np.uint8)))
                     n += len(k)
                 if n >= PACK:
                     yield from flush()
@@ -199,119 +269,173 @@ def _best(owner: np.ndarray, by: np.ndarray) -> np.ndarray:
     return order[np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order)))) < FIRST]
 
 
-def _first(group: pa.Table) -> pa.Table:
-    return _candidates(group, None)
+def _unpacked(table: pa.Table) -> tuple[np.ndarray, ...]:
+    columns = [np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(name)]) for name, kind in PLAIN.items()]
+    count = [len(x.as_buffer()) // 4 for x in table.column("token")]
+    for name in SHORT:
+        columns.append(np.concatenate([np.frombuffer(x.as_buffer(), f"u{max(1, len(x.as_buffer()) // n)}").astype(np.int64) for x, n in zip(table.column(name), count, strict=True)]))
+    return tuple(columns)
 
 
-def _rest(asking: KeyFilter):
-    return lambda group: _candidates(group, asking)
+def _reached(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest vertex that each of n vertices reaches over the links i, j."""
+    low = np.arange(n)
+    while True:
+        now = low.copy()
+        np.minimum.at(now, i, low[j])
+        np.minimum.at(now, j, low[i])
+        now = now[now]
+        if (now == low).all():
+            return low
+        low = now
 
 
-def _every(group: pa.Table) -> pa.Table:
-    return _candidates(group, None, every=True)
+def _candidates(asking: KeyFilter | None = None, every: bool = False):
+    """Of each line of a group its partners with lesser keys that pass the filters, and the least key of those that candidates join.
 
+    With `every`, all partners. Else at first, of each line and member only the likeliest and the oldest partners, and for each line
+    of which a pair is left out a row without root. With `asking`, all earlier partners of the lines that are asking.
+    """
 
-def _candidates(table: pa.Table, asking: KeyFilter | None, every: bool = False) -> pa.Table:
-    """Pairs of line keys of one group that pass the filters.
+    @frugal
+    def run(table: pa.Table) -> pa.Table:
+        token, key, bits, more, when, size, spot, mark = _unpacked(table)
+        bits, long = bits.reshape(-1, 2), size > LONG
+        wide = np.cumsum(long) - 1  # an entry's place in `more`
+        more = more.reshape(-1, 2)
+        order = np.lexsort((key, size, token))
+        t, k = token[order], key[order]
+        new = np.ones(len(t), bool)
+        new[1:] = (t[1:] != t[:-1]) | (k[1:] != k[:-1])
+        alone = np.append(t[1:] != t[:-1], True) & np.concatenate([[True], t[1:] != t[:-1]])
+        order = order[new & ~alone]
+        token, key, size, bits, spot, long, wide, when, mark = (x[order] for x in (token, key, size, bits, spot, long, wide, when, mark))
+        asks = asking(key) if asking is not None else None
+        index, side = (mark & 1) == 1, mark >> 1
+        # Of each member's lines, by size: a line meets those before it that are in the index and not too short.
+        place = (token.astype(np.int64) << 31) | np.minimum(size, (1 << 31) - 1)
+        shorter = np.flatnonzero(index)
+        low = np.searchsorted(place[shorter], (token.astype(np.int64) << 31) | -(-3 * size // 4))
+        high = np.searchsorted(shorter, np.arange(len(token)))
+        many = np.maximum(high - low, 0)
+        run = np.concatenate([[0], np.cumsum(many)])
+        found, cut = [np.empty((0, 2), np.int64)], [np.empty(0, np.int64)]
+        lo = 0
+        while lo < len(token):
+            hi = max(lo + 1, int(np.searchsorted(run, run[lo] + STEP, "right")) - 1)
+            i = np.repeat(np.arange(lo, hi), many[lo:hi])
+            j = shorter[np.arange(len(i)) - np.repeat(run[lo:hi] - run[lo], many[lo:hi]) + np.repeat(low[lo:hi], many[lo:hi])]
+            ok = (7 * np.minimum(size[i] - spot[i], size[j] - spot[j]) >= 3 * (size[i] + size[j])) & ((side[i] == 2) | (side[i] != side[j]))
+            if asks is not None:
+                ok &= (asks[i] & (when[j] <= when[i])) | (asks[j] & (when[i] <= when[j]))
+            i, j = i[ok], j[ok]
+            both = size[i] + size[j]
+            apart = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)
+            ok = 7 * ((both - apart) // 2) >= 3 * both
+            i, j, both, apart = i[ok], j[ok], both[ok], apart[ok]
+            k = np.flatnonzero(long[i] & long[j])
+            if len(k):
+                x, y = more[wide[i[k]]], more[wide[j[k]]]
+                apart[k] = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) + np.bitwise_count(x ^ bits[i[k]] ^ y ^ bits[j[k]]).sum(1, dtype=np.int64)
+                out = k[7 * ((both[k] - apart[k]) // 2) < 3 * both[k]]
+                i, j, both, apart = (np.delete(x, out) for x in (i, j, both, apart))
+            if asks is None and not every and len(i):
+                late = (when[i] > when[j]) | ((when[i] == when[j]) & (key[i] > key[j]))
+                later, older = np.where(late, i, j), np.where(late, j, i)
+                tried = np.zeros(len(i), bool)
+                tried[_best(later, apart / both)] = True
+                tried[_best(later, when[older])] = True
+                cut.append(np.unique(np.concatenate([key[i[~tried]], key[j[~tried]]])))
+                i, j = i[tried], j[tried]
+            pair = np.stack([key[i], key[j]], 1)
+            found.append(np.unique(np.stack([pair.max(1), pair.min(1)], 1), axis=0) if len(pair) else pair)
+            lo = hi
+        pairs, cut = np.unique(np.concatenate(found), axis=0), np.unique(np.concatenate(cut))
+        ids, at = np.unique(pairs, return_inverse=True)
+        at = at.reshape(-1, 2)
+        root = ids[_reached(len(ids), at[:, 0], at[:, 1])]
+        first = np.searchsorted(at[:, 0], np.arange(len(ids) + 1))
+        others = [pairs[a:z, 1].tobytes() if z > a else None for a, z in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+        roots = pa.array(np.concatenate([root, cut]), mask=np.arange(len(ids) + len(cut)) >= len(ids))
+        return pa.table({"a": pa.array(np.concatenate([ids, cut])), "root": roots, "others": pa.array(others + [None] * len(cut), pa.binary())})
+
+    return run
 
-    With `every`, all of them. Else at first, of each line and member only the pairs with the likeliest and with the oldest lines,
-    and for each line of which a pair is left out a row without b. Later, all pairs of the lines that are asking.
-    """
-    token, key, bits, more, size, spot, when = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(name).combine_chunks()]) for name, kind in ENTRY.items())
-    bits, long = bits.reshape(-1, 2), size > LONG
-    wide = np.cumsum(long) - 1  # an entry's place in `more`
-    more = more.reshape(-1, 2)
-    order = np.lexsort((key, size, token))
-    token, key, size = token[order], key[order], size[order].astype(np.int64)
-    new = np.ones(len(token), bool)
-    new[1:] = (token[1:] != token[:-1]) | (key[1:] != key[:-1])
-    alone = np.append(token[1:] != token[:-1], True) & np.concatenate([[True], token[1:] != token[:-1]])
-    keep = new & ~alone
-    order = order[keep]
-    token, key, size = token[keep], key[keep], size[keep]
-    bits, spot, long, wide, when = bits[order], spot[order].astype(np.int64), long[order], wide[order], when[order]
-    asks = asking(key) if asking is not None else None
-    index, spot = (spot & 1) == 1, spot >> 1
-    # Of each member's lines, by size: a line meets those before it that are in the index and not too short.
-    place = (token.astype(np.int64) << 31) | np.minimum(size, (1 << 31) - 1)
-    shorter = np.flatnonzero(index)
-    low = np.searchsorted(place[shorter], (token.astype(np.int64) << 31) | -(-3 * size // 4))
-    high = np.searchsorted(shorter, np.arange(len(token)))
-    many = np.maximum(high - low, 0)
-    run = np.concatenate([[0], np.cumsum(many)])
-    found, cut = [np.empty((0, 2), np.int64)], [np.empty(0, np.int64)]
-    lo = 0
-    while lo < len(token):
-        hi = max(lo + 1, int(np.searchsorted(run, run[lo] + STEP, "right")) - 1)
-        i = np.repeat(np.arange(lo, hi), many[lo:hi])
-        j = shorter[np.arange(len(i)) - np.repeat(run[lo:hi] - run[lo], many[lo:hi]) + np.repeat(low[lo:hi], many[lo:hi])]
-        ok = 7 * np.minimum(size[i] - spot[i], size[j] - spot[j]) >= 3 * (size[i] + size[j])
-        if asks is not None:
-            ok &= asks[i] | asks[j]
-        i, j = i[ok], j[ok]
-        both = size[i] + size[j]
-        apart = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)
-        ok = 7 * ((both - apart) // 2) >= 3 * both
-        i, j, both, apart = i[ok], j[ok], both[ok], apart[ok]
-        k = np.flatnonzero(long[i] & long[j])
-        if len(k):
-            x, y = more[wide[i[k]]], more[wide[j[k]]]
-            apart[k] = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) + np.bitwise_count(x ^ bits[i[k]] ^ y ^ bits[j[k]]).sum(1, dtype=np.int64)
-            out = k[7 * ((both[k] - apart[k]) // 2) < 3 * both[k]]
-            i, j, both, apart = (np.delete(x, out) for x in (i, j, both, apart))
-        if asks is None and not every and len(i):
-            late = (when[i] > when[j]) | ((when[i] == when[j]) & (key[i] > key[j]))
-            later, older = np.where(late, i, j), np.where(late, j, i)
-            tried = np.zeros(len(i), bool)
-            tried[_best(later, apart / both)] = True
-            tried[_best(later, when[older])] = True
-            cut.append(np.unique(np.concatenate([key[i[~tried]], key[j[~tried]]])))
-            i, j = i[tried], j[tried]
-        pair = np.stack([key[i], key[j]], 1)
-        found.append(np.unique(np.stack([pair.max(1), pair.min(1)], 1), axis=0) if len(pair) else pair)
-        lo = hi
-    pairs, cut = np.unique(np.concatenate(found), axis=0), np.unique(np.concatenate(cut))
-    a, b = np.concatenate([pairs[:, 0], cut]), np.concatenate([pairs[:, 1], cut])
-    return pa.table({"a": pa.array(a), "b": pa.array(b, mask=np.arange(len(b)) >= len(pairs))})
-
-
-def _fetch(wanted: KeyFilter):
-    """key, text -> line key and sorted members of lines that may be wanted."""
 
+def _fetch(documents: KeyFilter, lines: KeyFilter):
+    """key, text -> line key, document, number and sorted members of lines that may be wanted in documents that may be."""
+
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in batches:
-            for _, _, data, bounds in text_steps(batch.column(1)):
+            some = pa.array(np.flatnonzero(documents(batch.column(0).to_numpy())))
+            key, text = batch.column(0).take(some).to_numpy(), batch.column(1).take(some)
+            for lo, _, data, bounds in text_steps(text):
                 f = Lines(data, bounds)
                 keys = f.keys()[0]
-                if len(seen) > 200_000:
-                    seen.clear()
-                own = [k for k in np.flatnonzero(wanted(keys)) if int(keys[k]) not in seen and not seen.add(int(keys[k]))]
-                if own:
-                    part = f.some(own)
-                    member = part.members(np.zeros(COUNTS, U64))[0]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[own]), pa.array([np.sort(member[a:z]).tobytes() for a, z in zip(part.start[:-1], part.start[1:], strict=True)], pa.binary())], ["id", "members"])
+                own = np.flatnonzero(lines(keys))
+                if len(own):
+                    f = f.some(own)
+                    member = f.members(np.zeros(RARITY, np.uint32))
+                    sets = pa.array([np.sort(member[a:z]).tobytes() for a, z in zip(f.start[:-1], f.start[1:], strict=True)], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[own]), pa.array(key[lo + f.text]), pa.array(f.number), sets], ["id", "key", "line", "members"])
 
     return run
 
 
-def matches(a: pa.Array, b: pa.Array) -> pa.Array:
-    """Whether pairs of sorted sets have a Jaccard similarity of 3/4 or more."""
-    out = []
-    for x, y in zip(a, b, strict=True):
-        x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-        if len(x) > len(y):
-            x, y = y, x
-        at = np.searchsorted(y, x)
-        at[at == len(y)] = 0
-        shared = int(np.count_nonzero(y[at] == x))
-        out.append(4 * shared >= 3 * (len(x) + len(y) - shared))
-    return pa.array(out, pa.bool_())
+def similar(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Whether a sorted set and each of others have a Jaccard similarity of 3/4 or more."""
+    size = np.array([len(x) for x in others])
+    every = np.concatenate(others)
+    at = np.searchsorted(one, every)
+    at[at == len(one)] = 0
+    shared = np.add.reduceat(one[at] == every, np.concatenate([[0], np.cumsum(size)[:-1]]), dtype=np.int64)
+    return 4 * shared >= 3 * (len(one) + size - shared)
+
+
+DECIDED = "id long, links long, gone boolean, root long"
+
+
+@frugal
+def _decided(table: pa.Table) -> pa.Table:
+    """Sets and lists of partners of one cell -> of each line with links their number there, whether one is earlier, and a line that they reach."""
+    table = table.sort_by("id")
+    ids, many, x, y = (table.column(c).to_numpy() for c in ("id", "many", "x", "y"))
+    has = table.column("members").is_valid().to_numpy()
+    lines, first = np.unique(ids[has], return_index=True)
+    told = table.filter(table.column("members").is_valid())
+    sets = [np.frombuffer(m.as_buffer(), U64) for m in told.column("members").combine_chunks().take(pa.array(first))]
+    age = np.stack([told.column(c).to_numpy()[first] for c in ("first_key", "first_line")], 1) if len(lines) else np.empty((0, 2), np.int64)
+    pairs = [np.empty((0, 2), np.int64)]
+    for k, others in zip(np.flatnonzero(~has).tolist(), table.filter(table.column("members").is_null()).column("others"), strict=True):
+        other = np.frombuffer(others.as_buffer(), np.int64)
+        if many[k] > 1:  # in a cell of two blocks a line meets those of the other, else those of its own
+            other = other[(other % many[k] == ids[k] % many[k]) == (x[k] == y[k])]
+        if len(other):
+            pairs.append(np.stack([np.full(len(other), ids[k]), other], 1))
+    pairs = np.unique(np.concatenate(pairs), axis=0)
+    at = np.searchsorted(lines, pairs)
+    if not np.isin(pairs, lines).all():
+        raise ValueError("a candidate's set is not in its cell")
+    cut = np.searchsorted(at[:, 0], np.arange(len(lines) + 1))
+    ok = np.zeros(len(at), bool)
+    for k in np.flatnonzero(np.diff(cut)).tolist():
+        own = slice(cut[k], cut[k + 1])
+        ok[own] = similar(sets[k], [sets[j] for j in at[own, 1].tolist()])
+    i, j = at[ok, 0], at[ok, 1]
+    links = np.bincount(np.concatenate([i, j]), minlength=len(lines))
+    late = (age[i, 0] > age[j, 0]) | ((age[i, 0] == age[j, 0]) & (age[i, 1] > age[j, 1]))
+    gone = np.zeros(len(lines), bool)
+    gone[np.where(late, i, j)] = True
+    some = np.flatnonzero(links)
+    root = lines[_reached(len(lines), i, j)]
+    return pa.table({"id": pa.array(lines[some]), "links": pa.array(links[some]), "gone": pa.array(gone[some]), "root": pa.array(root[some])})
 
 
 def _wanted_members(rarity: np.ndarray, asking: KeyFilter):
     """key, text -> the members of the prefixes of lines that are asking."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, bounds in text_steps(batch.column(1)):
@@ -319,13 +443,33 @@ def _wanted_members(rarity: np.ndarray, asking: KeyFilter):
                 own = np.flatnonzero(asking(f.keys()[0]))
                 if len(own):
                     f = f.some(own)
-                    member, _ = f.members(rarity)
-                    spot = np.arange(len(member)) - np.repeat(f.start[:-1], f.count)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.unique(member[spot < np.repeat(f.count - (3 * f.count + 3) // 4 + 1, f.count)]).view(np.int64))], ["member"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.unique(f.members(rarity)[f.prefixes()[1]]).view(np.int64))], ["member"])
 
     return run
 
 
+def _verified(plain: DataFrame, firsts: DataFrame, found: DataFrame) -> DataFrame:
+    """(id, links, gone, root) for lines that have links among the candidates `found`; an id may come several times."""
+    comps = components.components(found.where("root is not null").select("a", F.col("root").alias("b")))
+    sizes = comps.groupBy("root").agg(F.ceil(F.count("*") / CELL).alias("many"))
+    placed = comps.join(sizes, "root").join(firsts.withColumnRenamed("a", "id"), "id").select("id", "root", "many", F.col("first.key").alias("first_key"), F.col("first.line").alias("first_line"))
+    placed = materialize(placed, "placed")
+    cells = max(1, -(-placed.count() // CELL))
+    documents, lines = KeyFilter(placed.select("first_key").distinct()), KeyFilter(placed.select("id"))
+    sets = plain.mapInArrow(_fetch(documents, lines), "id long, key long, line long, members binary").join(placed, "id").where("key = first_key and line = first_line")
+    sets = sets.groupBy("id").agg(F.first(F.struct("members", "root", "many", "first_key", "first_line")).alias("s")).select("id", "s.*")
+    lists = found.where("others is not null").join(placed.select(F.col("id").alias("a"), "root", "many"), "a").select(F.col("a").alias("id"), "others", placed["root"].alias("root"), "many")
+    # A component that fits in one cell shares it with others; the lines of a larger one are dealt into blocks that meet two by two.
+    block = F.pmod("id", "many")
+    meets = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("many") - 1), lambda c: F.struct(F.least(block, c).alias("x"), F.greatest(block, c).alias("y"))))
+    cell = F.when(F.col("many") == 1, F.pmod("root", F.lit(cells))).otherwise(F.col("root")).alias("cell")
+    null = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    sets = sets.select(cell, meets.alias("meets"), "id", "many", "members", null("binary", "others"), "first_key", "first_line")
+    lists = lists.select(cell, meets.alias("meets"), "id", "many", null("binary", "members"), "others", null("long", "first_key"), null("long", "first_line"))
+    rows = sets.unionByName(lists).select("cell", "meets.x", "meets.y", "id", "many", "members", "others", "first_key", "first_line").withColumn("whole", F.col("many") == 1)
+    return materialize(rows.groupBy("whole", "cell", "x", "y").applyInArrow(_decided, DECIDED), "decided")
+
+
 def line_tables(docs: DataFrame, key: str = "doc_id", text: str = "text", every: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Documents (key, lines), lines (key, line, a, b), sets of equal lines (a, b, first, gone).
 
@@ -333,61 +477,41 @@ def line_tables(docs: DataFrame, key: str = "doc_id", text: str = "text", every:
     """
     prepare(docs.sparkSession)
     plain = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where("key is not null and text is not null")
-    parts = materialize(plain.mapInArrow(survey, PARTS), "lines")
-    counts = parts.where("kind = 1").select(F.inline(F.arrays_zip("a", "b"))).groupBy("a").agg(F.sum("b").alias("n")).toArrow()  # COUNTS rows at most
-    total = np.zeros(COUNTS, np.int64)
-    total[counts.column("a").to_numpy()] = counts.column("n").to_numpy()
-    rarity = np.empty(COUNTS, U64)
-    rarity[np.argsort(total, kind="stable")] = np.arange(COUNTS, dtype=U64)
-    salts = np.minimum(1 + total // SALT, 64)
-    groups = int(max(8, total.sum() // GROUP))
-    packed = "group long, " + ", ".join(f"{c} binary" for c in ENTRY)
+    rarity = np.empty(RARITY, np.uint32)
+    rarity[np.argsort(_table(plain.mapInArrow(tally, TABLE), RARITY), kind="stable")] = np.arange(RARITY, dtype=np.uint32)
+    parts = materialize(plain.mapInArrow(_survey(rarity), PARTS), "lines")
+    held = _table(parts.where("kind = 1").select(F.col("key").alias("part"), F.col("a").alias("counts")), HELD)
+    # A bucket counts as hot by what it holds beyond a few times the mean.
+    blocks = 1 + np.maximum(0, held - 4 * held.sum() // HELD) // BLOCK
+    groups = int(max(GROUPS, (held * blocks).sum() // GROUP))
+    packed = "group long, " + ", ".join(f"{c} binary" for c in (*PLAIN, *SHORT))
     lines = parts.where("kind = 0").select("key", F.inline(F.arrays_zip(F.col("a").alias("line"), F.col("b").alias("a"), F.col("c").alias("b"))))
     classes = materialize(lines.groupBy("a", "b").agg(F.min(F.struct("key", "line")).alias("first"), F.count("*").alias("n")), "classes")
     firsts = classes.groupBy("a").agg(F.min("first").alias("first"))
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """(a, b, first_a, first_b): the pairs that match, and their first places."""
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        sets = plain.mapInArrow(_fetch(KeyFilter(wanted)), "id long, members binary").join(wanted, "id", "left_semi").groupBy("id").agg(F.first("members").alias("members"))
-        sets = materialize(sets.join(firsts.withColumnRenamed("a", "id"), "id"), f"{name}-sets")
-        side = lambda k: sets.select(F.col("id").alias(k), F.col("members").alias(f"m_{k}"), F.col("first").alias(f"first_{k}"))
-        return pairs.join(side("a"), "a").join(side("b"), "b").where(F.arrow_udf(matches, "boolean")("m_a", "m_b")).select("a", "b", "first_a", "first_b")
-
-    def matched(pairs: DataFrame, name: str) -> DataFrame:
-        """(id, other): lines that match an earlier one, and the first place of the earliest of these."""
-        late = F.col("first_a") > F.col("first_b")
-        ends = verified(pairs, name).where(F.col("first_a") != F.col("first_b")).select(F.when(late, F.col("a")).otherwise(F.col("b")).alias("id"), F.least("first_a", "first_b").alias("other"))
-        return materialize(ends.groupBy("id").agg(F.min("other").alias("other")), f"{name}-matched")
+    def candidates(members: KeyFilter | None = None, **how) -> DataFrame:
+        return materialize(plain.mapInArrow(_prefixes(rarity, blocks, groups, members), packed).groupBy("group").applyInArrow(_candidates(**how), FOUND), "found")
 
+    gone = F.bool_or("gone").alias("gone")
     if every:
-        pairs = materialize(plain.mapInArrow(_prefixes(rarity, salts, groups), packed).groupBy("group").applyInArrow(_every, "a long, b long").distinct(), "pairs")
-        links = materialize(verified(pairs, "every"), "links")
-        ends = links.select("a", F.col("first_b").alias("other")).unionByName(links.select(F.col("b").alias("a"), F.col("first_a").alias("other")))
-        roots = materialize(components.components(links.select("a", "b")).join(firsts.withColumnRenamed("a", "id"), "id"), "roots")
+        decided = _verified(plain, firsts, candidates(every=True))
+        roots = materialize(components.components(decided.select(F.col("id").alias("a"), F.col("root").alias("b"))).join(firsts.withColumnRenamed("a", "id"), "id"), "roots")
         least = roots.groupBy("root").agg(F.min("first").alias("place"))
         roots = roots.join(least, "root").select(F.col("id").alias("a"), "place")
-        told = classes.join(ends.groupBy("a").agg(F.min("other").alias("other"), F.count("*").alias("links")), "a", "left").join(roots, "a", "left")
-        told = told.select("a", "b", "first", F.coalesce(F.col("other") < F.col("first"), F.lit(False)).alias("gone"), "n", F.coalesce("links", F.lit(0).cast("long")).alias("links"), F.coalesce("place", "first").alias("root"))
+        told = classes.join(decided.groupBy(F.col("id").alias("a")).agg(gone, F.sum("links").alias("links")), "a", "left").join(roots, "a", "left")
+        told = told.select("a", "b", "first", F.coalesce("gone", F.lit(False)).alias("gone"), "n", F.coalesce("links", F.lit(0).cast("long")).alias("links"), F.coalesce("place", "first").alias("root"))
         return parts.where("kind = 0").select("key", "lines"), lines, materialize(told, "told")
 
-    found = plain.mapInArrow(_prefixes(rarity, salts, groups), packed).groupBy("group").applyInArrow(_first, "a long, b long")
-    found = materialize(found.distinct(), "pairs")
-    gone = matched(found.where("b is not null"), "first")
+    found = candidates()
+    out = _verified(plain, firsts, found).where("gone").select("id")
     # Lines with pairs that weren't tried, and no earlier match so far: of these all pairs are tried.
-    asking = materialize(found.where("b is null").select(F.col("a").alias("id")).join(gone, "id", "left_anti"), "asking")
+    asking = materialize(found.where("root is null").select(F.col("a").alias("id")).distinct().join(out, "id", "left_anti"), "asking")
     if not asking.isEmpty():
         keys = KeyFilter(asking)
-        members = plain.mapInArrow(_wanted_members(rarity, keys), "member long").distinct()
-        rest = plain.mapInArrow(_prefixes(rarity, salts, groups, KeyFilter(members)), packed).groupBy("group").applyInArrow(_rest(keys), "a long, b long").distinct()
-        # Of an asking line only the pairs with earlier lines count.
-        place = lambda k: firsts.select(F.col("a").alias(k), F.col("first").alias(f"first_{k}"))
-        rest = rest.join(place("a"), "a").join(place("b"), "b").withColumn("late", F.when(F.col("first_a") > F.col("first_b"), F.col("a")).otherwise(F.col("b")))
-        rest = materialize(rest.join(asking.select(F.col("id").alias("late")), "late", "left_semi").select("a", "b"), "rest")
-        gone = gone.unionByName(matched(rest, "rest"))
-    told = classes.join(gone.groupBy("id").agg(F.min("other").alias("other")).withColumnRenamed("id", "a"), "a", "left")
-    told = told.select("a", "b", "first", F.coalesce(F.col("other") < F.col("first"), F.lit(False)).alias("gone"))
-    return parts.where("kind = 0").select("key", "lines"), lines, materialize(told, "told")
+        members = KeyFilter(materialize(plain.mapInArrow(_wanted_members(rarity, keys), "member long").distinct(), "members"))
+        out = out.unionByName(_verified(plain, firsts, candidates(members, asking=keys)).where("gone").select("id"))
+    told = classes.join(out.distinct().select(F.col("id").alias("a"), F.lit(True).alias("gone")), "a", "left")
+    return parts.where("kind = 0").select("key", "lines"), lines, materialize(told.select("a", "b", "first", F.coalesce("gone", F.lit(False)).alias("gone")), "told")
 
 
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -21,7 +21,7 @@ LINE_DEDUP = f"""
 WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
  x AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS k FROM t),
  w AS (SELECT doc_id, k, {_WORDS.format("line")} AS w FROM x),
- f AS (SELECT doc_id, k, w, array_to_string(list_sort(w), ' ') AS s, row_number() OVER (ORDER BY doc_id, k) AS pos FROM w WHERE len(w) >= 5),
+ f AS (SELECT doc_id, k, w, array_to_string(list_sort(w), ' ') AS s, row_number() OVER (ORDER BY doc_id, k) AS pos FROM w WHERE len(w) >= 5 OR list_sum(list_transform(w, lambda v: strlen(v))) >= 16),
  c AS (SELECT s, min(pos) AS first, any_value(len(w)) AS n FROM f GROUP BY s),
  m AS (SELECT first, n, unnest(string_split(s, ' ')) AS token FROM c),
  g AS (SELECT first, n, token, count(*) AS times FROM m GROUP BY ALL),

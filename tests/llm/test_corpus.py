@@ -25,7 +25,7 @@ def line_matches(rows):
     for key, text in sorted((r for r in set(rows) if r[0] is not None and r[1] is not None), key=lambda r: r[0]):
         for k, line in enumerate(text.split("\n")):
             words = WORD.findall(lower(line))
-            if len(words) >= 5:
+            if len(words) >= 5 or sum(len(w.encode()) for w in words) >= 16:
                 lines.append((key, k, collections.Counter(words), len(words)))
     gone, holders = collections.defaultdict(list), collections.defaultdict(list)
     for n, (key, k, bag, size) in enumerate(lines):
@@ -164,14 +164,54 @@ def test_nearest(spark):
     assert ann.nearest(df.where("vec_id < 0"), F.lit(True)).count() == 0
 
 
-def test_index_finds_all_within_the_radius():
+def test_lookup_finds_all_near_values():
     rng = np.random.default_rng(9)
-    codes = rng.integers(0, 256, (3000, 16), dtype=np.uint8)
-    code = codes[5] ^ np.array([3] + [0] * 15, np.uint8)
-    for radius in (2, 10, 50):
-        apart = np.bitwise_count(codes ^ code).sum(1)
-        want = np.flatnonzero(apart <= radius)
-        assert (ann.Index(codes).within(code, radius, 1) == want).all()
+    values, asked, near = rng.integers(0, 1 << 10, 3000), rng.integers(0, 1 << 10, 40), rng.integers(0, 4, 40)
+    got = sorted((int(a), int(b)) for i, j in ann.lookup(values, 10, asked, near) for a, b in zip(i, j, strict=True))
+    assert got == [(k, int(b)) for k in range(40) for b in np.flatnonzero(np.bitwise_count(values ^ asked[k]) <= near[k])]
+
+
+def true_neighbours(ids, x, queries, near=5):
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    out = {}
+    for q in queries:
+        cos = unit @ unit[q]
+        cos[q] = -2
+        out[int(ids[q])] = [(int(ids[k]), cos[k]) for k in sorted(range(len(ids)), key=lambda k: (-cos[k], ids[k]))[:near]]
+    return out
+
+
+def test_nearest_on_the_table(spark):
+    """Recall against brute force on `embeddings`, and the share of queries that the indexes answer alone."""
+    path = "/root/testdata/sf0.1"
+    table = spark.read.parquet(f"{path}/embeddings.parquet").toPandas()
+    ids, x = table.vec_id.to_numpy(), np.stack(table.embedding).astype(float)
+    want = true_neighbours(ids, x, np.flatnonzero(ids % 50 == 0))
+    got = collections.defaultdict(list)
+    rows = queries.op3_multi_index_hashing(spark, path).orderBy("query_id", "rank").collect()
+    for r in rows:
+        got[r.query_id].append((r.vec_id, r.score))
+    assert got.keys() == want.keys() and all(len(v) == 5 for v in got.values())
+    hits = sum(len({v for v, _ in want[q]} & {v for v, _ in got[q]}) for q in want)
+    assert hits >= 0.9 * 5 * len(want) and sum(r.by_index for r in rows) >= 0.99 * len(rows)
+    scores = {(q, v): s for q in want for v, s in want[q]}
+    assert all(abs(s - scores[q, v]) < 1e-12 for q in got for v, s in got[q] if (q, v) in scores)
+
+
+def test_nearest_splits_cells_and_copies(spark, monkeypatch):
+    """Small blocks, many cells and a third of all rows alike give the same neighbours."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1200, 16))
+    x[:400] = x[0]
+    want = true_neighbours(np.arange(1200), x, range(0, 1200, 50))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    monkeypatch.setattr(ann, "ROWS", 40)
+    monkeypatch.setattr(ann, "QUERIES", 2)
+    got = collections.defaultdict(list)
+    for r in ann.nearest(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    assert all([v for v, _ in got[q]] == [v for v, _ in want[q]] for q in range(0, 400, 50))
+    assert sum(len({v for v, _ in want[q]} & {v for v, _ in got[q]}) for q in want) >= 0.9 * 5 * len(want)
 
 
 def test_language(spark, sf_dir, odd, none):
