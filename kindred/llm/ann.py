@@ -1,24 +1,27 @@
 """Nearest neighbours by multi-index hashing.
 
-A code has four groups of up to 64 bits. Each group is the signs of the vector in its principal directions, turned by a rotation
-that is learned (from another start for each group) so that the signs lie close to the values. Codes are split into substrings
-of 8 bits, each indexed by its value. By the pigeonhole principle a code within Hamming radius r of a query's has a substring
-within floor(r / substrings) of the query's, so looking up all values that near in every index finds all codes within r; these
-are checked on the whole code and ranked by the cosine of the original vectors. If the looked-up lists hold more entries than
-there are rows, the rows are checked directly, which finds the same. The radius holds 99 of 100 true neighbours in the sample
-that the rotations are learned from, whose neighbours lie farther than those in the whole table. If fewer codes than wanted lie
-within it, the radius grows to the nearest that are wanted.
-
-Rows are dealt into blocks and queries into blocks; each pair of blocks is a group with its own index, and each query keeps its
-best of each. Queries number a fixed share of the rows, so pairs of blocks are what the search asks for; no group holds more than
-ROWS + QUERIES vectors on average.
+A code has SUBSTRINGS substrings of BITS bits. Its bits are signs of the vector in its principal directions, turned by rotations
+that are learned (each group of bits from another start) so that the signs lie close to the values. Every row stands in one index
+for each substring, under its value. A query looks up, in each index, all values within `near_bits` of its own substring. By the
+pigeonhole principle that retrieves every code within a Hamming radius of SUBSTRINGS * (near_bits + 1) - 1, and of those farther
+away the ones that are close in some substring; `near_bits` is the least that retrieves SHARE of the true neighbours in the sample
+that the rotations are learned from. What is retrieved is ranked by vectors of 8-bit numbers, the best by the cosine of the
+original vectors in double precision. A query that finds fewer than are wanted looks up all values of one index, so that the
+answer is whole in small tables and for outliers.
+
+An index is dealt out by the high bits of its values, as many as the number of rows asks for. A row goes to one cell of each
+index; a query goes to the cells whose high bits are near enough, which grow with a power of the logarithm of the rows. So what
+is shuffled stays in proportion to the rows. Cells with very many rows or queries are split into blocks. Of equal vectors only
+the least keys that could be answers go into the indexes, so copies cost nothing.
 
 Vectors that are null, zero, or hold nulls or other than finite numbers take no part; nor do rows without a key. Vectors meet
-only those of their own dimension. Rows with the query's own key aren't its neighbours. Rows that repeat are each found.
+only those of their own dimension. Rows with the query's own key aren't its neighbours; ties go to the smaller key. Rows that
+repeat are each found; queries that repeat a key are asked once. An empty table has no neighbours.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,33 +29,39 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.llm.common import prepare, sample
+from kindred.llm.common import frugal, materialize, prepare, sample
 
-GROUPS, GROUP_BITS, TURNS = 4, 64, 30
-#: Vectors that are learned from (those with the least hash of their key), and queries among them that set the radius.
-SAMPLE, PROBES = 4000, 500
-ROWS, QUERIES = 8192, 1024
-_BITS = np.bitwise_count(np.arange(256, dtype=np.uint8))
-_APART = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8))
+SUBSTRINGS, BITS = 10, 16
+#: Directions of a group of bits at most, and steps of learning.
+GROUP_BITS, TURNS = 64, 30
+#: Vectors that are learned from (those with the least hash of their key), queries among them that set near_bits, and the share of their neighbours.
+SAMPLE, PROBES, SHARE = 4000, 500, 0.94
+#: Rows and queries of a cell's block that are aimed at; the most high bits.
+ROWS, QUERIES, MOST_HIGH = 8192, 4096, 12
+#: Candidates that a cell tells of a query for each that is wanted, candidates that are ranked by floats, and looked up at once.
+TOLD, RANKED, STEP = 2, 4, 1 << 20
+_VALUES = np.arange(1 << BITS, dtype=np.uint32)
+_WEIGHT = np.bitwise_count(_VALUES)
 
 
 @dataclass
 class Codes:
-    """Rotations for vectors of one dimension, and the radius."""
+    """Rotations for vectors of one dimension, and how near a substring is looked up."""
 
     dim: int
     centre: np.ndarray
     turned: np.ndarray
-    radius: int = 0
+    near_bits: int = BITS
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
-        """A row of bytes for each vector."""
+        """The values of the substrings of each vector."""
         unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-        return np.packbits((unit - self.centre) @ self.turned > 0, axis=1)
+        bits = ((unit - self.centre) @ self.turned > 0).reshape(len(x), SUBSTRINGS, BITS)
+        return bits @ (1 << np.arange(BITS)[::-1]).astype(np.int64)
 
 
 def fit(x: np.ndarray, near: int, seed: int = 5) -> Codes:
-    """Learns rotations from rows of x and the radius for `near` neighbours."""
+    """Learns rotations from rows of x and near_bits for `near` neighbours."""
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
     centre = x.mean(0)
     y = x - centre
@@ -60,108 +69,155 @@ def fit(x: np.ndarray, near: int, seed: int = 5) -> Codes:
     directions = directions[:, ::-1][:, :GROUP_BITS]
     y = y @ directions
     turned = []
-    for group in range(GROUPS):
+    for group in range(-(-SUBSTRINGS * BITS // y.shape[1])):
         turn = np.linalg.qr(np.random.default_rng(seed + group).normal(size=(y.shape[1],) * 2))[0]
         for _ in range(TURNS):
             u, _, w = np.linalg.svd(np.where(y @ turn > 0, 1.0, -1.0).T @ y)
             turn = (u @ w).T
         turned.append(directions @ turn)
-    codes = Codes(x.shape[1], centre, np.concatenate(turned, 1))
-    own = codes(x)
-    found = []
+    codes = Codes(x.shape[1], centre, np.concatenate(turned, 1)[:, : SUBSTRINGS * BITS])
+    own, least = codes(x), []
     for k in range(min(PROBES, len(x))):
         cos = x @ x[k]
         cos[k] = -2
         best = np.argsort(-cos)[: min(near, len(x) - 1)]
-        found.append(_BITS[own[best] ^ own[k]].sum(1))
-    codes.radius = int(np.quantile(np.concatenate(found), 0.99)) if len(x) > 1 else 0
+        least.append(np.bitwise_count(own[best] ^ own[k]).min(1))
+    if len(x) > 1:
+        codes.near_bits = int(np.quantile(np.concatenate(least), SHARE))
     return codes
 
 
-class Index:
-    """The codes of a block with a list of rows for each value of each substring."""
-
-    def __init__(self, codes: np.ndarray):
-        self.codes = codes
-        self.order = np.argsort(codes, axis=0, kind="stable")
-        self.counts = np.stack([np.bincount(codes[:, j], minlength=256) for j in range(codes.shape[1])])
-        self.starts = np.concatenate([np.zeros((len(self.counts), 1), int), np.cumsum(self.counts, 1)], 1)
-        pad = -codes.shape[1] % 8
-        self.wide = np.ascontiguousarray(np.pad(codes, ((0, 0), (0, pad)))).view(np.uint64)
-
-    def within(self, code: np.ndarray, radius: int, least: int) -> np.ndarray:
-        """All rows whose code is within radius; if these are fewer than `least`, within the least radius with so many."""
-        substrings = self.codes.shape[1]
-        near = _APART[code] <= radius // substrings
-        rows = None
-        if (near * self.counts).sum() < len(self.codes):
-            lists = [self.order[self.starts[j, v] : self.starts[j, v + 1], j] for j in range(substrings) for v in np.flatnonzero(near[j])]
-            rows = np.unique(np.concatenate(lists)) if lists else np.empty(0, np.int64)
-            apart = np.bitwise_count(self.wide[rows] ^ self._wide(code)).sum(1)
-            rows = rows[apart <= radius]
-            if len(rows) >= min(least, len(self.codes)):
-                return rows
-        apart = np.bitwise_count(self.wide ^ self._wide(code)).sum(1, dtype=np.int32)
-        if np.count_nonzero(apart <= radius) < least:
-            radius = np.partition(apart, least - 1)[least - 1] if len(apart) > least else apart.max(initial=0)
-        return np.flatnonzero(apart <= radius)
-
-    def _wide(self, code: np.ndarray) -> np.ndarray:
-        return np.pad(code, (0, -len(code) % 8)).view(np.uint64)
-
-
-def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The cosine of each row of x with y in double precision."""
-    return np.einsum("ij,ij->i", x, np.broadcast_to(y, x.shape)) / (np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("i,i", y, y)))
-
-
-def _search(codes: Codes | None, near: int):
+ENCODED = "key long, asks boolean, dim int, subs array<int>, small binary, scale double"
+
+
+def _encode(codes: Codes | None):
+    """key, asks, vec -> with the values of the substrings and the vector as 8-bit numbers times a scale."""
+
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.diff(batch.column(2).offsets.to_numpy())
+            flat, start = batch.column(2).flatten().to_numpy(), np.concatenate([[0], np.cumsum(sizes)])
+            for dim in np.unique(sizes).tolist():
+                at = np.flatnonzero(sizes == dim)
+                x = flat[start[at][:, None] + np.arange(dim)]
+                subs = codes(x) if codes is not None and codes.dim == dim else np.zeros((len(x), SUBSTRINGS), np.int64)
+                unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+                scale = np.abs(unit).max(1) / 127
+                small = np.rint(unit / scale[:, None]).astype(np.int8)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * SUBSTRINGS), pa.array(subs.astype(np.int32).ravel()))
+                own = pa.array(at)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(np.full(len(x), dim, np.int32)), lists, pa.array([v.tobytes() for v in small], pa.binary()), pa.array(scale)], ["key", "asks", "dim", "subs", "small", "scale"])
+
+    return run
+
+
+def lookup(values: np.ndarray, bits: int, asked: np.ndarray, near: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(place in asked, place in values) of all values of `bits` bits that lie within near (for each asked) of an asked one, in steps."""
+    order = np.argsort(values, kind="stable")
+    start = np.concatenate([[0], np.cumsum(np.bincount(values, minlength=1 << bits))])
+    for budget in np.unique(near).tolist():
+        own = np.flatnonzero(near == budget)
+        flips = _VALUES[: 1 << bits][_WEIGHT[: 1 << bits] <= budget].astype(np.int64)
+        width = max(1, STEP // max(len(flips), len(values)))
+        for lo in range(0, len(own), width):
+            part = own[lo : lo + width]
+            found = asked[part][:, None] ^ flips
+            count = start[found + 1] - start[found]
+            i = np.repeat(part, count.sum(1))
+            count, first = count.ravel(), start[found].ravel()
+            place = np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
+            yield i, order[place]
+
+
+def _probe(high: int, told: int):
+    """Rows and queries of one cell -> the `told` best rows for each query by 8-bit vectors."""
+
+    @frugal
     def run(table: pa.Table) -> pa.Table:
-        query = table.column("side").to_numpy() == 1
-        keys = table.column("key").to_numpy()
-        flat = table.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        x = flat.reshape(len(keys), -1)
-        own = codes(x) if codes is not None and codes.dim == x.shape[1] else np.zeros((len(x), 1), np.uint8)
-        rows, id_rows = x[~query], keys[~query]
-        index = Index(own[~query])
-        radius = codes.radius if codes is not None else 0
-        out: list[tuple] = []
-        for k in np.flatnonzero(query) if len(rows) else ():
-            at = index.within(own[k], radius, near + 1)
-            at = at[id_rows[at] != keys[k]]
-            if len(at) < near:  # rows that repeat the query's key took places
-                at = np.flatnonzero(id_rows != keys[k])
-            cos = cosines(rows[at], x[k])
-            if len(at) > 4 * near:
-                keep = cos >= np.partition(cos, len(cos) - near)[len(cos) - near]
-                at, cos = at[keep], cos[keep]
-            best = np.lexsort((id_rows[at], -cos))[:near]
-            out += [(int(keys[k]), int(id_rows[at[b]]), float(cos[b])) for b in best]
-        a, b, c = zip(*out, strict=True) if out else ((), (), ())
-        return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
+        query = table.column("near").is_valid().to_numpy()
+        keys, low = table.column("key").to_numpy(), table.column("sub").to_numpy().astype(np.int64) & ((1 << (BITS - high)) - 1)
+        dim = table.column("dim")[0].as_py()
+        small = np.frombuffer(b"".join(table.column("small").to_pylist()), np.int8).reshape(len(keys), dim)
+        unit = small * table.column("scale").to_numpy().astype(np.float32)[:, None]
+        ask, row = np.flatnonzero(query), np.flatnonzero(~query)
+        near = table.column("near").fill_null(0).to_numpy()[ask]
+        out = []
+        for i, j in lookup(low[row], BITS - high, low[ask], near) if len(ask) and len(row) else ():
+            i, j = ask[i], row[j]
+            other = keys[i] != keys[j]
+            i, j = i[other], j[other]
+            cos = np.empty(len(i), np.float32)
+            for lo in range(0, len(i), 1 << 16):
+                cos[lo : lo + (1 << 16)] = np.einsum("ij,ij->i", unit[i[lo : lo + (1 << 16)]], unit[j[lo : lo + (1 << 16)]])
+            order = np.lexsort((keys[j], -cos, i))
+            first = np.flatnonzero(np.concatenate([[True], i[order][1:] != i[order][:-1]])) if len(i) else np.empty(0, int)
+            rank = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i))))
+            best = order[rank < told]
+            out.append((i[best], j[best], cos[best]))
+        i, j, cos = (np.concatenate([o[k] for o in out]) if out else np.empty(0, kind) for k, kind in enumerate((np.int64, np.int64, np.float32)))
+        return pa.table({"query_id": pa.array(keys[i]), "vec_id": pa.array(keys[j]), "about": pa.array(cos.astype(np.float64))})
 
     return run
 
 
+def _searched(coded: DataFrame, asking: DataFrame, high: int, substrings: int, near_bits: int, told: int) -> DataFrame:
+    """(query_id, vec_id, about): what the cells tell of the queries `asking`, rows of `coded`."""
+    sub = lambda df: df.select("key", "dim", "small", "scale", F.posexplode(F.slice("subs", 1, substrings)).alias("j", "sub"))
+    own = F.shiftright("sub", BITS - high)
+    rows = sub(coded).withColumn("cell", own)
+    masks = [m for m in range(1 << high) if m.bit_count() <= near_bits]
+    flips = F.explode(F.array(*[F.struct(F.lit(m).alias("mask"), F.lit(near_bits - m.bit_count()).alias("near")) for m in masks]))
+    asks = sub(asking).withColumn("flip", flips).withColumn("cell", own.bitwiseXOR(F.col("flip.mask"))).withColumn("near", F.col("flip.near")).drop("flip")
+    # Cells number SUBSTRINGS * 2**MOST_HIGH for each dimension at most; the split of those that hold many rows or queries is joined to both sides.
+    count = lambda df, name: df.groupBy("dim", "j", "cell").agg(F.count("*").alias(name))
+    sizes = materialize(count(rows, "r").join(count(asks, "q"), ["dim", "j", "cell"]), "cells")
+    sizes = sizes.select("dim", "j", "cell", F.ceil(F.col("r") / (2 * ROWS)).alias("rs"), F.ceil(F.col("q") / (2 * QUERIES)).alias("qs"))
+    block = lambda n: F.pmod(F.xxhash64("key"), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    columns = ["dim", "j", "cell", "a", "b", "key", "sub", "small", "scale", "near"]
+    rows = rows.join(sizes, ["dim", "j", "cell"]).withColumn("a", block("rs")).withColumn("b", each("qs")).withColumn("near", F.lit(None).cast("int"))
+    asks = asks.join(sizes, ["dim", "j", "cell"]).withColumn("a", each("rs")).withColumn("b", block("qs"))
+    found = rows.select(columns).unionByName(asks.select(columns)).groupBy("dim", "j", "cell", "a", "b").applyInArrow(_probe(high, told), "query_id long, vec_id long, about double")
+    return materialize(found.groupBy("query_id", "vec_id").agg(F.max("about").alias("about")), "candidates")
+
+
+def cosine(a: Column, b: Column) -> Column:
+    """The cosine of two vectors in double precision."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
+    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
 def nearest(vectors: DataFrame, queries: Column, key: str = "vec_id", vector: str = "embedding", near: int = 5) -> DataFrame:
-    """For each row of vectors for which `queries` holds: query_id, rank, vec_id, score of its `near` nearest found."""
+    """For each row of vectors for which `queries` holds: query_id, rank, vec_id, score of its `near` nearest found, and by_index: whether the indexes alone gave them."""
     prepare(vectors.sparkSession)
     v = F.col(vector)
     whole = F.col(key).isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(v, lambda c: c != 0)
     rows = vectors.where(F.coalesce(whole, F.lit(False))).select(F.col(key).cast("long").alias("key"), F.transform(v, lambda c: c.cast("double")).alias("vec"), F.coalesce(queries, F.lit(False)).alias("asks"))
-    total = rows.agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).first()
-    learned = [r.vec for r in sample(rows.select("key", "vec"), "key", SAMPLE).collect()]
+    # Of equal vectors the least keys are the answers to all: one more than are wanted, as one may be the query's own.
+    copies = F.row_number().over(Window.partitionBy("vec").orderBy("key"))
+    kept = rows.withColumn("copy", copies).where(F.col("copy") <= near + 1).drop("copy", "asks").withColumn("asks", F.lit(False))
+    kept = materialize(kept.unionByName(rows.where("asks").dropDuplicates(["key"])), "vectors")
+    learned = [r.vec for r in sample(kept.where("not asks").select("key", "vec"), "key", SAMPLE).collect()]
     codes = None
     if learned:
         sizes, times = np.unique([len(v) for v in learned], return_counts=True)
-        dim = int(sizes[times.argmax()])
-        codes = fit(np.array([v for v in learned if len(v) == dim]), near)
-    many, asked = max(1, -(-total.n // ROWS)), max(1, -(-total.q // QUERIES))
-    place = lambda salt, n: F.pmod(F.xxhash64("key", F.lit(salt)), F.lit(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    data = rows.select(F.lit(0).alias("side"), "key", "vec", place(1, many).alias("d"), every(asked).alias("q"))
-    asks = rows.where("asks").select(F.lit(1).alias("side"), "key", "vec", every(many).alias("d"), place(2, asked).alias("q"))
-    pairs = data.unionByName(asks).withColumn("dim", F.size("vec"))
-    found = pairs.groupBy("d", "q", "dim").applyInArrow(_search(codes, near), "query_id long, vec_id long, score double")
+        codes = fit(np.array([v for v in learned if len(v) == sizes[times.argmax()]]), near)
+    high = max(0, min(MOST_HIGH, (kept.count() // ROWS).bit_length()))
+    coded = materialize(kept.select("key", "asks", "vec").mapInArrow(_encode(codes), ENCODED), "codes")
+    data, asks = coded.where("not asks"), coded.where("asks")
+    found = _searched(data, asks, high, SUBSTRINGS, codes.near_bits if codes else BITS, TOLD * near)
+    # Queries that found too few look up every value of the first index.
+    few = asks.join(found.groupBy(F.col("query_id").alias("key")).agg(F.count("*").alias("n")).where(F.col("n") >= near), "key", "left_anti")
+    found = found.withColumn("by_index", F.lit(True))
+    few = materialize(few, "few")
+    if not few.isEmpty():
+        late = _searched(data, few, high, 1, BITS, TOLD * near).withColumn("by_index", F.lit(False))
+        found = found.join(few.select(F.col("key").alias("query_id")), "query_id", "left_anti").unionByName(late)
+    about = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("about"), "vec_id"))
+    best = found.withColumn("at", about).where(F.col("at") <= RANKED * near).select("query_id", "vec_id", "by_index")
+    side = lambda asks, name, own: kept.where("asks" if asks else "not asks").select(F.col("key").alias(name), F.col("vec").alias(own))
+    scored = best.join(side(True, "query_id", "x"), "query_id").join(side(False, "vec_id", "y"), "vec_id").where(F.size("x") == F.size("y"))
+    scored = scored.select("query_id", "vec_id", "by_index", cosine(F.col("x"), F.col("y")).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= near).select("query_id", "rank", "vec_id", "score")
+    return scored.withColumn("rank", rank).where(F.col("rank") <= near).select("query_id", "rank", "vec_id", "score", "by_index")
