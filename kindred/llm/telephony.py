@@ -1,11 +1,13 @@
 """Media columns: 8-bit telephony audio in WAV containers.
 
 `store` turns bytes into mu-law samples of a WAV file (8 kHz, one channel, one byte a sample, so nothing is lost); `read`
-parses such a file again. `expand_mu`, `expand_a` are lookup tables of 256 16-bit values; `decode_adpcm` decodes IMA ADPCM
-blocks step by step with every step done for all blocks at once; `resample` doubles the rate by a fixed half-band filter in
-whole numbers. `media_column` and `telephony` are the Spark operators; each text is one file, so every task works on its own rows.
+parses such a file again. `expand_mu`, `expand_a` are lookup tables of 256 16-bit values; `encode_adpcm` and `decode_adpcm` go
+through IMA ADPCM blocks step by step with every step done for all blocks at once; `resample` doubles the rate by a fixed half-band
+filter in whole numbers. `media_column`, `resampled` and `telephony` are the Spark operators; each text is one file, so every task
+works on its own rows.
 
-Null and empty texts are 64 zero bytes. Repeated rows give repeated results; an empty table gives an empty table.
+Null and empty texts are 64 zero bytes. Very long texts are one file each. Repeated rows give repeated results; an empty table
+gives an empty table; other columns are left out of the report, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import prepare
+from kindred.llm.common import frugal, prepare
 
 RATE = 8000
 BLOCK = 64
@@ -95,6 +97,34 @@ def decode_adpcm(data: np.ndarray, block: int = BLOCK) -> np.ndarray:
     return out
 
 
+def encode_adpcm(pcm: np.ndarray, block: int = BLOCK) -> np.ndarray:
+    """Rows of 2 * (block - 4) + 1 samples -> rows of `block` bytes that decode_adpcm reads: each code takes the sample as near as its step allows."""
+    out = np.zeros((len(pcm), block), np.uint8)
+    for lo in range(0, len(pcm), BLOCKS):
+        part = np.ascontiguousarray(pcm[lo : lo + BLOCKS].T).astype(np.int32)
+        sample, at = part[0].copy(), np.zeros(part.shape[1], np.int32)
+        codes = np.empty((part.shape[0] - 1, part.shape[1]), np.uint8)
+        for k, wanted in enumerate(part[1:]):
+            apart = wanted - sample
+            # A code's three low bits count quarters of the step, at most seven.
+            code = np.minimum((np.abs(apart) << 2) // STEPS[at >> 4], 7).astype(np.int32) | (apart < 0) << 3
+            at += code
+            sample += CHANGE[at]
+            np.clip(sample, -32768, 32767, out=sample)
+            at = NEXT[at]
+            codes[k] = code
+        rows = out[lo : lo + BLOCKS]
+        rows[:, 0], rows[:, 1] = part[0] & 255, (part[0] >> 8) & 255
+        rows[:, 4:] = (codes[0::2] | codes[1::2] << 4).T
+    return out
+
+
+def blocks_of(pcm: np.ndarray, block: int = BLOCK) -> np.ndarray:
+    """Samples as rows for encode_adpcm; the last sample is held to fill the last row."""
+    width = 2 * (block - 4) + 1
+    return np.concatenate([pcm, np.full(-len(pcm) % width, pcm[-1] if len(pcm) else 0, pcm.dtype)]).reshape(-1, width)
+
+
 def resample(pcm: np.ndarray) -> np.ndarray:
     """Twice the rate: each sample, then the value half way to the next by the taps -1, 9, 9, -1 over 16; ends are held."""
     if not len(pcm):
@@ -137,6 +167,7 @@ def padded(text: bytes) -> bytes:
     return text + b"\0" * ((-len(text)) % BLOCK or (0 if text else BLOCK))
 
 
+@frugal
 def media_file(texts: pa.Array) -> pa.Array:
     raw = texts.fill_null("").cast(pa.binary())
     return pa.array([store(padded(x.as_py())) for x in raw], pa.binary())
@@ -144,50 +175,48 @@ def media_file(texts: pa.Array) -> pa.Array:
 
 FEATURES = pa.struct([
     ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()),
-    ("media_sha256", pa.string()), ("feature", pa.string()),
+    ("media_sha256", pa.string()), ("feature", pa.string()), ("pcm", pa.binary()),
 ])
+TOLD = "struct<payload_bytes:bigint,payload_sha256:string,tail_crc32:bigint,media_bytes:bigint,media_sha256:string,feature:string,pcm:binary>"
 
 
-def features(media: bytes) -> tuple:
-    """What is told of a file, all from its own bytes."""
+def features(media: bytes) -> tuple[tuple, np.ndarray]:
+    """What is told of a file, all from its own bytes, and its samples."""
     law, samples = read(media)
     codes = np.frombuffer(samples, np.uint8)
-    pcm = (expand_mu if law == 7 else expand_a)(codes)
-    other = (expand_a if law == 7 else expand_mu)(codes)
-    wide = pcm.astype(np.int32)
-    up = resample(pcm)
+    table, other = (MU_LAW, A_LAW) if law == 7 else (A_LAW, MU_LAW)
+    pcm = table[codes]
     counts = np.bincount(codes, minlength=256)
     told = (
-        f"peak={int(np.abs(wide).max(initial=0))};energy={int(counts @ MU_LAW.astype(np.int64) ** 2) if law == 7 else int(counts @ A_LAW.astype(np.int64) ** 2)}"
-        f";crossings={int(np.count_nonzero((pcm[1:] < 0) != (pcm[:-1] < 0)))};other={zlib.crc32(other)};pcm16k={zlib.crc32(up)}"
+        f"peak={int(np.abs(pcm.astype(np.int32)).max(initial=0))};energy={int(counts @ table.astype(np.int64) ** 2)}"
+        f";crossings={int(np.count_nonzero((pcm[1:] < 0) != (pcm[:-1] < 0)))};other={zlib.crc32(other[codes])}"
     )
-    return len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), told
-
-
-TOLD = "struct<payload_bytes:bigint,payload_sha256:string,tail_crc32:bigint,media_bytes:bigint,media_sha256:string,feature:string>"
+    return (len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), told), pcm
 
 
+@frugal
 def media_features(media: pa.Array) -> pa.Array:
-    rows = [x.as_py() for x in media]
-    told = [features(x) for x in rows]
-    # All files' ADPCM blocks are decoded together, whatever file they are of.
-    payload = [np.frombuffer(read(x)[1], np.uint8) for x in rows]
+    """What is told of each file, with its samples at twice the rate to be stored. All files' ADPCM blocks are coded together, whatever file they are of."""
+    told, out = [features(x.as_py()) for x in media], []
     lo = 0
-    while lo < len(rows):
+    while lo < len(told):
         hi, n = lo, 0
-        while hi < len(rows) and (hi == lo or n + len(payload[hi]) <= BLOCKS * BLOCK):
-            n += len(payload[hi])
+        while hi < len(told) and (hi == lo or n + len(told[hi][1]) <= BLOCKS * BLOCK):
+            n += len(told[hi][1])
             hi += 1
-        samples = decode_adpcm(np.concatenate(payload[lo:hi]))
+        rows = [blocks_of(pcm) for _, pcm in told[lo:hi]]
+        heard = decode_adpcm(encode_adpcm(np.concatenate(rows)).ravel())
         at = 0
-        for k in range(lo, hi):
-            own = samples[at : at + len(payload[k]) // BLOCK]
+        for (about, pcm), own in zip(told[lo:hi], rows, strict=True):
+            again = heard[at : at + len(own)].ravel()[: len(pcm)]
             at += len(own)
-            told[k] = (*told[k][:5], f"{told[k][5]};adpcm={zlib.crc32(own)}")
+            away = int(np.abs(again.astype(np.int64) - pcm).sum())
+            out.append((*about[:5], f"{about[5]};adpcm={zlib.crc32(again)};adpcm_away={away}", resample(pcm).tobytes()))
         lo = hi
-    return pa.array([dict(zip([f.name for f in FEATURES], x, strict=True)) for x in told], FEATURES)
+    return pa.array([dict(zip([f.name for f in FEATURES], x, strict=True)) for x in out], FEATURES)
 
 
+@frugal
 def pcm_16k(media: pa.Array) -> pa.Array:
     out = []
     for x in media:
@@ -210,4 +239,7 @@ def resampled(media: Column) -> Column:
 def telephony(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each document: the digests of its stored form and of what is read back from that, and features of the audio."""
     files = media_column(docs.select(key, F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long").alias("n_bytes"), text), text)
-    return files.select(key, "n_bytes", F.arrow_udf(media_features, TOLD)("media").alias("told")).select(key, "n_bytes", "told.*")
+    told = files.select(key, "n_bytes", F.arrow_udf(media_features, TOLD)("media").alias("told")).select(key, "n_bytes", "told.*")
+    # The resampled samples are a column, and these figures are read back from it.
+    about = F.concat_ws(";", "feature", F.concat(F.lit("pcm16k="), F.crc32("pcm")))
+    return told.withColumn("feature", about).withColumn("pcm_bytes", F.octet_length("pcm").cast("long")).withColumn("pcm_sha256", F.sha2("pcm", 256)).drop("pcm")

@@ -50,6 +50,53 @@ def test_telephony(spark, sf_dir, documents, odd, odd_rows, none):
     assert telephony.telephony(none).count() == 0
 
 
+def plain_adpcm(samples):
+    """IMA ADPCM through an encoder and its decoder, a sample at a time: what is heard of each block of 121 samples."""
+    heard = []
+    for lo in range(0, len(samples), 121):
+        block = samples[lo : lo + 121]
+        sample, index = block[0], 0
+        heard.append(sample)
+        for wanted in block[1:]:
+            step = int(telephony.STEPS[index])
+            code = min(abs(wanted - sample) * 4 // step, 7)
+            change = (step >> 3) + (step if code & 4 else 0) + (step >> 1 if code & 2 else 0) + (step >> 2 if code & 1 else 0)
+            sample = max(-32768, min(32767, sample - change if wanted < sample else sample + change))
+            index = max(0, min(88, index + telephony.INDEX_CHANGE[code]))
+            heard.append(sample)
+    return heard
+
+
+def plain_feature(payload):
+    """The feature string and the resampled samples of a payload as mu-law, by plain Python."""
+    def mu(code):
+        code = ~code & 255
+        size = ((((code & 15) << 3) + 0x84) << ((code >> 4) & 7)) - 0x84
+        return -size if code & 128 else size
+
+    def a_law(code):
+        code ^= 0x55
+        part, size = (code >> 4) & 7, ((code & 15) << 4) + 8
+        size = (size + 0x100) << (part - 1) if part else size
+        return size if code & 128 else -size
+
+    pcm = [mu(c) for c in payload]
+    ends = [pcm[0], *pcm, pcm[-1], pcm[-1]]
+    up = [x for k, p in enumerate(pcm) for x in (p, max(-32768, min(32767, (9 * (ends[k + 1] + ends[k + 2]) - ends[k] - ends[k + 3] + 8) >> 4)))]
+    heard = plain_adpcm(pcm)
+    raw = lambda x: np.array(x, "<i2").tobytes()
+    told = f"peak={max(map(abs, pcm))};energy={sum(p * p for p in pcm)};crossings={sum((a < 0) != (b < 0) for a, b in zip(pcm, pcm[1:], strict=False))};other={zlib.crc32(raw([a_law(c) for c in payload]))}"
+    return told + f";adpcm={zlib.crc32(raw(heard))};adpcm_away={sum(abs(a - b) for a, b in zip(heard, pcm, strict=True))};pcm16k={zlib.crc32(raw(up))}", raw(up)
+
+
+def test_telephony_features(spark, sf_dir, documents):
+    rows = queries.op4_telephony(spark, sf_dir).collect()
+    some = sorted(rows, key=lambda r: (r.n_bytes, r.doc_id))
+    for r in [*some[:6], *some[:: len(some) // 25], some[-1]]:
+        told, up = plain_feature(telephony.padded((documents[r.doc_id] or "").encode()))
+        assert (r.feature, r.pcm_bytes, r.pcm_sha256) == (told, len(up), hashlib.sha256(up).hexdigest())
+
+
 def test_audio():
     assert (telephony.MU_LAW[0], telephony.MU_LAW[128], telephony.MU_LAW[255], telephony.A_LAW[0x55], telephony.A_LAW[0xD5], telephony.A_LAW[0x2A]) == (-32124, 32124, 0, -8, 8, -32256)
     data = np.random.default_rng(1).integers(0, 256, 64 * 40, dtype=np.uint8)
