@@ -12,7 +12,8 @@ as their tokens fit in the rest. The order is that of a hash of seed, epoch and
 hash ranges; only the documents of the one range that the end falls in are ordered, so no leaf is ordered by one task.
 
 Tokens are words (runs of other than white space). Null or empty texts and null keys have none and are never chosen; null
-language or source are values of their own. Rows that repeat are chosen or left together, up to the prefix's end.
+language or source are values of their own. Very long texts are counted whole. Rows that repeat a key are chosen or left together,
+and ties in the seeded order go by key. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,14 +26,14 @@ from pyspark.sql import functions as F
 
 from kindred.llm.common import materialize, prepare
 
-#: Rows that a hash range of a leaf holds on average, as counted over all rows.
-RANGE = 1000
+#: Rows that a hash range of a leaf holds on average, as counted over all rows, up to so many ranges; beyond that they hold more.
+RANGE, MOST_RANGES = 1000, 1 << 20
 LEVELS = ("domain", "lang", "source")
 
 
 @dataclass(frozen=True)
 class Targets:
-    """Whole-number weights by name for each level (others get `other`), the share of all tokens wanted, epochs allowed."""
+    """Whole-number weights by name for each level (others get `other`; 0 leaves a name out), the share wanted of the tokens that take part, epochs allowed."""
 
     weights: Mapping[str, Mapping[str, int]] = field(default_factory=dict)
     other: int = 10
@@ -80,7 +81,9 @@ def divide(nodes: DataFrame, family: list[str]) -> DataFrame:
 
 
 def budgets(leaves: DataFrame, targets: Targets) -> DataFrame:
-    """leaves (domain, lang, source, tokens) with budget: the tree's division, from the root down."""
+    """leaves (domain, lang, source, tokens) with budget: the tree's division, from the root down. Leaves of weight 0 at any level are left out."""
+    for level in LEVELS:
+        leaves = leaves.where(targets.weight(level) > 0)
     leaves = leaves.withColumn("offer", F.col("tokens") * targets.epochs)
     wanted = leaves.agg(F.expr(f"sum(tokens) * {targets.share[0]} div {targets.share[1]}").alias("wanted"))
     above: DataFrame | None = None
@@ -116,7 +119,7 @@ def _ends(slim: DataFrame, targets: Targets) -> tuple[DataFrame, int]:
     leaves = budgets(slim.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")), targets)
     leaves = leaves.withColumn("whole", F.expr("budget div tokens")).withColumn("rest", F.expr("budget % tokens"))
     leaves = materialize(leaves, "leaves")
-    ranges = max(1, -(-slim.count() // RANGE))
+    ranges = min(max(1, -(-slim.count() // RANGE)), MOST_RANGES)
     same = lambda a, b: [F.col(f"{a}{c}").eqNullSafe(F.col(f"{b}{c}")) for c in LEVELS]
     own = [F.col(f"l_{c}") for c in LEVELS]
     tag = leaves.select(*[F.col(c).alias(f"l_{c}") for c in LEVELS], "whole", "rest")
