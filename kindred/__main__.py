@@ -1,4 +1,4 @@
-"""python -m kindred run --sources PATHS [--config FILE] [--out FOLDER] [--store FOLDER] [--linkedin-url URL]"""
+"""python -m kindred run --sources PATHS [--config FILE] [--out FOLDER] [--store FOLDER] [--linkedin-url URL] [--linkedin-profiles FOLDER] [--github-url URL] [--github-base URL]"""
 
 from __future__ import annotations
 
@@ -22,22 +22,37 @@ def main(argv: list[str] | None = None) -> int:
     run.add_argument("--out")
     run.add_argument("--store")
     run.add_argument("--linkedin-url")
+    run.add_argument("--linkedin-profiles", help="a folder of linkedin_<slug>.json")
+    run.add_argument("--github-url")
+    run.add_argument("--github-base", default="https://api.github.com/users", help="where profiles are fetched; a file: URL needs no network")
     args = top.parse_args(argv)
     paths, warnings = readers.resolve_paths(args.sources)
     for w in warnings:
         print(w, file=sys.stderr)
-    if not paths and not args.linkedin_url:
+    if not paths and not args.linkedin_url and not args.github_url:
         print("there are no sources", file=sys.stderr)
         return 1
     spark = SparkSession.builder.appName("kindred").getOrCreate()
     sources = readers.file_sources(spark, paths)
-    if args.linkedin_url:
-        sources = sources.unionByName(readers.link_sources(spark, linkedin=args.linkedin_url, first=len(paths)))
+    github = linkedin = None
+    if args.linkedin_url or args.github_url:
+        sources = sources.unionByName(readers.link_sources(spark, args.github_url, args.linkedin_url, len(paths)))
+    if args.github_url:
+        spark.dataSource.register(readers.GithubProfiles)
+        github = spark.read.format("github_profiles").options(users=args.github_url.rstrip("/").rsplit("/", 1)[-1], base=args.github_base).load()
+    if args.linkedin_profiles:
+        linkedin = readers.stored_profiles(spark, args.linkedin_profiles)
     config = DEFAULT
     if args.config:
         with open(args.config) as f:
             config = parse_config(f.read())
-    result = run_pipeline(spark, sources, config, Store(spark, args.store) if args.store else None)
+    store = Store(spark, args.store) if args.store else None
+    if store and not store.writable():
+        print("the store can't be written; the run is not stored", file=sys.stderr)
+        store = None
+    result = run_pipeline(spark, sources, config, store, github, linkedin)
+    for row in result.warnings.toLocalIterator():
+        print(f"{row.stage}: {row.subject}: {row.message}", file=sys.stderr)
     lines = as_json(result.projected, config)
     if args.out:
         lines.write.mode("overwrite").text(args.out)

@@ -7,31 +7,12 @@ before, which gives the same roots as links to all holders and stays linear for
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.functions import fuzzy
 from kindred.functions.scalars import folded, trimmed
-
-
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """df as a written table in the folder of spark.checkpoint.dir; its lineage ends there."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="kindred-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from kindred.plans.tables import kept
 
 
 def key_links(records: DataFrame, values: str) -> DataFrame:

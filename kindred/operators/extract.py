@@ -12,7 +12,7 @@ from kindred.functions.scalars import slug_name
 from kindred.operators import resume
 
 JOBS = "array<struct<company:string,title:string,start:string,end:string,summary:string>>"
-SCHOOLS = "array<struct<institution:string,degree:string,field:string,end_year:int>>"
+SCHOOLS = "array<struct<institution:string,degree:string,field:string,end_year:string>>"
 #: All members that any source has; what a source lacks is null.
 FIELDS = {
     "name": "string", "email": "string", "emails": "array<string>", "phone": "string", "phones": "array<string>", "current_company": "string", "title": "string",
@@ -105,19 +105,35 @@ def github_records(users: DataFrame, repos: DataFrame) -> DataFrame:
     return rows.select(F.concat(F.lit("github:"), "user").alias("source_id"), F.lit("github_api").alias("source_type"), told.alias("r")).select("source_id", "source_type", "r.*")
 
 
+#: A cell and a record of CSV with the delimiter D: a quoted cell may hold delimiters, line feeds and doubled quotes.
+_CELL = r'(?:"[^"]*+(?:""[^"]*+)*+"[^D\r\n]*+|[^D\r\n]*+)'
+_RECORD = rf"{_CELL}(?:D{_CELL})*+(?:\r\n|\n|\r|\z)"
+#: A cell with the delimiter before it.
+_EACH = f"D{_CELL}"
+#: A file whose first record has one of these as its delimiter; the first that it holds counts.
+DELIMITERS = (",", ";", "\t", "|")
+
+
 def csv_rows(sources: DataFrame) -> DataFrame:
-    """A row for each record of CSV sources (source_pos, source_id, text): the header names the columns; quotes may hold commas, not line feeds."""
-    rows = sources.select("source_pos", "source_id", F.filter(F.split("text", r"\r?\n"), lambda x: F.trim(x) != "").alias("lines"))
-    head = F.transform(F.split(F.regexp_replace(F.col("lines")[0], "^﻿", ""), r"[,;\t]"), lambda h: F.trim(F.regexp_replace(h, '"', "")))
-    mark = F.when(F.col("lines")[0].contains(","), ",").when(F.col("lines")[0].contains(";"), ";").otherwise("\t")
-    rows = rows.where(F.size("lines") > 1).select("source_pos", "source_id", head.alias("head"), mark.alias("mark"), F.posexplode(F.slice("lines", 2, 1_000_000_000)).alias("row_pos", "line"))
-    cell = lambda c: F.regexp_replace(F.regexp_replace(c, r'^\s*"(.*)"\s*$', "$1"), '""', '"')
-    outside = r'(?=(?:[^"]*"[^"]*")*[^"]*$)'
-    cells = F.when(F.col("mark") == ",", F.split("line", "," + outside)).when(F.col("mark") == ";", F.split("line", ";" + outside)).otherwise(F.split("line", "\t" + outside))
-    by = F.map_from_arrays(F.array_distinct("head"), F.slice(F.concat(F.transform(cells, cell), F.array_repeat(F.lit(None).cast("string"), 100)), 1, F.size(F.array_distinct("head"))))
-    rows = rows.withColumn("by", by)
+    """A row for each record of CSV sources (source_pos, source_id, text): the first record names the columns, of which the first of a name counts.
+
+    Quoted cells may hold delimiters, line feeds and doubled quotes. Empty lines are no records; a short row lacks its last cells,
+    and cells beyond the header are left out.
+    """
+    text = F.regexp_replace("text", "^\ufeff", "")
+    line = F.regexp_extract(text, r"^[^\r\n]*", 0)
+    mark = F.lit(DELIMITERS[0])
+    for d in reversed(DELIMITERS):
+        mark = F.when(line.contains(d), d).otherwise(mark)
+    known = lambda pattern: F.replace(F.lit(pattern), F.lit("D"), F.concat(F.lit("\\"), F.col("mark")))
+    rows = sources.select("source_pos", "source_id", text.alias("text"), mark.alias("mark"))
+    rows = rows.withColumn("records", F.filter(F.transform(F.regexp_extract_all("text", known(_RECORD), F.lit(0)), lambda r: F.regexp_replace(r, r"[\r\n]+$", "")), lambda r: ~r.isin("", '""')))
+    quoted = lambda c: F.when(c.startswith('"') & (F.length(c) > 1), F.regexp_replace(F.regexp_replace(c, r'(?s)^"(.*)"[^"]*$', "$1"), '""', '"')).otherwise(c)
+    cells = lambda record: F.transform(F.regexp_extract_all(F.concat("mark", record), known(_EACH), F.lit(0)), lambda c: quoted(F.substr(c, F.lit(2))))
+    rows = rows.where(F.size("records") > 1).select("source_pos", "source_id", "mark", cells(F.col("records")[0]).alias("head"), F.posexplode(F.slice("records", 2, 1_000_000_000)).alias("row_pos", "record"))
+    rows = rows.withColumn("cells", cells(F.col("record")))
     names = ("name", "email", "phone", "current_company", "title")
-    rows = rows.withColumn("row", F.struct(*[F.try_element_at("by", F.lit(n)).alias(n) for n in names]))
+    rows = rows.withColumn("row", F.struct(*[F.get("cells", (F.array_position("head", n) - 1).cast("int")).alias(n) for n in names]))
     return rows.select("source_pos", "row_pos", F.concat("source_id", F.lit("#row"), F.col("row_pos").cast("string")).alias("source_id"), F.lit("recruiter_csv").alias("source_type"), csv_record(F.col("row")).alias("r"))
 
 
@@ -141,9 +157,32 @@ def with_fixtures(sources: DataFrame, fixtures: DataFrame) -> DataFrame:
     return rows.withColumn("text", F.when(found, F.col("__body")).otherwise(F.col("text"))).withColumn("url", F.when(~found, F.col("url"))).drop("__slug", "__body")
 
 
+def github_user(url: Column, text: Column) -> Column:
+    """The user of a GitHub link, or the text itself."""
+    link = F.trim(F.coalesce(_some(url), text, F.lit("")))
+    return F.when(link.contains("github.com"), F.regexp_extract(link, r"github\.com/+([^/?#\s]+)", 1)).otherwise(link)
+
+
+def _github(s: DataFrame) -> DataFrame:
+    """By the fetched profile in the column `profile`, if there is one; else a record without members and confidence 0."""
+    user = github_user(F.col("url"), F.col("text"))
+    name = F.when(user == "", F.col("source_id")).otherwise(F.concat(F.lit("github:"), user))
+    told = F.col("profile") if "profile" in s.columns else record(F.lit(0.0))
+    return s.select("source_pos", F.lit(0).alias("row_pos"), name.alias("source_id"), "source_type", F.coalesce(told, record(F.lit(0.0))).alias("r"))
+
+
+def with_profiles(sources: DataFrame, profiles: DataFrame) -> DataFrame:
+    """sources whose GitHub link has a fetched profile (user, name, email, bio, html_url, blog, public_repos, languages) get its record as `profile`."""
+    page = F.coalesce(_some(F.col("html_url")), F.concat(F.lit("https://github.com/"), F.col("user")))
+    told = record(F.lit(0.8), name=_some(F.col("name")), email=_some(F.col("email")), bio=_some(F.col("bio")), github=page, portfolio=_some(F.col("blog")), public_repos=F.coalesce("public_repos", F.lit(0)), languages=F.coalesce("languages", F.array().cast("array<string>")))
+    own = profiles.where("not failed" if "failed" in profiles.columns else "true").select(F.col("user").alias("__user"), told.alias("profile")).dropDuplicates(["__user"])
+    same = (F.col("source_type") == "github_api") & (github_user(F.col("url"), F.col("text")) == F.col("__user"))
+    return sources.join(own, same, "left").drop("__user")
+
+
 #: Extractors by source type; add one to read another type. Binary documents come as text: see kindred.sources.documents.
 EXTRACTORS: dict[str, Callable[[DataFrame], DataFrame]] = {
-    "recruiter_csv": csv_rows, "ats_json": _whole(ats_record), "linkedin_json": _linkedin, "resume_pdf": _whole(lambda t: resume_record(t, 0.7)),
+    "recruiter_csv": csv_rows, "github_api": _github, "ats_json": _whole(ats_record), "linkedin_json": _linkedin, "resume_pdf": _whole(lambda t: resume_record(t, 0.7)),
     "resume_docx": _whole(lambda t: resume_record(t, 0.7)), "recruiter_notes": _whole(lambda t: resume_record(t, 0.3)),
 }
 

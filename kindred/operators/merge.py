@@ -62,8 +62,8 @@ def listed(found: DataFrame, name: str) -> DataFrame:
 
 
 def list_provenance(found: DataFrame, name: str) -> DataFrame:
-    """A row for each element and occurrence; the method is always `direct`."""
-    return found.join(united(found).select("group_id", "value", "idx"), ["group_id", "value"]).select("group_id", F.lit(name).alias("field"), "idx", (F.col("rec_ord") * 1000 + F.col("pos")).alias("seq"), F.col("source_id").alias("source"), F.lit("direct").alias("method"))
+    """A row for each element and occurrence; the method is always `direct`. seq: record and place."""
+    return found.join(united(found).select("group_id", "value", "idx"), ["group_id", "value"]).select("group_id", F.lit(name).alias("field"), "idx", F.struct("rec_ord", F.col("pos").cast("long").alias("pos")).alias("seq"), F.col("source_id").alias("source"), F.lit("direct").alias("method"))
 
 
 def candidate_ids(records: DataFrame) -> DataFrame:
@@ -131,11 +131,12 @@ def united_provenance(merged: DataFrame, name: str) -> DataFrame:
 
 
 def provenance(records: DataFrame) -> DataFrame:
-    """(group_id, field, idx, seq, source, method) of all fields. Locations count only if a group has one."""
+    """(group_id, field, idx, seq, source, method) of all fields; seq is a struct, by which an element's sources are ordered. Locations count only if a group has one."""
     values = scalar_values(records)
     jobs, schools = jobs_of(records), schools_of(records)
-    parts = [scalar_provenance(values), list_provenance(occurrences(records, "links.other"), "links.other"), list_provenance(occurrences(records, "emails"), "emails"), list_provenance(occurrences(records, "phones"), "phones")]
-    parts += [united_provenance(merged_skills(skill_occurrences(records)), "skills"), united_provenance(merged_experience(jobs), "experience"), united_provenance(merged_education(schools), "education")]
+    own = [scalar_provenance(values), united_provenance(merged_skills(skill_occurrences(records)), "skills"), united_provenance(merged_experience(jobs), "experience"), united_provenance(merged_education(schools), "education")]
+    parts = [p.withColumn("seq", F.struct(F.col("seq").alias("rec_ord"), F.lit(0).cast("long").alias("pos"))) for p in own]
+    parts += [list_provenance(occurrences(records, name), name) for name in ("links.other", "emails", "phones")]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

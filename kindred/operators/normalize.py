@@ -32,7 +32,7 @@ def normalized(raw: DataFrame, keep_current_job: bool = False, resume_links: boo
     if keep_current_job:
         own = F.array(F.struct(trimmed(f["current_company"]).alias("company"), trimmed(filled(f["title"], F.lit(NO_TITLE))).alias("title"), F.lit(None).cast("string").alias("start"), F.lit(None).cast("string").alias("end"), F.lit(None).cast("string").alias("summary")))
         jobs = F.when(filled(f["current_company"]).isNotNull(), F.concat(jobs, own)).otherwise(jobs)
-    schools = F.transform(F.coalesce(f["education"], F.array().cast(raw.schema["fields"].dataType["education"].dataType)), lambda s: F.struct(trimmed(filled(s["institution"], F.lit(NO_SCHOOL))).alias("institution"), trimmed(s["degree"]).alias("degree"), trimmed(s["field"]).alias("field"), s["end_year"].alias("end_year")))
+    schools = F.transform(F.coalesce(f["education"], F.array().cast(raw.schema["fields"].dataType["education"].dataType)), lambda s: F.struct(trimmed(filled(s["institution"], F.lit(NO_SCHOOL))).alias("institution"), trimmed(s["degree"]).alias("degree"), trimmed(s["field"]).alias("field"), F.regexp_extract(s["end_year"], r"^\s*([+-]?\d+)", 1).try_cast("int").alias("end_year")))
     out = raw.select(
         "rec_ord", "source_id", "source_type", "raw_confidence", trimmed(f["name"]).alias("full_name"), email_list(_list(f["emails"], f["email"])).alias("emails"), phone_list(_list(f["phones"], f["phone"])).alias("phones"),
         F.when(F.coalesce(filled(f["city"]), filled(f["region"]), filled(f["country"])).isNotNull(), place).alias("location"),

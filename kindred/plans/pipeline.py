@@ -11,6 +11,7 @@ from kindred.operators import cluster, confidence, extract, merge, normalize
 from kindred.plans.config import DEFAULT, KindredError, OutputConfig
 from kindred.plans.project import accepted, canonical_faults, checked, projected
 from kindred.plans.store import Store
+from kindred.plans.tables import kept
 from kindred.sources import readers
 from kindred.sources.detect import detect_sources
 
@@ -25,29 +26,34 @@ class PipelineResult:
 
 
 def typed_text(sources: DataFrame) -> DataFrame:
-    """sources with their type and text; PDF and DOCX are read in tasks, other content is plain text."""
+    """sources with their type and text, without the content; PDF and DOCX are read in tasks, other content is plain text."""
     typed = detect_sources(sources)
     binary = F.col("source_type").isin("resume_pdf", "resume_docx")
     parsed = F.arrow_udf(readers.documents_text, "string")(F.col("content"), F.col("source_type"))
     plain = typed.where(~binary)
-    return plain.unionByName(typed.where(binary).withColumn("text", parsed))
+    return plain.unionByName(typed.where(binary).withColumn("text", parsed)).drop("content")
 
 
-def run_pipeline(spark: SparkSession, sources: DataFrame, config: OutputConfig = DEFAULT, store: Store | None = None, github: DataFrame | None = None) -> PipelineResult:
-    """Detects, extracts, normalizes, clusters, merges, scores, checks and projects. github: raw records of fetched profiles (source_pos, source_id, source_type, r)."""
-    if sources.isEmpty() and github is None:
+def run_pipeline(spark: SparkSession, sources: DataFrame, config: OutputConfig = DEFAULT, store: Store | None = None, github: DataFrame | None = None, linkedin: DataFrame | None = None) -> PipelineResult:
+    """Detects, extracts, normalizes, clusters, merges, scores, checks and projects.
+
+    github: fetched profiles as the `github_profiles` reader gives them; linkedin: stored profiles (slug, body). Both are joined to
+    the sources that are links to them. A link without a profile gives an empty record, or one by its slug, and a warning.
+    """
+    if sources.isEmpty():
         raise KindredError("MISSING_INPUT", "there are no sources", 400)
     run_id = store.start(config) if store else "no-persist-run"
     try:
-        raw = extract.raw_records(typed_text(sources))
+        typed = typed_text(sources)
+        if linkedin is not None:
+            typed = extract.with_fixtures(typed, linkedin)
         if github is not None:
-            own = github.select((F.col("source_pos").cast("long") * (1 << 32)).alias("rec_ord"), "source_pos", F.lit(0).alias("row_pos"), "source_id", "source_type", "r.raw_confidence", "r.fields")
-            raw = raw.unionByName(own)
-        raw = cluster.kept(raw, "raw")
-        records = cluster.kept(normalize.normalized(raw), "records")
-        grouped = cluster.kept(cluster.cluster(records), "grouped")
+            typed = extract.with_profiles(typed, github)
+        raw = kept(extract.raw_records(kept(typed, "typed")), "raw")
+        records = kept(normalize.normalized(raw), "records")
+        grouped = kept(cluster.cluster(records), "grouped")
         profiles = confidence.scored(merge.profiles(grouped), merge.provenance(grouped), grouped)
-        judged = cluster.kept(canonical_faults(profiles), "profiles")
+        judged = kept(canonical_faults(profiles), "profiles")
         good = judged.where(F.size("faults") == 0).drop("faults")
         out = checked(projected(good, config, ("group_id",)), config)
         told = [

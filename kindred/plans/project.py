@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -153,10 +155,35 @@ def checked(out: DataFrame, config: OutputConfig) -> DataFrame:
     return out
 
 
+def _text(c: Column) -> Column:
+    """The JSON of a value of any type."""
+    whole = F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false"})
+    return F.substr(whole, F.lit(6), F.length(whole) - 6)
+
+
+def _without_missing(c: Column, paths: list[str]) -> Column:
+    """The JSON of a struct whose members at the paths are left out if they are null; what lies below a path is whole."""
+    heads: dict[str, list[str]] = {}
+    for p in paths:
+        head, _, rest = p.partition(".")
+        heads.setdefault(head, []).append(rest)
+    members = []
+    for head, rest in heads.items():
+        own = c[head] if rest == [""] else _without_missing(c[head], rest)
+        text = _text(own) if rest == [""] else F.nullif(own, F.lit("{}"))
+        members.append(F.when(own.isNotNull(), F.concat(F.lit(json.dumps(head) + ":"), text)))
+    return F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*members)), ","), F.lit("}"))
+
+
 def as_json(out: DataFrame, config: OutputConfig = DEFAULT, name: str = "json") -> DataFrame:
-    """One JSON text of each row; null members are left out only under `omit`."""
+    """One JSON text of each row. Under `omit`, declared members without a value are left out; nulls inside a value stay."""
     body = [c for c in out.columns if c != "warnings"]
-    return out.select(F.to_json(F.struct(*body), {"ignoreNullFields": str(config.on_missing == "omit").lower()}).alias(name))
+    whole = F.struct(*body)
+    if config.on_missing != "omit":
+        return out.select(F.to_json(whole, {"ignoreNullFields": "false"}).alias(name))
+    declared = [f.path for f in config.fields or ()]
+    rest = [c for c in body if c not in {p.partition(".")[0] for p in declared}]
+    return out.select(whole.alias("whole")).select(_without_missing(F.col("whole"), declared + rest).alias(name))
 
 
 def canonical_faults(profiles: DataFrame) -> DataFrame:

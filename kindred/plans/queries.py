@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.functions import fuzzy, present, scalars, text
-from kindred.operators import cluster, confidence, merge
+from kindred.operators import cluster, confidence, extract, merge
 from kindred.plans import project
 from kindred.plans.config import OutputConfig, OutputField
 from kindred.sources import detect
@@ -210,7 +210,7 @@ def detect_source_type(spark, sf_dir):
 def url_and_slug(spark, sf_dir):
     k = F.col("page_id") % 3
     raw = F.when(k == 0, F.concat(F.lit("  "), F.col("url"), F.lit("\t"))).when(k == 1, F.regexp_replace("url", "^https?://", "")).otherwise("not a url")
-    slug = F.concat(F.lit("page"), F.col("page_id").cast("string"), F.lit("-mcX-2a9168291"))
+    slug = F.concat(F.lit("page"), F.col("page_id").cast("string"), F.lit("-mcX-7c01f44e2"))
     return table(spark, sf_dir, "pages").select("page_id", scalars.link(raw).alias("link"), scalars.slug_name(slug).alias("name"))
 
 
@@ -240,6 +240,18 @@ def country_map(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", scalars.country(raw).alias("country"))
 
 
+@query("SELECT c_nationkey AS source_pos, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey)-1 AS row_pos, concat('The \"', c_name, '\"') AS name, CASE WHEN c_custkey%4<>0 THEN concat('c',c_custkey,'@x.org') END AS email, concat(c_mktsegment, ', ', chr(10), 'Inc') AS current_company FROM customer")
+def csv_rows(spark, sf_dir):
+    """CSV texts, one a nation, with quotes, delimiters and line feeds in cells, a repeated column and short rows."""
+    c, quote = table(spark, sf_dir, "customer"), F.lit('"')
+    email = F.when(F.col("c_custkey") % 4 != 0, F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit("@x.org"))).otherwise("")
+    line = F.concat(quote, F.lit('The ""'), "c_name", F.lit('""'), quote, F.lit(","), quote, "c_mktsegment", F.lit(", \n"), F.lit("Inc"), quote, F.lit(","), email, F.when(F.col("c_custkey") % 2 == 0, F.lit(",again")).otherwise(""))
+    rows = c.groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("c_custkey", line.alias("line")))).alias("rows"))
+    text = F.concat(F.lit("name,current_company,email,name\r\n"), F.array_join(F.transform("rows", lambda r: r["line"]), "\r\n\r\n"))
+    got = extract.csv_rows(rows.select(F.col("c_nationkey").alias("source_pos"), F.col("c_nationkey").cast("string").alias("source_id"), text.alias("text")))
+    return got.select("source_pos", F.col("row_pos").cast("long").alias("row_pos"), "r.fields.name", "r.fields.email", "r.fields.current_company")
+
+
 @query("SELECT c_custkey, c_name AS name, concat('c',c_custkey,'@x.org') AS email, c_mktsegment AS current_company, CASE WHEN c_custkey%2=0 THEN c_acctbal END AS years_experience, cast(0.95 AS double) AS raw_confidence FROM (SELECT *, c_custkey%5=0 AS bad FROM customer) x WHERE NOT bad UNION ALL SELECT c_custkey, NULL, NULL, NULL, NULL, cast(0.0 AS double) FROM customer WHERE c_custkey%5=0")
 def ats_json_map(spark, sf_dir):
     from kindred.operators.extract import ats_record
@@ -367,10 +379,10 @@ def merge_skills(spark, sf_dir):
     return merge.merged_skills(found).select("group_id", F.col("value").alias("skill"), "confidence", F.size("sources").cast("long").alias("n_sources"))
 
 
-@query("WITH j AS (SELECT o_custkey, o_orderkey, o_orderpriority company, o_orderstatus title, strftime(o_orderdate,'%Y-%m') m FROM orders), k AS (SELECT o_custkey, lower(trim(company)) k1, lower(trim(title)) k2, min(m) s, max(m) e, first(company ORDER BY o_orderkey) company, first(title ORDER BY o_orderkey) title, min(o_orderkey) f, count(*) n FROM j GROUP BY 1,2,3) SELECT o_custkey AS group_id, row_number() OVER (PARTITION BY o_custkey ORDER BY f)-1 AS idx, company, title, s AS \"start\", e AS \"end\", n AS n_sources FROM k")
+@query("WITH j AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey%2=0 THEN concat(' ',lower(o_orderpriority)) ELSE o_orderpriority END company, o_orderstatus title, strftime(o_orderdate,'%Y-%m') m FROM orders), k AS (SELECT o_custkey, lower(trim(company)) k1, lower(trim(title)) k2, min(m) s, max(m) e, first(company ORDER BY o_orderkey) company, first(title ORDER BY o_orderkey) title, min(o_orderkey) f, count(*) n FROM j GROUP BY 1,2,3) SELECT o_custkey AS group_id, row_number() OVER (PARTITION BY o_custkey ORDER BY f)-1 AS idx, company, title, s AS \"start\", e AS \"end\", n AS n_sources FROM k")
 def merge_experience(spark, sf_dir):
     m = F.date_format("o_orderdate", "yyyy-MM")
-    shout = F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).otherwise(F.col("o_orderpriority"))
+    shout = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit(" "), F.lower("o_orderpriority"))).otherwise(F.col("o_orderpriority"))
     jobs = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("group_id"), F.col("o_orderkey").alias("rec_ord"), F.lit(0).alias("pos"), F.col("o_orderkey").cast("string").alias("source_id"), shout.alias("company"), F.col("o_orderstatus").alias("title"), m.alias("start"), m.alias("end"), F.lit(None).cast("string").alias("summary"))
     return merge.merged_experience(jobs).select("group_id", F.col("idx").cast("long").alias("idx"), "company", "title", "start", "end", F.size("sources").cast("long").alias("n_sources"))
 
@@ -416,6 +428,55 @@ def validate_canonical(spark, sf_dir):
     return out.select("group_id", "full_name", F.size("faults").alias("n_faults"))
 
 
+RULES = {"candidate_id": 11, "full_name": 13, "emails": 5, "location.country": 7, "links": 17, "skills": 3, "experience": 19, "provenance": 23, "overall_confidence": 29}
+
+
+@query("SELECT c_custkey AS group_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN c_custkey%{n}=0 THEN '{rule}' END" for rule, n in RULES.items()) + "], lambda x: x IS NOT NULL), ',') AS faults FROM customer")
+def validate_rules(spark, sf_dir):
+    """Profiles of which every rule refuses some."""
+    k, none = F.col("group_id"), F.lit(None).cast("string")
+    bad = {rule: k % n == 0 for rule, n in RULES.items()}
+    link = lambda c: F.struct(c.alias("linkedin"), none.alias("github"), none.alias("portfolio"), F.array(F.lit("https://x.org/a")).alias("other"))
+    job = lambda c: F.array(F.struct(c.alias("start"), none.alias("end")))
+    out = simple_profiles(spark, sf_dir).select(
+        "group_id", F.when(~bad["candidate_id"], F.col("candidate_id")).alias("candidate_id"), F.when(~bad["full_name"], F.col("full_name")).alias("full_name"), F.when(bad["emails"], F.array(F.lit("no address"))).otherwise(F.array(F.lit("a@x.org"))).alias("emails"),
+        F.struct(F.when(bad["location.country"], "USA").otherwise("US").alias("country")).alias("location"), link(F.when(bad["links"], "no link").otherwise("https://x.org")).alias("links"),
+        F.array(F.struct(F.when(bad["skills"], 1.5).otherwise(1.0).alias("confidence"))).alias("skills"), job(F.when(bad["experience"], "May 2020").otherwise("2020-05")).alias("experience"),
+        F.when(bad["provenance"], F.array().cast("array<struct<method:string>>")).otherwise(F.col("provenance")).alias("provenance"), F.when(bad["overall_confidence"], -0.1).otherwise(0.5).alias("overall_confidence"),
+    )
+    return project.canonical_faults(out).select("group_id", F.array_join("faults", ",").alias("faults"))
+
+
+def _overall_sql() -> str:
+    """The weighted mean, added up in the same order."""
+    there = {name: f"c_custkey%{k + 2}<>0" for k, name in enumerate(confidence.WEIGHTS)}
+    total, weight = "0e0", "0e0"
+    for k, (name, w) in enumerate(confidence.WEIGHTS.items()):
+        total = f"({total}+CASE WHEN {there[name]} THEN ((c_custkey*{k + 3}%10)/10e0)*{w}::DOUBLE ELSE 0e0 END)"
+        weight = f"({weight}+CASE WHEN {there[name]} THEN {w}::DOUBLE ELSE 0e0 END)"
+    share = f"((CASE WHEN {there['full_name']} THEN 1e0 ELSE 0e0 END+CASE WHEN {there['emails']} OR {there['phones']} THEN 1e0 ELSE 0e0 END)/2e0)"
+    return f"WITH t AS (SELECT c_custkey, CASE WHEN {weight}>0 THEN {total}/{weight} ELSE 0e0 END*{share} AS x FROM customer) SELECT c_custkey AS group_id, {fixed2_sql('x')} AS overall_confidence FROM t"
+
+
+@query(_overall_sql())
+def overall_confidence(spark, sf_dir):
+    """All ten fields, each there or not, with confidences of their own."""
+    k, none = F.col("c_custkey"), F.lit(None).cast("string")
+    kinds = {"full_name": F.lit("A"), "location": F.struct(none.alias("city")), "headline": F.lit("h"), "years_experience": F.lit(1.0)}
+    columns = []
+    for n, name in enumerate(confidence.WEIGHTS):
+        there = k % (n + 2) != 0
+        if name == "links":
+            own = F.struct(F.when(there, "https://x.org").alias("linkedin"), none.alias("github"), none.alias("portfolio"), F.array().cast("array<string>").alias("other"))
+        elif name in kinds:
+            own = F.when(there, kinds[name])
+        else:
+            own = F.when(there, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>"))
+        columns.append(own.alias(name))
+    sure = {name: (k * (n + 3) % 10) / F.lit(10.0) for n, name in enumerate(confidence.WEIGHTS)}
+    return table(spark, sf_dir, "customer").select("c_custkey", *columns).select(k.alias("group_id"), confidence.overall(sure).alias("overall_confidence"))
+
+
 # ---------------------------------------------------------------- projection
 
 def simple_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -438,11 +499,11 @@ def _config(*fields: OutputField, **more) -> OutputConfig:
     return OutputConfig(tuple(fields), more.get("confidence", True), more.get("provenance", False), more.get("missing", "null"))
 
 
-@query("SELECT c_custkey AS group_id, c_name AS alias, CASE WHEN c_custkey%3<>0 THEN concat('c',c_custkey,'@x.org') END AS primary_email, concat('+1415555',lpad(cast(c_custkey AS varchar),4,'0')) AS phone, c_mktsegment AS region, cast(0.75 AS double) AS overall_confidence, CASE WHEN c_custkey%3=0 THEN 1 ELSE 0 END AS n_warnings FROM customer WHERE c_custkey<10000")
+@query("SELECT c_custkey AS group_id, c_name AS label, CASE WHEN c_custkey%3<>0 THEN concat('c',c_custkey,'@x.org') END AS mail, concat('+1',cast(4155550000+c_custkey AS varchar)) AS phone, c_mktsegment AS region, cast(0.75 AS double) AS overall_confidence, CASE WHEN c_custkey%3=0 THEN 1 ELSE 0 END AS n_warnings FROM customer")
 def project_nested(spark, sf_dir):
-    config = _config(OutputField("alias", "full_name", "string", True), OutputField("contact.primary_email", "emails[0]", "string", True), OutputField("contact.phone", "phones[0]", "string", False, "E164"), OutputField("region", "location.region", "string"))
+    config = _config(OutputField("label", "full_name", "string", True), OutputField("reach.mail", "emails[0]", "string", True), OutputField("reach.phone", "phones[0]", "string", False, "E164"), OutputField("region", "location.region", "string"))
     out = project.projected(simple_profiles(spark, sf_dir), config, ("group_id",))
-    return out.select("group_id", "alias", "contact.primary_email", "contact.phone", "region", "overall_confidence", F.size("warnings").alias("n_warnings"))
+    return out.select("group_id", "label", "reach.mail", "reach.phone", "region", "overall_confidence", F.size("warnings").alias("n_warnings"))
 
 
 @query("SELECT c_custkey AS group_id, CASE WHEN c_custkey%3<>0 THEN 1 ELSE 0 END AS n_emails, c_custkey%2=0 AND c_acctbal<>0 AS has_years, c_name AS names, CASE WHEN c_custkey%2=0 THEN c_acctbal END AS years FROM customer")

@@ -7,6 +7,7 @@ import uuid
 from dataclasses import asdict
 from datetime import datetime, timezone
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,6 +86,14 @@ class Store:
     def configs(self) -> DataFrame:
         return self._read("output_configs", "name string, config string, created_at timestamp").orderBy(F.desc("created_at"))
 
+    def writable(self) -> bool:
+        """Whether the store's folder is there or can be made."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        try:
+            return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).mkdirs(path)
+        except Py4JJavaError:
+            return False
+
     def health(self) -> dict:
         """Whether the store's folder can be read."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)

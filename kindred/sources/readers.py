@@ -8,10 +8,12 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from kindred.plans.tables import kept
+
 SCHEMA = "source_pos int, filename string, url string, content binary"
 EXTENSIONS = ("csv", "json", "pdf", "docx", "txt")
 
@@ -43,9 +45,24 @@ def file_sources(spark: SparkSession, paths: list[str], first: int = 0) -> DataF
 
 
 def folder_sources(spark: SparkSession, folder: str) -> DataFrame:
-    """Sources of all files below a folder with a known ending, at any scale; they are numbered by a hash of their path."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{csv,json,pdf,docx,txt}").option("recursiveFileLookup", True).load(folder)
-    return files.select(F.pmod(F.xxhash64("path"), F.lit(2**31 - 1)).cast("int").alias("source_pos"), F.element_at(F.split("path", "/"), -1).alias("filename"), F.lit(None).cast("string").alias("url"), "content")
+    """Sources of all files below a folder with a known ending, at any scale, in the order of their paths."""
+    return numbered(spark.read.format("binaryFile").option("pathGlobFilter", "*.{csv,json,pdf,docx,txt}").option("recursiveFileLookup", True).load(folder))
+
+
+def numbered(files: DataFrame) -> DataFrame:
+    """Sources of files (path, content), numbered from 0 by their paths: each range of paths is numbered by its own task, after those before it."""
+    ranges = files.select("path").repartitionByRange("path").sortWithinPartitions("path").select("path", F.spark_partition_id().alias("part"))
+    ranges = kept(ranges.withColumn("at", F.monotonically_increasing_id() % (1 << 33)), "paths")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    start = ranges.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    place = ranges.join(start, "part").select("path", (F.col("start") + F.col("at")).cast("int").alias("source_pos"))
+    return files.select("path", "content").join(place, "path").select("source_pos", F.element_at(F.split("path", "/"), -1).alias("filename"), F.lit(None).cast("string").alias("url"), "content")
+
+
+def stored_profiles(spark: SparkSession, folder: str) -> DataFrame:
+    """(slug, body) of the files linkedin_<slug>.json of a folder."""
+    files = spark.read.option("wholetext", True).option("pathGlobFilter", "linkedin_*.json").text(folder)
+    return files.select(F.regexp_extract(F.col("_metadata.file_name"), r"^linkedin_(.*)\.json$", 1).alias("slug"), F.col("value").alias("body"))
 
 
 def inline_sources(spark: SparkSession, items: Iterable[dict], first: int = 0) -> DataFrame:

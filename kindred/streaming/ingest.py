@@ -3,24 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from kindred.plans.config import DEFAULT, OutputConfig
 from kindred.plans.pipeline import run_pipeline
 from kindred.plans.store import Store
+from kindred.sources.readers import numbered
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
 def watch(spark: SparkSession, folder: str, store: Store, checkpoint: str, config: OutputConfig = DEFAULT, once: bool = True) -> StreamingQuery:
     """Starts the stream; with `once` it stops when all files that are there have been run."""
-    files = spark.readStream.format("binaryFile").schema(FILES).load(folder)
-    sources = files.select(F.pmod(F.xxhash64("path"), F.lit(2**31 - 1)).cast("int").alias("source_pos"), F.element_at(F.split("path", "/"), -1).alias("filename"), F.lit(None).cast("string").alias("url"), "content")
+    files = spark.readStream.format("binaryFile").schema(FILES).load(folder).select("path", "content")
 
     def batch(df, _: int) -> None:
         if not df.isEmpty():
-            run_pipeline(spark, df, config, store)
+            run_pipeline(spark, numbered(df), config, store)
 
-    out = sources.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    out = files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (out.trigger(availableNow=True) if once else out.trigger(processingTime="1 minute")).start()

@@ -11,12 +11,12 @@ def one(spark, column, *values):
     return row.select(column(*[F.col(f"c{k}") for k in range(len(values))]).alias("x")).first().x
 
 
-@pytest.mark.parametrize(("raw", "want"), [("(415) 555-1234", "+14155551234"), ("+14155551234", "+14155551234"), ("4155551234", "+14155551234"), ("invalid-phone", "invalid-phone"), (None, None), ("1 415 555 1234", "+14155551234"), ("011 44 20 7946 0958", "+442079460958")])
+@pytest.mark.parametrize(("raw", "want"), [("(206) 555-0188", "+12065550188"), ("+12065550188", "+12065550188"), ("2065550188", "+12065550188"), ("ask at the desk", "ask at the desk"), (None, None), ("1 206 555 0188", "+12065550188"), ("011 44 161 496 0123", "+441614960123")])
 def test_phone(spark, raw, want):
     assert one(spark, scalars.e164, raw) == want
 
 
-@pytest.mark.parametrize(("raw", "want"), [("2020-05", "2020-05"), ("2020", "2020-01"), ("Jan 2020", "2020-01"), ("February 2023", "2023-02"), ("Present", None), ("Current", None), ("12/2021", "2021-12"), ("05-2018", "2018-05"), ("Not a date", None), ("2020/01/15", "2020-01"), ("June, 2019", "2019-06"), ("Summer 2020", "2020-01")])
+@pytest.mark.parametrize(("raw", "want"), [("2014-11", "2014-11"), ("2016", "2016-01"), ("Oct 2012", "2012-10"), ("August 2009", "2009-08"), ("Present", None), ("Current", None), ("03/2015", "2015-03"), ("09-2011", "2011-09"), ("long ago", None), ("2013/07/22", "2013-07"), ("April, 2008", "2008-04"), ("Winter 2010", "2010-01")])
 def test_month(spark, raw, want):
     assert one(spark, scalars.month, raw) == want
 
@@ -37,19 +37,19 @@ def test_skills():
     assert fuzzy.best_skill(None) == ("Unknown", 0.1)
 
 
-@pytest.mark.parametrize(("line", "start", "end"), [("Jan 2020 - Dec 2022", "2020-01", "2022-12"), ("May 2025 - Present", "2025-05", "Present"), ("2019 - 2021", "2019-01", "2021-01"), ("2020-01 - 2022-12", "2020-01", "2022-12"), ("none", None, None), ("DeveloperMay 2025 - July 2025", "2025-05", "2025-07")])
+@pytest.mark.parametrize(("line", "start", "end"), [("Oct 2011 - Feb 2014", "2011-10", "2014-02"), ("June 2018 - Present", "2018-06", "Present"), ("2006 - 2009", "2006-01", "2009-01"), ("2012-04 - 2013-09", "2012-04", "2013-09"), ("none", None, None), ("BrewerMarch 2015 - June 2016", "2015-03", "2016-06")])
 def test_date_range(spark, line, start, end):
     got = one(spark, text.date_range, line)
     assert (got.start, got.end) == (start, end)
 
 
 def test_links(spark):
-    got = one(spark, text.links, "linkedin.com/in/bhavana | github.com/bhavana")
-    assert (got.linkedin, got.github) == ("https://linkedin.com/in/bhavana", "https://github.com/bhavana")
+    got = one(spark, text.links, "linkedin.com/in/petra | github.com/petra")
+    assert (got.linkedin, got.github) == ("https://linkedin.com/in/petra", "https://github.com/petra")
 
 
 def test_slug(spark):
-    assert one(spark, scalars.slug_name, "bhavana-siva-sri-2a9168291") == "Bhavana Siva Sri"
+    assert one(spark, scalars.slug_name, "petra-van-dijk-7c01f44e2") == "Petra Van Dijk"
 
 
 def test_presentation(spark):

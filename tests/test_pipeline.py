@@ -12,9 +12,9 @@ from kindred.plans.pipeline import run_pipeline
 from kindred.plans.store import Store
 from kindred.sources import documents, readers
 
-CSV = "name,email,phone,current_company,title\nAlice Smith,alice.smith@example.com,(415) 555-1234,Acme,Engineer\n"
-LINKEDIN = json.dumps({"name": "Alice Smith", "headline": "Engineer at Acme", "emails": ["alice.smith@example.com"], "phones": ["+14155551234"], "linkedin": "https://linkedin.com/in/alice", "experience": [{"company": "Acme", "title": "Engineer", "start": "2020-01", "end": "Present", "summary": "x"}]})
-RESUME_A = "Jane Roe\njane@x.org\n415-555-0000\n\nEXPERIENCE\nSenior Engineer - Acme Corp | Jan 2020 - Dec 2022\n- Built things\n\nEDUCATION\nAcme University, 2019\nBachelor in Computer Science\n"
+CSV = "name,email,phone,current_company,title\nNadia Brenner,nadia.brenner@mail.test,(206) 555-0188,Fjord,Analyst\n"
+LINKEDIN = json.dumps({"name": "Nadia Brenner", "headline": "Analyst at Fjord", "emails": ["nadia.brenner@mail.test"], "phones": ["+12065550188"], "linkedin": "https://linkedin.com/in/nadia", "experience": [{"company": "Fjord", "title": "Analyst", "start": "2020-01", "end": "Present", "summary": "x"}]})
+RESUME_A = "Ines Maro\nines@mail.test\n303-555-0123\n\nEXPERIENCE\nChief Brewer - Tundra Mills | Jan 2020 - Dec 2022\n- Built things\n\nEDUCATION\nTundra University, 2019\nBachelor in Computer Science\n"
 
 
 def test_two_sources_give_one_profile(spark):
@@ -23,26 +23,26 @@ def test_two_sources_give_one_profile(spark):
     rows = result.projected.collect()
     assert len(rows) == 1
     p = rows[0]
-    assert p.candidate_id == "54da664132c497d32c7838c96da82ad7"
-    assert (p.full_name, p.emails, p.phones, p.headline) == ("Alice Smith", ["alice.smith@example.com"], ["+14155551234"], "Engineer at Acme")
+    assert p.candidate_id == "574c87380964d90723da7891701c9405"
+    assert (p.full_name, p.emails, p.phones, p.headline) == ("Nadia Brenner", ["nadia.brenner@mail.test"], ["+12065550188"], "Analyst at Fjord")
     assert [m.field for m in p.provenance if m.field == "emails[0]"] == ["emails[0]"] * 2
     assert len(p.experience) == 1
     assert result.warnings.count() == 0
 
 
 def test_poor_input(spark):
-    sources = readers.inline_sources(spark, [{"filename": "empty.csv", "content": "a,b,c\n"}, {"filename": "notes.txt", "content": "Candidate is anonymous"}])
+    sources = readers.inline_sources(spark, [{"filename": "empty.csv", "content": "a,b,c\n"}, {"filename": "notes.txt", "content": "Someone quite unknown"}])
     p = run_pipeline(spark, sources).projected.first()
-    assert (p.full_name, p.emails, p.phones, p.overall_confidence) == ("Candidate is anonymous", [], [], 0.15)
+    assert (p.full_name, p.emails, p.phones, p.overall_confidence) == ("Someone quite unknown", [], [], 0.15)
 
 
 def test_store_and_another_shape(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     result = run_pipeline(spark, readers.inline_sources(spark, [{"filename": "people.csv", "content": CSV}]), store=store)
     assert store.runs().first().status == "completed"
-    config = {"fields": [{"path": "alias", "from": "full_name", "type": "string", "required": True}, {"path": "contact.primary_email", "from": "emails[0]", "type": "string"}, {"path": "experience_years", "from": "years_experience", "type": "number"}], "include_provenance": False}
+    config = {"fields": [{"path": "label", "from": "full_name", "type": "string", "required": True}, {"path": "reach.first_mail", "from": "emails[0]", "type": "string"}, {"path": "worked_years", "from": "years_experience", "type": "number"}], "include_provenance": False}
     p = store.reproject(result.run_id, config).first()
-    assert (p.alias, p.contact.primary_email, p.experience_years, p.overall_confidence) == ("Alice Smith", "alice.smith@example.com", None, 0.9)
+    assert (p.label, p.reach.first_mail, p.worked_years, p.overall_confidence) == ("Nadia Brenner", "nadia.brenner@mail.test", None, 0.9)
     assert "provenance" not in p
     with pytest.raises(KindredError):
         store.run("none")
@@ -59,21 +59,21 @@ def test_config_faults():
 
 def test_resume(spark):
     r = spark.createDataFrame([(RESUME_A,)], "t string").select(resume.fields(F.col("t")).alias("r")).first().r
-    assert r.name == "Jane Roe" and r.emails == ["jane@x.org"]
+    assert r.name == "Ines Maro" and r.emails == ["ines@mail.test"]
     (job,), (school,) = r.experience, r.education
-    assert (job.company, job.title, job.start, job.end, job.summary) == ("Acme Corp", "Senior Engineer", "2020-01", "2022-12", "Built things")
-    assert (school.institution, school.degree, school.field, school.end_year) == ("Acme University", "Bachelor", "Computer Science", 2019)
+    assert (job.company, job.title, job.start, job.end, job.summary) == ("Tundra Mills", "Chief Brewer", "2020-01", "2022-12", "Built things")
+    assert (school.institution, school.degree, school.field, school.end_year) == ("Tundra University", "Bachelor", "Computer Science", 2019)
 
 
 def test_documents():
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w") as z:
         w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
-        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body><w:p><w:r><w:t>Jane</w:t></w:r></w:p><w:p><w:r><w:t>Roe</w:t></w:r></w:p></w:body></w:document>')
-    assert documents.docx_text(buffer.getvalue()) == "Jane\nRoe"
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body><w:p><w:r><w:t>Ines</w:t></w:r></w:p><w:p><w:r><w:t>Maro</w:t></w:r></w:p></w:body></w:document>')
+    assert documents.docx_text(buffer.getvalue()) == "Ines\nMaro"
     assert documents.docx_text(b"no") is None
-    pdf = b"%PDF-1.4\n1 0 obj\n<<>>\nstream\nBT (Jane \\(J\\)) Tj T* (Roe) Tj ET\nendstream\nendobj"
-    assert documents.pdf_text(pdf) == "Jane (J)\nRoe"
+    pdf = b"%PDF-1.4\n1 0 obj\n<<>>\nstream\nBT (Ines \\(J\\)) Tj T* (Maro) Tj ET\nendstream\nendobj"
+    assert documents.pdf_text(pdf) == "Ines (J)\nMaro"
     assert documents.pdf_text(b"no") is None
 
 
@@ -104,12 +104,12 @@ def test_cluster_is_greedy(spark, seed):
 
 
 def test_linkedin_by_link(spark):
-    rows = [(0, "a", "linkedin_json", "https://www.linkedin.com/in/alice/", "https://www.linkedin.com/in/alice/"), (1, "b", "linkedin_json", "https://www.linkedin.com/in/bhavana-siva-sri-2a9168291/", "https://www.linkedin.com/in/bhavana-siva-sri-2a9168291/")]
+    rows = [(0, "a", "linkedin_json", "https://www.linkedin.com/in/nadia/", "https://www.linkedin.com/in/nadia/"), (1, "b", "linkedin_json", "https://www.linkedin.com/in/petra-van-dijk-7c01f44e2/", "https://www.linkedin.com/in/petra-van-dijk-7c01f44e2/")]
     sources = spark.createDataFrame(rows, "source_pos int, source_id string, source_type string, url string, text string")
-    fixtures = spark.createDataFrame([("Alice", LINKEDIN)], "slug string, body string")
+    fixtures = spark.createDataFrame([("Nadia", LINKEDIN)], "slug string, body string")
     got = {r.source_id: r for r in extract.raw_records(extract.with_fixtures(sources, fixtures)).collect()}
-    assert (got["a"].fields.name, got["a"].raw_confidence) == ("Alice Smith", 0.9)
-    assert (got["b"].fields.name, got["b"].raw_confidence, got["b"].fields.headline) == ("Bhavana Siva Sri", 0.3, None)
+    assert (got["a"].fields.name, got["a"].raw_confidence) == ("Nadia Brenner", 0.9)
+    assert (got["b"].fields.name, got["b"].raw_confidence, got["b"].fields.headline) == ("Petra Van Dijk", 0.3, None)
 
 
 def test_resolve_paths(tmp_path):
