@@ -6,7 +6,9 @@ hold it. A query's candidates are the and/or of postings; only they are verified
 trigram (a run of hex digits) scans each text fully. Segments lie in tasks, so the index needs no shuffle, and a trigram that
 is in very many documents is a bitmap in each segment rather than one long list.
 
-Spans count code points, the end exclusive. Null and empty texts have none. A row's result depends on its text alone.
+Spans count code points, the end exclusive. Null and empty texts have none. Very long texts are segments of their own. Spans of one
+start come in the order of the rules. A row's result depends on its text alone, so repeated rows have the same; an empty table
+gives an empty one, and columns of any other name stay or are left out untouched.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import prepare, text_steps
+from kindred.llm.common import frugal, prepare, text_steps
 
 try:  # Python's own regex parser, which re itself uses
     from re import _constants as K
@@ -38,28 +40,35 @@ ALTERNATIVES = 64
 
 
 def trigram_query(pattern: str, flags: int = 0) -> Query:
-    """Trigrams, of ASCII-lowered text, that a match must hold. () if none is mandatory."""
+    """Trigrams, of ASCII-lowered text, that a match must hold. () if none is mandatory.
+
+    Without regard to case and outside re.ASCII, k and s also match two letters beyond ASCII, and so are not known.
+    """
+    parsed = parser.parse(pattern, flags)
+
+    def known(letter: int, flags: int) -> bool:
+        return letter < 128 and not (flags & re.IGNORECASE and not flags & re.ASCII and chr(letter) in "ksKS")
 
     def merge(found: list, run: list[str]) -> None:
         wanted = [frozenset(s[i : i + 3].encode() for i in range(len(s) - 2)) for s in dict.fromkeys(run)]
         if wanted and all(wanted):
             found.append(tuple(x for x in dict.fromkeys(wanted) if not any(y < x for y in wanted)))
 
-    def strings(items) -> list[str] | None:
+    def strings(items, flags: int) -> list[str] | None:
         """All strings that the items can match, lowered, if they are few."""
         out = [""]
         for op, arg in items:
             if op is K.LITERAL:
-                more = [chr(arg).lower()] if arg < 128 else None
+                more = [chr(arg).lower()] if known(arg, flags) else None
             elif op is K.SUBPATTERN:
-                more = strings(arg[3])
+                more = strings(arg[3], (flags | arg[1]) & ~arg[2])
             elif op is K.BRANCH:
-                parts = [strings(x) for x in arg[1]]
+                parts = [strings(x, flags) for x in arg[1]]
                 more = None if any(p is None for p in parts) else [s for p in parts for s in p]
-            elif op is K.IN and all(o is K.LITERAL and a < 128 for o, a in arg):
+            elif op is K.IN and all(o is K.LITERAL and known(a, flags) for o, a in arg):
                 more = [chr(a).lower() for _, a in arg]
             elif op in (K.MAX_REPEAT, K.MIN_REPEAT) and arg[1] <= 1:
-                part = strings(arg[2])
+                part = strings(arg[2], flags)
                 more = None if part is None else ([""] if arg[0] == 0 else []) + part
             else:
                 return None
@@ -72,10 +81,10 @@ def trigram_query(pattern: str, flags: int = 0) -> Query:
 
     found: list = []
 
-    def walk(items) -> None:
+    def walk(items, flags: int) -> None:
         run = [""]
         for item in items:
-            more = strings([item])
+            more = strings([item], flags)
             joined = None if more is None else list(dict.fromkeys(a + b for a, b in product(run, more)))
             if joined is not None and len(joined) <= ALTERNATIVES:
                 run = joined
@@ -84,12 +93,12 @@ def trigram_query(pattern: str, flags: int = 0) -> Query:
             run = [""] if more is None else more
             op, arg = item
             if op is K.SUBPATTERN:
-                walk(arg[3])
+                walk(arg[3], (flags | arg[1]) & ~arg[2])
             elif op in (K.MAX_REPEAT, K.MIN_REPEAT) and arg[0] >= 1:
-                walk(arg[2])
+                walk(arg[2], flags)
         merge(found, run)
 
-    walk(parser.parse(pattern, flags))
+    walk(parsed, parsed.state.flags)
     return tuple(found)
 
 
@@ -188,6 +197,7 @@ def spans(text: Column, rules: tuple[Rule, ...]) -> Column:
     form = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     @F.arrow_udf("array<struct<kind:string,start:bigint,end:bigint>>")
+    @frugal
     def found(texts: pa.Array) -> pa.Array:
         return pa.array([[{"kind": kinds[k], "start": a, "end": z} for a, k, z in x] for x in scan(texts, rules)], form)
 

@@ -37,6 +37,20 @@ def test_secret_forms():
         assert found == sorted((m.start(), k, m.end()) for k, r in enumerate(secrets.BASE) for m in r.regex.finditer(text) if r.keep(m))
 
 
+def test_secret_rules_without_case():
+    """Letters beyond ASCII that match without regard to case; texts against plain scans of all rules, the further ones too."""
+    import re
+
+    import pyarrow as pa
+
+    rules = (*secrets.BASE, *secrets.MORE, secrets.Rule("open", "token=[a-z]+", re.IGNORECASE), secrets.Rule("part", "(?i:key)-[0-9]{3}", 0), secrets.Rule("inline", "(?i)secret:x", 0))
+    rng = random.Random(6)
+    bits = ["to\u212aen=abc", "TOKEN=x", "\u212aey-123", "KEY-777", "\u017fecret:x", "Secret:X", "-----BEGIN RSA PRIVATE KEY-----", "ghp_" + "a" * 36, "xoxb-" + "1a" * 6, "AIza" + "b" * 35, "sk_live_" + "9" * 20, "eyJabcdefghij.eyJabcdefghij.abcdefghij_-", " ", "\n", "é"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(8))) for _ in range(300)]
+    for text, found in zip(texts, secrets.scan(pa.array(texts), rules), strict=True):
+        assert found == sorted((m.start(), k, m.end()) for k, r in enumerate(rules) for m in r.regex.finditer(text) if r.keep(m))
+
+
 def test_telephony(spark, sf_dir, documents, odd, odd_rows, none):
     same = {}
     for rows, texts in ((queries.op4_telephony(spark, sf_dir), documents), (telephony.telephony(odd), {r[0]: r[1] for r in odd_rows})):
