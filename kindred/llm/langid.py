@@ -5,7 +5,8 @@ and a softmax. A text is all its windows, the last one filled up with zero bytes
 largest mean probability. For prediction the embedding is folded into the filters, so that a filter is a sum of table rows.
 
 Only text is an input of a prediction. A text that is null or has no letter is `und` with score 0; so is every text if there is
-nothing to learn from. A row's result depends on its text alone.
+nothing to learn from. Very long texts are all their windows. Ties go to the language that sorts first. A row's result depends on
+its text alone, so repeated rows have the same; an empty table gives no rows, and other columns are left out.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import prepare, sample, text_steps
+from kindred.llm.common import frugal, prepare, sample, text_steps
 
 WINDOW, EMBEDDED, PER_WIDTH = 192, 8, 8
 WIDTHS = (2, 3, 4)
@@ -161,6 +162,7 @@ def predicted(docs: DataFrame, network: Network | None, key: str = "doc_id", tex
     prepare(docs.sparkSession)
     form = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
 
+    @frugal
     def guess(texts: pa.Array) -> pa.Array:
         if network is None:
             return pa.array([{"lang_pred": UNKNOWN, "score": 0.0}] * len(texts), form)

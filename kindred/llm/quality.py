@@ -5,8 +5,9 @@ digits, symbols, space; word and line lengths; repeats) in standard units, and w
 size and of its script. Each input has a weight and a vector of 8 factors; a score is the logistic of the weighted inputs plus
 all pairwise products of the vectors, which the identity 2 * sum_{i<j} = (sum)^2 - sum of squares gives in linear time.
 
-Labels, language, source and key are never inputs. A null or empty text has no words and all statistics 0. A row's score
-depends on its text alone. Without labelled rows every score is 0.5.
+Labels, language, source and key are never inputs. A null or empty text has no words and all statistics 0; a very long text is
+scored whole. A row's score depends on its text alone, so repeated rows have the same. Ties of the sample's hashes go by key. Without
+labelled rows every score is 0.5; an empty table gives no rows, and other columns are left out.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import prepare, sample, text_steps
+from kindred.llm.common import frugal, prepare, sample, text_steps
 from kindred.llm.words import U64, words
 
 BITS, FACTORS = 14, 8
@@ -167,6 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return fit([(r.label, np.array(r.place, np.int64), np.array(r.value), np.array(r.stats), np.array(r.told, np.int64)) for r in rows])
 
 
+@frugal
 def _with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = 0
@@ -178,7 +180,7 @@ def _with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def score(text: Column, machine: Machine) -> Column:
     """The score of each text, from 0 to 1."""
-    return F.arrow_udf(lambda texts: pa.array(machine(texts)), "double")(text)
+    return F.arrow_udf(frugal(lambda texts: pa.array(machine(texts))), "double")(text)
 
 
 def scored(docs: DataFrame, machine: Machine, key: str = "doc_id", text: str = "text", held_out: tuple[int, int] = (3, 1)) -> DataFrame:

@@ -9,7 +9,8 @@ level, so no task holds more than BLOCK groups or partitions, and only counts re
 The law is `bytes`. A group that is larger than a shard's fair part makes its shard that large. Slots number a shard's rows
 from 0, in an order fixed by hashes of key and text; they come from counts of hash buckets, so no shard is numbered by one task.
 
-A null text counts as an empty one. Rows that repeat keep a slot each. An empty table gives no rows.
+A null text counts as an empty one. Ties of sizes go by a hash of the text, ties of slots by key. Very long texts are sizes like
+others. Rows that repeat keep a slot each. An empty table gives no rows; other columns are left out.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.llm.common import materialize, prepare
+from kindred.llm.common import frugal, materialize, prepare
 
 BLOCK = 1024
 #: Rows that a hash bucket of slots holds on average.
@@ -61,6 +62,7 @@ def combine(parts: np.ndarray) -> np.ndarray:
 
 
 def _groups(shards: int):
+    @frugal
     def run(table: pa.Table) -> pa.Table:
         """Groups of one block: each group's part, and on its first row the block's sums."""
         table = table.sort_by([("bytes", "descending"), ("text_key", "ascending")])
@@ -75,6 +77,7 @@ def _groups(shards: int):
     return run
 
 
+@frugal
 def _blocks(table: pa.Table) -> pa.Table:
     """Partial partitions of one block of the level: where each part of each goes, and the sums of all."""
     table = table.sort_by("block")
