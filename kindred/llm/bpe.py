@@ -6,7 +6,9 @@ each merge is made at every position of the pair, and only the two touched neigh
 Pieces repeat, so a text costs a look at each of its pieces. All state is a task's own: no shuffle, and a lost executor's task
 starts again from its rows.
 
-Null and empty texts have no tokens. Special tokens are not known: their strings are ordinary text.
+Null and empty texts have no tokens. Special tokens are not known: their strings are ordinary text. A very long text is a step of
+its own, and a long piece is replayed but not remembered. Repeated rows have repeated ids; ties of rank don't arise, and merges of
+one rank go from left to right. An empty table gives no rows; other columns stay (`encode_column`) or are left out (`token_digests`).
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import prepare
+from kindred.llm.common import frugal, prepare
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pieces whose ids a task remembers; when there are more it forgets all and begins again. Their longest form in bytes.
@@ -219,6 +221,7 @@ def encode_column(docs: DataFrame, text: str = "text", out: str = "ids", path: s
     prepare(docs.sparkSession)
     where = path or public_tokenizers.path(VOCABULARY)
 
+    @frugal
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encode = Encoder(where)  # the task's own: what it remembers goes when the task ends
         for texts in batches:
@@ -232,6 +235,7 @@ def decode_column(docs: DataFrame, ids: str = "ids", out: str = "decoded", path:
     prepare(docs.sparkSession)
     where = path or public_tokenizers.path(VOCABULARY)
 
+    @frugal
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
             yield pa.array([None if x is None else decode(x, where) for x in column.to_pylist()], pa.binary())
@@ -245,6 +249,7 @@ def token_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", path
     where = path or public_tokenizers.path(VOCABULARY)
     form = pa.struct([("ids", pa.binary()), ("decoded", pa.binary())])
 
+    @frugal
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encode = Encoder(where)
         for texts in batches:

@@ -14,6 +14,7 @@ buckets that still hold several components are looked at again, and there only s
 others, in blocks of bounded size, in which links already implied are left out. So every pair that shares a band is decided, and
 no link between different components is lost.
 
+Very long texts are hashed whole, one numpy step each. Ties don't arise. An empty table gives no rows; other columns are untouched.
 Rows with a null key or without words are linked with nothing and kept. Rows that repeat a key and text are one set; all such
 rows get the same component, and all are kept if their key is the component's smallest.
 """
