@@ -79,6 +79,7 @@ def month(c: Column) -> Column:
 def country(c: Column) -> Column:
     """Two letters: known long names by table, else the first two, in capitals. Empty: null."""
     t = F.upper(trimmed(c))
+    # The long names.
     return (
         F.when(F.coalesce(t, F.lit("")) == "", None)
         .when(F.length(t) == 2, t)

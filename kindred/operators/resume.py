@@ -26,6 +26,7 @@ DEGREES = (
     ("PhD", rf"(?i){_B}(ph\.?d|doctorate){_E}"),
     ("Secondary/Intermediate", rf"(?i){_B}(intermediate|high school|secondary|10th|12th|diploma){_E}"),
 )
+# Fixed value: what opens a line of a list.
 BULLET = r"^[•\-*◦]"
 
 
@@ -97,6 +98,7 @@ def _degree(line: Column) -> Column:
 
 def _study(line: Column) -> Column:
     """The field of study that a degree's line tells: in brackets, after `in`, or after a comma; grades are none."""
+    # What leads to a field of study and what ends it.
     tail = r"\s+([A-Za-z][A-Za-z\s&]+?)(?:\s*[;(),]|\s*(?:CGPA|GPA|Score)|\s*\(|$)"
     inside = F.nullif(F.regexp_extract(line, r"\(([^)]+)\)", 1), F.lit(""))
     inside = F.when(inside.rlike(r"[A-Za-z]{3,}") & ~inside.rlike(text.YEAR), trimmed(inside))
