@@ -38,8 +38,8 @@ GROUP_BITS, TURNS = 64, 30
 SAMPLE, PROBES, SHARE = 4000, 500, 0.94
 #: Rows and queries of a cell's block that are aimed at; the most high bits.
 ROWS, QUERIES, MOST_HIGH = 8192, 4096, 12
-#: Candidates that a cell tells of a query for each that is wanted, candidates that are ranked by floats, and looked up at once.
-TOLD, RANKED, STEP = 2, 4, 1 << 20
+#: Candidates that a cell tells of a query beyond those that are wanted, candidates ranked by floats for each that is wanted, and looked up at once.
+TOLD, RANKED, STEP = 3, 4, 1 << 20
 _VALUES = np.arange(1 << BITS, dtype=np.uint32)
 _WEIGHT = np.bitwise_count(_VALUES)
 
@@ -206,13 +206,13 @@ def nearest(vectors: DataFrame, queries: Column, key: str = "vec_id", vector: st
     high = max(0, min(MOST_HIGH, (kept.count() // ROWS).bit_length()))
     coded = materialize(kept.select("key", "asks", "vec").mapInArrow(_encode(codes), ENCODED), "codes")
     data, asks = coded.where("not asks"), coded.where("asks")
-    found = _searched(data, asks, high, SUBSTRINGS, codes.near_bits if codes else BITS, TOLD * near)
+    found = _searched(data, asks, high, SUBSTRINGS, codes.near_bits if codes else BITS, near + TOLD)
     # Queries that found too few look up every value of the first index.
     few = asks.join(found.groupBy(F.col("query_id").alias("key")).agg(F.count("*").alias("n")).where(F.col("n") >= near), "key", "left_anti")
     found = found.withColumn("by_index", F.lit(True))
     few = materialize(few, "few")
     if not few.isEmpty():
-        late = _searched(data, few, high, 1, BITS, TOLD * near).withColumn("by_index", F.lit(False))
+        late = _searched(data, few, high, 1, BITS, near + TOLD).withColumn("by_index", F.lit(False))
         found = found.join(few.select(F.col("key").alias("query_id")), "query_id", "left_anti").unionByName(late)
     about = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("about"), "vec_id"))
     best = found.withColumn("at", about).where(F.col("at") <= RANKED * near).select("query_id", "vec_id", "by_index")
