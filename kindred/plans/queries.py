@@ -169,7 +169,7 @@ def name_heuristic(spark, sf_dir):
 TERMS = ("the", "license", "token", "General Public", "la", "den", "Version")
 
 
-@query("SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text,'(?i)\\b{t}\\b') THEN '{'article' if t == 'the' else t}' END" for t in TERMS) + "], lambda x: x IS NOT NULL),'|') AS terms FROM documents WHERE regexp_matches(text, '^[\\x00-\\x7F]*$')")
+@query("SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text,'(?i)(^|[^A-Za-z0-9_]){t}([^A-Za-z0-9_]|$)') THEN '{'article' if t == 'the' else t}' END" for t in TERMS) + "], lambda x: x IS NOT NULL),'|') AS terms FROM documents")
 def keyword_terms(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", joined(text.keywords(F.col("text"), TERMS, {"the": "article"})).alias("terms"))
 
