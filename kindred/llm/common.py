@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from functools import wraps
 from inspect import isgeneratorfunction, signature
@@ -17,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.llm.words import U64, mix64
+from kindred.plans.tables import kept as materialize
 
+__all__ = ["KeyFilter", "discard", "frugal", "materialize", "prepare", "sample", "text_steps"]
 #: Bytes of text that one numpy step works on; a longer single text is a step of its own.
 STEP_BYTES = 1 << 19
 #: Bits of the largest key filter: a broadcast of 32 MB.
@@ -31,25 +29,13 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or in local mode one of our own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    base = tempfile.mkdtemp(prefix="kindred-")
-    atexit.register(shutil.rmtree, base, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back, so that its lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that materialize has written, when nothing reads them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for name in {path.rsplit("/", 1)[0] for path in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def give_back() -> None:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import materialize
+from kindred.llm.common import discard, materialize
 
 
 def _both(links: DataFrame) -> DataFrame:
@@ -32,7 +32,8 @@ def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
         large = materialize(large, "large")
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("low"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("low").alias("b"))
-        links = materialize(small.where("a > b").distinct(), "small")
+        before, links = links, materialize(small.where("a > b").distinct(), "small")
+        discard(before, large)
         now = links.agg(F.count("a"), F.sum(F.col("a").cast("decimal(38,0)")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break

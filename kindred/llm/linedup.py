@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm import components
-from kindred.llm.common import KeyFilter, frugal, materialize, prepare, text_steps
+from kindred.llm.common import KeyFilter, discard, frugal, materialize, prepare, text_steps
 from kindred.llm.words import U64, mix64, words
 
 #: A line is looked at if it has so many words, or so many bytes besides white space.
@@ -55,6 +55,8 @@ PACK, STEP = 1 << 18, 1 << 18
 #: Words from which a line has 256 parities instead of 128.
 LONG = 110
 _ODD = U64(0x9E3779B97F4A7C15)
+#: Lists name partners by these bits of their keys; if two lines of a cell have the same, both are verified.
+LOW = 0xFFFFFFFF
 #: What is dealt out of a member of a prefix, packed: plain numbers, and counts in as few bytes as the largest needs.
 PLAIN = {"token": np.uint32, "key": np.int64, "bits": U64, "more": U64, "when": np.uint32}
 SHORT = ("size", "spot", "mark")
@@ -119,14 +121,25 @@ class Lines:
         return spot, np.flatnonzero(spot < np.repeat(self.count - (3 * self.count + 3) // 4 + 1, self.count))
 
 
-TABLE = "part long, counts array<long>"
-PARTS = "kind int, key long, lines int, a array<long>, b array<long>, c array<long>"
+TABLE = "part long, spots binary, counts binary"
+PARTS = "kind int, key long, lines int, a array<long>, b array<long>, c array<long>, spots binary, counts binary"
 FOUND = "a long, root long, others binary"
 
 
-def _parts(total: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """The parts of a table of counts that hold any."""
-    return [(k, x) for k, x in enumerate(total.reshape(-1, PART)) if x.any()]
+def _least(x: np.ndarray) -> np.ndarray:
+    """Counts in as few bytes as the largest needs."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
+
+def _counts(data: bytes, n: int) -> np.ndarray:
+    """n counts that _least has packed."""
+    return np.frombuffer(data, f"u{max(1, len(data) // max(n, 1))}").astype(np.int64)
+
+
+def _parts(total: np.ndarray) -> list[pa.Array]:
+    """The parts of a table of counts that hold any: number, places in the part, and counts there."""
+    own = [(k, np.flatnonzero(x), x) for k, x in enumerate(total.reshape(-1, PART)) if x.any()]
+    return [pa.array([k for k, _, _ in own], pa.int64()), pa.array([at.astype(np.uint16).tobytes() for _, at, _ in own], pa.binary()), pa.array([_least(x[at]).tobytes() for _, at, x in own], pa.binary())]
 
 
 @frugal
@@ -136,22 +149,23 @@ def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, _, data, bounds in text_steps(batch.column(1)):
             total += np.bincount((Lines(data, bounds).word >> U64(46)).astype(np.int64), minlength=RARITY)
-    for k, counts in _parts(total):
-        yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([counts], pa.list_(pa.int64()))], ["part", "counts"])
+    yield pa.RecordBatch.from_arrays(_parts(total), ["part", "spots", "counts"])
 
 
 @frugal
 def _added(table: pa.Table) -> pa.Table:
-    counts = table.column("counts").combine_chunks().flatten().to_numpy().reshape(-1, PART).sum(0)
-    return pa.table({"part": table.column("part").slice(0, 1), "counts": pa.array([counts], pa.list_(pa.int64()))})
+    total = np.zeros(PART, np.int64)
+    for spots, counts in zip(table.column("spots").to_pylist(), table.column("counts").to_pylist(), strict=True):
+        total[np.frombuffer(spots, np.uint16)] += _counts(counts, len(spots) // 2)
+    return pa.table({"part": table.column("part").slice(0, 1), "spots": pa.array([np.arange(PART, dtype=np.uint16).tobytes()]), "counts": pa.array([_least(total).tobytes()])})
 
 
 def _table(rows: DataFrame, size: int) -> np.ndarray:
     """The sum of tables of counts (part, counts)."""
     total = np.zeros((size // PART, PART), np.int64)
     added = rows.groupBy("part").applyInArrow(_added, TABLE).toArrow()  # `size` numbers at most
-    for k, counts in zip(added.column("part").to_pylist(), added.column("counts"), strict=True):
-        total[k] = counts.values.to_numpy()
+    for k, counts in zip(added.column("part").to_pylist(), added.column("counts").to_pylist(), strict=True):
+        total[k] = _counts(counts, PART)
     return total.ravel()
 
 
@@ -174,21 +188,21 @@ def _survey(rarity: np.ndarray):
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, seen = np.zeros(HELD, np.int64), _Seen()
-        names = ["kind", "key", "lines", "a", "b", "c"]
+        names = ["kind", "key", "lines", "a", "b", "c", "spots", "counts"]
         for batch in batches:
             for lo, hi, data, bounds in text_steps(batch.column(1)):
                 f = Lines(data, bounds)
                 cut = np.searchsorted(f.text, np.arange(hi - lo + 1)).astype(np.int32)
                 keys = f.keys()
                 lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(x.astype(np.int64))) for x in (f.number, *keys)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(hi - lo, np.int32)), batch.column(0).slice(lo, hi - lo), pa.array(f.per_text.astype(np.int32)), *lists], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(hi - lo, np.int32)), batch.column(0).slice(lo, hi - lo), pa.array(f.per_text.astype(np.int32)), *lists, *[pa.nulls(hi - lo, pa.binary())] * 2], names)
                 if fresh := seen.fresh(keys[0]):
                     f = f.some(fresh)
                     member, (_, at) = f.members(rarity), f.prefixes()
                     total += np.bincount((member[at] >> U64(48)).astype(np.int64), minlength=HELD)
-        for k, counts in _parts(total):
-            none = pa.array([None], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([k]), pa.array([0], pa.int32()), pa.array([counts], pa.list_(pa.int64())), none, none], names)
+        part, spots, counts = _parts(total)
+        n = len(part)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), part, pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.list_(pa.int64()))] * 3, spots, counts], names)
 
     return run
 
@@ -219,11 +233,10 @@ def _prefixes(rarity: np.ndarray, blocks: np.ndarray, groups: int, wanted: KeyFi
             group, token, key, bits, when, size, spot, mark = (x[order] for x in columns)
             cut = np.searchsorted(group, np.arange(groups + 1))
             some = np.flatnonzero(np.diff(cut))
-            least = lambda x: x.astype(np.min_scalar_type(int(x.max(initial=0))))
             own = [slice(cut[g], cut[g + 1]) for g in some]
             pack = [[f(k).tobytes() for k in own] for f in (
                 lambda k: token[k], lambda k: key[k], lambda k: _halved(bits[k]), lambda k: bits[k][size[k] > LONG][:, 2:], lambda k: when[k],
-                lambda k: least(size[k]), lambda k: least(spot[k]), lambda k: mark[k])]
+                lambda k: _least(size[k]), lambda k: _least(spot[k]), lambda k: mark[k])]
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *(pa.array(x, pa.binary()) for x in pack)], ["group", *PLAIN, *SHORT])
 
         for batch in batches:
@@ -273,7 +286,7 @@ def _unpacked(table: pa.Table) -> tuple[np.ndarray, ...]:
     columns = [np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(name)]) for name, kind in PLAIN.items()]
     count = [len(x.as_buffer()) // 4 for x in table.column("token")]
     for name in SHORT:
-        columns.append(np.concatenate([np.frombuffer(x.as_buffer(), f"u{max(1, len(x.as_buffer()) // n)}").astype(np.int64) for x, n in zip(table.column(name), count, strict=True)]))
+        columns.append(np.concatenate([_counts(x.as_buffer(), n) for x, n in zip(table.column(name), count, strict=True)]))
     return tuple(columns)
 
 
@@ -355,7 +368,8 @@ def _candidates(asking: KeyFilter | None = None, every: bool = False):
         at = at.reshape(-1, 2)
         root = ids[_reached(len(ids), at[:, 0], at[:, 1])]
         first = np.searchsorted(at[:, 0], np.arange(len(ids) + 1))
-        others = [pairs[a:z, 1].tobytes() if z > a else None for a, z in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+        low = (pairs[:, 1] & LOW).astype(np.uint32)
+        others = [low[a:z].tobytes() if z > a else None for a, z in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
         roots = pa.array(np.concatenate([root, cut]), mask=np.arange(len(ids) + len(cut)) >= len(ids))
         return pa.table({"a": pa.array(np.concatenate([ids, cut])), "root": roots, "others": pa.array(others + [None] * len(cut), pa.binary())})
 
@@ -399,24 +413,33 @@ DECIDED = "id long, links long, gone boolean, root long"
 @frugal
 def _decided(table: pa.Table) -> pa.Table:
     """Sets and lists of partners of one cell -> of each line with links their number there, whether one is earlier, and a line that they reach."""
-    table = table.sort_by("id")
     ids, many, x, y = (table.column(c).to_numpy() for c in ("id", "many", "x", "y"))
     has = table.column("members").is_valid().to_numpy()
     lines, first = np.unique(ids[has], return_index=True)
-    told = table.filter(table.column("members").is_valid())
-    sets = [np.frombuffer(m.as_buffer(), U64) for m in told.column("members").combine_chunks().take(pa.array(first))]
-    age = np.stack([told.column(c).to_numpy()[first] for c in ("first_key", "first_line")], 1) if len(lines) else np.empty((0, 2), np.int64)
+    told = table.select(["members", "first_key", "first_line"]).take(pa.array(np.flatnonzero(has)[first]))
+    sets = [np.frombuffer(m.as_buffer(), U64) for m in told.column("members")]
+    age = np.stack([told.column(c).to_numpy() for c in ("first_key", "first_line")], 1) if len(lines) else np.empty((0, 2), np.int64)
+    low = lines & LOW
+    by_low = np.argsort(low, kind="stable")
+    low = low[by_low]
     pairs = [np.empty((0, 2), np.int64)]
-    for k, others in zip(np.flatnonzero(~has).tolist(), table.filter(table.column("members").is_null()).column("others"), strict=True):
-        other = np.frombuffer(others.as_buffer(), np.int64)
+    # Many lists of a line name the same partners, so they are united line by line.
+    others, lists = table.column("others"), np.flatnonzero(~has)
+    lists = lists[np.argsort(ids[lists], kind="stable")]
+    for rows in np.split(lists, np.flatnonzero(np.diff(ids[lists])) + 1) if len(lists) else ():
+        k = rows[0]
+        other = np.unique(np.concatenate([np.frombuffer(others[r].as_buffer(), np.uint32) for r in rows.tolist()])).astype(np.int64)
         if many[k] > 1:  # in a cell of two blocks a line meets those of the other, else those of its own
-            other = other[(other % many[k] == ids[k] % many[k]) == (x[k] == y[k])]
-        if len(other):
-            pairs.append(np.stack([np.full(len(other), ids[k]), other], 1))
-    pairs = np.unique(np.concatenate(pairs), axis=0)
-    at = np.searchsorted(lines, pairs)
-    if not np.isin(pairs, lines).all():
-        raise ValueError("a candidate's set is not in its cell")
+            other = other[other % many[k] == x[k] + y[k] - (ids[k] & LOW) % many[k]]
+        begin = np.searchsorted(low, other)
+        count = np.searchsorted(low, other, "right") - begin
+        if not count.all():
+            raise ValueError("a candidate's set is not in its cell")
+        spot = by_low[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin, count)]
+        own = np.searchsorted(lines, ids[k])
+        spot = spot[spot != own]
+        pairs.append(np.stack([np.maximum(spot, own), np.minimum(spot, own)], 1))
+    at = np.unique(np.concatenate(pairs), axis=0)
     cut = np.searchsorted(at[:, 0], np.arange(len(lines) + 1))
     ok = np.zeros(len(at), bool)
     for k in np.flatnonzero(np.diff(cut)).tolist():
@@ -460,14 +483,16 @@ def _verified(plain: DataFrame, firsts: DataFrame, found: DataFrame) -> DataFram
     sets = sets.groupBy("id").agg(F.first(F.struct("members", "root", "many", "first_key", "first_line")).alias("s")).select("id", "s.*")
     lists = found.where("others is not null").join(placed.select(F.col("id").alias("a"), "root", "many"), "a").select(F.col("a").alias("id"), "others", placed["root"].alias("root"), "many")
     # A component that fits in one cell shares it with others; the lines of a larger one are dealt into blocks that meet two by two.
-    block = F.pmod("id", "many")
+    block = F.pmod(F.col("id").bitwiseAND(F.lit(LOW).cast("long")), "many")
     meets = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("many") - 1), lambda c: F.struct(F.least(block, c).alias("x"), F.greatest(block, c).alias("y"))))
     cell = F.when(F.col("many") == 1, F.pmod("root", F.lit(cells))).otherwise(F.col("root")).alias("cell")
     null = lambda kind, name: F.lit(None).cast(kind).alias(name)
     sets = sets.select(cell, meets.alias("meets"), "id", "many", "members", null("binary", "others"), "first_key", "first_line")
     lists = lists.select(cell, meets.alias("meets"), "id", "many", null("binary", "members"), "others", null("long", "first_key"), null("long", "first_line"))
     rows = sets.unionByName(lists).select("cell", "meets.x", "meets.y", "id", "many", "members", "others", "first_key", "first_line").withColumn("whole", F.col("many") == 1)
-    return materialize(rows.groupBy("whole", "cell", "x", "y").applyInArrow(_decided, DECIDED), "decided")
+    decided = materialize(rows.groupBy("whole", "cell", "x", "y").applyInArrow(_decided, DECIDED), "decided")
+    discard(placed)
+    return decided
 
 
 def line_tables(docs: DataFrame, key: str = "doc_id", text: str = "text", every: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -480,7 +505,7 @@ def line_tables(docs: DataFrame, key: str = "doc_id", text: str = "text", every:
     rarity = np.empty(RARITY, np.uint32)
     rarity[np.argsort(_table(plain.mapInArrow(tally, TABLE), RARITY), kind="stable")] = np.arange(RARITY, dtype=np.uint32)
     parts = materialize(plain.mapInArrow(_survey(rarity), PARTS), "lines")
-    held = _table(parts.where("kind = 1").select(F.col("key").alias("part"), F.col("a").alias("counts")), HELD)
+    held = _table(parts.where("kind = 1").select(F.col("key").alias("part"), "spots", "counts"), HELD)
     # A bucket counts as hot by what it holds beyond a few times the mean.
     blocks = 1 + np.maximum(0, held - 4 * held.sum() // HELD) // BLOCK
     groups = int(max(GROUPS, (held * blocks).sum() // GROUP))
@@ -494,7 +519,9 @@ def line_tables(docs: DataFrame, key: str = "doc_id", text: str = "text", every:
 
     gone = F.bool_or("gone").alias("gone")
     if every:
-        decided = _verified(plain, firsts, candidates(every=True))
+        found = candidates(every=True)
+        decided = _verified(plain, firsts, found)
+        discard(found)
         roots = materialize(components.components(decided.select(F.col("id").alias("a"), F.col("root").alias("b"))).join(firsts.withColumnRenamed("a", "id"), "id"), "roots")
         least = roots.groupBy("root").agg(F.min("first").alias("place"))
         roots = roots.join(least, "root").select(F.col("id").alias("a"), "place")

@@ -6,6 +6,8 @@ import re
 import zlib
 
 import numpy as np
+import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -225,6 +227,22 @@ def test_language(spark, sf_dir, odd, none):
     assert langid.predicted(none, langid.train(none)).count() == 0 and langid.predicted(odd, None).first().lang_pred == "und"
 
 
+def test_convolution():
+    """The folded tables against a plain convolution, filter by filter."""
+    rng = np.random.default_rng(12)
+    size = langid.EMBEDDED
+    net = langid.Network(["a", "b", "c"], rng.normal(size=(256, size)), [rng.normal(size=(w * size, langid.PER_WIDTH)) for w in langid.WIDTHS], rng.normal(size=langid.FILTERS), rng.normal(size=(langid.FILTERS, 3)), rng.normal(size=3))
+    x = rng.integers(0, 256, (5, langid.WINDOW), dtype=np.uint8)
+    for window, got in zip(x, net.probabilities(x, net.tables()), strict=True):
+        tops = []
+        for w, kernel in zip(langid.WIDTHS, net.kernels, strict=True):
+            for f in range(langid.PER_WIDTH):
+                tops.append(max(sum(float(net.embedding[window[p + j]] @ kernel[j * size : (j + 1) * size, f]) for j in range(w)) for p in range(langid.WINDOW - max(langid.WIDTHS) + 1)))
+        z = np.maximum(np.array(tops) + net.shift, 0) @ net.out + net.out_shift
+        want = np.exp(z - z.max())
+        assert np.allclose(got, want / want.sum(), atol=1e-3)
+
+
 def test_quality(spark, sf_dir, odd, none):
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     rows = queries.op10_quality(spark, sf_dir).join(labels, "doc_id").collect()
@@ -286,6 +304,62 @@ def test_mixing(spark, documents, sf_dir, odd, none):
     assert all(r.doc_id is not None and (r.text or "").strip() for r in out) and mixing.chosen(none).count() == 0
 
 
+def drawn(rows, budget, targets, ranges):
+    """Of one leaf's documents (key, tokens) those of each epoch, by the seeded order, drawn one by one."""
+    total = sum(n for _, n in rows)
+    whole, rest = divmod(budget, total)
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+
+    def place(key):
+        h = xxhash.xxh64(targets.seed.to_bytes(4, "little"), 42).intdigest()
+        for part in (whole, key):
+            h = xxhash.xxh64(part.to_bytes(8, "little", signed=True), h).intdigest()
+        return int((h >> 33) / 2**31 * ranges), signed(h), key
+
+    out, used = [(key, e) for key, _ in rows for e in range(whole)], 0
+    for key, n in sorted(rows, key=lambda r: place(r[0])):
+        used += n
+        if used > rest:
+            break
+        out.append((key, whole))
+    return out
+
+
+def test_mixing_draws(spark, documents, sf_dir, monkeypatch):
+    """Each leaf's epochs and seeded prefix against drawing one by one; also with many ranges, and with names of weight 0."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source", "text")
+    domains = {r.source: r.domain for r in docs.select("source").distinct().select("source", mixing.domain_of(F.col("source")).alias("domain")).collect()}
+    leaves, n = collections.defaultdict(list), 0
+    for r in docs.collect():
+        if count := len(WORD.findall(r.text or "")):
+            leaves[domains[r.source], r.lang, r.source].append((r.doc_id, count))
+            n += 1
+    frame = spark.createDataFrame([(*leaf, sum(c for _, c in rows)) for leaf, rows in leaves.items()], "domain string, lang string, source string, tokens long")
+    none = mixing.Targets({"domain": {"web": 0}, "lang": {"en": 0}}, share=(1, 2), epochs=3)
+    for per, targets in ((1000, mixing.PRODUCTION), (7, mixing.PRODUCTION), (7, none)):
+        monkeypatch.setattr(mixing, "RANGE", per)
+        want = set()
+        for b in mixing.budgets(frame, targets).collect():
+            want |= set(drawn(leaves[b.domain, b.lang, b.source], b.budget, targets, -(-n // per)))
+        got = [(r.doc_id, r.epoch, r.domain, r.lang) for r in mixing.chosen(docs, targets).collect()]
+        assert len(got) == len(want) and {g[:2] for g in got} == want
+        if targets is none:
+            assert want and all(d != "web" and lang != "en" for _, _, d, lang in got)
+
+
+def test_pipeline_on_odd_rows(spark, sf_dir, odd, none):
+    """Each stage by itself: nulls, repeats, very long and empty texts, other columns, and an empty table."""
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        for docs in (odd, none):
+            out = stage(spark, docs, sf_dir)
+            rows = out.collect()
+            assert len(rows) <= docs.count() and (k + 1 == len(corpus_pipeline.STAGES) or out.columns == docs.columns)
+            if docs is odd and name == "MinHash near-dedup":
+                assert sorted((r.doc_id is None, r.doc_id or 0) for r in rows) == [(False, k) for k in (1, 2, 3, 5, 5, 7, 8, 9, 10)] + [(True, 0)]
+            if docs is odd and name == "line dedup":
+                assert len(rows) == docs.count()
+
+
 def test_shards(spark, documents, sf_dir, odd, odd_rows, none):
     for rows, texts, n in ((queries.op9_karmarkar_karp_shards(spark, sf_dir).collect(), documents, len(documents)), (shards.byte_shards(odd).collect(), {r[0]: r[1] for r in odd_rows}, len(odd_rows))):
         assert len(rows) == n
@@ -360,8 +434,12 @@ def test_a_large_group_of_near_lines(spark):
         assert r.removed == ",".join(map(str, sorted(want[r.doc_id])))
 
 
-def test_links_and_classes_of_near_lines(spark):
-    """Every pair of near lines of a group counts, and each line has the earliest line of its class."""
+@pytest.mark.parametrize("small", [False, True])
+def test_links_and_classes_of_near_lines(spark, monkeypatch, small):
+    """Every pair of near lines of a group counts, and each line has the earliest line of its class; also if members and components are split."""
+    if small:
+        monkeypatch.setattr(linedup, "CELL", 16)
+        monkeypatch.setattr(linedup, "BLOCK", 20)
     rng = random.Random(5)
     base, rows = [f"w{k}" for k in range(40)], []
     for k in range(120):
