@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from kindred.llm.words import U64, mix64
 from kindred.plans.tables import kept as materialize
 
-__all__ = ["KeyFilter", "discard", "frugal", "materialize", "prepare", "sample", "text_steps"]
+__all__ = ["KeyFilter", "discard", "free_names", "frugal", "materialize", "prepare", "sample", "text_steps"]
 #: Bytes of text that one numpy step works on; a longer single text is a step of its own.
 STEP_BYTES = 1 << 19
 #: Bits of the largest key filter: a broadcast of 32 MB.
@@ -38,6 +38,17 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before those that df has columns of, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
 def give_back() -> None:
     """Returns what numpy and Arrow have freed to the system. Python workers outlive their tasks, and an executor has several."""
     pa.default_memory_pool().release_unused()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import ann, bpe, langid, linedup, mixing, neardup, oracles, quality, secrets, shards, telephony
+from kindred.llm import ann, bpe, compress, decontaminate, langid, linedup, mixing, neardup, oracles, quality, ranked, secrets, shards, telephony
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,5 +58,17 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_multi_index_hashing, op4_telephony, op5_byte_bpe, op6_language_id, op7_setsketch_near_dup, op8_mixing, op9_karmarkar_karp_shards, op10_quality)}
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": oracles.LINE_DEDUP, "op7_setsketch_near_dup": oracles.NEAR_DUPLICATES}
+def op11_filtering_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress.coded(table(spark, sf_dir, "embeddings"))
+
+
+def op12_bit_sliced_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(ranked.built(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_multi_index_hashing, op4_telephony, op5_byte_bpe, op6_language_id, op7_setsketch_near_dup, op8_mixing, op9_karmarkar_karp_shards, op10_quality, op11_filtering_lloyd, op12_bit_sliced_search, op13_decontamination)}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": oracles.LINE_DEDUP, "op7_setsketch_near_dup": oracles.NEAR_DUPLICATES, "op11_filtering_lloyd": oracles.VECTOR_CODES, "op12_bit_sliced_search": oracles.RANKED, "op13_decontamination": oracles.CONTAMINATION}

@@ -1,6 +1,6 @@
 """Words of UTF-8 text as 64-bit hashes, found for many texts at once with numpy.
 
-A word is a longest run of bytes other than \\x20 and \\x09-\\x0D; A-Z count as a-z. A word's hash is the sum of a random
+A word is a longest run of bytes of one class, all but \\x20 and \\x09-\\x0D unless told otherwise; A-Z count as a-z. A word's hash is the sum of a random
 number for each byte times a power of an odd multiplier for its place, so one running sum over a text serves all its words.
 """
 
@@ -36,6 +36,10 @@ def _byte_numbers() -> np.ndarray:
 BYTES = _byte_numbers()
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes of words cut at white space, and of words of ASCII letters, digits and whatever lies beyond ASCII.
+SOLID = ~SPACE
+ALNUM = np.ones(256, bool)
+ALNUM[[*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = False
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -54,13 +58,16 @@ def powers(base: int, n: int) -> np.ndarray:
 INVERSE = pow(MULTIPLIER, -1, 2**64)
 
 
-def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and hashes of the words of all texts, and the first word of each text (with the number of words at the end)."""
+def words(data: np.ndarray, bounds: np.ndarray, of: np.ndarray = SOLID) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of the words of all texts, and the first word of each text (with the number of words at the end).
+
+    `of` tells the bytes that words consist of.
+    """
     n = len(data)
     if not n:
         empty = np.empty(0, np.int64)
         return empty, empty, np.empty(0, U64), np.zeros(len(bounds), np.int64)
-    solid = ~SPACE[data]
+    solid = of[data]
     edge = np.empty(n + 1, bool)
     edge[0] = solid[0]
     edge[n] = solid[-1]
