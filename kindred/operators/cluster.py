@@ -1,8 +1,9 @@
 """Which records describe one person.
 
 A record joins the first group that holds a match of it, else opens one; groups never merge. With links from later to earlier
-records, that is: a record's root is the smallest root that it reaches. Links by equal email or phone go to the holder just
-before, which gives the same roots as links to all holders and stays linear for a key that very many records hold.
+records, that is: a record's group is the smallest root that it reaches. So a link to a record may be left out if others lead there:
+records with an equal email, phone or name are chained, each linked to the holder before it, and of two sets of records that all
+match each other only those are linked that follow each other. Links then grow with the records, however many hold one value.
 """
 
 from __future__ import annotations
@@ -12,14 +13,67 @@ from pyspark.sql import functions as F
 
 from kindred.functions import fuzzy
 from kindred.functions.scalars import folded, trimmed
-from kindred.plans.tables import kept
+from kindred.plans.tables import discard, kept
 
+#: Holders of a value from which it is ordered in ranges instead of one window, and ranges that it is cut into.
+HOT, RANGES = 1 << 17, 256
+#: Words of a name up to which it is dealt by pairs of its words.
+PAIRED = 8
+_TEXTS = "array<string>"
+#: Later names of a block of a hot signal and part of a name.
+BLOCK = 4096
 
-def key_links(records: DataFrame, values: str) -> DataFrame:
-    """(later, earlier): from each holder of a value of the array column to the holder before it."""
-    held = records.select("rec_ord", F.explode(values).alias("value")).distinct()
-    before = F.lag("rec_ord").over(Window.partitionBy("value").orderBy("rec_ord"))
-    return held.select(F.col("rec_ord").alias("later"), before.alias("earlier")).where("earlier is not null")
+
+def with_earlier(rows: DataFrame, by: list[str], holds: Column | None = None, at: str = "rec_ord") -> DataFrame:
+    """rows with `earlier`: the greatest `at` below the row's own among rows of the same `by` that hold; null if there is none.
+
+    Values with more than HOT rows are cut into ranges of `at`; each range is a window of its own, and the last holders before
+    ranges come from the ranges' maxima.
+    """
+    own = F.col(at) if holds is None else F.when(holds, F.col(at))
+    last = lambda c, parts, order: F.last(c, True).over(Window.partitionBy(*parts).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    sizes = rows.groupBy(by).agg(F.count("*").alias("n"))
+    if rows.count() <= HOT or sizes.agg(F.max("n")).first()[0] <= HOT:  # a written table knows its number of rows
+        return rows.withColumn("earlier", last(own, by, at))
+    hot = sizes.where(F.col("n") > HOT).select(*by, F.lit(True).alias("hot"))
+    cuts = rows.join(hot, by).agg(F.percentile_approx(at, [k / RANGES for k in range(1, RANGES)], 100 * RANGES)).first()[0]
+    place = F.aggregate(F.array(*map(F.lit, sorted(set(cuts)))), F.lit(0), lambda n, cut: n + (F.col(at) >= cut).cast("int"))
+    dealt = rows.join(hot, by, "left").withColumn("range", F.when(F.col("hot"), place).otherwise(0)).drop("hot")
+    most = dealt.groupBy(*by, "range").agg(F.max(own).alias("most"))
+    before = most.withColumn("before", last(F.col("most"), by, "range")).drop("most")
+    dealt = dealt.withColumn("earlier", last(own, [*by, "range"], at)).join(before, [*by, "range"])
+    return dealt.withColumn("earlier", F.coalesce("earlier", "before")).drop("range", "before")
+
+
+def key_links(records: DataFrame, *values: str) -> DataFrame:
+    """(later, earlier): from each holder of a value of one of the array columns to the holder before it."""
+    each = [F.transform(F.array_distinct(c), lambda x, k=k: F.struct(F.lit(k).alias("kind"), x.alias("value"))) for k, c in enumerate(values)]
+    held = records.select("rec_ord", F.inline(F.flatten(F.array(*[F.coalesce(e, F.array().cast("array<struct<kind:int,value:string>>")) for e in each])))).where("value is not null").distinct()
+    return with_earlier(kept(held, "held"), ["kind", "value"]).select(F.col("rec_ord").alias("later"), "earlier").where("earlier is not null")
+
+
+def chained(held: DataFrame, linked: DataFrame) -> DataFrame:
+    """(later, earlier) for holders (unit, rec_ord) of units of which some match: linked (later, earlier), also a unit with itself.
+
+    A unit that matches itself is chained. Of two units that match, each holder of the one with fewer is linked to the other's
+    last holder before it, and the other's next holder after it to the last such one: the chains lead to all others.
+    """
+    held, linked = kept(held, "held"), kept(linked, "linked")
+    own = linked.where("later = earlier").select(F.col("later").alias("unit"))
+    chain = with_earlier(kept(held.join(own, "unit", "left_semi"), "chained"), ["unit"]).where("earlier is not null").select(F.col("rec_ord").alias("later"), "earlier")
+    size = held.groupBy("unit").agg(F.count("*").alias("n"))
+    pairs = linked.where("later != earlier").distinct().join(size.select(F.col("unit").alias("later"), F.col("n").alias("n_later")), "later").join(size.select(F.col("unit").alias("earlier"), F.col("n").alias("n_earlier")), "earlier")
+    asks = F.struct("n_later", "later") < F.struct("n_earlier", "earlier")
+    pairs = pairs.select(F.when(asks, F.col("later")).otherwise(F.col("earlier")).alias("unit"), F.when(asks, F.col("earlier")).otherwise(F.col("later")).alias("to"), asks.alias("asks"))
+    # Those that ask stand among the holders that they ask for.
+    rows = held.join(pairs, "unit").select(F.col("to").alias("unit"), "rec_ord", F.col("unit").alias("from"), "asks")
+    rows = held.join(pairs.select(F.col("to").alias("unit")).distinct(), "unit", "left_semi").select("unit", "rec_ord", F.lit(None).cast(rows.schema["from"].dataType).alias("from"), F.lit(None).cast("boolean").alias("asks")).unionByName(rows)
+    rows = kept(rows, "asking")
+    holds = F.col("from").isNull()
+    back = with_earlier(rows.where("asks is null or asks"), ["unit"], holds).where("asks and earlier is not null").select(F.col("rec_ord").alias("later"), "earlier")
+    on = with_earlier(rows.where("asks is null or not asks").withColumn("minus", -F.col("rec_ord")), ["unit"], holds, "minus").where("not asks and earlier is not null")
+    on = on.groupBy("unit", "from", (-F.col("earlier")).alias("later")).agg(F.max("rec_ord").alias("earlier")).select("later", "earlier")
+    return chain.unionByName(back).unionByName(on)
 
 
 def named(records: DataFrame) -> DataFrame:
@@ -28,32 +82,73 @@ def named(records: DataFrame) -> DataFrame:
     return records.where("full_name is not null and full_name != ''").select("rec_ord", folded(F.col("full_name")).alias("words"), *extra)
 
 
-def word_pairs(people: DataFrame) -> DataFrame:
-    """Candidate pairs (later, earlier) with a word in common: all that can pass the whole overlap."""
-    word = people.where(F.size("words") > 1).select("rec_ord", F.explode(F.array_distinct("words")).alias("word"))
-    later, earlier = word.select("word", F.col("rec_ord").alias("later")), word.select("word", F.col("rec_ord").alias("earlier"))
-    return later.join(earlier, "word").where("later > earlier").select("later", "earlier").distinct()
+def contained_names(names: DataFrame) -> DataFrame:
+    """(later, earlier): which of the distinct names (unit: sorted words, two or more) match, if one comes after the other.
+
+    A name without repeats matches names that hold all its words, so it meets them by its two rarest ones, among their pairs of
+    words; names of very many words meet by the one rarest. A later name with repeats counts each, so it is summed up word by word.
+    """
+    names = names.select("unit", F.array_distinct("unit").alias("own"))
+    word = names.select("unit", F.explode("own").alias("word"))
+    rarity = word.groupBy("word").agg(F.count("*").alias("n"))
+    rare = word.join(rarity, "word").groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("n", "word"))).alias("all")).where(F.size("unit") == F.size("all"))
+    pair = lambda x, y: F.xxhash64(F.least(x, y), F.greatest(x, y))
+    one, two = F.col("all")[0]["word"], F.col("all")[1]["word"]
+    asks = rare.select("unit", F.explode(F.array(pair(one, one), pair(one, two))).alias("key"))
+    pairs = F.flatten(F.transform("own", lambda x, k: F.transform(F.slice(F.col("own"), k + 2, F.lit(PAIRED)), lambda y: pair(x, y))))
+    dealt = names.select(F.col("unit").alias("other"), F.explode(F.when(F.size("own") <= PAIRED, pairs).otherwise(F.transform("own", lambda x: pair(x, x)))).alias("key"))
+    met = asks.join(dealt, "key").where("unit != other")
+    both = met.select(F.col("unit").alias("later"), F.col("other").alias("earlier")).unionByName(met.select(F.col("other").alias("later"), F.col("unit").alias("earlier")))
+    both = both.where(fuzzy.whole_overlap(F.col("later"), F.col("earlier")))
+    repeats = names.where(F.size("unit") != F.size("own")).select(F.col("unit").alias("later"), F.explode("unit").alias("word"))
+    summed = repeats.groupBy("later", "word").agg(F.count("*").alias("n")).join(word.withColumnRenamed("unit", "earlier"), "word").where("later != earlier")
+    summed = summed.groupBy("later", "earlier").agg(F.sum("n").alias("n")).where(F.col("n") == F.least(F.size("later"), F.size("earlier"))).select("later", "earlier")
+    return both.unionByName(summed).unionByName(names.select(F.col("unit").alias("later"), F.col("unit").alias("earlier")))
 
 
 def whole_overlap_links(records: DataFrame) -> DataFrame:
-    """(later, earlier) where every word of the shorter of two names of two words or more is in the other.
+    """(later, earlier) where every word of the shorter of two names of two words or more is in the other, as far as `chained` needs them."""
+    held = named(records).where(F.size("words") > 1).select(F.array_sort("words").alias("unit"), "rec_ord")
+    held = kept(held, "names")
+    return chained(held, contained_names(held.select("unit").distinct()))
+
+def _pair(x: Column, y: Column) -> Column:
+    return F.concat(F.least(x, y), F.lit(" "), F.greatest(x, y))
+
 
-    The shorter name's words are all shared, so it shares its rarest word; names are dealt out by each name's rarest word, which
-    keeps a frequent first name from pairing all its holders.
+def overlap_asks(words: Column) -> Column:
+    """What a later name asks for: of any name that it overlaps enough, `overlap_deals` has one of these.
+
+    If the shorter name has two words or more, two places of the later name count, as a word of the other, an initial of one or
+    one with an initial there; so names meet by two of these. A name of one word is a word of the other, or two initials count.
+    Names of more than PAIRED words meet by one.
     """
-    people = named(records).where(F.size("words") > 1)
-    word = people.select("rec_ord", "words", F.explode(F.array_distinct("words")).alias("word"))
-    counted = word.join(word.groupBy("word").agg(F.count("*").alias("n")), "word")
-    rare = counted.groupBy("rec_ord").agg(F.min_by("word", F.struct("n", "word")).alias("word"), F.first("words").alias("own"))
-    pairs = rare.join(word.select("word", F.col("rec_ord").alias("other"), F.col("words").alias("theirs")), "word").where("rec_ord != other")
-    late = F.col("rec_ord") > F.col("other")
-    both = pairs.select(F.greatest("rec_ord", "other").alias("later"), F.least("rec_ord", "other").alias("earlier"), F.when(late, F.col("own")).otherwise(F.col("theirs")).alias("a"), F.when(late, F.col("theirs")).otherwise(F.col("own")).alias("b"))
-    # Repeated words of the later name count each time, so a name without the other's rarest word can still reach the number.
-    repeats = people.where(F.size("words") != F.size(F.array_distinct("words"))).select("rec_ord")
-    more = word_pairs(people).join(repeats.select(F.col("rec_ord").alias("later")), "later", "left_semi")
-    text = people.select("rec_ord", "words")
-    more = more.join(text.select(F.col("rec_ord").alias("later"), F.col("words").alias("a")), "later").join(text.select(F.col("rec_ord").alias("earlier"), F.col("words").alias("b")), "earlier").select("later", "earlier", "a", "b")
-    return both.unionByName(more).where(fuzzy.whole_overlap(F.col("a"), F.col("b"))).select("later", "earlier").distinct()
+    first = lambda w: F.substring(w, 1, 1)
+    parts = lambda w: F.array(F.concat(F.lit("="), w), F.when(F.length(w) == 1, F.concat(F.lit("<"), w)).otherwise(F.concat(F.lit(">"), first(w))))
+    both = lambda x, y: F.flatten(F.transform(parts(x), lambda u: F.transform(parts(y), lambda v: _pair(u, v))))
+    pairs = F.flatten(F.transform(words, lambda x, k: F.flatten(F.transform(F.slice(words, k + 2, F.lit(PAIRED)), lambda y: both(x, y)))))
+    single = F.flatten(F.transform(words, parts))
+    tag = lambda t, c: F.transform(c, lambda x: F.concat(F.lit(t), x))
+    own = F.when(F.size(words) <= PAIRED, pairs).otherwise(tag("long ", single))
+    return F.array_distinct(F.concat(own, tag("to long ", single), tag("to one ", words), F.when(F.size(words) == 1, tag("one ", words)).otherwise(F.array().cast(_TEXTS))))
+
+
+def overlap_deals(words: Column) -> Column:
+    """What an earlier name has for `overlap_asks`."""
+    part = lambda v: F.array(F.concat(F.lit("="), v), F.concat(F.lit("<"), F.substring(v, 1, 1)), F.when(F.length(v) == 1, F.concat(F.lit(">"), v)))
+    parts = F.array_distinct(F.array_compact(F.flatten(F.transform(words, part))))
+    tag = lambda t, c: F.transform(c, lambda x: F.concat(F.lit(t), x))
+    pairs = F.flatten(F.transform(parts, lambda x, k: F.transform(F.slice(parts, k + 1, F.size(parts)), lambda y: _pair(x, y))))
+    own = F.when(F.size(words) <= PAIRED, pairs).otherwise(tag("to long ", parts))
+    return F.array_distinct(F.concat(own, tag("long ", parts), tag("one ", words), F.when(F.size(words) == 1, tag("to one ", words)).otherwise(F.array().cast(_TEXTS))))
+
+
+def overlapping_names(names: DataFrame) -> DataFrame:
+    """(later, earlier, ratio): which of the distinct names (words) overlap by OVERLAP or more, if one comes after the other."""
+    asks = names.select(F.col("words").alias("later"), F.explode(overlap_asks(F.col("words"))).alias("key"))
+    deals = names.select(F.col("words").alias("earlier"), F.explode(overlap_deals(F.col("words"))).alias("key"))
+    met = asks.join(deals, "key").select("later", "earlier").distinct()
+    return met.withColumn("ratio", fuzzy.overlap(F.col("later"), F.col("earlier"))).where(F.col("ratio") >= fuzzy.OVERLAP)
 
 
 def shared_company(a: Column, b: Column) -> Column:
@@ -73,70 +168,91 @@ def shared_skills(a: Column, b: Column, least: int = 3) -> Column:
     return F.coalesce(F.size(F.filter(fold(a), lambda x: F.array_contains(fold(b), x))) >= least, F.lit(False))
 
 
+def signals(people: DataFrame) -> DataFrame:
+    """(rec_ord, words, kind, of): what a record has that can be equal in another's: a company, a part of a place, or skills (their list)."""
+    text = lambda c: F.nullif(trimmed(F.lower(c)), F.lit(""))
+    told = lambda kind, c: F.when(c.isNotNull(), F.struct(F.lit(kind).alias("kind"), F.array(c).alias("of")))
+    skills = F.array_sort(F.transform("skills", lambda s: F.lower(s["name"])))
+    of = F.concat(
+        F.coalesce(F.transform("companies", lambda c: told("company", text(c))), F.array().cast("array<struct<kind:string,of:array<string>>>")),
+        F.array(*[told(k, text(F.col("location")[k])) for k in ("city", "region", "country")], F.when(F.size("skills") > 0, F.struct(F.lit("skills").alias("kind"), skills.alias("of")))),
+    )
+    return people.select("rec_ord", "words", F.explode(F.array_distinct(F.array_compact(of))).alias("s")).select("rec_ord", "words", "s.kind", "s.of")
+
+
 def close_name_links(records: DataFrame) -> DataFrame:
-    """(later, earlier) with close names and a company, a place or three skills in common.
+    """(later, earlier) with close names and a company, a place or three skills in common, as far as `chained` needs them.
 
-    The second condition is an equality of a company, a place or a skill, and gives the candidate pairs; names decide on them.
+    Units are a name with a signal. Names that overlap enough share what `overlap_asks` tells; names that are alike as wholes
+    share a piece of the later one. So units meet by signal (of skills, each) and such a part, hot ones in blocks, and each two
+    names are compared once.
     """
-    people = named(records)
-    skills = F.coalesce(F.transform("skills", lambda s: F.lower(s["name"])), F.array().cast("array<string>"))
-    keys = F.concat(
-        F.coalesce(F.transform("companies", lambda c: F.concat(F.lit("company:"), trimmed(F.lower(c)))), F.array().cast("array<string>")),
-        F.array_compact(F.array(*[F.concat(F.lit(f"{k}:"), trimmed(F.lower(F.col("location")[k]))) for k in ("city", "region", "country")])),
-        F.transform(F.array_distinct(skills), lambda s: F.concat(F.lit("skill:"), s)),
-    )
-    # Names with enough words in common share the first letter of a word. If they are alike as wholes, a piece of the later one is in the earlier one.
-    letters = F.transform("words", lambda w: F.concat(F.lit("letter:"), F.substring(w, 1, 1)))
-    name = F.array_join("words", " ")
-    held = people.select("rec_ord", F.explode(F.array_distinct(keys)).alias("key"), letters.alias("letters"), fuzzy.pieces(name).alias("pieces"), fuzzy.grams(name).alias("grams")).where("not key rlike ':$'")
-    deal = lambda part, place: held.select("key", F.col("rec_ord").alias(place), F.explode(F.array_union("letters", part)).alias("part"))
-    pairs = deal("pieces", "later").join(deal("grams", "earlier"), ["key", "part"]).where("later > earlier").select("later", "earlier").distinct()
-    own = people.select("rec_ord", "words", "companies", "location", "skills")
-    full = pairs.join(own.select(F.col("rec_ord").alias("later"), *[F.col(c).alias(f"{c}_a") for c in own.columns[1:]]), "later")
-    full = full.join(own.select(F.col("rec_ord").alias("earlier"), *[F.col(c).alias(f"{c}_b") for c in own.columns[1:]]), "earlier")
-    also = shared_company(F.col("companies_a"), F.col("companies_b")) | shared_location(F.col("location_a"), F.col("location_b")) | shared_skills(F.col("skills_a"), F.col("skills_b"))
+    held = signals(named(records)).withColumn("unit", F.xxhash64("words", "kind", "of")).withColumn("own", F.struct("words", "kind", "of"))
+    held = kept(held.select("unit", "rec_ord", "own"), "signals")
+    units = kept(held.groupBy("unit").agg(F.min("own").alias("own")).select("unit", "own.*"), "units")
+    name, piece = F.array_join("words", " "), lambda c: F.transform(c, lambda x: F.concat(F.lit("piece "), x))
+    asks = F.concat(overlap_asks(F.col("words")), F.array_distinct(piece(fuzzy.pieces(name))))
+    dealt = F.concat(overlap_deals(F.col("words")), piece(fuzzy.grams(name)))
+    side = lambda parts, unit: units.select(F.col("unit").alias(unit), F.explode(F.array_distinct("of")).alias("of"), "kind", parts.alias("parts")).select(unit, "kind", "of", F.explode("parts").alias("part"))
+    key, later = ["kind", "of", "part"], side(asks, "later")
+    blocks = later.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).where("blocks > 1")
+    count = F.coalesce("blocks", F.lit(1).cast("long"))
+    later = later.join(blocks, key, "left").withColumn("block", F.pmod(F.xxhash64("later", F.lit(1)), count)).drop("blocks")
+    earlier = side(dealt, "earlier").join(blocks, key, "left").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), count - 1))).drop("blocks")
+    met = kept(later.join(earlier, [*key, "block"]).select("later", "earlier").distinct(), "met")
+    own = lambda who, s: units.select(F.col("unit").alias(who), F.col("words").alias(f"words_{s}"), F.col("of").alias(f"of_{s}"), F.col("kind").alias(f"kind_{s}"))
+    shared = F.size(F.filter("of_a", lambda x: F.array_contains("of_b", x)))
+    met = met.join(own("later", "a"), "later").join(own("earlier", "b"), "earlier").where((F.col("kind_a") != "skills") | (shared >= 3))
     text = lambda s: F.array_join(f"words_{s}", " ")
-    full = full.where(also).withColumn("over", fuzzy.overlap(F.col("words_a"), F.col("words_b")))
-    sure = full.where((text("a") == text("b")) | (F.col("over") >= fuzzy.OVERLAP)).select("later", "earlier")
-    maybe = full.where((text("a") != text("b")) & ~F.coalesce(F.col("over") >= fuzzy.OVERLAP, F.lit(False))).withColumn("close", fuzzy.close_names(text("a"), text("b")))
-    return sure.unionByName(maybe.where("close").select("later", "earlier"))
+    over = F.coalesce(fuzzy.overlap(F.col("words_a"), F.col("words_b")) >= fuzzy.OVERLAP, F.lit(False)) | (text("a") == text("b"))
+    met = met.withColumn("over", over)
+    maybe = met.where("not over")
+    names = maybe.select("words_a", "words_b").distinct().where(fuzzy.close_names(text("a"), text("b")))
+    linked = met.where("over").select("later", "earlier").unionByName(maybe.join(names, ["words_a", "words_b"]).select("later", "earlier"))
+    return chained(held.select("unit", "rec_ord"), linked)
 
 
 def match_links(records: DataFrame) -> DataFrame:
-    """All links (later, earlier) of records (rec_ord, full_name, emails, phones and, if they are there, companies, location, skills)."""
-    links = key_links(records, "emails").unionByName(key_links(records, "phones")).unionByName(whole_overlap_links(records))
+    """Links (later, earlier) of records (rec_ord, full_name, emails, phones and, if they are there, companies, location, skills) that lead to all matches."""
+    links = key_links(records, "emails", "phones").unionByName(whole_overlap_links(records))
     if {"companies", "location", "skills"} <= set(records.columns):
         links = links.unionByName(close_name_links(records))
     return links.distinct()
 
 
-def roots(records: DataFrame, links: DataFrame, most_rounds: int = 200) -> DataFrame:
+def roots(records: DataFrame, links: DataFrame, most_rounds: int = 1000) -> DataFrame:
     """(rec_ord, group_id): the smallest root that each record reaches over links (later, earlier).
 
-    Labels go down the links a round at a time, and each round also looks two steps ahead (a link to a record that is not a root
-    is followed to what that one reaches), so long chains take a number of rounds that grows with the logarithm of their length.
+    Each record holds one way on: at first its earliest link. Ways are followed two at once, so chains of any length end in a
+    logarithmic number of rounds; the end is the record's label. Where a link leads to a lesser label than the way does, the way
+    goes there from now on, until none does. So a round holds a row for each record with links, besides the links.
     """
-    links = kept(links, "links")
-    inner = links.select(F.col("later").alias("rec_ord")).distinct()
-    label = records.select("rec_ord").join(inner, "rec_ord", "left_anti").select("rec_ord", F.col("rec_ord").alias("label"))
-    reach = kept(links.select("later", F.col("earlier").alias("far")), "reach")
-    ends = label.select(F.col("rec_ord").alias("far"), "label")
+    links = kept(links.where("later > earlier").distinct(), "links")
+    way = kept(links.groupBy("later").agg(F.min("earlier").alias("far")), "way")
     for _ in range(most_rounds):
-        # Keep of each record the roots it has reached as their least, and the others to be followed on.
-        told = reach.join(ends, "far", "left")
-        open_ = told.where("label is null").select("later", F.col("far").alias("mid"))
-        done = told.where("label is not null").groupBy("later").agg(F.min("label").alias("far")).select("later", "far")
-        on = open_.join(reach.select(F.col("later").alias("mid"), "far"), "mid").select("later", "far").distinct()
-        n = open_.limit(1).count()
-        if not n:
-            reach = done
+        for _ in range(most_rounds):
+            on = way.select(F.col("later").alias("far"), F.col("far").alias("next"))
+            further = kept(way.join(on, "far", "left").select("later", F.coalesce("next", "far").alias("far"), F.col("next").isNotNull().alias("moved")), "way")
+            discard(way)
+            way = further.select("later", "far")
+            if not further.where("moved").limit(1).count():
+                break
+        end = way.select(F.col("later").alias("earlier"), F.col("far").alias("label"))
+        best = links.join(end, "earlier", "left").groupBy("later").agg(F.min(F.struct(F.coalesce("label", "earlier").alias("label"), "earlier")).alias("best"))
+        told = kept(way.join(best, "later").select("later", "far", F.col("best.label").alias("label"), F.col("best.earlier").alias("to")), "told")
+        discard(way)
+        way = told.select("later", "far")
+        if not told.where("label < far").limit(1).count():
             break
-        reach = kept(done.unionByName(on).distinct(), "reach")
+        way = kept(told.select("later", F.col("to").alias("far")), "way")
+        discard(told)
     else:
         raise RuntimeError(f"no rest after {most_rounds} rounds")
-    return label.select("rec_ord", F.col("label").alias("group_id")).unionByName(reach.groupBy("later").agg(F.min("far").alias("group_id")).select(F.col("later").alias("rec_ord"), "group_id"))
+    return records.select("rec_ord").join(way.withColumnRenamed("later", "rec_ord"), "rec_ord", "left").select("rec_ord", F.coalesce("far", "rec_ord").alias("group_id"))
 
 
 def cluster(records: DataFrame) -> DataFrame:
-    """records with group_id."""
-    return records.join(roots(records, match_links(records)), "rec_ord")
+    """records with group_id, written to the shared folder."""
+    own = [c for c in ("rec_ord", "full_name", "emails", "phones", "companies", "location", "skills") if c in records.columns]
+    plain = kept(records.select(own), "records")
+    return kept(records.join(roots(plain, match_links(plain)), "rec_ord"), "grouped")

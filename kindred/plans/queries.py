@@ -306,14 +306,13 @@ def match_links_name(spark, sf_dir):
     return cluster.whole_overlap_links(records(spark, sf_dir))
 
 
-@query(f"WITH RECURSIVE {RECS}, {LINKS}, r AS (SELECT p.later, p.earlier, x.w a, y.w b FROM namepairs p JOIN words x ON x.rec_ord=p.later JOIN words y ON y.rec_ord=p.earlier) SELECT later, earlier, list_sum(list_transform(a, lambda w: CASE WHEN list_contains(b,w) THEN 1.0 WHEN len(list_filter(b, lambda v: (length(w)=1 AND starts_with(v,w)) OR (length(v)=1 AND starts_with(w,v))))>0 THEN 0.5 ELSE 0.0 END))::DOUBLE/least(len(a),len(b)) AS ratio FROM r")
+@query(f"WITH RECURSIVE {RECS}, {LINKS}, r AS (SELECT x.rec_ord later, y.rec_ord earlier, x.w a, y.w b FROM words x JOIN words y ON x.rec_ord>y.rec_ord), o AS (SELECT later, earlier, list_sum(list_transform(a, lambda w: CASE WHEN list_contains(b,w) THEN 1.0 WHEN len(list_filter(b, lambda v: (length(w)=1 AND starts_with(v,w)) OR (length(v)=1 AND starts_with(w,v))))>0 THEN 0.5 ELSE 0.0 END))::DOUBLE/least(len(a),len(b)) AS ratio FROM r) SELECT * FROM o WHERE ratio>=0.75")
 def match_overlap_ratio(spark, sf_dir):
-    people = cluster.named(records(spark, sf_dir))
-    tok = people.select("rec_ord", F.explode(F.array_distinct("words")).alias("w")).where("w not in ('customer', 'x')")
-    pairs = tok.select("w", F.col("rec_ord").alias("later")).join(tok.select("w", F.col("rec_ord").alias("earlier")), "w").where("later > earlier").select("later", "earlier").distinct()
-    own = people.select("rec_ord", "words")
-    both = pairs.join(own.select(F.col("rec_ord").alias("later"), F.col("words").alias("a")), "later").join(own.select(F.col("rec_ord").alias("earlier"), F.col("words").alias("b")), "earlier")
-    return both.select("later", "earlier", fuzzy.overlap(F.col("a"), F.col("b")).alias("ratio"))
+    people = cluster.named(records(spark, sf_dir)).select("rec_ord", "words")
+    names = cluster.overlapping_names(people.select("words").distinct())
+    own = lambda place: people.select(F.col("words").alias(place), F.col("rec_ord").alias(f"{place}_ord"))
+    both = names.join(own("later"), "later").join(own("earlier"), "earlier").where("later_ord > earlier_ord")
+    return both.select(F.col("later_ord").alias("later"), F.col("earlier_ord").alias("earlier"), "ratio")
 
 
 @query("SELECT a.c_custkey AS a, b.c_custkey AS b, a.c_mktsegment=b.c_mktsegment AS company, a.c_nationkey=b.c_nationkey AS location, (a.c_mktsegment=b.c_mktsegment AND a.c_nationkey=b.c_nationkey) AS skills FROM customer a JOIN customer b ON b.c_custkey=a.c_custkey+1")
@@ -332,6 +331,46 @@ def cluster_greedy(spark, sf_dir):
     return grouped(spark, sf_dir).select("rec_ord", "group_id")
 
 
+ROOTS_SQL = """walk(id,root) AS (SELECT rec_ord, rec_ord FROM recs WHERE rec_ord NOT IN (SELECT later FROM edges)
+   UNION SELECT e.later, walk.root FROM walk JOIN edges e ON e.earlier=walk.id) SELECT id AS rec_ord, min(root) AS group_id FROM walk GROUP BY id"""
+
+
+@query(f"""WITH RECURSIVE recs AS (SELECT c_custkey rec_ord, CASE WHEN c_custkey%5=2 THEN 'office@example.com' ELSE concat('desk',(c_custkey*7)%1000//4,'@example.com') END email, CASE WHEN c_custkey%3=0 THEN '+14155550100' WHEN c_custkey%4=1 THEN concat('+1415556',lpad(cast(c_custkey%400 AS varchar),4,'0')) END phone FROM customer),
+ edges AS (SELECT rec_ord later, lag(rec_ord) OVER (PARTITION BY email ORDER BY rec_ord) earlier FROM recs UNION ALL SELECT rec_ord, lag(rec_ord) OVER (PARTITION BY phone ORDER BY rec_ord) FROM recs WHERE phone IS NOT NULL),
+ edges2 AS (SELECT * FROM edges WHERE earlier IS NOT NULL), {ROOTS_SQL.replace("edges", "edges2")}""")
+def cluster_hot_keys(spark, sf_dir):
+    """Customers behind one switchboard (a third of them) and one mailbox (a fifth), which overlap; the others share desks and lines."""
+    k = F.col("c_custkey")
+    mail = F.when(k % 5 == 2, "office@example.com").otherwise(F.concat(F.lit("desk"), F.floor((k * 7) % 1000 / 4).cast("string"), F.lit("@example.com")))
+    tel = F.when(k % 3 == 0, "+14155550100").when(k % 4 == 1, F.concat(F.lit("+1415556"), F.lpad((k % 400).cast("string"), 4, "0")))
+    recs = table(spark, sf_dir, "customer").select(k.cast("long").alias("rec_ord"), F.lit(None).cast("string").alias("full_name"), F.array(mail).alias("emails"), F.array_compact(F.array(tel)).alias("phones"))
+    return cluster.cluster(recs).select("rec_ord", "group_id")
+
+
+@query(f"""WITH RECURSIVE recs AS (SELECT c_custkey rec_ord, CASE WHEN c_custkey%4=0 THEN ['maria','lopez'] WHEN c_custkey%4=1 THEN ['maria',concat('n',c_custkey%9),'lopez'] WHEN c_custkey%4=2 THEN ['lopez',concat('n',c_custkey%9)] ELSE ['unit','unit',concat('n',c_custkey%90)] END w FROM customer),
+ c AS (SELECT DISTINCT list_sort(w) w FROM recs), m AS (SELECT a.w a, b.w b FROM c a, c b WHERE len(list_filter(a.w, lambda x: list_contains(b.w,x)))=least(len(a.w),len(b.w))),
+ h AS (SELECT rec_ord, list_sort(w) w FROM recs), asks AS (SELECT h.rec_ord, m.b FROM h JOIN m ON m.a=h.w), edges AS (SELECT x.rec_ord later, h.rec_ord earlier FROM asks x ASOF JOIN h ON h.w=x.b AND x.rec_ord>h.rec_ord), {ROOTS_SQL}""")
+def cluster_hot_names(spark, sf_dir):
+    """Customers of which a quarter have one name, others longer and shorter forms of it, or names with a repeated word."""
+    k = F.col("c_custkey")
+    few, many = F.concat(F.lit("N"), (k % 9).cast("string")), F.concat(F.lit("N"), (k % 90).cast("string"))
+    name = F.when(k % 4 == 0, "Lopez, Maria").when(k % 4 == 1, F.concat(F.lit("Maria "), few, F.lit(" Lopez"))).when(k % 4 == 2, F.concat(few, F.lit(" LOPEZ"))).otherwise(F.concat(F.lit("Unit unit "), many))
+    recs = table(spark, sf_dir, "customer").select(k.cast("long").alias("rec_ord"), name.alias("full_name"))
+    return cluster.roots(recs, cluster.whole_overlap_links(recs))
+
+
+@query()
+def cluster_close_names(spark, sf_dir):
+    """Customers and suppliers by misspelt names with a nation or segment in common."""
+    names = F.array(*map(F.lit, ("Katherina", "Bartholomew", "Wilhelmine", "Maximilian", "Josephine", "Alexander Ng", "Ng", "J. Okonkwo", "John Okonkwo")))
+    spell = lambda k: F.regexp_replace(F.get(names, (k % 9).cast("int")), F.substring(F.lit("abcdefghiklmnoprstuvwx"), ((k * 7) % 22 + 1).cast("int"), F.lit(1)), F.when(k % 3 == 0, "z").otherwise(""))
+    person = lambda df, k, ord_, nation, segment: df.select((k * 2 + ord_).cast("long").alias("rec_ord"), spell(k).alias("full_name"), F.array_compact(F.array(segment)).alias("companies"), F.struct(F.lit(None).cast("string").alias("city"), F.lit("").alias("region"), nation.cast("string").alias("country")).alias("location"), F.lit(None).cast("array<struct<name:string,confidence:double>>").alias("skills"))
+    c = person(table(spark, sf_dir, "customer"), F.col("c_custkey"), 0, F.col("c_nationkey"), F.when(F.col("c_custkey") % 4 == 0, F.concat("c_mktsegment", F.lit(" "), (F.col("c_custkey") % 13).cast("string"))))
+    s = person(table(spark, sf_dir, "supplier"), F.col("s_suppkey"), 1, F.col("s_nationkey"), F.lit(None).cast("string"))
+    recs = c.unionByName(s)
+    return cluster.roots(recs, cluster.close_name_links(recs))
+
+
 # ---------------------------------------------------------------- merging
 
 PRIO = "CASE source_type WHEN 'ats_json' THEN 0 WHEN 'recruiter_csv' THEN 1 WHEN 'github_api' THEN 3 ELSE 99 END"
