@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from kindred.functions import fuzzy
 from kindred.functions.scalars import folded, trimmed
-from kindred.plans.tables import discard, kept
+from kindred.plans.tables import discard, kept, kept_counting
 
 #: Holders of a value from which it is ordered in ranges instead of one window, and ranges that it is cut into.
 HOT, RANGES = 1 << 17, 256
@@ -22,6 +22,8 @@ PAIRED = 8
 _TEXTS = "array<string>"
 #: Later names of a block of a hot signal and part of a name.
 BLOCK = 4096
+#: Ways that are followed on in one round; a round makes them HOPS + 1 times as long.
+HOPS = 4
 
 
 def with_earlier(rows: DataFrame, by: list[str], holds: Column | None = None, at: str = "rec_ord") -> DataFrame:
@@ -223,7 +225,7 @@ def match_links(records: DataFrame) -> DataFrame:
 def roots(records: DataFrame, links: DataFrame, most_rounds: int = 1000) -> DataFrame:
     """(rec_ord, group_id): the smallest root that each record reaches over links (later, earlier).
 
-    Each record holds one way on: at first its earliest link. Ways are followed two at once, so chains of any length end in a
+    Each record holds one way on: at first its earliest link. Ways are followed several at once, so chains of any length end in a
     logarithmic number of rounds; the end is the record's label. Where a link leads to a lesser label than the way does, the way
     goes there from now on, until none does. So a round holds a row for each record with links, besides the links.
     """
@@ -231,18 +233,22 @@ def roots(records: DataFrame, links: DataFrame, most_rounds: int = 1000) -> Data
     way = kept(links.groupBy("later").agg(F.min("earlier").alias("far")), "way")
     for _ in range(most_rounds):
         for _ in range(most_rounds):
-            on = way.select(F.col("later").alias("far"), F.col("far").alias("next"))
-            further = kept(way.join(on, "far", "left").select("later", F.coalesce("next", "far").alias("far"), F.col("next").isNotNull().alias("moved")), "way")
+            further = way.withColumn("moved", F.lit(False))
+            for _ in range(HOPS):
+                on = way.select(F.col("later").alias("far"), F.col("far").alias("next"))
+                further = further.join(on, "far", "left").select("later", F.coalesce("next", "far").alias("far"), (F.col("moved") | F.col("next").isNotNull()).alias("moved"))
+            further, moved = kept_counting(further, "way", F.col("moved"))
             discard(way)
             way = further.select("later", "far")
-            if not further.where("moved").limit(1).count():
+            if not moved:
                 break
         end = way.select(F.col("later").alias("earlier"), F.col("far").alias("label"))
         best = links.join(end, "earlier", "left").groupBy("later").agg(F.min(F.struct(F.coalesce("label", "earlier").alias("label"), "earlier")).alias("best"))
-        told = kept(way.join(best, "later").select("later", "far", F.col("best.label").alias("label"), F.col("best.earlier").alias("to")), "told")
+        told = way.join(best, "later").select("later", "far", F.col("best.label").alias("label"), F.col("best.earlier").alias("to"))
+        told, changed = kept_counting(told, "told", F.col("label") < F.col("far"))
         discard(way)
         way = told.select("later", "far")
-        if not told.where("label < far").limit(1).count():
+        if not changed:
             break
         way = kept(told.select("later", F.col("to").alias("far")), "way")
         discard(told)

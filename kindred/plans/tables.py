@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,6 +33,13 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept_counting(df: DataFrame, name: str, what: Column) -> tuple[DataFrame, int]:
+    """As kept, and how many rows `what` holds for, counted as they are written."""
+    told = Observation()
+    out = kept(df.observe(told, F.count_if(what).alias("n")), name)
+    return out, told.get["n"]
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that kept has written, when nothing reads them any more."""
     for df in tables:
