@@ -18,19 +18,27 @@ FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN r ON r.id = d.doc_id
 """
 
 LINE_DEDUP = f"""
-WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+WITH RECURSIVE t AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
  x AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS k FROM t),
  w AS (SELECT doc_id, k, {_WORDS.format("line")} AS w FROM x),
  f AS (SELECT doc_id, k, w, array_to_string(list_sort(w), ' ') AS s, row_number() OVER (ORDER BY doc_id, k) AS pos FROM w WHERE len(w) >= 5 OR list_sum(list_transform(w, lambda v: strlen(v))) >= 16),
- c AS (SELECT s, min(pos) AS first, any_value(len(w)) AS n FROM f GROUP BY s),
+ c AS (SELECT s, min(pos) AS first, any_value(len(w)) AS n, count(*) AS times FROM f GROUP BY s),
  m AS (SELECT first, n, unnest(string_split(s, ' ')) AS token FROM c),
  g AS (SELECT first, n, token, count(*) AS times FROM m GROUP BY ALL),
  p AS (SELECT a.first AS a, b.first AS b, a.n AS na, b.n AS nb, sum(least(a.times, b.times)) AS i FROM g a JOIN g b ON a.token = b.token AND a.first > b.first
         AND 4 * b.n >= 3 * a.n AND 4 * a.n >= 3 * b.n GROUP BY 1, 2, 3, 4),
- gone AS (SELECT DISTINCT a FROM p WHERE 4 * i >= 3 * (na + nb - i)),
- o AS (SELECT f.doc_id, f.k, gone.a IS NOT NULL AS near, gone.a IS NOT NULL OR f.pos <> c.first AS cut FROM f JOIN c ON c.s = f.s LEFT JOIN gone ON gone.a = c.first),
- q AS (SELECT doc_id, count(*) FILTER (WHERE cut) AS n_removed, count(*) FILTER (WHERE near) AS n_near, string_agg(cast(k AS varchar), ',' ORDER BY k) FILTER (WHERE cut) AS removed FROM o GROUP BY doc_id)
-SELECT t.doc_id, coalesce(len(ls), 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_near, 0) AS n_near, coalesce(removed, '') AS removed FROM t LEFT JOIN q ON q.doc_id = t.doc_id
+ e AS (SELECT a, b FROM p WHERE 4 * i >= 3 * (na + nb - i)),
+ l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+ y AS (SELECT a, count(*) AS links, bool_or(b < a) AS gone FROM l GROUP BY a),
+ walk(id, root) AS (SELECT a, a FROM y UNION SELECT l.b, walk.root FROM walk JOIN l ON l.a = walk.id),
+ r AS (SELECT id, min(root) AS root FROM walk GROUP BY id),
+ o AS (SELECT f.doc_id, f.k, coalesce(y.gone, false) AS near, coalesce(y.gone, false) OR f.pos <> c.first AS cut, coalesce(links, 0) AS links, links IS NOT NULL OR times > 1 AS told, h.doc_id || ':' || h.k AS root
+        FROM f JOIN c ON c.s = f.s LEFT JOIN y ON y.a = c.first LEFT JOIN r ON r.id = c.first JOIN f h ON h.pos = coalesce(r.root, c.first)),
+ q AS (SELECT doc_id, count(*) FILTER (WHERE cut) AS n_removed, count(*) FILTER (WHERE near) AS n_near, sum(links)::BIGINT AS n_links, string_agg(cast(k AS varchar), ',' ORDER BY k) FILTER (WHERE cut) AS removed,
+        string_agg(k || '=' || root, ',' ORDER BY k) FILTER (WHERE told) AS class_ids FROM o GROUP BY doc_id),
+ z AS (SELECT doc_id, count(*) AS n_short FROM w WHERE len(w) BETWEEN 1 AND 4 AND list_sum(list_transform(w, lambda v: strlen(v))) < 16 GROUP BY doc_id)
+SELECT t.doc_id, coalesce(len(ls), 0) AS n_lines, coalesce(n_short, 0) AS n_short, coalesce(n_removed, 0) AS n_removed, coalesce(n_near, 0) AS n_near, coalesce(n_links, 0) AS n_links, coalesce(removed, '') AS removed, coalesce(class_ids, '') AS class_ids
+FROM t LEFT JOIN q ON q.doc_id = t.doc_id LEFT JOIN z ON z.doc_id = t.doc_id
 """
 
 #: Terms of a text: runs of ASCII letters and digits and of characters beyond ASCII, A-Z as a-z.

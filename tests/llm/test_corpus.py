@@ -377,6 +377,27 @@ def test_shards(spark, documents, sf_dir, odd, odd_rows, none):
     assert shards.byte_shards(none).count() == 0
 
 
+@pytest.mark.parametrize("block", [32, 300])
+def test_shards_of_many_blocks(spark, monkeypatch, block):
+    """Sizes over four orders of magnitude, a group of very many copies, and several levels of blocks: as even as one differencing of all groups."""
+    monkeypatch.setattr(shards, "BLOCK", block)
+    rng = random.Random(block)
+    rows = [(k, "x" * int(10 ** rng.uniform(0, 4)) + str(k)) for k in range(2500)] + [(10_000 + k, "copy" * 20) for k in range(2000)]
+    rows.append((20_000, "y" * 150_000))
+    out = shards.byte_shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    sizes, parts, home = collections.Counter(), collections.Counter(), {}
+    texts = dict(rows)
+    for r in out:
+        sizes[texts[r.doc_id]] += r.size
+        parts[r.shard] += r.size
+        assert home.setdefault(texts[r.doc_id], r.shard) == r.shard
+    alone = np.zeros((len(sizes), 16), np.int64)
+    alone[:, -1] = list(sizes.values())
+    plain = np.bincount(shards.combine(alone)[:, -1], alone[:, -1], 16)
+    assert len(out) == len(rows) and len(parts) == 16
+    assert max(parts.values()) - min(parts.values()) <= max(100, plain.max() - plain.min())
+
+
 def test_differencing():
     parts = np.array([[0, 8], [0, 7], [0, 6], [0, 5], [0, 4]])
     shard = shards.combine(parts)[:, -1]
@@ -410,11 +431,14 @@ def test_oracles(spark, sf_dir):
     import duckdb
 
     con = duckdb.connect()
-    con.sql(f"create view documents as select * from '{sf_dir}/documents.parquet'")
+    for name in ("documents", "embeddings", "benchmark"):
+        con.sql(f"create view {name} as select * from '{sf_dir}/{name}.parquet'")
     for name, sql in queries.ORACLE_SQL.items():
         want = con.sql(sql)
+        got = queries.QUERIES[name](spark, sf_dir)
         columns = want.columns
-        assert sorted(tuple(r[c] for c in columns) for r in queries.QUERIES[name](spark, sf_dir).collect()) == sorted(want.fetchall())
+        assert sorted(columns) == sorted(got.columns)
+        assert sorted(tuple(r[c] for c in columns) for r in got.collect()) == sorted(want.fetchall())
 
 
 def test_a_large_group_of_near_lines(spark):
