@@ -1,9 +1,9 @@
 """Line deduplication by an exact set-similarity join.
 
-A line's set holds its words (A-Z as a-z), a word that comes k times as k members. Lines of LEAST_WORDS words or more, or of
-LEAST_BYTES bytes besides white space, whose sets have a Jaccard similarity of 3/4 or more match; a line that matches an earlier
-one (by key, then line number) is removed, whether or not that one stays. Shorter lines are left alone: they repeat in clean
-texts by chance. The second measure takes in lines of scripts without spaces and long lines of few words.
+A line's set holds its words (A-Z as a-z), a word that comes k times as k members. Lines of five words or more, or of 16
+bytes besides white space (the parameter `least`), whose sets have a Jaccard similarity of 3/4 or more match; a line that matches an earlier
+one (by key, then line number) is removed, whether or not that one stays. Shorter lines are left alone and
+counted: they repeat in clean texts by chance; with least=(1, 1) they are treated as the others. The second measure takes in lines of scripts without spaces and long lines of few words.
 
 Equal sets are found by a 128-bit hash of the set. For the rest, members are ordered by rarity: by the count, over all
 documents, of their word's bucket (a table of RARITY sums, whatever the corpus), then by hash. A pair that matches shares a member
@@ -14,7 +14,8 @@ of which lose no match. Members that very many prefixes hold, as counted over al
 two by two, so no group of prefixes is large.
 
 What passes are lists of partners, a row for each line of a group. These candidates' components are dealt into cells of bounded
-size, to which each line's full set goes once (and in components larger than a cell once for each other block). A cell verifies
+size, to which each line's full set goes once; in components larger than a cell, whose lines are dealt into blocks, once for each
+block in which it has a partner. A cell verifies
 its candidates and tells of each line the number of its links, its earliest partner and a link towards its class; so pairs are
 never rows.
 
@@ -42,8 +43,8 @@ from kindred.llm import components
 from kindred.llm.common import KeyFilter, discard, frugal, materialize, prepare, text_steps
 from kindred.llm.words import U64, mix64, words
 
-#: A line is looked at if it has so many words, or so many bytes besides white space.
-LEAST_WORDS, LEAST_BYTES = 5, 16
+#: A line is looked at if it has so many words, or so many bytes besides white space: the parameter `least`.
+LEAST = (5, 16)
 #: Buckets of the table of words' counts, and of the table of prefixes' counts; tables are added up in parts.
 RARITY, HELD, PART = 1 << 18, 1 << 16, 1 << 12
 #: Prefix members of a block of a hot member, and of a group of prefixes, that are aimed at; the least number of groups.
@@ -67,7 +68,7 @@ FIRST = 2
 class Lines:
     """The lines of texts that are looked at: their text, number, and words (as hashes, a line's together)."""
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray):
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, least: tuple[int, int] = LEAST):
         starts, ends, hashes, _ = words(data, bounds)
         feed = data == 10
         # A line's number is the count of line feeds before it in its text. Empty lines that begin where another does have no words.
@@ -77,8 +78,10 @@ class Lines:
         at = np.searchsorted(starts, begin)
         count = np.diff(np.append(at, len(starts)))
         solid = np.concatenate([[0], np.cumsum(ends - starts)])
-        own = (count > 0) & ((count >= LEAST_WORDS) | (solid[at + count] - solid[at] >= LEAST_BYTES))
+        own = (count > 0) & ((count >= least[0]) | (solid[at + count] - solid[at] >= least[1]))
         self.word = hashes[np.repeat(own, count)]
+        left = np.searchsorted(bounds, begin[(count > 0) & ~own], "right") - 1
+        self.short = np.bincount(left, minlength=len(bounds) - 1)
         begin, self.count = begin[own], count[own]
         self.text = np.searchsorted(bounds, begin, "right") - 1
         self.number = feeds[begin] - feeds[bounds[self.text]]
@@ -122,7 +125,7 @@ class Lines:
 
 
 TABLE = "part long, spots binary, counts binary"
-PARTS = "kind int, key long, lines int, a array<long>, b array<long>, c array<long>, spots binary, counts binary"
+PARTS = "kind int, key long, lines int, short int, a array<long>, b array<long>, c array<long>, spots binary, counts binary"
 FOUND = "a long, root long, others binary"
 
 
@@ -142,14 +145,18 @@ def _parts(total: np.ndarray) -> list[pa.Array]:
     return [pa.array([k for k, _, _ in own], pa.int64()), pa.array([at.astype(np.uint16).tobytes() for _, at, _ in own], pa.binary()), pa.array([_least(x[at]).tobytes() for _, at, x in own], pa.binary())]
 
 
-@frugal
-def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tally(least: tuple[int, int]):
     """key, text -> the task's counts of words by bucket."""
-    total = np.zeros(RARITY, np.int64)
-    for batch in batches:
-        for _, _, data, bounds in text_steps(batch.column(1)):
-            total += np.bincount((Lines(data, bounds).word >> U64(46)).astype(np.int64), minlength=RARITY)
-    yield pa.RecordBatch.from_arrays(_parts(total), ["part", "spots", "counts"])
+
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(RARITY, np.int64)
+        for batch in batches:
+            for _, _, data, bounds in text_steps(batch.column(1)):
+                total += np.bincount((Lines(data, bounds, least).word >> U64(46)).astype(np.int64), minlength=RARITY)
+        yield pa.RecordBatch.from_arrays(_parts(total), ["part", "spots", "counts"])
+
+    return run
 
 
 @frugal
@@ -182,27 +189,27 @@ class _Seen:
         return [k for k, key in enumerate(keys.tolist()) if key not in self.keys and not self.keys.add(key)]
 
 
-def _survey(rarity: np.ndarray):
+def _survey(rarity: np.ndarray, least: tuple[int, int]):
     """key, text -> kind 0: a document's lines (numbers, two halves of keys); kind 1: the task's counts of prefix members by bucket."""
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, seen = np.zeros(HELD, np.int64), _Seen()
-        names = ["kind", "key", "lines", "a", "b", "c", "spots", "counts"]
+        names = ["kind", "key", "lines", "short", "a", "b", "c", "spots", "counts"]
         for batch in batches:
             for lo, hi, data, bounds in text_steps(batch.column(1)):
-                f = Lines(data, bounds)
+                f = Lines(data, bounds, least)
                 cut = np.searchsorted(f.text, np.arange(hi - lo + 1)).astype(np.int32)
                 keys = f.keys()
                 lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(x.astype(np.int64))) for x in (f.number, *keys)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(hi - lo, np.int32)), batch.column(0).slice(lo, hi - lo), pa.array(f.per_text.astype(np.int32)), *lists, *[pa.nulls(hi - lo, pa.binary())] * 2], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(hi - lo, np.int32)), batch.column(0).slice(lo, hi - lo), pa.array(f.per_text.astype(np.int32)), pa.array(f.short.astype(np.int32)), *lists, *[pa.nulls(hi - lo, pa.binary())] * 2], names)
                 if fresh := seen.fresh(keys[0]):
                     f = f.some(fresh)
                     member, (_, at) = f.members(rarity), f.prefixes()
                     total += np.bincount((member[at] >> U64(48)).astype(np.int64), minlength=HELD)
         part, spots, counts = _parts(total)
         n = len(part)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), part, pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.list_(pa.int64()))] * 3, spots, counts], names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), part, *[pa.nulls(n, pa.int32())] * 2, *[pa.nulls(n, pa.list_(pa.int64()))] * 3, spots, counts], names)
 
     return run
 
@@ -217,7 +224,7 @@ def _halved(parities: np.ndarray) -> np.ndarray:
     return parities[:, :2] ^ parities[:, 2:]
 
 
-def _prefixes(rarity: np.ndarray, blocks: np.ndarray, groups: int, wanted: KeyFilter | None = None):
+def _prefixes(rarity: np.ndarray, blocks: np.ndarray, groups: int, least: tuple[int, int], wanted: KeyFilter | None = None):
     """rarity: each bucket's place in the order; blocks: into how many a bucket's members are dealt; wanted: the only members dealt out."""
 
     @frugal
@@ -241,7 +248,7 @@ def _prefixes(rarity: np.ndarray, blocks: np.ndarray, groups: int, wanted: KeyFi
 
         for batch in batches:
             for lo, hi, data, bounds in text_steps(batch.column(1)):
-                f = Lines(data, bounds)
+                f = Lines(data, bounds, least)
                 age = np.clip(batch.column(0).slice(lo, hi - lo).to_numpy(), 0, 2**32 - 1).astype(np.uint32)
                 # The task's repeats of a line go here, so a line that is everywhere leaves each task a few times at most.
                 keys = f.keys()[0]
@@ -376,7 +383,7 @@ def _candidates(asking: KeyFilter | None = None, every: bool = False):
     return run
 
 
-def _fetch(documents: KeyFilter, lines: KeyFilter):
+def _fetch(documents: KeyFilter, lines: KeyFilter, least: tuple[int, int]):
     """key, text -> line key, document, number and sorted members of lines that may be wanted in documents that may be."""
 
     @frugal
@@ -385,7 +392,7 @@ def _fetch(documents: KeyFilter, lines: KeyFilter):
             some = pa.array(np.flatnonzero(documents(batch.column(0).to_numpy())))
             key, text = batch.column(0).take(some).to_numpy(), batch.column(1).take(some)
             for lo, _, data, bounds in text_steps(text):
-                f = Lines(data, bounds)
+                f = Lines(data, bounds, least)
                 keys = f.keys()[0]
                 own = np.flatnonzero(lines(keys))
                 if len(own):
@@ -455,14 +462,14 @@ def _decided(table: pa.Table) -> pa.Table:
     return pa.table({"id": pa.array(lines[some]), "links": pa.array(links[some]), "gone": pa.array(gone[some]), "root": pa.array(root[some])})
 
 
-def _wanted_members(rarity: np.ndarray, asking: KeyFilter):
+def _wanted_members(rarity: np.ndarray, asking: KeyFilter, least: tuple[int, int]):
     """key, text -> the members of the prefixes of lines that are asking."""
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, bounds in text_steps(batch.column(1)):
-                f = Lines(data, bounds)
+                f = Lines(data, bounds, least)
                 own = np.flatnonzero(asking(f.keys()[0]))
                 if len(own):
                     f = f.some(own)
@@ -471,7 +478,23 @@ def _wanted_members(rarity: np.ndarray, asking: KeyFilter):
     return run
 
 
-def _verified(plain: DataFrame, firsts: DataFrame, found: DataFrame) -> DataFrame:
+@frugal
+def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, others, root, many -> the blocks in which a line has partners (low: null), and these, by the bits that name them, with the line's block."""
+    for batch in batches:
+        ids, roots, many = (batch.column(c).to_numpy() for c in (0, 2, 3))
+        size = [len(x.as_buffer()) // 4 for x in batch.column(1)]
+        low = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in batch.column(1)]).astype(np.int64)
+        row = np.repeat(np.arange(len(ids)), size)
+        ahead = np.unique(np.stack([ids[row], many[row], roots[row], low % many[row]]), axis=1)
+        back = np.unique(np.stack([many[row], roots[row], low, (ids[row] & LOW) % many[row]]), axis=1)
+        n, k = ahead.shape[1], back.shape[1]
+        lows = pa.array(np.concatenate([np.zeros(n, np.int64), back[2]]), mask=np.arange(n + k) < n)
+        out = [pa.array(np.concatenate([ahead[0], np.zeros(k, np.int64)])), *(pa.array(np.concatenate([a, b])) for a, b in ((ahead[1], back[0]), (ahead[2], back[1])))]
+        yield pa.RecordBatch.from_arrays([*out, lows, pa.array(np.concatenate([ahead[3], back[3]]))], ["id", "many", "root", "low", "block"])
+
+
+def _verified(plain: DataFrame, firsts: DataFrame, found: DataFrame, least: tuple[int, int]) -> DataFrame:
     """(id, links, gone, root) for lines that have links among the candidates `found`; an id may come several times."""
     comps = components.components(found.where("root is not null").select("a", F.col("root").alias("b")))
     sizes = comps.groupBy("root").agg(F.ceil(F.count("*") / CELL).alias("many"))
@@ -479,32 +502,39 @@ def _verified(plain: DataFrame, firsts: DataFrame, found: DataFrame) -> DataFram
     placed = materialize(placed, "placed")
     cells = max(1, -(-placed.count() // CELL))
     documents, lines = KeyFilter(placed.select("first_key").distinct()), KeyFilter(placed.select("id"))
-    sets = plain.mapInArrow(_fetch(documents, lines), "id long, key long, line long, members binary").join(placed, "id").where("key = first_key and line = first_line")
+    sets = plain.mapInArrow(_fetch(documents, lines, least), "id long, key long, line long, members binary").join(placed, "id").where("key = first_key and line = first_line")
     sets = sets.groupBy("id").agg(F.first(F.struct("members", "root", "many", "first_key", "first_line")).alias("s")).select("id", "s.*")
     lists = found.where("others is not null").join(placed.select(F.col("id").alias("a"), "root", "many"), "a").select(F.col("a").alias("id"), "others", placed["root"].alias("root"), "many")
-    # A component that fits in one cell shares it with others; the lines of a larger one are dealt into blocks that meet two by two.
+    # A component that fits in one cell shares it with others. The lines of a larger one are dealt into blocks, of which two meet where
+    # they have candidates: a line's set and lists go to the blocks of its partners, and a partner's set to the line's block.
     block = F.pmod(F.col("id").bitwiseAND(F.lit(LOW).cast("long")), "many")
-    meets = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("many") - 1), lambda c: F.struct(F.least(block, c).alias("x"), F.greatest(block, c).alias("y"))))
+    own, other = lists.where("many > 1").mapInArrow(_partners, "id long, many long, root long, low long, block long"), F.col("low").isNull()
+    met = materialize(own.distinct(), "met")
+    low = F.col("id").bitwiseAND(F.lit(LOW).cast("long"))
+    back = met.where(~other).select("root", "low", "block").join(placed.where("many > 1").select("id", "root", low.alias("low")), ["root", "low"]).select("id", "block")
+    ahead = met.where(other).select("id", "block")
+    one = lambda df: df.where("many = 1").withColumn("x", F.lit(0).cast("long")).withColumn("y", F.lit(0).cast("long"))
+    many = lambda df, blocks: df.where("many > 1").join(blocks, "id").withColumn("x", F.least(block, "block")).withColumn("y", F.greatest(block, "block")).drop("block")
     cell = F.when(F.col("many") == 1, F.pmod("root", F.lit(cells))).otherwise(F.col("root")).alias("cell")
     null = lambda kind, name: F.lit(None).cast(kind).alias(name)
-    sets = sets.select(cell, meets.alias("meets"), "id", "many", "members", null("binary", "others"), "first_key", "first_line")
-    lists = lists.select(cell, meets.alias("meets"), "id", "many", null("binary", "members"), "others", null("long", "first_key"), null("long", "first_line"))
-    rows = sets.unionByName(lists).select("cell", "meets.x", "meets.y", "id", "many", "members", "others", "first_key", "first_line").withColumn("whole", F.col("many") == 1)
+    sets = one(sets).unionByName(many(sets, ahead.unionByName(back).distinct())).select(cell, "x", "y", "id", "many", "members", null("binary", "others"), "first_key", "first_line")
+    lists = one(lists).unionByName(many(lists, ahead)).select(cell, "x", "y", "id", "many", null("binary", "members"), "others", null("long", "first_key"), null("long", "first_line"))
+    rows = sets.unionByName(lists).withColumn("whole", F.col("many") == 1)
     decided = materialize(rows.groupBy("whole", "cell", "x", "y").applyInArrow(_decided, DECIDED), "decided")
-    discard(placed)
+    discard(placed, met)
     return decided
 
 
-def line_tables(docs: DataFrame, key: str = "doc_id", text: str = "text", every: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Documents (key, lines), lines (key, line, a, b), sets of equal lines (a, b, first, gone).
+def line_tables(docs: DataFrame, key: str = "doc_id", text: str = "text", every: bool = False, least: tuple[int, int] = LEAST) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents (key, lines, short), lines (key, line, a, b), sets of equal lines (a, b, first, gone).
 
     With `every`, these also have n (lines), links (to other sets) and root (first line that links and equal words reach).
     """
     prepare(docs.sparkSession)
     plain = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where("key is not null and text is not null")
     rarity = np.empty(RARITY, np.uint32)
-    rarity[np.argsort(_table(plain.mapInArrow(tally, TABLE), RARITY), kind="stable")] = np.arange(RARITY, dtype=np.uint32)
-    parts = materialize(plain.mapInArrow(_survey(rarity), PARTS), "lines")
+    rarity[np.argsort(_table(plain.mapInArrow(_tally(least), TABLE), RARITY), kind="stable")] = np.arange(RARITY, dtype=np.uint32)
+    parts = materialize(plain.mapInArrow(_survey(rarity, least), PARTS), "lines")
     held = _table(parts.where("kind = 1").select(F.col("key").alias("part"), "spots", "counts"), HELD)
     # A bucket counts as hot by what it holds beyond a few times the mean.
     blocks = 1 + np.maximum(0, held - 4 * held.sum() // HELD) // BLOCK
@@ -515,35 +545,35 @@ def line_tables(docs: DataFrame, key: str = "doc_id", text: str = "text", every:
     firsts = classes.groupBy("a").agg(F.min("first").alias("first"))
 
     def candidates(members: KeyFilter | None = None, **how) -> DataFrame:
-        return materialize(plain.mapInArrow(_prefixes(rarity, blocks, groups, members), packed).groupBy("group").applyInArrow(_candidates(**how), FOUND), "found")
+        return materialize(plain.mapInArrow(_prefixes(rarity, blocks, groups, least, members), packed).groupBy("group").applyInArrow(_candidates(**how), FOUND), "found")
 
     gone = F.bool_or("gone").alias("gone")
     if every:
         found = candidates(every=True)
-        decided = _verified(plain, firsts, found)
+        decided = _verified(plain, firsts, found, least)
         discard(found)
         roots = materialize(components.components(decided.select(F.col("id").alias("a"), F.col("root").alias("b"))).join(firsts.withColumnRenamed("a", "id"), "id"), "roots")
         least = roots.groupBy("root").agg(F.min("first").alias("place"))
         roots = roots.join(least, "root").select(F.col("id").alias("a"), "place")
         told = classes.join(decided.groupBy(F.col("id").alias("a")).agg(gone, F.sum("links").alias("links")), "a", "left").join(roots, "a", "left")
         told = told.select("a", "b", "first", F.coalesce("gone", F.lit(False)).alias("gone"), "n", F.coalesce("links", F.lit(0).cast("long")).alias("links"), F.coalesce("place", "first").alias("root"))
-        return parts.where("kind = 0").select("key", "lines"), lines, materialize(told, "told")
+        return parts.where("kind = 0").select("key", "lines", "short"), lines, materialize(told, "told")
 
     found = candidates()
-    out = _verified(plain, firsts, found).where("gone").select("id")
+    out = _verified(plain, firsts, found, least).where("gone").select("id")
     # Lines with pairs that weren't tried, and no earlier match so far: of these all pairs are tried.
     asking = materialize(found.where("root is null").select(F.col("a").alias("id")).distinct().join(out, "id", "left_anti"), "asking")
     if not asking.isEmpty():
         keys = KeyFilter(asking)
-        members = KeyFilter(materialize(plain.mapInArrow(_wanted_members(rarity, keys), "member long").distinct(), "members"))
-        out = out.unionByName(_verified(plain, firsts, candidates(members, asking=keys)).where("gone").select("id"))
+        members = KeyFilter(materialize(plain.mapInArrow(_wanted_members(rarity, keys, least), "member long").distinct(), "members"))
+        out = out.unionByName(_verified(plain, firsts, candidates(members, asking=keys), least).where("gone").select("id"))
     told = classes.join(out.distinct().select(F.col("id").alias("a"), F.lit(True).alias("gone")), "a", "left")
-    return parts.where("kind = 0").select("key", "lines"), lines, materialize(told.select("a", "b", "first", F.coalesce("gone", F.lit(False)).alias("gone")), "told")
+    return parts.where("kind = 0").select("key", "lines", "short"), lines, materialize(told.select("a", "b", "first", F.coalesce("gone", F.lit(False)).alias("gone")), "told")
 
 
-def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: tuple[int, int] = LEAST) -> DataFrame:
     """A row for each key with lines: key, n_lines, n_removed, n_near (lines that match an earlier line of other words), removed (line numbers from 0, ascending)."""
-    rows, lines, classes = line_tables(docs, key, text)
+    rows, lines, classes = line_tables(docs, key, text, least=least)
     marked = lines.join(classes, ["a", "b"]).select("key", "line", "gone", (F.col("gone") | (F.struct("key", "line") != F.col("first"))).alias("out"))
     own = marked.groupBy("key").agg(F.count_if("gone").alias("n_near"), F.array_sort(F.collect_set(F.when(F.col("out"), F.col("line")))).alias("removed"))
     rows = rows.groupBy("key").agg(F.max("lines").alias("n_lines")).join(own, "key", "left")
@@ -551,29 +581,29 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return rows.select("key", F.col("n_lines").cast("long").alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), removed.alias("removed"))
 
 
-def line_report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each document: key, n_lines, n_removed, n_near, n_links, removed, class_ids.
+def line_report(docs: DataFrame, key: str = "doc_id", text: str = "text", least: tuple[int, int] = LEAST) -> DataFrame:
+    """A row for each document: key, n_lines, n_short, n_removed, n_near, n_links, removed, class_ids.
 
-    n_links: links of its lines to sets of lines with other words. removed: line numbers, comma-joined. class_ids: line=key:line of
+    n_short: lines with words that are too short to be looked at. n_links: links of its lines to sets of lines with other words. removed: line numbers, comma-joined. class_ids: line=key:line of
     each line that equals or matches another, comma-joined; the second half is the earliest line of the class.
     """
-    rows, lines, sets = line_tables(docs, key, text, every=True)
+    rows, lines, sets = line_tables(docs, key, text, True, least)
     marked = lines.join(sets, ["a", "b"]).withColumn("out", F.col("gone") | (F.struct("key", "line") != F.col("first")))
     told = F.struct("line", F.concat_ws(":", "root.key", "root.line").alias("root"))
     own = marked.groupBy("key").agg(
         F.count_if("gone").alias("n_near"), F.sum("links").alias("n_links"), F.array_sort(F.collect_set(F.when(F.col("out"), F.col("line")))).alias("removed"),
         F.array_sort(F.collect_set(F.when((F.col("n") > 1) | (F.col("links") > 0), told))).alias("classes"),
     )
-    own = rows.groupBy("key").agg(F.max("lines").cast("long").alias("n_lines")).join(own, "key", "left").withColumn("n_removed", F.size(F.coalesce("removed", F.array().cast("array<bigint>"))).cast("long"))
+    own = rows.groupBy("key").agg(F.max("lines").cast("long").alias("n_lines"), F.max("short").cast("long").alias("n_short")).join(own, "key", "left").withColumn("n_removed", F.size(F.coalesce("removed", F.array().cast("array<bigint>"))).cast("long"))
     zero, blank = F.lit(0).cast("long"), F.lit("")
     rows = docs.select(key).join(own.withColumnRenamed("key", "__key"), F.col(key).cast("long") == F.col("__key"), "left")
     classes = F.array_join(F.transform("classes", lambda x: F.concat_ws("=", x["line"], x["root"])), ",")
-    return rows.select(key, *[F.coalesce(c, zero).alias(c) for c in ("n_lines", "n_removed", "n_near", "n_links")], F.coalesce(F.array_join("removed", ","), blank).alias("removed"), F.coalesce(classes, blank).alias("class_ids"))
+    return rows.select(key, *[F.coalesce(c, zero).alias(c) for c in ("n_lines", "n_short", "n_removed", "n_near", "n_links")], F.coalesce(F.array_join("removed", ","), blank).alias("removed"), F.coalesce(classes, blank).alias("class_ids"))
 
 
-def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str | None = "n_chars") -> DataFrame:
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str | None = "n_chars", least: tuple[int, int] = LEAST) -> DataFrame:
     """docs with the removed lines gone from the texts; the column `length`, if there is one, tells the new length of changed texts."""
-    told = removed_lines(docs, key, text).where("n_removed > 0").select(F.col("key").alias("__key"), F.col("removed").alias("__removed"))
+    told = removed_lines(docs, key, text, least).where("n_removed > 0").select(F.col("key").alias("__key"), F.col("removed").alias("__removed"))
     rows = docs.join(told, F.col(key).cast("long") == F.col("__key"), "left")
     kept = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda line, k: ~F.array_contains("__removed", k.cast("long"))), "\n")
     changed = F.col("__removed").isNotNull()

@@ -441,6 +441,30 @@ def test_oracles(spark, sf_dir):
         assert sorted(tuple(r[c] for c in columns) for r in got.collect()) == sorted(want.fetchall())
 
 
+def test_short_lines(spark):
+    """Left alone and counted, or removed like others if the parameter says so."""
+    df = spark.createDataFrame([(1, "thank you all\nx\n\n  \nthank you all"), (2, "x\nThank  you all\nno"), (3, None)], "doc_id long, text string")
+    assert {r.doc_id: (r.n_lines, r.n_short, r.removed) for r in linedup.line_report(df).collect()} == {1: (5, 3, ""), 2: (3, 3, ""), 3: (0, 0, "")}
+    assert {r.doc_id: (r.n_short, r.removed) for r in linedup.line_report(df, least=(1, 1)).collect()} == {1: (0, "4"), 2: (0, "0,1"), 3: (0, "")}
+    assert {r.doc_id: r.text for r in linedup.deduplicated(df, least=(1, 1)).collect()} == {1: "thank you all\nx\n\n  ", 2: "no", 3: None}
+
+
+def test_sets_go_only_where_they_have_candidates(spark, monkeypatch):
+    """Many lines that candidates join but that hardly match: few copies of their sets."""
+    monkeypatch.setattr(linedup, "CELL", 60)
+    rng = random.Random(12)
+    base = [f"w{k}" for k in range(40)]
+    rows = []
+    for k in range(400):
+        words = list(base)
+        for place in rng.sample(range(40), 5):
+            words[place] = f"v{rng.randrange(10**6)}"
+        rows.append((k, " ".join(words)))
+    want = line_matches(rows)
+    for r in linedup.line_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect():
+        assert r.removed == ",".join(map(str, sorted(want[r.doc_id])))
+
+
 def test_a_large_group_of_near_lines(spark):
     """Pairs are left out at first here, so the second round has work."""
     rng = random.Random(3)
