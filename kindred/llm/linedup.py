@@ -331,6 +331,7 @@ def _candidates(asking: KeyFilter | None = None, every: bool = False):
         order = order[new & ~alone]
         token, key, size, bits, spot, long, wide, when, mark = (x[order] for x in (token, key, size, bits, spot, long, wide, when, mark))
         asks = asking(key) if asking is not None else None
+        known, code = np.unique(key, return_inverse=True)  # pairs are told by places among these
         index, side = (mark & 1) == 1, mark >> 1
         # Of each member's lines, by size: a line meets those before it that are in the index and not too short.
         place = (token.astype(np.int64) << 31) | np.minimum(size, (1 << 31) - 1)
@@ -339,7 +340,7 @@ def _candidates(asking: KeyFilter | None = None, every: bool = False):
         high = np.searchsorted(shorter, np.arange(len(token)))
         many = np.maximum(high - low, 0)
         run = np.concatenate([[0], np.cumsum(many)])
-        found, cut = [np.empty((0, 2), np.int64)], [np.empty(0, np.int64)]
+        found, cut = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         lo = 0
         while lo < len(token):
             hi = max(lo + 1, int(np.searchsorted(run, run[lo] + STEP, "right")) - 1)
@@ -367,12 +368,14 @@ def _candidates(asking: KeyFilter | None = None, every: bool = False):
                 tried[_best(later, when[older])] = True
                 cut.append(np.unique(np.concatenate([key[i[~tried]], key[j[~tried]]])))
                 i, j = i[tried], j[tried]
-            pair = np.stack([key[i], key[j]], 1)
-            found.append(np.unique(np.stack([pair.max(1), pair.min(1)], 1), axis=0) if len(pair) else pair)
+            i, j = code[i], code[j]
+            found.append(np.unique(np.maximum(i, j) * len(known) + np.minimum(i, j)))
             lo = hi
-        pairs, cut = np.unique(np.concatenate(found), axis=0), np.unique(np.concatenate(cut))
-        ids, at = np.unique(pairs, return_inverse=True)
-        at = at.reshape(-1, 2)
+        pairs, cut = np.unique(np.concatenate(found)), np.unique(np.concatenate(cut))
+        pairs = np.stack(np.divmod(pairs, max(1, len(known))), 1)
+        own, at = np.unique(pairs, return_inverse=True)
+        ids, at = known[own], at.reshape(-1, 2)
+        pairs = known[pairs]
         root = ids[_reached(len(ids), at[:, 0], at[:, 1])]
         first = np.searchsorted(at[:, 0], np.arange(len(ids) + 1))
         low = (pairs[:, 1] & LOW).astype(np.uint32)
@@ -429,7 +432,7 @@ def _decided(table: pa.Table) -> pa.Table:
     low = lines & LOW
     by_low = np.argsort(low, kind="stable")
     low = low[by_low]
-    pairs = [np.empty((0, 2), np.int64)]
+    pairs = [np.empty(0, np.int64)]
     # Many lists of a line name the same partners, so they are united line by line.
     others, lists = table.column("others"), np.flatnonzero(~has)
     lists = lists[np.argsort(ids[lists], kind="stable")]
@@ -445,8 +448,8 @@ def _decided(table: pa.Table) -> pa.Table:
         spot = by_low[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin, count)]
         own = np.searchsorted(lines, ids[k])
         spot = spot[spot != own]
-        pairs.append(np.stack([np.maximum(spot, own), np.minimum(spot, own)], 1))
-    at = np.unique(np.concatenate(pairs), axis=0)
+        pairs.append(np.maximum(spot, own) * len(lines) + np.minimum(spot, own))
+    at = np.stack(np.divmod(np.unique(np.concatenate(pairs)), max(1, len(lines))), 1)
     cut = np.searchsorted(at[:, 0], np.arange(len(lines) + 1))
     ok = np.zeros(len(at), bool)
     for k in np.flatnonzero(np.diff(cut)).tolist():
