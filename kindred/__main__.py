@@ -26,20 +26,20 @@ def main(argv: list[str] | None = None) -> int:
     run.add_argument("--github-url")
     run.add_argument("--github-base", default="https://api.github.com/users", help="where profiles are fetched; a file: URL needs no network")
     args = top.parse_args(argv)
-    paths, warnings = readers.resolve_paths(args.sources)
+    spark = SparkSession.builder.appName("kindred").getOrCreate()
+    paths, warnings = readers.resolve_paths(args.sources, spark)
     for w in warnings:
         print(w, file=sys.stderr)
     if not paths and not args.linkedin_url and not args.github_url:
         print("there are no sources", file=sys.stderr)
         return 1
-    spark = SparkSession.builder.appName("kindred").getOrCreate()
-    sources = readers.file_sources(spark, paths)
+    sources, csv = readers.file_sources(spark, paths, csv=False), readers.csv_lines(spark, paths)
     github = linkedin = None
     if args.linkedin_url or args.github_url:
         sources = sources.unionByName(readers.link_sources(spark, args.github_url, args.linkedin_url, len(paths)))
     if args.github_url:
         spark.dataSource.register(readers.GithubProfiles)
-        github = spark.read.format("github_profiles").options(users=args.github_url.rstrip("/").rsplit("/", 1)[-1], base=args.github_base).load()
+        github = spark.read.format("github_profiles").options(users=",".join(readers.github_users([args.github_url])), base=args.github_base).load()
     if args.linkedin_profiles:
         linkedin = readers.stored_profiles(spark, args.linkedin_profiles)
     config = DEFAULT
@@ -50,7 +50,7 @@ def main(argv: list[str] | None = None) -> int:
     if store and not store.writable():
         print("the store can't be written; the run is not stored", file=sys.stderr)
         store = None
-    result = run_pipeline(spark, sources, config, store, github, linkedin)
+    result = run_pipeline(spark, sources, config, store, github, linkedin, csv)
     for row in result.warnings.toLocalIterator():
         print(f"{row.stage}: {row.subject}: {row.message}", file=sys.stderr)
     lines = as_json(result.projected, config)

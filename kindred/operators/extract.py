@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from kindred.functions.scalars import slug_name
 from kindred.operators import resume
+from kindred.plans.tables import kept
 
 JOBS = "array<struct<company:string,title:string,start:string,end:string,summary:string>>"
 SCHOOLS = "array<struct<institution:string,degree:string,field:string,end_year:string>>"
@@ -110,31 +111,109 @@ _CELL = r'(?:"[^"]*+(?:""[^"]*+)*+"[^D\r\n]*+|[^D\r\n]*+)'
 _RECORD = rf"{_CELL}(?:D{_CELL})*+(?:\r\n|\n|\r|\z)"
 #: A cell with the delimiter before it.
 _EACH = f"D{_CELL}"
-#: A file whose first record has one of these as its delimiter; the first that it holds counts.
-DELIMITERS = (",", ";", "\t", "|")
+#: What can delimit cells, in the order that decides between equals, and from how many records and lines of a file it is guessed.
+DELIMITERS, GUESSED, HEAD_LINES = (",", "\t", "|", ";"), 10, 1000
+#: The rest of a line that ends within a quoted cell: a cell that is closed, and text within quotes.
+_CLOSED, _WITHIN = r'(?:"[^"]*+(?:""[^"]*+)*+"[^D\r]*+|(?!")[^D\r]*+)', r'[^"]*+(?:""[^"]*+)*+'
+_OPENS = rf'\A(?:{_CLOSED}[D\r])*+"{_WITHIN}\z'
+_STAYS_OPEN = rf'\A{_WITHIN}(?:"[^D\r]*+(?:[D\r]{_CLOSED})*+[D\r]"{_WITHIN})?+\z'
+COLUMNS = ("name", "email", "phone", "current_company", "title")
+
+
+def _by(pattern: str, mark: Column | str) -> Column:
+    """The pattern with the delimiter in its place."""
+    return F.replace(F.lit(pattern), F.lit("D"), F.concat(F.lit("\\"), F.lit(mark) if isinstance(mark, str) else mark))
+
+
+def _records(text: Column, mark: Column | str) -> Column:
+    """The records of a text; empty lines are none."""
+    return F.filter(F.transform(F.regexp_extract_all(text, _by(_RECORD, mark), F.lit(0)), lambda r: F.regexp_replace(r, r"[\r\n]+$", "")), lambda r: ~r.isin("", '""'))
+
+
+def _cells(record: Column, mark: Column | str) -> Column:
+    quoted = lambda c: F.when(c.startswith('"') & (F.length(c) > 1), F.regexp_replace(F.regexp_replace(c, r'(?s)^"(.*)"[^"]*$', "$1"), '""', '"')).otherwise(c)
+    return F.transform(F.regexp_extract_all(F.concat(F.lit(mark) if isinstance(mark, str) else mark, record), _by(_EACH, mark), F.lit(0)), lambda c: quoted(F.substr(c, F.lit(2))))
+
+
+def _cut(head: Column, mark: str) -> Column:
+    """struct<uneven, mean, mark>: by how many cells the first records differ from the ones before, and how many they have."""
+    many = F.transform(F.slice(_records(head, mark), 1, GUESSED), lambda r: F.size(_cells(r, mark)))
+    state = lambda last, uneven, total, n: F.struct(last.alias("last"), uneven.alias("uneven"), total.alias("total"), n.alias("n"))
+    step = lambda s, x: state(x, s["uneven"] + F.when(s["n"] > 0, F.abs(x - s["last"])).otherwise(0), s["total"] + x, s["n"] + 1)
+    told = lambda s: F.struct(s["uneven"].alias("uneven"), F.when(s["n"] > 0, s["total"] / s["n"]).otherwise(0.0).alias("mean"), F.lit(mark).alias("mark"))
+    return F.aggregate(many, state(F.lit(0), F.lit(0), F.lit(0), F.lit(0)), step, told)
+
+
+def delimiter(text: Column) -> Column:
+    """Which of DELIMITERS cuts the first records of a text most evenly; of those the one that gives most cells. None that gives two or more: a comma."""
+    head = F.substring_index(text, "\n", HEAD_LINES)
+    start = F.struct(F.lit(1 << 30).alias("uneven"), F.lit(1.99).alias("mean"), F.lit(DELIMITERS[0]).alias("mark"))
+    better = lambda best, x: F.when((x["uneven"] <= best["uneven"]) & (x["mean"] > best["mean"]), x).otherwise(best)
+    return F.aggregate(F.array(*[_cut(head, mark) for mark in DELIMITERS]), start, better)["mark"]
+
+
+def _csv_records(rows: DataFrame) -> DataFrame:
+    """Raw records of (source_pos, source_id, mark, head, row_pos, record). The first column of a name counts; a short row lacks its last cells."""
+    rows = rows.withColumn("cells", _cells(F.col("record"), F.col("mark")))
+    rows = rows.withColumn("row", F.struct(*[F.get("cells", (F.array_position("head", n) - 1).cast("int")).alias(n) for n in COLUMNS]))
+    return rows.select("source_pos", F.col("row_pos").cast("int").alias("row_pos"), F.concat("source_id", F.lit("#row"), F.col("row_pos").cast("string")).alias("source_id"), F.lit("recruiter_csv").alias("source_type"), csv_record(F.col("row")).alias("r"))
 
 
 def csv_rows(sources: DataFrame) -> DataFrame:
     """A row for each record of CSV sources (source_pos, source_id, text): the first record names the columns, of which the first of a name counts.
 
     Quoted cells may hold delimiters, line feeds and doubled quotes. Empty lines are no records; a short row lacks its last cells,
-    and cells beyond the header are left out.
+    and cells beyond the header are left out. A text is one task's; `csv_line_rows` reads files by lines.
     """
-    text = F.regexp_replace("text", "^\ufeff", "")
-    line = F.regexp_extract(text, r"^[^\r\n]*", 0)
-    mark = F.lit(DELIMITERS[0])
-    for d in reversed(DELIMITERS):
-        mark = F.when(line.contains(d), d).otherwise(mark)
-    known = lambda pattern: F.replace(F.lit(pattern), F.lit("D"), F.concat(F.lit("\\"), F.col("mark")))
-    rows = sources.select("source_pos", "source_id", text.alias("text"), mark.alias("mark"))
-    rows = rows.withColumn("records", F.filter(F.transform(F.regexp_extract_all("text", known(_RECORD), F.lit(0)), lambda r: F.regexp_replace(r, r"[\r\n]+$", "")), lambda r: ~r.isin("", '""')))
-    quoted = lambda c: F.when(c.startswith('"') & (F.length(c) > 1), F.regexp_replace(F.regexp_replace(c, r'(?s)^"(.*)"[^"]*$', "$1"), '""', '"')).otherwise(c)
-    cells = lambda record: F.transform(F.regexp_extract_all(F.concat("mark", record), known(_EACH), F.lit(0)), lambda c: quoted(F.substr(c, F.lit(2))))
-    rows = rows.where(F.size("records") > 1).select("source_pos", "source_id", "mark", cells(F.col("records")[0]).alias("head"), F.posexplode(F.slice("records", 2, 1_000_000_000)).alias("row_pos", "record"))
-    rows = rows.withColumn("cells", cells(F.col("record")))
-    names = ("name", "email", "phone", "current_company", "title")
-    rows = rows.withColumn("row", F.struct(*[F.get("cells", (F.array_position("head", n) - 1).cast("int")).alias(n) for n in names]))
-    return rows.select("source_pos", "row_pos", F.concat("source_id", F.lit("#row"), F.col("row_pos").cast("string")).alias("source_id"), F.lit("recruiter_csv").alias("source_type"), csv_record(F.col("row")).alias("r"))
+    text = F.regexp_replace("text", "^﻿", "")
+    rows = sources.select("source_pos", "source_id", text.alias("text"), delimiter(text).alias("mark"))
+    rows = rows.withColumn("records", _records(F.col("text"), F.col("mark"))).where(F.size("records") > 1)
+    return _csv_records(rows.select("source_pos", "source_id", "mark", _cells(F.col("records")[0], F.col("mark")).alias("head"), F.posexplode(F.slice("records", 2, 1_000_000_000)).alias("row_pos", "record")))
+
+
+def csv_line_rows(lines: DataFrame) -> DataFrame:
+    """As csv_rows, from the lines of files: (source_pos, source_id, range, line, value), ranges of a file and lines of a range by their order.
+
+    Whether a line begins within a quoted cell depends on all lines before it, so each line tells in advance how it ends in either
+    case: a line with the same end in both settles it, others keep or turn it. What a range does to it is one row; ranges are put
+    together by a window over these, lines by one over their range. Lines that make up a record are joined, other lines are records
+    as they are; rows are numbered by the ranges' counts. A quoted cell that isn't closed at all is read as one text to the file's end.
+    """
+    file, at = ["source_pos"], ["source_pos", "range"]
+    before = lambda by, order: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    first = lines.where("range = 0").withColumn("place", F.row_number().over(Window.partitionBy("source_pos").orderBy("line"))).where(F.col("place") <= HEAD_LINES)
+    heads = first.groupBy(*file).agg(F.array_sort(F.collect_list(F.struct("line", "value"))).alias("head"))
+    heads = kept(heads.select("source_pos", delimiter(F.regexp_replace(F.array_join(F.transform("head", lambda x: x["value"]), "\n"), "^﻿", "")).alias("mark")), "heads")
+    rows = lines.join(heads, "source_pos").withColumn("value", F.when((F.col("range") == 0) & F.col("value").startswith("﻿") & (F.col("line") == F.min("line").over(Window.partitionBy(*at))), F.substr("value", F.lit(2))).otherwise(F.col("value")))
+    ends = lambda pattern: F.regexp_like("value", _by(pattern, F.col("mark")))
+    rows = kept(rows.withColumn("open0", ends(_OPENS)).withColumn("open1", ends(_STAYS_OPEN)), "ends")
+    # Ends that differ as the beginnings do keep it, ends that differ otherwise turn it, equal ends settle it.
+    turns = F.when(F.col("open0") & ~F.col("open1"), 1).otherwise(0)
+    rows = rows.withColumn("turned", F.coalesce(F.sum(turns).over(before(at, "line")), F.lit(0)))
+    settles = F.when(F.col("open0") == F.col("open1"), F.struct(F.col("open0").cast("int").alias("open"), F.col("turned").alias("then")))
+    rows = rows.withColumn("settled", F.last(settles, True).over(before(at, "line")))
+    here = lambda settled, turned: F.when(settled.isNotNull(), (settled["open"] + turned - settled["then"]) % 2)
+    ranges = rows.groupBy(*at).agg(F.max_by(settles, F.when(settles.isNotNull(), F.col("line"))).alias("settled"), F.sum(turns).alias("turns"))
+    ranges = ranges.withColumn("open", here(F.col("settled"), F.col("turns"))).withColumn("turned", F.coalesce(F.sum("turns").over(before(file, "range")), F.lit(0)))
+    last = F.last(F.when(F.col("open").isNotNull(), F.struct("open", (F.col("turned") + F.col("turns")).alias("then"))), True).over(before(file, "range"))
+    ranges = ranges.withColumn("last", last).select(*at, F.coalesce((F.col("last.open") + F.col("turned") - F.col("last.then")) % 2, F.col("turned") % 2).alias("begins"))
+    rows = rows.join(ranges, at).withColumn("begins", F.coalesce(here(F.col("settled"), F.col("turned")), (F.col("begins") + F.col("turned")) % 2))
+    rows = rows.withColumn("ends", F.when(F.col("begins") == 1, F.col("open1")).otherwise(F.col("open0")))
+    alone = rows.where("begins = 0 and not ends").select(*at, "line", "source_id", "mark", F.col("value").alias("text"))
+    # The pieces of a record go by the place where it begins.
+    parts = rows.where("begins = 1 or ends").withColumn("start", F.when(F.col("begins") == 0, F.struct("range", "line")))
+    opened = parts.groupBy(*at).agg(F.max("start").alias("opened")).withColumn("opened", F.last("opened", True).over(before(file, "range")))
+    own = F.last("start", True).over(Window.partitionBy(*at).orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
+    parts = parts.withColumn("start", own).join(opened, at).withColumn("start", F.coalesce("start", "opened"))
+    joined = parts.groupBy("source_pos", "source_id", "mark", "start").agg(F.array_sort(F.collect_list(F.struct("range", "line", "value"))).alias("lines"))
+    joined = joined.select("source_pos", F.col("start.range").alias("range"), F.col("start.line").alias("line"), "source_id", "mark", F.array_join(F.transform("lines", lambda x: x["value"]), "\n").alias("text"))
+    told = alone.unionByName(joined).withColumn("records", _records(F.col("text"), F.col("mark"))).withColumn("n", F.size("records"))
+    told = kept(told.where("n > 0").drop("text"), "records")
+    starts = told.groupBy(*at).agg(F.sum("n").alias("held")).withColumn("start", F.coalesce(F.sum("held").over(before(file, "range")), F.lit(0))).select(*at, "start")
+    told = told.withColumn("number", F.coalesce(F.sum("n").over(before(at, "line")), F.lit(0))).join(starts, at).withColumn("number", F.col("number") + F.col("start"))
+    told = told.select("source_pos", "source_id", "mark", "number", F.posexplode("records").alias("k", "record")).withColumn("number", F.col("number") + F.col("k")).drop("k")
+    head = told.where("number = 0").select("source_pos", _cells(F.col("record"), F.col("mark")).alias("head"))
+    return _csv_records(told.where("number > 0").join(head, "source_pos").withColumn("row_pos", F.col("number") - 1))
 
 
 def _whole(make: Callable[[Column], Column]) -> Callable[[DataFrame], DataFrame]:
@@ -187,9 +266,10 @@ EXTRACTORS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
-def raw_records(sources: DataFrame) -> DataFrame:
-    """Raw records of typed sources (source_pos, source_id, source_type, url, text), ordered by rec_ord."""
-    parts = [run(sources.where(F.col("source_type") == kind)) for kind, run in EXTRACTORS.items()]
+def raw_records(sources: DataFrame, csv: DataFrame | None = None) -> DataFrame:
+    """Raw records of typed sources (source_pos, source_id, source_type, url, text) and the lines of CSV files, ordered by rec_ord."""
+    parts = [csv_line_rows(csv)] if csv is not None else []
+    parts += [run(sources.where(F.col("source_type") == kind)) for kind, run in EXTRACTORS.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

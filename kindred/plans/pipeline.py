@@ -34,13 +34,13 @@ def typed_text(sources: DataFrame) -> DataFrame:
     return plain.unionByName(typed.where(binary).withColumn("text", parsed)).drop("content")
 
 
-def run_pipeline(spark: SparkSession, sources: DataFrame, config: OutputConfig = DEFAULT, store: Store | None = None, github: DataFrame | None = None, linkedin: DataFrame | None = None) -> PipelineResult:
+def run_pipeline(spark: SparkSession, sources: DataFrame, config: OutputConfig = DEFAULT, store: Store | None = None, github: DataFrame | None = None, linkedin: DataFrame | None = None, csv: DataFrame | None = None) -> PipelineResult:
     """Detects, extracts, normalizes, clusters, merges, scores, checks and projects.
 
     github: fetched profiles as the `github_profiles` reader gives them; linkedin: stored profiles (slug, body). Both are joined to
-    the sources that are links to them. A link without a profile gives an empty record, or one by its slug, and a warning.
+    the sources that are links to them. csv: the lines of CSV files, as `csv_lines` reads them. A link without a profile gives an empty record, or one by its slug, and a warning.
     """
-    if sources.isEmpty():
+    if csv is None and sources.isEmpty():
         raise KindredError("MISSING_INPUT", "there are no sources", 400)
     run_id = store.start(config) if store else "no-persist-run"
     try:
@@ -49,9 +49,9 @@ def run_pipeline(spark: SparkSession, sources: DataFrame, config: OutputConfig =
             typed = extract.with_fixtures(typed, linkedin)
         if github is not None:
             typed = extract.with_profiles(typed, github)
-        raw = kept(extract.raw_records(kept(typed, "typed")), "raw")
+        raw = kept(extract.raw_records(kept(typed, "typed"), csv), "raw")
         records = kept(normalize.normalized(raw), "records")
-        grouped = kept(cluster.cluster(records), "grouped")
+        grouped = cluster.cluster(records)
         profiles = confidence.scored(merge.profiles(grouped), merge.provenance(grouped), grouped)
         judged = kept(canonical_faults(profiles), "profiles")
         good = judged.where(F.size("faults") == 0).drop("faults")

@@ -240,18 +240,43 @@ def country_map(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", scalars.country(raw).alias("country"))
 
 
-@query("SELECT c_nationkey AS source_pos, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey)-1 AS row_pos, concat('The \"', c_name, '\"') AS name, CASE WHEN c_custkey%4<>0 THEN concat('c',c_custkey,'@x.org') END AS email, concat(c_mktsegment, ', ', chr(10), 'Inc') AS current_company FROM customer")
-def csv_rows(spark, sf_dir):
+CSV_ROWS = "SELECT c_nationkey AS source_pos, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey)-1 AS row_pos, concat('The \"', c_name, '\"') AS name, CASE WHEN c_custkey%4<>0 THEN concat('c',c_custkey,'@x.org') END AS email, concat(c_mktsegment, ', ', chr(10), 'Inc') AS current_company FROM customer"
+
+
+def csv_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CSV texts, one a nation, with quotes, delimiters and line feeds in cells, a repeated column and short rows."""
     c, quote = table(spark, sf_dir, "customer"), F.lit('"')
     email = F.when(F.col("c_custkey") % 4 != 0, F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit("@x.org"))).otherwise("")
     line = F.concat(quote, F.lit('The ""'), "c_name", F.lit('""'), quote, F.lit(","), quote, "c_mktsegment", F.lit(", \n"), F.lit("Inc"), quote, F.lit(","), email, F.when(F.col("c_custkey") % 2 == 0, F.lit(",again")).otherwise(""))
     rows = c.groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("c_custkey", line.alias("line")))).alias("rows"))
     text = F.concat(F.lit("name,current_company,email,name\r\n"), F.array_join(F.transform("rows", lambda r: r["line"]), "\r\n\r\n"))
-    got = extract.csv_rows(rows.select(F.col("c_nationkey").alias("source_pos"), F.col("c_nationkey").cast("string").alias("source_id"), text.alias("text")))
+    return rows.select(F.col("c_nationkey").alias("source_pos"), F.col("c_nationkey").cast("string").alias("source_id"), text.alias("text"))
+
+
+@query(CSV_ROWS)
+def csv_rows(spark, sf_dir):
+    got = extract.csv_rows(csv_texts(spark, sf_dir))
     return got.select("source_pos", F.col("row_pos").cast("long").alias("row_pos"), "r.fields.name", "r.fields.email", "r.fields.current_company")
 
 
+@query(CSV_ROWS)
+def csv_line_rows(spark, sf_dir):
+    """The same from lines, in ranges of seven lines that cut through cells."""
+    lines = csv_texts(spark, sf_dir).select("source_pos", "source_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "value"))
+    got = extract.csv_line_rows(lines.select("source_pos", "source_id", (F.col("line") - F.col("line") % 7).cast("long").alias("range"), F.col("line").cast("long").alias("line"), "value"))
+    return got.select("source_pos", F.col("row_pos").cast("long").alias("row_pos"), "r.fields.name", "r.fields.email", "r.fields.current_company")
+
+
+@query("SELECT c_custkey, CASE c_custkey%5 WHEN 0 THEN ';' WHEN 1 THEN chr(9) WHEN 2 THEN '|' ELSE ',' END AS mark FROM customer")
+def csv_delimiter(spark, sf_dir):
+    """Texts with other delimiters in quoted cells, and in every fifth no delimiter at all."""
+    k = F.col("c_custkey") % 5
+    mark = F.when(k == 0, ";").when(k == 1, "\t").when(k == 2, "|").otherwise(",")
+    row = lambda a, b, c: F.when(k == 4, F.col("c_name")).otherwise(F.concat(a, mark, b, mark, c))
+    text = F.concat_ws("\n", row(F.lit("name"), F.lit("title"), F.lit("phone")), row(F.col("c_name"), F.lit("\"a, b; c\""), F.col("c_acctbal").cast("string")), F.lit(""), row(F.col("c_name"), F.concat(F.lit('"x\t| '), F.col("c_mktsegment"), F.lit('\n, ; |"')), F.lit("")))
+    return table(spark, sf_dir, "customer").select("c_custkey", extract.delimiter(text).alias("mark"))
+
+
 @query("SELECT c_custkey, c_name AS name, concat('c',c_custkey,'@x.org') AS email, c_mktsegment AS current_company, CASE WHEN c_custkey%2=0 THEN c_acctbal END AS years_experience, cast(0.95 AS double) AS raw_confidence FROM (SELECT *, c_custkey%5=0 AS bad FROM customer) x WHERE NOT bad UNION ALL SELECT c_custkey, NULL, NULL, NULL, NULL, cast(0.0 AS double) FROM customer WHERE c_custkey%5=0")
 def ats_json_map(spark, sf_dir):
     from kindred.operators.extract import ats_record

@@ -8,7 +8,7 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -18,12 +18,25 @@ SCHEMA = "source_pos int, filename string, url string, content binary"
 EXTENSIONS = ("csv", "json", "pdf", "docx", "txt")
 
 
-def resolve_paths(paths: str) -> tuple[list[str], list[str]]:
-    """Files of a comma-separated list of files, folders (not deeper) and patterns in the last part, and warnings of what isn't there."""
+def _stored(spark: SparkSession, folder: str) -> list[str]:
+    """The files of a folder, or the file itself, in a store that Hadoop's file systems reach."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().toString() for s in fs.listStatus(path) if s.isFile()) if fs.exists(path) else []
+
+
+def resolve_paths(paths: str, spark: SparkSession | None = None) -> tuple[list[str], list[str]]:
+    """Files of a comma-separated list of files, folders (not deeper) and patterns in the last part, and warnings of what isn't there.
+
+    Paths with a scheme are looked up by `spark`, in whatever store they name.
+    """
     found, warnings = [], []
     for p in filter(None, map(str.strip, paths.split(","))):
         folder, last = os.path.split(p)
-        if "*" in last:
+        if "://" in p and spark is not None:
+            rule = re.compile(fnmatch.translate(last.replace("[", "[[]").replace("?", "[?]")), re.IGNORECASE)
+            own = [x for x in _stored(spark, folder) if rule.match(x.rsplit("/", 1)[-1])] if "*" in last else _stored(spark, p)
+        elif "*" in last:
             rule = re.compile(fnmatch.translate(last.replace("[", "[[]").replace("?", "[?]")), re.IGNORECASE)
             names = sorted(os.listdir(folder or ".")) if os.path.isdir(folder or ".") else []
             own = [os.path.join(folder, n) for n in names if rule.match(n) and os.path.isfile(os.path.join(folder, n))]
@@ -37,13 +50,48 @@ def resolve_paths(paths: str) -> tuple[list[str], list[str]]:
     return list(dict.fromkeys(found)), warnings
 
 
-def file_sources(spark: SparkSession, paths: list[str], first: int = 0) -> DataFrame:
-    """Sources of files, in the order of the list; the content is read by tasks."""
-    order = spark.createDataFrame([(first + k, os.path.abspath(p)) for k, p in enumerate(paths)], "source_pos int, at string")
-    files = spark.read.format("binaryFile").load(paths).select(F.regexp_replace("path", "^file:/*", "/").alias("at"), "content") if paths else spark.createDataFrame([], "at string, content binary")
+def _literal(path: str) -> str:
+    """A pattern that the file matches; what else it may match is left out by its path."""
+    return re.sub(r"[\[\]{}*?\\]", "?", path)
+
+
+def _ordered(spark: SparkSession, paths: list[str], first: int, csv: bool | None) -> DataFrame:
+    """(source_pos, at) of paths, with csv only of CSV files, with False only of others."""
+    plain = [(first + k, re.sub("^file:/*", "/", p) if ":/" in p else os.path.abspath(p)) for k, p in enumerate(paths) if csv is None or _is_csv(p) == csv]
+    return spark.createDataFrame(plain, "source_pos int, at string")
+
+
+def _is_csv(path: str) -> bool:
+    return path.lower().endswith(".csv")
+
+
+def _place(path: Column) -> Column:
+    return F.regexp_replace(path, "^file:/*", "/")
+
+
+def file_sources(spark: SparkSession, paths: list[str], first: int = 0, csv: bool = True) -> DataFrame:
+    """Sources of files, in the order of the list; the content is read by tasks. A path may be of any store that Spark reads.
+
+    Without `csv`, CSV files are left out: csv_lines reads them.
+    """
+    order = _ordered(spark, paths, first, None if csv else False)
+    paths = [p for p in paths if csv or not _is_csv(p)]
+    files = spark.read.format("binaryFile").load(list(map(_literal, paths))).select(_place(F.col("path")).alias("at"), "content") if paths else spark.createDataFrame([], "at string, content binary")
     return order.join(files, "at").select("source_pos", F.element_at(F.split("at", "/"), -1).alias("filename"), F.lit(None).cast("string").alias("url"), "content")
 
 
+def csv_lines(spark: SparkSession, paths: list[str], first: int = 0) -> DataFrame | None:
+    """The lines of the CSV files among paths, for `csv_line_rows`, in ranges as Spark splits files; written once, so that lines keep their numbers. None without such files."""
+    own = [p for p in paths if _is_csv(p)]
+    if not own:
+        return None
+    files = spark.read.option("lineSep", "\n").text(list(map(_literal, own)))
+    url = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    lines = files.select(_place(url).alias("at"), F.col("_metadata.file_block_start").alias("range"), F.monotonically_increasing_id().alias("line"), F.make_valid_utf8("value").alias("value"))
+    lines = kept(lines.join(F.broadcast(_ordered(spark, paths, first, True)), "at"), "lines")  # the list of paths was the caller's
+    return lines.select("source_pos", F.element_at(F.split("at", "/"), -1).alias("source_id"), "range", "line", "value")
+
+
 def folder_sources(spark: SparkSession, folder: str) -> DataFrame:
     """Sources of all files below a folder with a known ending, at any scale, in the order of their paths."""
     return numbered(spark.read.format("binaryFile").option("pathGlobFilter", "*.{csv,json,pdf,docx,txt}").option("recursiveFileLookup", True).load(folder))
@@ -77,6 +125,12 @@ def link_sources(spark: SparkSession, github: str | None = None, linkedin: str |
     return spark.createDataFrame([(first + k, n, u, u.encode()) for k, (n, u) in enumerate(pairs)], SCHEMA)
 
 
+def github_users(urls: Iterable[str]) -> list[str]:
+    """The users of GitHub links: the first part of the path, or the text itself; each once."""
+    found = [re.search(r"github\.com/+([^/?#\s]+)", u) for u in urls]
+    return list(dict.fromkeys(m[1] if m else u.strip() for m, u in zip(found, urls, strict=True)))
+
+
 class _Page(InputPartition):
     def __init__(self, user: str):
         self.user = user

@@ -127,3 +127,41 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     out = capsys.readouterr()
     assert {json.loads(x)["full_name"] for x in out.out.splitlines() if x.startswith("{")} == {"Ivo Brand", "Ada Moss", "Gus Vale"}
     assert "not stored" in out.err
+
+
+def test_csv_files_in_many_tasks(spark, tmp_path):
+    """Files that are cut anywhere, by quotes, line feeds, CRLF and a byte-order mark, give what one task reads from each."""
+    rng = random.Random(11)
+    bits = ["a", '"', '""', ",", ";", "\n", "\r\n", " ", "é", '"x, y\nz"', '"q ""q"" q"', "name", ",,", "\n\n"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(90))) for _ in range(12)]
+    out = io.StringIO()
+    rows = [["name", "email", "title"]] + [[f"N {k}", f"n{k}@mail.test", rng.choice(["plain", 'with "quotes", and\r\nlines', "", "a\n\n\nb"])] for k in range(80)]
+    csv.writer(out, delimiter=";").writerows(rows)
+    texts += ["﻿" + out.getvalue(), "", "name,email\n", 'name,email\nAda,"never closed, x@y.zz\nBo,b@c.dd\n\nCy,c@d.ee\n', "name\temail\nAda\ta@b.cc\n", "name,title\rAda,x\rBo,y"]
+    paths = []
+    for k, text in enumerate(texts):
+        paths.append(tmp_path / f"c {k} [1]{{x}}+%41.CSV")
+        paths[-1].write_bytes(text.encode())
+    whole = extract.csv_rows(spark.createDataFrame([(k, p.name, t) for k, (p, t) in enumerate(zip(paths, texts, strict=True))], "source_pos int, source_id string, text string"))
+    sizes = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("70b", sizes["spark.sql.files.maxPartitionBytes"]):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "0b" if size.endswith("0b") else sizes["spark.sql.files.openCostInBytes"])
+            got = extract.csv_line_rows(readers.csv_lines(spark, list(map(str, paths))))
+            assert sorted(got.collect(), key=str) == sorted(whole.collect(), key=str) and got.count() > 90
+    finally:
+        for k, v in sizes.items():
+            spark.conf.set(k, v)
+
+
+def test_files_of_any_name(spark, tmp_path):
+    names = ["cv [1].txt", "a{b}.txt", "x?y.txt", "plain.txt", "cv 1.txt"]
+    for n in names:
+        (tmp_path / n).write_text(f"{n} text")
+    paths, warnings = readers.resolve_paths(f"{tmp_path}")
+    assert not warnings and len(paths) == 5
+    assert {(r.source_pos, r.filename, bytes(r.content).decode()) for r in readers.file_sources(spark, paths).collect()} == {(k, p.rsplit("/", 1)[1], f"{p.rsplit('/', 1)[1]} text") for k, p in enumerate(paths)}
+    stored, _ = readers.resolve_paths(f"file://{tmp_path}/p*.txt,file://{tmp_path}/none.txt", spark)
+    assert len(stored) == 1 and [bytes(r.content) for r in readers.file_sources(spark, stored).collect()] == [b"plain.txt text"]
+    assert readers.github_users(["https://github.com/ada/repo?tab=x", "https://github.com/ada", "bo"]) == ["ada", "bo"]
