@@ -516,12 +516,12 @@ def _verified(plain: DataFrame, firsts: DataFrame, found: DataFrame, least: tupl
     low = F.col("id").bitwiseAND(F.lit(LOW).cast("long"))
     back = met.where(~other).select("root", "low", "block").join(placed.where("many > 1").select("id", "root", low.alias("low")), ["root", "low"]).select("id", "block")
     ahead = met.where(other).select("id", "block")
-    one = lambda df: df.where("many = 1").withColumn("x", F.lit(0).cast("long")).withColumn("y", F.lit(0).cast("long"))
-    many = lambda df, blocks: df.where("many > 1").join(blocks, "id").withColumn("x", F.least(block, "block")).withColumn("y", F.greatest(block, "block")).drop("block")
+    dealt = lambda df, blocks: df.join(blocks, "id", "left").withColumn("x", F.coalesce(F.least(block, "block"), F.lit(0).cast("long"))).withColumn("y", F.coalesce(F.greatest(block, "block"), F.lit(0).cast("long")))
     cell = F.when(F.col("many") == 1, F.pmod("root", F.lit(cells))).otherwise(F.col("root")).alias("cell")
     null = lambda kind, name: F.lit(None).cast(kind).alias(name)
-    sets = one(sets).unionByName(many(sets, ahead.unionByName(back).distinct())).select(cell, "x", "y", "id", "many", "members", null("binary", "others"), "first_key", "first_line")
-    lists = one(lists).unionByName(many(lists, ahead)).select(cell, "x", "y", "id", "many", null("binary", "members"), "others", null("long", "first_key"), null("long", "first_line"))
+    where = [cell, *(F.when(F.col("many") == 1, F.lit(0).cast("long")).otherwise(F.col(c)).alias(c) for c in ("x", "y"))]
+    sets = dealt(sets, ahead.unionByName(back).distinct()).select(*where, "id", "many", "members", null("binary", "others"), "first_key", "first_line")
+    lists = dealt(lists, ahead).select(*where, "id", "many", null("binary", "members"), "others", null("long", "first_key"), null("long", "first_line"))
     rows = sets.unionByName(lists).withColumn("whole", F.col("many") == 1)
     decided = materialize(rows.groupBy("whole", "cell", "x", "y").applyInArrow(_decided, DECIDED), "decided")
     discard(placed, met)
