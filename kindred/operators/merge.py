@@ -73,23 +73,29 @@ def candidate_ids(records: DataFrame) -> DataFrame:
     return name.join(email, "group_id", "left").select("group_id", F.md5(F.coalesce("email", "name", F.lit("unknown"))).alias("candidate_id"))
 
 
-def _mean(values: Column) -> Column:
-    """The mean, added up in the array's order."""
-    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x) / F.size(values)
-
-
 def skill_occurrences(records: DataFrame) -> DataFrame:
     return records.select("group_id", "rec_ord", "source_id", F.posexplode("skills").alias("pos", "skill")).select("group_id", "rec_ord", "pos", "source_id", F.col("skill.name").alias("value"), F.col("skill.confidence").alias("confidence"))
 
 
+def _in_order(pairs: str, what: str) -> Column:
+    """The distinct values of an array of structs (first, ...), in the order in which they are first seen."""
+    return F.array_distinct(F.transform(F.array_sort(pairs), lambda r: r[what]))
+
+
 def merged_skills(found: DataFrame) -> DataFrame:
-    """(group_id, value, idx, confidence, sources): the mean of all occurrences, 0.1 more for two sources or more, at most 1."""
-    rows = F.array_sort(F.collect_list(F.struct("rec_ord", "pos", "confidence", "source_id")))
-    own = found.groupBy("group_id", "value").agg(F.min(F.struct("rec_ord", "pos")).alias("first"), rows.alias("rows"))
-    own = own.withColumn("sources", F.array_distinct(F.transform("rows", lambda r: r["source_id"]))).withColumn("mean", _mean(F.transform("rows", lambda r: r["confidence"])))
+    """(group_id, value, idx, confidence, sources): the mean of all occurrences, 0.1 more for two sources or more, at most 1.
+
+    Confidences are added up in the order of the occurrences, as a running sum, which takes no memory however many there are; only
+    the distinct sources of a value are gathered.
+    """
+    own, at = ["group_id", "value"], F.struct("rec_ord", "pos")
+    running = F.sum("confidence").over(Window.partitionBy(*own).orderBy("rec_ord", "pos").rowsBetween(Window.unboundedPreceding, 0))
+    by = found.withColumn("sum", running).groupBy(*own, "source_id").agg(F.min(at).alias("first"), F.max(F.struct("rec_ord", "pos", "sum")).alias("last"), F.count("*").alias("n"))
+    told = by.groupBy(*own).agg(F.min("first").alias("first"), F.max("last")["sum"].alias("sum"), F.sum("n").alias("n"), F.collect_list(F.struct("first", "source_id")).alias("pairs"))
+    told = told.withColumn("sources", _in_order("pairs", "source_id"))
     bonus = F.when(F.size("sources") >= 2, 0.1).otherwise(0.0)
-    own = own.withColumn("confidence", F.least(F.lit(1.0), fixed2(F.col("mean") + bonus)))
-    return own.withColumn("idx", F.row_number().over(Window.partitionBy("group_id").orderBy("first")) - 1).select("group_id", "value", "idx", "confidence", "sources")
+    told = told.withColumn("confidence", F.least(F.lit(1.0), fixed2(F.col("sum") / F.col("n") + bonus)))
+    return told.withColumn("idx", F.row_number().over(Window.partitionBy("group_id").orderBy("first")) - 1).select(*own, "idx", "confidence", "sources")
 
 
 def _fold(c: Column) -> Column:
@@ -104,24 +110,29 @@ def merged_experience(found: DataFrame) -> DataFrame:
     """
     keyed = found.withColumn("k1", _fold(F.col("company"))).withColumn("k2", _fold(F.col("title")))
     keyed = keyed.withColumn("k3", F.when((F.col("k1") == "") & (F.col("k2") == ""), F.struct("rec_ord", "pos")))
-    rows = F.array_sort(F.collect_list(F.struct("rec_ord", "pos", "source_id", "company", "title", "summary")))
-    own = keyed.groupBy("group_id", "k1", "k2", "k3").agg(rows.alias("rows"), F.min("start").alias("start"), F.max("end").alias("end"))
+    own, at = ["group_id", "k1", "k2", "k3"], F.struct("rec_ord", "pos")
+    first = lambda c, of: F.min_by(c, of).alias(c)
+    # Of equal summaries from one source the first is enough, as others are in what there is.
+    by = keyed.groupBy(*own, "source_id", "summary").agg(F.min(at).alias("first"), first("company", at), first("title", at), F.min("start").alias("start"), F.max("end").alias("end"))
+    told = by.groupBy(*own).agg(F.min("first").alias("first"), first("company", "first"), first("title", "first"), F.min("start").alias("start"), F.max("end").alias("end"), F.collect_list(F.struct("first", "source_id", "summary")).alias("rows"))
+    told = told.withColumn("sources", _in_order("rows", "source_id")).withColumn("rows", F.array_sort("rows"))
     add = lambda acc, r: F.when(F.coalesce(r["summary"], F.lit("")) == "", acc).when(F.coalesce(acc, F.lit("")) == "", r["summary"]).when(acc.contains(r["summary"]), acc).otherwise(F.concat(acc, F.lit("\n"), r["summary"]))
-    own = own.withColumn("summary", F.aggregate("rows", F.col("rows")[0]["summary"], add)).withColumn("sources", F.array_distinct(F.transform("rows", lambda r: r["source_id"])))
-    own = own.withColumn("idx", F.row_number().over(Window.partitionBy("group_id").orderBy(F.struct(F.col("rows")[0]["rec_ord"], F.col("rows")[0]["pos"]))) - 1)
-    return own.select("group_id", "idx", F.col("rows")[0]["company"].alias("company"), F.col("rows")[0]["title"].alias("title"), "start", "end", "summary", "sources")
+    told = told.withColumn("summary", F.aggregate("rows", F.col("rows")[0]["summary"], add))
+    told = told.withColumn("idx", F.row_number().over(Window.partitionBy("group_id").orderBy("first")) - 1)
+    return told.select("group_id", "idx", "company", "title", "start", "end", "summary", "sources")
 
 
 def merged_education(found: DataFrame) -> DataFrame:
     """Schools (group_id, rec_ord, pos, source_id, institution, degree, field, end_year) united by institution and degree; the first field and year that are there count."""
     keyed = found.withColumn("k1", _fold(F.col("institution"))).withColumn("k2", _fold(F.col("degree")))
     keyed = keyed.withColumn("k3", F.when((F.col("k1") == "") & (F.col("k2") == ""), F.struct("rec_ord", "pos")))
-    at = F.struct("rec_ord", "pos")
-    there = lambda c, ok: F.min(F.when(ok, F.struct("rec_ord", "pos", c)))[c].alias(c)
-    rows = F.array_sort(F.collect_list(F.struct("rec_ord", "pos", "source_id")))
-    own = keyed.groupBy("group_id", "k1", "k2", "k3").agg(F.min(at).alias("first"), F.min_by("institution", at).alias("institution"), F.min_by("degree", at).alias("degree"), there("field", F.coalesce(F.col("field"), F.lit("")) != ""), there("end_year", F.coalesce(F.col("end_year"), F.lit(0)) != 0), rows.alias("rows"))
-    own = own.withColumn("idx", F.row_number().over(Window.partitionBy("group_id").orderBy("first")) - 1)
-    return own.select("group_id", "idx", "institution", "degree", "field", "end_year", F.array_distinct(F.transform("rows", lambda r: r["source_id"])).alias("sources"))
+    own, at = ["group_id", "k1", "k2", "k3"], F.struct("rec_ord", "pos")
+    there = lambda c, ok: F.min(F.when(ok, F.struct("rec_ord", "pos", c))).alias(c)
+    first = lambda c, of: F.min_by(c, of).alias(c)
+    by = keyed.groupBy(*own, "source_id").agg(F.min(at).alias("first"), first("institution", at), first("degree", at), there("field", F.coalesce(F.col("field"), F.lit("")) != ""), there("end_year", F.coalesce(F.col("end_year"), F.lit(0)) != 0))
+    told = by.groupBy(*own).agg(F.min("first").alias("first"), first("institution", "first"), first("degree", "first"), F.min("field")["field"].alias("field"), F.min("end_year")["end_year"].alias("end_year"), F.collect_list(F.struct("first", "source_id")).alias("rows"))
+    told = told.withColumn("idx", F.row_number().over(Window.partitionBy("group_id").orderBy("first")) - 1)
+    return told.select("group_id", "idx", "institution", "degree", "field", "end_year", _in_order("rows", "source_id").alias("sources"))
 
 
 def united_provenance(merged: DataFrame, name: str) -> DataFrame:

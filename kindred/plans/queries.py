@@ -436,13 +436,27 @@ def provenance_list(spark, sf_dir):
     return rows.select("group_id", merge.field_path(F.col("field"), F.col("idx")).alias("field"), "source", "method")
 
 
-@query("WITH e AS (SELECT user_id%50 AS gid, event_type AS name, 'events:'||cast(user_id//50 AS varchar) AS source, event_id, CASE WHEN value>100 THEN 0.9 ELSE 0.7 END AS conf FROM events), a AS (SELECT gid, name, list(conf ORDER BY event_id) c, count(DISTINCT source) s FROM e GROUP BY gid, name), m AS (SELECT gid, name, s, list_reduce(list_prepend(0.0::DOUBLE, list_transform(c, lambda x: x::DOUBLE)), lambda x, y: x+y)/len(c)+CASE WHEN s>=2 THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END x FROM a) SELECT gid AS group_id, name AS skill, least(1.0::DOUBLE, " + fixed2_sql("x") + ") AS confidence, s AS n_sources FROM m")
-def merge_skills(spark, sf_dir):
+def merged_skills_sql(group: str) -> str:
+    return f"WITH e AS (SELECT {group} AS gid, event_type AS name, 'events:'||cast(user_id//50 AS varchar) AS source, event_id, CASE WHEN value>100 THEN 0.9 ELSE 0.7 END AS conf FROM events), a AS (SELECT gid, name, list(conf ORDER BY event_id) c, count(DISTINCT source) s FROM e GROUP BY gid, name), m AS (SELECT gid, name, s, list_reduce(list_prepend(0.0::DOUBLE, list_transform(c, lambda x: x::DOUBLE)), lambda x, y: x+y)/len(c)+CASE WHEN s>=2 THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END x FROM a) SELECT gid AS group_id, name AS skill, least(1.0::DOUBLE, " + fixed2_sql("x") + ") AS confidence, s AS n_sources FROM m"
+
+
+def event_skills(spark: SparkSession, sf_dir: str, group: Column) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    found = e.select((F.col("user_id") % 50).alias("group_id"), F.col("event_id").alias("rec_ord"), F.lit(0).alias("pos"), F.concat(F.lit("events:"), F.floor(F.col("user_id") / 50).cast("string")).alias("source_id"), F.col("event_type").alias("value"), F.when(F.col("value") > 100, 0.9).otherwise(0.7).alias("confidence"))
+    found = e.select(group.alias("group_id"), F.col("event_id").alias("rec_ord"), F.lit(0).alias("pos"), F.concat(F.lit("events:"), F.floor(F.col("user_id") / 50).cast("string")).alias("source_id"), F.col("event_type").alias("value"), F.when(F.col("value") > 100, 0.9).otherwise(0.7).alias("confidence"))
     return merge.merged_skills(found).select("group_id", F.col("value").alias("skill"), "confidence", F.size("sources").cast("long").alias("n_sources"))
 
 
+@query(merged_skills_sql("user_id%50"))
+def merge_skills(spark, sf_dir):
+    return event_skills(spark, sf_dir, F.col("user_id") % 50)
+
+
+@query(merged_skills_sql("0::BIGINT"))
+def merge_skills_of_one(spark, sf_dir):
+    """One group that holds all events."""
+    return event_skills(spark, sf_dir, F.lit(0).cast("long"))
+
+
 @query("WITH j AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey%2=0 THEN concat(' ',lower(o_orderpriority)) ELSE o_orderpriority END company, o_orderstatus title, strftime(o_orderdate,'%Y-%m') m FROM orders), k AS (SELECT o_custkey, lower(trim(company)) k1, lower(trim(title)) k2, min(m) s, max(m) e, first(company ORDER BY o_orderkey) company, first(title ORDER BY o_orderkey) title, min(o_orderkey) f, count(*) n FROM j GROUP BY 1,2,3) SELECT o_custkey AS group_id, row_number() OVER (PARTITION BY o_custkey ORDER BY f)-1 AS idx, company, title, s AS \"start\", e AS \"end\", n AS n_sources FROM k")
 def merge_experience(spark, sf_dir):
     m = F.date_format("o_orderdate", "yyyy-MM")
