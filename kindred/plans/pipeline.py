@@ -64,8 +64,7 @@ def run_pipeline(spark: SparkSession, sources: DataFrame, config: OutputConfig =
         warnings = told[0].unionByName(told[1]).unionByName(told[2])
         shaped = accepted(out).orderBy("group_id").drop("group_id", "warnings")
         if store:
-            store.save_raw(run_id, raw)
-            store.save_profiles(run_id, good)
+            store.save(run_id, raw, good)
             store.note(run_id, "completed", config, raw.count(), good.count())
         return PipelineResult(raw, good, shaped, warnings, run_id)
     except Exception:

@@ -44,12 +44,49 @@ def test_store_and_another_shape(spark, tmp_path):
     p = store.reproject(result.run_id, config).first()
     assert (p.label, p.reach.first_mail, p.worked_years, p.overall_confidence) == ("Nadia Brenner", "nadia.brenner@mail.test", None, 0.9)
     assert "provenance" not in p
-    with pytest.raises(KindredError):
-        store.run("none")
+    for run_id, code in (("none", "INVALID_RUN_ID"), ("0" * 24, "RUN_NOT_FOUND")):
+        with pytest.raises(KindredError) as e:
+            store.run(run_id)
+        assert e.value.code == code
+    with pytest.raises(KindredError) as e:
+        store.reproject(result.run_id, None)
+    assert e.value.code == "MISSING_CONFIG"
+    with pytest.raises(KindredError) as e:
+        Store(spark, str(tmp_path / "none")).runs()
+    assert e.value.code == "DATABASE_UNAVAILABLE"
     store.save_config("short", {"fields": []})
     assert store.configs().count() == 1 and store.health()["status"] == "UP"
 
 
+def test_runs_are_seen_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    """A run that breaks off between its two tables, one with two profiles of an id, and a second writer of a run."""
+    store = Store(spark, str(tmp_path))
+    raw = spark.createDataFrame([(1, "a"), (2, "b")], "rec_ord long, source_id string")
+    one, two, twice = (spark.createDataFrame(rows, "candidate_id string, full_name string") for rows in ([("x", "X")], [("x", "Y"), ("z", "Z")], [("x", "X"), ("x", "Y")]))
+
+    def told(run_id):
+        run, raws, profiles = store.run(run_id)
+        return run.first().status, raws.count(), sorted(r.full_name for r in profiles.collect())
+
+    first = store.start()
+    store.save(first, raw, one)
+    store.note(first, "completed")
+    broken, refused = store.start(), store.start()
+    with monkeypatch.context() as m:
+        m.setattr(store, "save_profiles", lambda *a: (_ for _ in ()).throw(RuntimeError("killed")))
+        with pytest.raises(RuntimeError):
+            store.save(broken, raw, one)
+    with pytest.raises(KindredError) as e:
+        store.save(refused, raw, twice)
+    assert e.value.code == "DUPLICATE_CANDIDATE"
+    with pytest.raises(KindredError) as e:
+        store.save(first, raw, two)
+    assert e.value.code == "DUPLICATE_CANDIDATE"
+    assert told(first) == ("completed", 2, ["X"]) and told(broken) == ("partial", 0, []) and told(refused) == ("partial", 0, [])
+    store.save(broken, raw, two)
+    assert told(broken) == ("partial", 2, ["Y", "Z"])
+
+
 def test_config_faults():
     for bad in ({"fields": [{"path": "a[0]", "from": "x", "type": "string"}]}, {"fields": [{"path": "a", "from": "x", "type": "string"}, {"path": "a.b", "from": "x", "type": "string"}]}, {"fields": [{"path": "a", "from": "x", "type": "other"}]}):
         with pytest.raises(KindredError):
