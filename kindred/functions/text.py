@@ -104,7 +104,7 @@ def keywords(c: Column, terms: tuple[str, ...] = KEYWORDS, synonyms: dict[str, s
 
 
 # How months, years and the present are written.
-MONTH_LONG = "(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
+MONTH_LONG = "(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
 # A month may follow a lower-case letter directly (a word glued to it), but no other sign of a word.
 NAMED = rf"(?:(?<![A-Za-z0-9_])|(?<=[a-zA-Z]))((?i:{MONTH_LONG}))\.?\s+((?:19|20)\d\d)(?![A-Za-z0-9_])"
 NUMBERED = r"(?<![A-Za-z0-9_])((?:19|20)\d\d)[-/](\d\d)(?![A-Za-z0-9_])"
