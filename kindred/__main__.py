@@ -38,8 +38,7 @@ def main(argv: list[str] | None = None) -> int:
     if args.linkedin_url or args.github_url:
         sources = sources.unionByName(readers.link_sources(spark, args.github_url, args.linkedin_url, len(paths)))
     if args.github_url:
-        spark.dataSource.register(readers.GithubProfiles)
-        github = spark.read.format("github_profiles").options(users=",".join(readers.github_users([args.github_url])), base=args.github_base).load()
+        github = readers.fetched_profiles(readers.link_sources(spark, args.github_url), args.github_base)
     if args.linkedin_profiles:
         linkedin = readers.stored_profiles(spark, args.linkedin_profiles)
     config = DEFAULT

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import fnmatch
+import json
 import os
 import re
 from collections.abc import Iterable, Iterator
+from urllib.request import urlopen
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from kindred.operators.extract import github_user
 from kindred.plans.tables import kept
 
 SCHEMA = "source_pos int, filename string, url string, content binary"
@@ -125,22 +128,62 @@ def link_sources(spark: SparkSession, github: str | None = None, linkedin: str |
     return spark.createDataFrame([(first + k, n, u, u.encode()) for k, (n, u) in enumerate(pairs)], SCHEMA)
 
 
-def github_users(urls: Iterable[str]) -> list[str]:
-    """The users of GitHub links: the first part of the path, or the text itself; each once."""
-    found = [re.search(r"github\.com/+([^/?#\s]+)", u) for u in urls]
-    return list(dict.fromkeys(m[1] if m else u.strip() for m, u in zip(found, urls, strict=True)))
+PROFILE = "user string, name string, email string, bio string, html_url string, blog string, public_repos int, languages array<string>, failed boolean"
+GITHUB, PAGE = "https://api.github.com/users", 100
+
+
+def fetched(user: str, base: str = GITHUB, pages: int = 1) -> tuple:
+    """A user's profile and the languages of the repositories on the first pages; a user that can't be fetched comes without members.
+
+    base may be a file: URL of a folder with <user>.json, <user>.repos.json and, for further pages, <user>.repos.<page>.json.
+    """
+    local = base.startswith("file:")
+
+    def load(url: str) -> object:
+        with urlopen(url, timeout=30) as f:
+            return json.load(f)
+
+    try:
+        told = load(f"{base}/{user}.json" if local else f"{base}/{user}")
+    except (OSError, ValueError):
+        return (user, None, None, None, None, None, None, [], True)
+    repos = []
+    try:
+        for page in range(1, pages + 1):
+            own = load(f"{base}/{user}.repos{'' if page == 1 else f'.{page}'}.json" if local else f"{base}/{user}/repos?per_page={PAGE}&page={page}")
+            repos += [r["language"] for r in own if r.get("language")]
+            if len(own) < PAGE:
+                break
+    except (OSError, ValueError):
+        pass
+    by = sorted(dict.fromkeys(repos), key=lambda x: (-repos.count(x), repos.index(x)))
+    return (user, told.get("name"), told.get("email"), told.get("bio"), told.get("html_url"), told.get("blog"), told.get("public_repos") or 0, by, False)
+
+
+def fetched_profiles(sources: DataFrame, base: str = GITHUB, pages: int = 1, tasks: int = 8) -> DataFrame:
+    """The profiles of all users that sources (url, content) link to, each fetched once, by `tasks` tasks; no list passes through the driver."""
+    text = F.col("content").cast("string")
+    link = F.lower(F.coalesce("url", text)).contains("github.com")
+    users = sources.where(link).select(github_user(F.col("url"), text).alias("user")).where("user != ''").distinct().repartition(tasks, "user")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [fetched(u, base, pages) for u in batch.column(0).to_pylist()]
+            kinds = [pa.string()] * 6 + [pa.int32(), pa.list_(pa.string()), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in PROFILE.split(", ")])
+
+    return users.mapInArrow(run, PROFILE)
 
 
 class _Page(InputPartition):
-    def __init__(self, user: str):
-        self.user = user
+    def __init__(self, users: list[str]):
+        self.users = users
 
 
 class GithubProfiles(DataSource):
-    """Profiles and repositories by a fetcher, one user a task: spark.read.format("github_profiles").options(users="a,b", base=URL).
+    """Profiles of named users: spark.read.format("github_profiles").options(users="a,b", base=URL, pages=1), some users a task.
 
-    Give `base` a file: URL of a folder with <user>.json and <user>.repos.json to read without a network. A user that can't be
-    fetched comes without members, as the extractor's empty record.
+    For the users that sources link to see fetched_profiles.
     """
 
     @classmethod
@@ -148,7 +191,7 @@ class GithubProfiles(DataSource):
         return "github_profiles"
 
     def schema(self) -> str:
-        return "user string, name string, email string, bio string, html_url string, blog string, public_repos int, languages array<string>, failed boolean"
+        return PROFILE
 
     def reader(self, schema) -> DataSourceReader:
         return _GithubReader(self.options)
@@ -157,30 +200,15 @@ class GithubProfiles(DataSource):
 class _GithubReader(DataSourceReader):
     def __init__(self, options):
         self.users = [u for u in options.get("users", "").split(",") if u]
-        self.base = options.get("base", "https://api.github.com/users")
+        self.base, self.pages = options.get("base", GITHUB), int(options.get("pages", "1"))
 
     def partitions(self):
-        return [_Page(u) for u in self.users]
+        tasks = min(8, len(self.users))
+        return [_Page(self.users[k::tasks]) for k in range(tasks)]
 
     def read(self, partition) -> Iterator[tuple]:
-        import json
-        from urllib.request import urlopen
-
-        local = self.base.startswith("file:")
-        user = partition.user
-        try:
-            with urlopen(f"{self.base}/{user}.json" if local else f"{self.base}/{user}", timeout=30) as f:
-                told = json.load(f)
-        except (OSError, ValueError):
-            yield (user, None, None, None, None, None, None, [], True)
-            return
-        try:
-            with urlopen(f"{self.base}/{user}.repos.json" if local else f"{self.base}/{user}/repos?per_page=100", timeout=30) as f:
-                repos = [r["language"] for r in json.load(f) if r.get("language")]
-        except (OSError, ValueError):
-            repos = []
-        by = sorted(dict.fromkeys(repos), key=lambda x: (-repos.count(x), repos.index(x)))
-        yield (user, told.get("name"), told.get("email"), told.get("bio"), told.get("html_url"), told.get("blog"), told.get("public_repos") or 0, by, False)
+        for user in partition.users:
+            yield fetched(user, self.base, self.pages)
 
 
 def documents_text(content: pa.Array, kind: pa.Array) -> pa.Array:

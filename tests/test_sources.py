@@ -164,4 +164,14 @@ def test_files_of_any_name(spark, tmp_path):
     assert {(r.source_pos, r.filename, bytes(r.content).decode()) for r in readers.file_sources(spark, paths).collect()} == {(k, p.rsplit("/", 1)[1], f"{p.rsplit('/', 1)[1]} text") for k, p in enumerate(paths)}
     stored, _ = readers.resolve_paths(f"file://{tmp_path}/p*.txt,file://{tmp_path}/none.txt", spark)
     assert len(stored) == 1 and [bytes(r.content) for r in readers.file_sources(spark, stored).collect()] == [b"plain.txt text"]
-    assert readers.github_users(["https://github.com/ada/repo?tab=x", "https://github.com/ada", "bo"]) == ["ada", "bo"]
+
+
+def test_profiles_of_the_sources(spark, tmp_path):
+    """Users come from the sources themselves, by the first part of the link's path, and repositories by pages."""
+    (tmp_path / "ada.json").write_text(json.dumps({"name": "Ada", "public_repos": 150}))
+    (tmp_path / "ada.repos.json").write_text(json.dumps([{"language": "Rust"}] * 60 + [{"language": None}] * 40))
+    (tmp_path / "ada.repos.2.json").write_text(json.dumps([{"language": "Go"}] * 61))
+    sources = readers.inline_sources(spark, [{"url": "https://github.com/ada/repo?tab=x"}, {"content": "https://github.com/ada"}, {"filename": "note.txt", "content": "hello"}, {"url": "http://github.com/bo#x"}])
+    for pages, languages in ((1, ["Rust"]), (2, ["Go", "Rust"])):
+        got = {r.user: r for r in readers.fetched_profiles(sources, f"file://{tmp_path}", pages).collect()}
+        assert got.keys() == {"ada", "bo"} and got["bo"].failed and (got["ada"].name, got["ada"].languages) == ("Ada", languages)
