@@ -49,7 +49,9 @@ def with_earlier(rows: DataFrame, by: list[str], holds: Column | None = None, at
 
 def key_links(records: DataFrame, *values: str) -> DataFrame:
     """(later, earlier): from each holder of a value of one of the array columns to the holder before it."""
-    each = [F.transform(F.array_distinct(c), lambda x, k=k: F.struct(F.lit(k).alias("kind"), x.alias("value"))) for k, c in enumerate(values)]
+    # The lambda has one parameter only: Spark would pass an element's place as a second one.
+    of = lambda kind, c: F.transform(F.array_distinct(c), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("value")))
+    each = [of(k, c) for k, c in enumerate(values)]
     held = records.select("rec_ord", F.inline(F.flatten(F.array(*[F.coalesce(e, F.array().cast("array<struct<kind:int,value:string>>")) for e in each])))).where("value is not null").distinct()
     return with_earlier(kept(held, "held"), ["kind", "value"]).select(F.col("rec_ord").alias("later"), "earlier").where("earlier is not null")
 
