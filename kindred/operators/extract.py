@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from kindred.functions.scalars import slug_name
 from kindred.operators import resume
+from kindred.operators.normalize import hint
 from kindred.plans.tables import kept
 
 JOBS = "array<struct<company:string,title:string,start:string,end:string,summary:string>>"
@@ -19,7 +20,7 @@ FIELDS = {
     "name": "string", "email": "string", "emails": "array<string>", "phone": "string", "phones": "array<string>", "current_company": "string", "title": "string",
     "years_experience": "double", "linkedin": "string", "github": "string", "portfolio": "string", "other_links": "array<string>", "headline": "string", "bio": "string",
     "languages": "array<string>", "skills": "array<string>", "public_repos": "int", "city": "string", "region": "string", "country": "string",
-    "experience": JOBS, "education": SCHOOLS, "links": "struct<linkedin:string,github:string,portfolio:string,other:array<string>>",
+    "location": "struct<city:string,region:string,country:string>", "experience": JOBS, "education": SCHOOLS, "links": "struct<linkedin:string,github:string,portfolio:string,other:array<string>>",
 }
 
 
@@ -43,25 +44,32 @@ def _numeric(body: Column, path: str) -> Column:
     return F.when(kind != "STRING", plain)
 
 
+def _readable(body: Column, *lists: str) -> Column:
+    """Whether a text is JSON and the lists in it have no null among their members."""
+    told = F.try_parse_json(body)
+    holes = [F.exists(F.try_variant_get(told, f"$.{n}", "array<variant>"), lambda x: x.isNull() | F.is_variant_null(x)) for n in lists]
+    return told.isNotNull() & ~F.coalesce(*[F.when(h, True) for h in holes], F.lit(False))
+
+
 def ats_record(body: Column) -> Column:
-    """A record of an applicant system's JSON; confidence 0 and no members if it can't be parsed."""
+    """A record of an applicant system's JSON; confidence 0 and no members if it can't be parsed or a job or school in it is null."""
     jobs = T._parse_datatype_string("array<struct<firm:string,role:string,from:string,to:string,desc:string>>")
     schools = T._parse_datatype_string("array<struct<univ:string,dip:string,major:string,grad_yr:string>>")
     get = lambda name: _some(F.get_json_object(body, f"$.{name}"))
-    whole = F.try_parse_json(body).isNotNull()
+    whole = _readable(body, "jobs", "schools")
     only = lambda c: F.when(whole, c)
     job = F.transform(F.from_json(F.get_json_object(body, "$.jobs"), jobs), lambda j: F.struct(j["firm"].alias("company"), j["role"].alias("title"), j["from"].alias("start"), j["to"].alias("end"), j["desc"].alias("summary")))
     school = F.transform(F.from_json(F.get_json_object(body, "$.schools"), schools), lambda s: F.struct(s["univ"].alias("institution"), s["dip"].alias("degree"), s["major"].alias("field"), F.when(s["grad_yr"].rlike(_NUMBER), s["grad_yr"].try_cast("int")).alias("end_year")))
     return record(
         F.when(whole, 0.95).otherwise(0.0), name=only(get("cand_full_name")), email=only(get("email_addr")), phone=only(get("phone_num")), current_company=only(get("company_name")), title=only(get("position")),
-        years_experience=_numeric(body, "$.years_of_experience"), linkedin=only(get("linkedin_url")), github=only(get("github_url")), experience=only(job), education=only(school),
+        years_experience=only(_numeric(body, "$.years_of_experience")), linkedin=only(get("linkedin_url")), github=only(get("github_url")), experience=only(job), education=only(school),
     )
 
 
 def linkedin_record(body: Column) -> Column:
-    """A record of a LinkedIn profile's JSON; emails and phones are lists or single."""
+    """A record of a LinkedIn profile's JSON; emails and phones are lists or single. Confidence 0 and no members as for `ats_record`."""
     get = lambda name: _some(F.get_json_object(body, f"$.{name}"))
-    whole = F.try_parse_json(body).isNotNull()
+    whole = _readable(body, "experience", "education")
     only = lambda c: F.when(whole, c)
     many = lambda name: F.from_json(F.get_json_object(body, f"$.{name}"), T.ArrayType(T.StringType()))
     listed = lambda names, one: F.coalesce(F.when(F.get_json_object(body, f"$.{names}").startswith("["), many(names)), F.when(get(one).isNotNull(), F.array(get(one))))
@@ -274,4 +282,7 @@ def raw_records(sources: DataFrame, csv: DataFrame | None = None) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     order = F.col("source_pos").cast("long") * (1 << 32) + F.col("row_pos")
-    return out.select(order.alias("rec_ord"), "source_pos", "row_pos", "source_id", "source_type", "r.raw_confidence", "r.fields")
+    f = F.col("r.fields")
+    single = lambda many, one: F.coalesce(F.when(F.size(many) > 0, many), F.array(one))
+    seen = hint(f["name"], single(f["emails"], f["email"]), single(f["phones"], f["phone"]))
+    return out.select(order.alias("rec_ord"), "source_pos", "row_pos", "source_id", "source_type", "r.raw_confidence", seen.alias("candidate_hint"), "r.fields")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from kindred.operators import cluster, confidence, extract, merge, normalize
 from kindred.plans.config import DEFAULT, KindredError, OutputConfig
 from kindred.plans.project import accepted, canonical_faults, checked, projected
+from kindred.plans.shape import with_faults
 from kindred.plans.store import Store
 from kindred.plans.tables import kept
 from kindred.sources import readers
@@ -34,6 +36,20 @@ def typed_text(sources: DataFrame) -> DataFrame:
     return plain.unionByName(typed.where(binary).withColumn("text", parsed)).drop("content")
 
 
+def warnings_of(raw: DataFrame, records: DataFrame, judged: DataFrame, out: DataFrame) -> DataFrame:
+    """(stage, subject, message) of what went wrong, each fault with the record or profile that has it."""
+    told = lambda rows, stage, subject, message: rows.select(F.lit(stage).alias("stage"), F.col(subject).cast("string").alias("subject"), message.alias("message"))
+    faults, faulty = F.array_join("faults", ", "), F.size("faults") > 0
+    parts = [
+        told(raw.where("raw_confidence = 0"), "extract", "source_id", F.lit("Nothing could be extracted")),
+        told(records.where(faulty), "normalize", "source_id", F.concat(F.lit("Passed on as told, nothing where a member should be: "), faults)),
+        told(judged.where(faulty), "validate", "candidate_id", F.concat(F.lit("Invalid profile: "), faults)),
+        told(out, "project", "group_id", F.explode("warnings")),
+        told(out.where(faulty), "shape", "group_id", F.concat(F.lit("Against the declared shape: "), faults)),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def run_pipeline(spark: SparkSession, sources: DataFrame, config: OutputConfig = DEFAULT, store: Store | None = None, github: DataFrame | None = None, linkedin: DataFrame | None = None, csv: DataFrame | None = None) -> PipelineResult:
     """Detects, extracts, normalizes, clusters, merges, scores, checks and projects.
 
@@ -55,14 +71,9 @@ def run_pipeline(spark: SparkSession, sources: DataFrame, config: OutputConfig =
         profiles = confidence.scored(merge.profiles(grouped), merge.provenance(grouped), grouped)
         judged = kept(canonical_faults(profiles), "profiles")
         good = judged.where(F.size("faults") == 0).drop("faults")
-        out = checked(projected(good, config, ("group_id",)), config)
-        told = [
-            raw.where("raw_confidence = 0").select(F.lit("extract").alias("stage"), F.col("source_id").alias("subject"), F.lit("Nothing could be extracted").alias("message")),
-            judged.where(F.size("faults") > 0).select(F.lit("validate").alias("stage"), F.col("candidate_id").alias("subject"), F.concat(F.lit("Invalid profile: "), F.array_join("faults", ", ")).alias("message")),
-            out.select(F.lit("project").alias("stage"), F.col("group_id").cast("string").alias("subject"), F.explode("warnings").alias("message")),
-        ]
-        warnings = told[0].unionByName(told[1]).unionByName(told[2])
-        shaped = accepted(out).orderBy("group_id").drop("group_id", "warnings")
+        out = with_faults(checked(projected(good, config, ("group_id",)), config), config)
+        shaped = accepted(out).orderBy("group_id").drop("group_id", "warnings", "faults")
+        warnings = warnings_of(raw, records, judged, out)
         if store:
             store.save(run_id, raw, good)
             store.note(run_id, "completed", config, raw.count(), good.count())

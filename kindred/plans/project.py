@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kindred.functions.scalars import e164, month
+from kindred.functions.text import let
 from kindred.plans.config import DEFAULT, KindredError, OutputConfig, OutputField
 
 #: Named normalizers that a field can ask for; `canonical` is the taxonomy's exact name.
@@ -138,8 +139,9 @@ def projected(profiles: DataFrame, config: OutputConfig = DEFAULT, keep: tuple[s
 
 
 def accepted(out: DataFrame) -> DataFrame:
-    """What of a projection passes its schema: no required field is missing."""
-    return out.where(F.size("warnings") == 0)
+    """What of a projection passes: no required field is missing and, where `shape.with_faults` has judged it, nothing is against its schema."""
+    good = F.size("warnings") == 0
+    return out.where(good & (F.size("faults") == 0) if "faults" in out.columns else good)
 
 
 def refused(out: DataFrame) -> DataFrame:
@@ -175,15 +177,20 @@ def _without_missing(c: Column, paths: list[str]) -> Column:
     return F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*members)), ","), F.lit("}"))
 
 
-def as_json(out: DataFrame, config: OutputConfig = DEFAULT, name: str = "json") -> DataFrame:
-    """One JSON text of each row. Under `omit`, declared members without a value are left out; nulls inside a value stay."""
-    body = [c for c in out.columns if c != "warnings"]
+def json_column(columns: list[str], config: OutputConfig = DEFAULT) -> Column:
+    """The JSON of a projection's row. Under `omit`, declared members without a value are left out; nulls inside a value stay."""
+    body = [c for c in columns if c not in ("warnings", "faults")]
     whole = F.struct(*body)
     if config.on_missing != "omit":
-        return out.select(F.to_json(whole, {"ignoreNullFields": "false"}).alias(name))
+        return F.to_json(whole, {"ignoreNullFields": "false"})
     declared = [f.path for f in config.fields or ()]
     rest = [c for c in body if c not in {p.partition(".")[0] for p in declared}]
-    return out.select(whole.alias("whole")).select(_without_missing(F.col("whole"), declared + rest).alias(name))
+    return let(whole, lambda w: _without_missing(w, declared + rest))
+
+
+def as_json(out: DataFrame, config: OutputConfig = DEFAULT, name: str = "json") -> DataFrame:
+    """One JSON text of each row."""
+    return out.select(json_column(out.columns, config).alias(name))
 
 
 def canonical_faults(profiles: DataFrame) -> DataFrame:

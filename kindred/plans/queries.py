@@ -643,3 +643,108 @@ def source_family(spark, sf_dir):
 @query("SELECT doc_id, CASE WHEN length(text)>150 THEN concat(substr(text,1,150),'...') ELSE text END AS summary FROM documents")
 def summary_trunc(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", present.shortened(F.col("text")).alias("summary"))
+
+
+# ---------------------------------------------------------------- shapes, faults and whole runs
+
+#: Faults of outputs by the path that has them, and which customers' outputs have them; one in a record that isn't there hides its members'.
+SHAPE_FAULTS = {
+    "label is missing": "c_custkey%11=0", "reach isn't a record": "c_custkey%23=0", "reach.mail isn't a text": "c_custkey%7=0 AND c_custkey%23<>0", "reach.years isn't a number": "c_custkey%3=0 AND c_custkey%23<>0",
+    "reach.years is missing": "c_custkey%13=0 AND c_custkey%3<>0 AND c_custkey%23<>0", "tags isn't a list": "c_custkey%29=0", "tags[1] is missing": "c_custkey%5=0 AND c_custkey%29<>0", "data isn't a record or a list": "c_custkey%2=0",
+    "overall_confidence isn't from 0 to 1": "c_custkey%17=0", "provenance[0].method is missing": "c_custkey%19=0",
+}
+CUSTOMER_SHAPE = OutputConfig((OutputField("label", "full_name", "string", True), OutputField("reach.mail", "emails[0]", "string"), OutputField("reach.years", "years_experience", "number", True), OutputField("tags", "emails", "string[]", True), OutputField("data", "skills", "object")))
+
+
+@query("SELECT c_custkey, array_to_string(list_filter([" + ", ".join(f"CASE WHEN {when} THEN '{fault.replace(chr(39), chr(39) * 2)}' END" for fault, when in SHAPE_FAULTS.items()) + "], lambda x: x IS NOT NULL), '; ') AS faults FROM customer")
+def shape_faults(spark, sf_dir):
+    """Outputs as JSON texts, of which every kind of place is against the declared shape in some."""
+    from kindred.plans.shape import json_faults
+
+    k, text_ = F.col("c_custkey"), lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    years = F.when(k % 3 == 0, ',"years":"many"').when(k % 13 == 0, "").otherwise(',"years":2.5')
+    reach = F.when(k % 23 == 0, '"none"').otherwise(F.concat(F.lit('{"mail":'), F.when(k % 7 == 0, "5").otherwise(text_(F.concat(F.lit("c"), k.cast("string"), F.lit("@x.org")))), years, F.lit("}")))
+    parts = {
+        "label": F.when(k % 11 == 0, "null").otherwise(text_(F.col("c_name"))), "reach": reach, "tags": F.when(k % 29 == 0, '"a"').when(k % 5 == 0, '["a",null]').otherwise('["a","b"]'),
+        "data": F.when(k % 2 == 0, "1").when(k % 3 == 0, "[1]").otherwise('{"a":1}'), "overall_confidence": F.when(k % 17 == 0, "1.5").otherwise("0.5"),
+        "provenance": F.when(k % 19 == 0, '[{"field":"a","source":"b"}]').otherwise('[{"field":"a","source":"b","method":"direct"}]'),
+    }
+    body = F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{n}":'), c) for n, c in parts.items()]), F.lit("}"))
+    faults = F.transform(json_faults(body, CUSTOMER_SHAPE), lambda f: F.concat(f["path"], F.lit(" "), f["fault"]))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(faults, "; ").alias("faults"))
+
+
+def ats_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source of each customer: every eleventh is no JSON, every fifth has null for a job, every seventh an email without a domain's end, every third tells no years."""
+    k = F.col("c_custkey")
+    job = F.concat(F.lit('{"firm":"F'), k.cast("string"), F.lit('","role":"R","from":"May 2020","to":"Jun 2021"}'))
+    body = F.concat(F.lit('{"cand_full_name":"P'), F.md5(k.cast("string")), F.lit('","email_addr":"p'), k.cast("string"), F.when(k % 7 == 0, '@x"').otherwise('@x.org"'), F.when(k % 3 == 0, "").otherwise(',"years_of_experience":4'), F.lit(',"jobs":['), F.when(k % 5 == 0, "null,").otherwise(""), job, F.lit("]}"))
+    content = F.when(k % 11 == 0, F.lit("{broken")).otherwise(body).cast("binary")
+    return table(spark, sf_dir, "customer").select(k.cast("int").alias("source_pos"), F.concat(k.cast("string"), F.lit(".json")).alias("filename"), F.lit(None).cast("string").alias("url"), content.alias("content"))
+
+
+@query("""WITH c AS (SELECT c_custkey k, c_custkey%11=0 OR c_custkey%5=0 broken, c_custkey%7=0 faulty FROM customer)
+ SELECT 'extract' AS stage, concat(k,'.json') AS subject, 'Nothing could be extracted' AS message FROM c WHERE broken
+ UNION ALL SELECT 'validate', md5(concat('p',k,'@x')), 'Invalid profile: emails' FROM c WHERE NOT broken AND faulty
+ UNION ALL SELECT 'validate', md5('unknown'), 'Invalid profile: provenance' FROM c WHERE broken
+ UNION ALL SELECT 'project', cast(k*4294967296 AS varchar), 'Required field ''reach.years'' is missing' FROM c WHERE NOT broken AND NOT faulty AND k%3=0
+ UNION ALL SELECT 'shape', cast(k*4294967296 AS varchar), 'Against the declared shape: reach.years is missing' FROM c WHERE NOT broken AND NOT faulty AND k%3=0""")
+def run_warnings(spark, sf_dir):
+    """The warnings of a whole run, from sources to outputs."""
+    from kindred.plans.pipeline import run_pipeline
+
+    return run_pipeline(spark, ats_sources(spark, sf_dir), CUSTOMER_SHAPE).warnings
+
+
+@query("SELECT c_custkey, 'Ada Novak' AS hint_name, CASE WHEN c_custkey%3=0 THEN concat(CASE WHEN c_custkey%7=0 THEN 'A' ELSE 'a' END,c_custkey,CASE WHEN c_custkey%7=0 THEN '@X.org' ELSE '@x.org' END) WHEN c_custkey%3=1 THEN CASE WHEN c_custkey%7=0 THEN 'no address' ELSE concat('b',c_custkey,'@x.org') END END AS hint_email, CASE WHEN c_custkey%2=0 THEN CASE WHEN c_custkey%7=0 THEN '(415) 555-0100' ELSE '+14155550100' END END AS hint_phone, CASE WHEN c_custkey%4=0 THEN 'Oslo' WHEN c_custkey%4=1 THEN c_mktsegment END AS city, CASE WHEN c_custkey%4=0 THEN 'NO' WHEN c_custkey%4 IN (1,2) THEN 'GB' END AS country, CASE WHEN c_custkey%7=0 THEN 'experience' ELSE '' END AS faults, CASE WHEN c_custkey%7=0 THEN 'May 2020' ELSE '2020-05' END AS starts FROM customer")
+def normalize_hints(spark, sf_dir):
+    """Who a record may be of, with single emails and lists, and places told as a record or member by member. Records with null for a job are passed on as told."""
+    from kindred.operators.normalize import normalized
+
+    k, none = F.col("c_custkey"), F.lit(None).cast("string")
+    mail = lambda letter: F.concat(F.lit(letter), k.cast("string"), F.lit("@X.org"))
+    place = F.when(k % 4 == 0, F.struct(F.lit("Oslo").alias("city"), none.alias("region"), F.lit("no").alias("country")))
+    job = F.struct(F.lit("F").alias("company"), F.lit("R").alias("title"), F.lit("May 2020").alias("start"), none.alias("end"), none.alias("summary"))
+    r = extract.record(
+        F.lit(0.9), name=F.lit(" Ada Novak "), email=F.when(k % 3 == 0, mail("A")), emails=F.when(k % 3 == 1, F.array(F.lit("no address"), mail("B"), mail("C"))), phone=F.when(k % 2 == 0, "(415) 555-0100"),
+        experience=F.array(F.when(k % 7 == 0, F.lit(None)).otherwise(job), job), location=place, city=F.when(k % 4 < 2, F.col("c_mktsegment")), country=F.when(k % 4 < 3, "United Kingdom"),
+    )
+    raw = table(spark, sf_dir, "customer").select(k.alias("rec_ord"), k.cast("string").alias("source_id"), F.lit("ats_json").alias("source_type"), r.alias("r")).select("rec_ord", "source_id", "source_type", "r.*")
+    return normalized(raw).select(F.col("rec_ord").alias("c_custkey"), *[F.col(f"candidate_hint.{n}").alias(f"hint_{n}") for n in ("name", "email", "phone")], "location.city", "location.country", joined("faults").alias("faults"), joined(F.array_distinct("experience.start")).alias("starts"))
+
+
+# ---------------------------------------------------------------- résumés
+
+def resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A résumé of each customer (c_custkey, text): three ways to tell a job, a second job for every other, four schools and degrees."""
+    k = F.col("c_custkey")
+    w = F.concat(F.lit("Z"), F.translate(k.cast("string"), "0123456789", "abcdefghij"))
+    of = lambda pattern: F.replace(F.lit(pattern), F.lit("#"), w)
+    jobs = ("Engineer # - Mill # | Jan 2015 - Dec 2018\n- Built #\n* Ran it", "Engineer # (2015-03 - Present)\nMill #, Oslo\n- Built #", "Engineer # at Mill #, 2016 - 2019\nRan #")
+    schools = ("# University, 2019\nBachelor in Physics", "# Institute (2012 - 2016)\nM.Tech (Applied Maths)", "# College\nPhD, Botany\n2021", "# School, 2010\nDiploma in Welding, GPA 3")
+    pick = lambda n, texts: F.element_at(F.array(*[of(t) for t in texts]), (k % n + 1).cast("int"))
+    second = F.when(k % 2 == 0, of("\nClerk # | Shop # | Feb 2010 - Mar 2011")).otherwise("")
+    return table(spark, sf_dir, "customer").select("c_custkey", F.concat(of("Ana #\n#@x.org\n\nWork History\n"), pick(3, jobs), second, F.lit("\n\nEDUCATION\n"), pick(4, schools), F.lit("\n\nSKILLS\nGolang, SQL\n")).alias("text"))
+
+
+_WORD = "WITH c AS (SELECT c_custkey, concat('Z', translate(cast(c_custkey AS varchar),'0123456789','abcdefghij')) w FROM customer) "
+
+
+@query(_WORD + """SELECT c_custkey, 0 AS pos, concat('Mill ',w) AS company, concat('Engineer ',w) AS title, CASE c_custkey%3 WHEN 0 THEN '2015-01' WHEN 1 THEN '2015-03' ELSE '2016-01' END AS "start",
+ CASE c_custkey%3 WHEN 0 THEN '2018-12' WHEN 1 THEN 'Present' ELSE '2019-01' END AS "end", CASE c_custkey%3 WHEN 0 THEN concat('Built ',w,' Ran it') WHEN 1 THEN concat('Built ',w) ELSE concat('Ran ',w) END AS summary FROM c
+ UNION ALL SELECT c_custkey, 1, concat('Shop ',w), concat('Clerk ',w), '2010-02', '2011-03', NULL FROM c WHERE c_custkey%2=0""")
+def resume_jobs(spark, sf_dir):
+    from kindred.operators import resume
+
+    return resumes(spark, sf_dir).select("c_custkey", F.posexplode(resume.experience(F.col("text"))).alias("pos", "job")).select("c_custkey", "pos", "job.*")
+
+
+@query(_WORD + """SELECT c_custkey, concat('Ana ',w) AS name, lower(concat(w,'@x.org')) AS emails, 'Go|SQL' AS skills, concat(w, CASE c_custkey%4 WHEN 0 THEN ' University' WHEN 1 THEN ' Institute' WHEN 2 THEN ' College' ELSE ' School' END) AS institution,
+ CASE c_custkey%4 WHEN 0 THEN 'Bachelor' WHEN 1 THEN 'Master' WHEN 2 THEN 'PhD' ELSE 'Secondary/Intermediate' END AS degree, CASE c_custkey%4 WHEN 0 THEN 'Physics' WHEN 1 THEN 'Applied Maths' WHEN 2 THEN 'Botany' ELSE 'Welding' END AS field,
+ CASE c_custkey%4 WHEN 0 THEN 2019 WHEN 1 THEN 2016 WHEN 2 THEN 2021 ELSE 2010 END AS end_year FROM c""")
+def resume_schools(spark, sf_dir):
+    from kindred.operators import resume
+
+    whole = F.col("text")
+    rows = resumes(spark, sf_dir).select("c_custkey", text.name(text.lines(whole)).alias("name"), joined(text.emails(whole)).alias("emails"), joined(text.keywords(whole)).alias("skills"), F.explode(resume.education(whole)).alias("school"))
+    return rows.select("c_custkey", "name", "emails", "skills", "school.*")

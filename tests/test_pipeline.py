@@ -2,13 +2,16 @@ import io
 import json
 import random
 import zipfile
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
-from kindred.operators import cluster, extract, resume
+from kindred.operators import cluster, extract, normalize, resume
+from kindred.plans import shape
 from kindred.plans.config import DEFAULT, KindredError, parse_config
-from kindred.plans.pipeline import run_pipeline
+from kindred.plans.pipeline import run_pipeline, warnings_of
+from kindred.plans.project import projected
 from kindred.plans.store import Store
 from kindred.sources import documents, readers
 
@@ -94,6 +97,39 @@ def test_config_faults():
     assert DEFAULT.fields[0].required
 
 
+def test_shape(spark):
+    """Declared types, and faults by path in texts from elsewhere and in projections, as they are written."""
+    config = parse_config({"fields": [{"path": "who.name", "from": "full_name", "type": "string", "required": True}, {"path": "who.mails", "from": "emails", "type": "string[]"}, {"path": "rest", "from": "links", "type": "object"}], "include_provenance": False})
+    schema = shape.output_schema(config)
+    assert schema.simpleString() == "struct<who:struct<name:string,mails:array<string>>,rest:variant,overall_confidence:double>"
+    assert not schema["who"].nullable and not schema["who"].dataType["name"].nullable and schema["who"].dataType["mails"].nullable
+    bodies = {
+        '{"who": {"name": "A", "mails": ["a"]}, "rest": {}, "more": 1}': [], '{"who": {"name": null, "mails": ["a", 2, null]}, "rest": [1]}': ["who.name is missing", "who.mails[1] isn't a text", "who.mails[2] is missing"],
+        '{"who": [], "rest": "x", "overall_confidence": -1}': ["who isn't a record", "rest isn't a record or a list", "overall_confidence isn't from 0 to 1"], "{}": ["who is missing"], "no": [" is missing"], None: [" is missing"], "[]": [" isn't a record"],
+    }
+    rows = spark.createDataFrame([(b,) for b in bodies], "body string").select("body", shape.json_faults(F.col("body"), config).alias("f")).collect()
+    assert {r.body: [f"{x.path} {x.fault}" for x in r.f] for r in rows} == bodies
+    people = spark.createDataFrame([(1, "A", ["a", None], 0.5), (2, None, None, 1.5), (3, "C", [], float("nan"))], "group_id long, full_name string, emails array<string>, overall_confidence double")
+    told = lambda on_missing, *fields: {r.group_id: r.faults for r in shape.with_faults(projected(people, replace(config, on_missing=on_missing, fields=fields or config.fields[:2]), ("group_id",)), replace(config, on_missing=on_missing, fields=fields or config.fields[:2])).collect()}
+    beyond, nan = "overall_confidence isn't from 0 to 1", "overall_confidence isn't a number"
+    assert told("null") == {1: ["who.mails[1] is missing"], 2: ["who.name is missing", beyond], 3: [nan]}
+    # What is omitted takes a record without members with it, and NaN is written as a text.
+    assert told("omit", config.fields[1]) == {1: ["who.mails[1] is missing"], 2: ["who is missing", beyond], 3: [nan]}
+    assert shape.with_faults(people, replace(config, fields=None)).first().faults == []
+
+
+def test_warnings_of_normalization(spark):
+    jobs = [None, ("F", "R", "May 2020", None, None)]
+    raw = spark.createDataFrame([(1, "a", "ats_json", 0.9, (jobs, ["Go", None])), (2, "b", "ats_json", 0.9, (jobs[1:], None))], f"rec_ord long, source_id string, source_type string, raw_confidence double, told struct<experience:{extract.JOBS},skills:array<string>>")
+    raw = raw.select("rec_ord", "source_id", "source_type", extract.record(F.col("raw_confidence"), experience=F.col("told.experience"), skills=F.col("told.skills")).alias("r")).select("rec_ord", "source_id", "source_type", "r.*")
+    records = normalize.normalized(raw)
+    got = {r.source_id: r for r in records.collect()}
+    assert [(j.company, j.start) for j in got["a"].experience] == [("F", "May 2020")] and got["a"].faults == ["experience", "skills"] and [s.name for s in got["a"].skills] == ["Go"]
+    assert [(j.company, j.start) for j in got["b"].experience] == [("F", "2020-05")] and got["b"].faults == []
+    none = spark.createDataFrame([], "candidate_id string, group_id long, faults array<string>, warnings array<string>")
+    assert [(w.stage, w.subject) for w in warnings_of(raw, records, none, none).collect()] == [("normalize", "a")]
+
+
 def test_resume(spark):
     r = spark.createDataFrame([(RESUME_A,)], "t string").select(resume.fields(F.col("t")).alias("r")).first().r
     assert r.name == "Ines Maro" and r.emails == ["ines@mail.test"]
