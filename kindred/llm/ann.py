@@ -4,10 +4,10 @@ A code has SUBSTRINGS substrings of BITS bits. Its bits are signs of the vector
 that are learned (each group of bits from another start) so that the signs lie close to the values. Every row stands in one index
 for each substring, under its value. A query looks up, in each index, all values within `near_bits` of its own substring. By the
 pigeonhole principle that retrieves every code within a Hamming radius of SUBSTRINGS * (near_bits + 1) - 1, and of those farther
-away the ones that are close in some substring; `near_bits` is the least that retrieves SHARE of the true neighbours in the sample
-that the rotations are learned from. What is retrieved is ranked by vectors of 8-bit numbers, the best by the cosine of the
-original vectors in double precision. A query that finds fewer than are wanted looks up all values of one index, so that the
-answer is whole in small tables and for outliers.
+away the ones that are close in some substring; `near_bits` is the least that retrieves SHARE of the true neighbours, among all
+rows, of up to PROBES queries. What is retrieved is ranked by the cosine of the original vectors in double precision, so each cell
+tells its true best and nothing that is retrieved is lost, however close the vectors lie. A query that finds fewer than are wanted
+looks up all values of one index, so that the answer is whole in small tables and for outliers.
 
 An index is dealt out by the high bits of its values, as many as the number of rows asks for. A row goes to one cell of each
 index; a query goes to the cells whose high bits are near enough, which grow with a power of the logarithm of the rows. So what
@@ -34,12 +34,12 @@ from kindred.llm.common import frugal, materialize, prepare, sample
 SUBSTRINGS, BITS = 10, 16
 #: Directions of a group of bits at most, and steps of learning.
 GROUP_BITS, TURNS = 64, 30
-#: Vectors that are learned from (those with the least hash of their key), queries among them that set near_bits, and the share of their neighbours.
-SAMPLE, PROBES, SHARE = 4000, 500, 0.94
+#: Vectors that are learned from (those with the least hash of their key), queries that set near_bits by their neighbours among all rows, and the share of these.
+SAMPLE, PROBES, SHARE = 4000, 200, 0.96
 #: Rows and queries of a cell's block that are aimed at; the most high bits.
 ROWS, QUERIES, MOST_HIGH = 8192, 4096, 12
-#: Candidates that a cell tells of a query beyond those that are wanted, candidates ranked by floats for each that is wanted, and looked up at once.
-TOLD, RANKED, STEP = 3, 4, 1 << 20
+#: Candidates looked up at once, and what a cosine that numpy adds up in its own order can differ by.
+STEP, SLACK = 1 << 20, 1e-12
 _VALUES = np.arange(1 << BITS, dtype=np.uint32)
 _WEIGHT = np.bitwise_count(_VALUES)
 
@@ -60,8 +60,8 @@ class Codes:
         return bits @ (1 << np.arange(BITS)[::-1]).astype(np.int64)
 
 
-def fit(x: np.ndarray, near: int, seed: int = 5) -> Codes:
-    """Learns rotations from rows of x and near_bits for `near` neighbours."""
+def fit(x: np.ndarray, seed: int = 5) -> Codes:
+    """Learns rotations from rows of x."""
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
     centre = x.mean(0)
     y = x - centre
@@ -75,23 +75,51 @@ def fit(x: np.ndarray, near: int, seed: int = 5) -> Codes:
             u, _, w = np.linalg.svd(np.where(y @ turn > 0, 1.0, -1.0).T @ y)
             turn = (u @ w).T
         turned.append(directions @ turn)
-    codes = Codes(x.shape[1], centre, np.concatenate(turned, 1)[:, : SUBSTRINGS * BITS])
-    own, least = codes(x), []
-    for k in range(min(PROBES, len(x))):
-        cos = x @ x[k]
-        cos[k] = -2
-        best = np.argsort(-cos)[: min(near, len(x) - 1)]
-        least.append(np.bitwise_count(own[best] ^ own[k]).min(1))
-    if len(x) > 1:
-        codes.near_bits = int(np.quantile(np.concatenate(least), SHARE))
-    return codes
+    return Codes(x.shape[1], centre, np.concatenate(turned, 1)[:, : SUBSTRINGS * BITS])
 
 
-ENCODED = "key long, asks boolean, dim int, subs array<int>, small binary, scale double"
+def _neighbours(codes: Codes, keys: np.ndarray, x: np.ndarray, near: int):
+    """key, asks, vec -> (probe, about, least): the task's `near` rows nearest to each of the vectors x, and by how many bits their closest substrings differ."""
+    own, unit = codes(x), x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        about, least = np.full((len(x), near), -2.0), np.zeros((len(x), near), np.int64)
+        for batch in batches:
+            sizes = np.diff(batch.column(2).offsets.to_numpy())
+            at = np.flatnonzero(sizes == codes.dim)
+            flat, start = batch.column(2).flatten().to_numpy(), np.concatenate([[0], np.cumsum(sizes)])
+            y = flat[start[at][:, None] + np.arange(codes.dim)]
+            cos = unit @ (y / np.linalg.norm(y, axis=1, keepdims=True)).T
+            cos[keys[:, None] == batch.column(0).to_numpy()[at]] = -2
+            best = np.argsort(-cos, axis=1)[:, :near]
+            apart = np.bitwise_count(codes(y)[best] ^ own[:, None]).min(2).astype(np.int64) if len(at) else np.zeros(best.shape, np.int64)
+            about, least = np.concatenate([about, np.take_along_axis(cos, best, 1)], 1), np.concatenate([least, apart], 1)
+            best = np.argsort(-about, axis=1)[:, :near]
+            about, least = np.take_along_axis(about, best, 1), np.take_along_axis(least, best, 1)
+        probe, place = np.nonzero(about > -2)
+        yield pa.RecordBatch.from_arrays([pa.array(probe), pa.array(about[probe, place]), pa.array(least[probe, place])], ["probe", "about", "least"])
+
+    return run
+
+
+def learn_near(codes: Codes, kept: DataFrame, near: int) -> None:
+    """Sets near_bits by the true neighbours of some queries (those with the least hash of their key) among all rows."""
+    probes = [r for r in sample(kept.where(F.col("asks") & (F.size("vec") == codes.dim)).select("key", "vec"), "key", PROBES).collect()]
+    if not probes:
+        return
+    told = kept.where("not asks").select("key", "asks", "vec").mapInArrow(_neighbours(codes, np.array([r.key for r in probes]), np.array([r.vec for r in probes]), near), "probe long, about double, least long")
+    rank = F.row_number().over(Window.partitionBy("probe").orderBy(F.desc("about")))
+    least = [r.least for r in told.withColumn("rank", rank).where(F.col("rank") <= near).select("least").collect()]
+    if least:
+        codes.near_bits = int(np.quantile(least, SHARE, method="higher"))
+
+
+ENCODED = "key long, asks boolean, row long, dim int, subs array<int>, vec array<double>"
 
 
 def _encode(codes: Codes | None):
-    """key, asks, vec -> with the values of the substrings and the vector as 8-bit numbers times a scale."""
+    """key, asks, vec, row -> with the values of the substrings."""
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,12 +130,9 @@ def _encode(codes: Codes | None):
                 at = np.flatnonzero(sizes == dim)
                 x = flat[start[at][:, None] + np.arange(dim)]
                 subs = codes(x) if codes is not None and codes.dim == dim else np.zeros((len(x), SUBSTRINGS), np.int64)
-                unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-                scale = np.abs(unit).max(1) / 127
-                small = np.rint(unit / scale[:, None]).astype(np.int8)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * SUBSTRINGS), pa.array(subs.astype(np.int32).ravel()))
                 own = pa.array(at)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(np.full(len(x), dim, np.int32)), lists, pa.array([v.tobytes() for v in small], pa.binary()), pa.array(scale)], ["key", "asks", "dim", "subs", "small", "scale"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), batch.column(3).take(own), pa.array(np.full(len(x), dim, np.int32)), lists, batch.column(2).take(own)], ["key", "asks", "row", "dim", "subs", "vec"])
 
     return run
 
@@ -130,40 +155,67 @@ def lookup(values: np.ndarray, bits: int, asked: np.ndarray, near: np.ndarray) -
             yield i, order[place]
 
 
-def _probe(high: int, told: int):
-    """Rows and queries of one cell -> the `told` best rows for each query by 8-bit vectors."""
+def _best(i: np.ndarray, keys: np.ndarray, score: np.ndarray, most: int) -> np.ndarray:
+    """Places of the `most` highest scores of each i, equal ones by ascending key."""
+    order = np.lexsort((keys, -score, i))
+    first = np.flatnonzero(np.concatenate([[True], i[order][1:] != i[order][:-1]])) if len(i) else np.empty(0, int)
+    return order[np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i)))) < most]
+
+
+def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Dot products of rows, added up in order."""
+    return np.add.reduce(np.ascontiguousarray((a * b).T), axis=0, initial=0.0) if a.shape[1] else np.zeros(len(a))
+
+
+def cosines(x: np.ndarray, i: np.ndarray, j: np.ndarray, keys: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs (i, j) of rows of x the `near` with the highest cosine for each i, equal ones by ascending key of j, and that cosine."""
+    length = np.sqrt(_dot(x, x))
+    about = np.empty(len(i))
+    for lo in range(0, len(i), 1 << 14):
+        part = slice(lo, lo + (1 << 14))
+        about[part] = np.einsum("ij,ij->i", x[i[part]], x[j[part]]) / (length[i[part]] * length[j[part]])
+    # Only what can be among the best is worked out in the order that decides equals.
+    last = np.full(len(x), -np.inf)
+    best = _best(i, keys[j], about, near)
+    full = np.bincount(i[best], minlength=len(x)) >= near
+    low = np.full(len(x), np.inf)
+    np.minimum.at(low, i[best], about[best])
+    last[full] = low[full] - SLACK
+    maybe = np.flatnonzero(~(about < last[i]))
+    i, j = i[maybe], j[maybe]
+    score = np.empty(len(i))
+    for lo in range(0, len(i), 1 << 14):
+        part = slice(lo, lo + (1 << 14))
+        score[part] = _dot(x[i[part]], x[j[part]]) / (length[i[part]] * length[j[part]])
+    best = _best(i, keys[j], score, near)
+    return i[best], j[best], score[best]
+
+
+def _probe(high: int, near_most: int):
+    """Rows and queries of one cell -> the `near_most` nearest rows for each query."""
 
     @frugal
     def run(table: pa.Table) -> pa.Table:
         query = table.column("near").is_valid().to_numpy()
         keys, low = table.column("key").to_numpy(), table.column("sub").to_numpy().astype(np.int64) & ((1 << (BITS - high)) - 1)
-        dim = table.column("dim")[0].as_py()
-        small = np.frombuffer(b"".join(table.column("small").to_pylist()), np.int8).reshape(len(keys), dim)
-        unit = small * table.column("scale").to_numpy().astype(np.float32)[:, None]
+        rows = table.column("row").to_numpy()
+        x = table.column("vec").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(len(keys), -1)
         ask, row = np.flatnonzero(query), np.flatnonzero(~query)
         near = table.column("near").fill_null(0).to_numpy()[ask]
         out = []
         for i, j in lookup(low[row], BITS - high, low[ask], near) if len(ask) and len(row) else ():
             i, j = ask[i], row[j]
             other = keys[i] != keys[j]
-            i, j = i[other], j[other]
-            cos = np.empty(len(i), np.float32)
-            for lo in range(0, len(i), 1 << 16):
-                cos[lo : lo + (1 << 16)] = np.einsum("ij,ij->i", unit[i[lo : lo + (1 << 16)]], unit[j[lo : lo + (1 << 16)]])
-            order = np.lexsort((keys[j], -cos, i))
-            first = np.flatnonzero(np.concatenate([[True], i[order][1:] != i[order][:-1]])) if len(i) else np.empty(0, int)
-            rank = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i))))
-            best = order[rank < told]
-            out.append((i[best], j[best], cos[best]))
-        i, j, cos = (np.concatenate([o[k] for o in out]) if out else np.empty(0, kind) for k, kind in enumerate((np.int64, np.int64, np.float32)))
-        return pa.table({"query_id": pa.array(keys[i]), "vec_id": pa.array(keys[j]), "about": pa.array(cos.astype(np.float64))})
+            out.append(cosines(x, i[other], j[other], keys, near_most))
+        i, j, score = (np.concatenate([o[k] for o in out]) if out else np.empty(0, kind) for k, kind in enumerate((np.int64, np.int64, np.float64)))
+        return pa.table({"query_id": pa.array(keys[i]), "row": pa.array(rows[j]), "vec_id": pa.array(keys[j]), "score": pa.array(score)})
 
     return run
 
 
-def _searched(coded: DataFrame, asking: DataFrame, high: int, substrings: int, near_bits: int, told: int) -> DataFrame:
-    """(query_id, vec_id, about): what the cells tell of the queries `asking`, rows of `coded`."""
-    sub = lambda df: df.select("key", "dim", "small", "scale", F.posexplode(F.slice("subs", 1, substrings)).alias("j", "sub"))
+def _searched(coded: DataFrame, asking: DataFrame, high: int, substrings: int, near_bits: int, near: int) -> DataFrame:
+    """(query_id, row, vec_id, score): what the cells tell of the queries `asking`, rows of `coded`."""
+    sub = lambda df: df.select("key", "row", "dim", "vec", F.posexplode(F.slice("subs", 1, substrings)).alias("j", "sub"))
     own = F.shiftright("sub", BITS - high)
     rows = sub(coded).withColumn("cell", own)
     masks = [m for m in range(1 << high) if m.bit_count() <= near_bits]
@@ -175,17 +227,11 @@ def _searched(coded: DataFrame, asking: DataFrame, high: int, substrings: int, n
     sizes = sizes.select("dim", "j", "cell", F.ceil(F.col("r") / (2 * ROWS)).alias("rs"), F.ceil(F.col("q") / (2 * QUERIES)).alias("qs"))
     block = lambda n: F.pmod(F.xxhash64("key"), F.col(n))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    columns = ["dim", "j", "cell", "a", "b", "key", "sub", "small", "scale", "near"]
+    columns = ["dim", "j", "cell", "a", "b", "key", "row", "sub", "vec", "near"]
     rows = rows.join(sizes, ["dim", "j", "cell"]).withColumn("a", block("rs")).withColumn("b", each("qs")).withColumn("near", F.lit(None).cast("int"))
     asks = asks.join(sizes, ["dim", "j", "cell"]).withColumn("a", each("rs")).withColumn("b", block("qs"))
-    found = rows.select(columns).unionByName(asks.select(columns)).groupBy("dim", "j", "cell", "a", "b").applyInArrow(_probe(high, told), "query_id long, vec_id long, about double")
-    return materialize(found.groupBy("query_id", "vec_id").agg(F.max("about").alias("about")), "candidates")
-
-
-def cosine(a: Column, b: Column) -> Column:
-    """The cosine of two vectors in double precision."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    found = rows.select(columns).unionByName(asks.select(columns)).groupBy("dim", "j", "cell", "a", "b").applyInArrow(_probe(high, near), "query_id long, row long, vec_id long, score double")
+    return materialize(found.dropDuplicates(["query_id", "row"]), "candidates")
 
 
 def nearest(vectors: DataFrame, queries: Column, key: str = "vec_id", vector: str = "embedding", near: int = 5) -> DataFrame:
@@ -202,22 +248,18 @@ def nearest(vectors: DataFrame, queries: Column, key: str = "vec_id", vector: st
     codes = None
     if learned:
         sizes, times = np.unique([len(v) for v in learned], return_counts=True)
-        codes = fit(np.array([v for v in learned if len(v) == sizes[times.argmax()]]), near)
+        codes = fit(np.array([v for v in learned if len(v) == sizes[times.argmax()]]))
+        learn_near(codes, kept, near)
     high = max(0, min(MOST_HIGH, (kept.count() // ROWS).bit_length()))
-    coded = materialize(kept.select("key", "asks", "vec").mapInArrow(_encode(codes), ENCODED), "codes")
+    coded = materialize(kept.select("key", "asks", "vec", F.monotonically_increasing_id().alias("row")).mapInArrow(_encode(codes), ENCODED), "codes")
     data, asks = coded.where("not asks"), coded.where("asks")
-    found = _searched(data, asks, high, SUBSTRINGS, codes.near_bits if codes else BITS, near + TOLD)
+    found = _searched(data, asks, high, SUBSTRINGS, codes.near_bits if codes else BITS, near)
     # Queries that found too few look up every value of the first index.
     few = asks.join(found.groupBy(F.col("query_id").alias("key")).agg(F.count("*").alias("n")).where(F.col("n") >= near), "key", "left_anti")
     found = found.withColumn("by_index", F.lit(True))
     few = materialize(few, "few")
     if not few.isEmpty():
-        late = _searched(data, few, high, 1, BITS, near + TOLD).withColumn("by_index", F.lit(False))
+        late = _searched(data, few, high, 1, BITS, near).withColumn("by_index", F.lit(False))
         found = found.join(few.select(F.col("key").alias("query_id")), "query_id", "left_anti").unionByName(late)
-    about = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("about"), "vec_id"))
-    best = found.withColumn("at", about).where(F.col("at") <= RANKED * near).select("query_id", "vec_id", "by_index")
-    side = lambda asks, name, own: kept.where("asks" if asks else "not asks").select(F.col("key").alias(name), F.col("vec").alias(own))
-    scored = best.join(side(True, "query_id", "x"), "query_id").join(side(False, "vec_id", "y"), "vec_id").where(F.size("x") == F.size("y"))
-    scored = scored.select("query_id", "vec_id", "by_index", cosine(F.col("x"), F.col("y")).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= near).select("query_id", "rank", "vec_id", "score", "by_index")
+    return found.withColumn("rank", rank).where(F.col("rank") <= near).select("query_id", "rank", "vec_id", "score", "by_index")

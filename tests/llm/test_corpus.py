@@ -216,6 +216,23 @@ def test_nearest_splits_cells_and_copies(spark, monkeypatch):
     assert sum(len({v for v, _ in want[q]} & {v for v, _ in got[q]}) for q in want) >= 0.9 * 5 * len(want)
 
 
+@pytest.mark.parametrize("kind", ["offset", "tight", "groups", "scaled"])
+def test_nearest_of_vectors_that_lie_close(spark, kind):
+    """Vectors with one large common part, near copies, groups in which they hardly differ, and multiples of few vectors."""
+    rng = np.random.default_rng(7)
+    noise = rng.normal(size=(2000, 32))
+    x = {"offset": 200 + noise, "tight": rng.normal(size=32) + noise * 1e-4, "groups": rng.normal(size=(8, 32))[np.arange(2000) % 8] + noise * 1e-3, "scaled": noise[np.arange(2000) % 20] * (1 << np.arange(2000) // 20 % 16)[:, None]}[kind]
+    want = true_neighbours(np.arange(2000), x, range(0, 2000, 50))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = collections.defaultdict(list)
+    for r in ann.nearest(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    if kind == "scaled":  # the last digits of equal cosines depend on the order of adding up
+        assert all(abs(s - w) < 1e-12 for q in want for (_, s), (_, w) in zip(got[q], want[q], strict=True))
+    else:
+        assert sum(len({v for v, _ in want[q]} & {v for v, _ in got[q]}) for q in want) >= 0.9 * 5 * len(want)
+
+
 def test_language(spark, sf_dir, odd, none):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = queries.op6_language_id(spark, sf_dir).join(docs.select("doc_id", "lang"), "doc_id").collect()
