@@ -20,3 +20,19 @@ def test_keyword_terms_reads_every_text(spark, tmp_path):
     want = {k: "|".join("article" if t == "the" else t for t in queries.TERMS if stands(t, text)) for k, text in texts.items()}
     assert {r.doc_id: r.terms for r in queries.QUERIES["keyword_terms"](spark, str(tmp_path)).collect()} == want
     assert want[2] == "den" and want[3] == "article|license" and want[9] == "article" and want[6] == ""
+
+
+def test_name_links_are_all_pairs_of_equal_names(spark, tmp_path):
+    """Keys beyond 99,999 lose digits in the name, so several customers have one; the links are those of the SQL."""
+    import duckdb
+
+    keys = [7, 10_000, 100_000, 100_001, 100_004, 100_009]
+    spark.createDataFrame([(k,) for k in keys], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(k,) for k in keys[:4]], "o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(k,) for k in (3, 8)], "user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    duck = duckdb.connect()
+    for name in ("customer", "orders", "events"):
+        duck.sql(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    want = sorted(duck.sql(queries.ORACLE["match_links_name"]).fetchall())
+    got = queries.QUERIES["match_links_name"](spark, str(tmp_path)).select("later", "earlier")
+    assert sorted(map(tuple, got.collect())) == want and len(want) == 1 + 8 * 7 // 2
