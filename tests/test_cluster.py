@@ -138,3 +138,37 @@ def test_close_names_of_the_tables(spark, sf_dir, monkeypatch):
         return score is not None and score <= fuzzy.NAME_LIMIT
 
     assert got == groups(sorted(people), match) and len(set(got.values())) < len(people)
+
+
+def test_overlaps_of_initials_and_repeats(spark):
+    """Words of a longer name that share a letter, or repeat, and count for one word of a shorter name."""
+    rng = random.Random(5)
+    words = ["a", "b", "ann", "amy", "al", "bob", "ben", "c", "cy", "q"]
+    names = sorted({tuple(rng.choices(words, k=rng.choice([1, 1, 2, 2, 3, 3, 4, 5]))) for _ in range(260)} | {("ann", "amy", "al", "bob"), ("a", "z"), ("num1", "n", "q"), ("num1", "z"), ("u", "u", "n1"), ("u", "z")})
+
+    def share(x, y):
+        half = lambda w: any((len(w) == 1 and v.startswith(w)) or (len(v) == 1 and w.startswith(v)) for v in y)
+        return sum(1.0 if w in y else 0.5 if half(w) else 0.0 for w in x) / min(len(x), len(y))
+
+    df = spark.createDataFrame([(list(n),) for n in names], "words array<string>")
+    got = [(tuple(r.later), tuple(r.earlier), r.ratio) for r in cluster.overlapping_names(df).collect()]
+    assert sorted(got) == sorted((x, y, share(x, y)) for x in names for y in names if share(x, y) >= 0.75)
+
+
+def test_names_with_common_words_do_not_all_meet(spark):
+    """Two words and an initial that all names have make no candidates; their own word does."""
+    rows = [(["customer", f"num{k}"],) for k in range(300)] + [(["customer", "x", f"num{k}"],) for k in range(300)]
+    assert cluster.overlap_candidates(spark.createDataFrame(rows, "words array<string>")).count() <= 4 * 300
+
+
+@pytest.mark.parametrize("name", ["cluster_hot_keys", "cluster_hot_names", "cluster_close_names"])
+def test_no_table_of_records_goes_through_the_driver(spark, sf_dir, name):
+    """Tables that look small in compressed files aren't broadcast."""
+    from kindred.plans import queries
+
+    plans = spark._jsparkSession.sharedState().statusStore()
+    before = plans.executionsCount()
+    queries.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+    told = plans.executionsList()
+    assert plans.executionsCount() > before
+    assert not [k for k in range(max(0, told.size() - (plans.executionsCount() - before)), told.size()) if "BroadcastExchange" in told.apply(k).physicalPlanDescription()]
