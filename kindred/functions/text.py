@@ -27,6 +27,11 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def some(c: Column) -> Column:
+    """c, or null if it is empty; unlike `nullif` it works c out once within another function's argument too."""
+    return let(c, lambda x: F.when(x != "", x))
+
+
 def every(c: Column, pattern: str) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
 
@@ -119,10 +124,10 @@ def date_range(line: Column) -> Column:
 
     def tier(pattern: str, told) -> Column:
         def of(found: Column) -> Column:
-            tail = F.regexp_substr(line, F.lit(rf"{pattern}[\s\S]*$"))
+            tail = F.regexp_extract(line, rf"{pattern}[\s\S]*$", 0)
             two, present = F.size(found) > 1, tail.rlike(PRESENT)
             end = F.when(two, told(F.get(found, F.lit(1)))).when(present, F.lit("Present"))
-            span = F.when(two, F.regexp_substr(line, F.lit(rf"{pattern}[\s\S]*{pattern}"))).when(present, F.regexp_substr(line, F.lit(rf"{pattern}[\s\S]*?{PRESENT}"))).otherwise(first(found))
+            span = F.when(two, F.regexp_extract(line, rf"{pattern}[\s\S]*{pattern}", 0)).when(present, F.regexp_extract(line, rf"{pattern}[\s\S]*?{PRESENT}", 0)).otherwise(first(found))
             return F.when(F.size(found) > 0, F.struct(told(first(found)).alias("start"), end.alias("end"), span.alias("span")))
 
         return let(every(line, pattern), of)

@@ -60,7 +60,7 @@ def _cut(line: Column, span: Column) -> Column:
 
 def _job(block: Column) -> Column:
     head, rest = block["lines"][0], F.slice(block["lines"], 2, 1000)
-    empty = lambda c: F.nullif(c, F.lit(""))
+    empty = text.some
 
     def dated(date: Column) -> Column:
         clean = trimmed(F.regexp_replace(_cut(head, date["span"]), r"[-–—,@|]+$", ""))
@@ -100,11 +100,10 @@ def _study(line: Column) -> Column:
     """The field of study that a degree's line tells: in brackets, after `in`, or after a comma; grades are none."""
     # What leads to a field of study and what ends it.
     tail = r"\s+([A-Za-z][A-Za-z\s&]+?)(?:\s*[;(),]|\s*(?:CGPA|GPA|Score)|\s*\(|$)"
-    inside = F.nullif(F.regexp_extract(line, r"\(([^)]+)\)", 1), F.lit(""))
-    inside = F.when(inside.rlike(r"[A-Za-z]{3,}") & ~inside.rlike(text.YEAR), trimmed(inside))
-    after = lambda mark: F.nullif(trimmed(F.regexp_extract(line, mark, 1)), F.lit(""))
+    inside = text.let(F.regexp_extract(line, r"\(([^)]+)\)", 1), lambda x: F.when((x != "") & x.rlike(r"[A-Za-z]{3,}") & ~x.rlike(text.YEAR), trimmed(x)))
+    after = lambda mark: text.some(trimmed(F.regexp_extract(line, mark, 1)))
     found = F.coalesce(inside, after(rf"(?i){_B}in{tail}"), after(rf"(?i),{tail.replace('+(', '*(', 1)}"))
-    return F.when(~found.rlike(r"(?i)cgpa|gpa|score|grade|marks|division") & ~found.rlike(r"^\d"), found)
+    return text.let(found, lambda x: F.when(~x.rlike(r"(?i)cgpa|gpa|score|grade|marks|division") & ~x.rlike(r"^\d"), x))
 
 
 def _school(block: Column) -> Column:
@@ -114,7 +113,7 @@ def _school(block: Column) -> Column:
     years = F.filter(F.transform(rest, _year), lambda y: y.isNotNull())
     clean = text.let(text.date_range(head), lambda d: _cut(head, d["span"]))
     told = lambda d: F.struct(
-        F.nullif(trimmed(F.get(F.split(clean, ",|-|—|–"), F.lit(0))), F.lit("")).alias("institution"), d["degree"].alias("degree"),
+        text.some(trimmed(F.get(F.split(clean, ",|-|—|–"), F.lit(0)))).alias("institution"), d["degree"].alias("degree"),
         text.let(F.coalesce(d["line"], F.get(rest, F.lit(0)), F.lit("")), _study).alias("field"), F.coalesce(_year(head), F.get(years, F.lit(0))).alias("end_year"),
     )
     return text.let(F.get(degrees, F.lit(0)), told)

@@ -36,3 +36,8 @@ def test_name_links_are_all_pairs_of_equal_names(spark, tmp_path):
     want = sorted(duck.sql(queries.ORACLE["match_links_name"]).fetchall())
     got = queries.QUERIES["match_links_name"](spark, str(tmp_path)).select("later", "earlier")
     assert sorted(map(tuple, got.collect())) == want and len(want) == 1 + 8 * 7 // 2
+
+
+def test_resumes_of_a_small_file_are_many_tasks(spark, sf_dir):
+    resumes = queries.resumes(spark, sf_dir)
+    assert len(spark.read.parquet(f"{sf_dir}/customer.parquet").inputFiles()) == 1 and resumes.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
