@@ -176,7 +176,9 @@ def csv_rows(sources: DataFrame) -> DataFrame:
     text = F.regexp_replace("text", "^﻿", "")
     rows = sources.select("source_pos", "source_id", text.alias("text"), delimiter(text).alias("mark"))
     rows = rows.withColumn("records", _records(F.col("text"), F.col("mark"))).where(F.size("records") > 1)
-    return _csv_records(rows.select("source_pos", "source_id", "mark", _cells(F.col("records")[0], F.col("mark")).alias("head"), F.posexplode(F.slice("records", 2, 1_000_000_000)).alias("row_pos", "record")))
+    # The head is worked out before, or each row would carry all records until it takes the head from them.
+    rows = rows.select("source_pos", "source_id", "mark", _cells(F.col("records")[0], F.col("mark")).alias("head"), F.slice("records", 2, 1_000_000_000).alias("records"))
+    return _csv_records(rows.select("source_pos", "source_id", "mark", "head", F.posexplode("records").alias("row_pos", "record")))
 
 
 def csv_line_rows(lines: DataFrame) -> DataFrame:

@@ -41,3 +41,11 @@ def test_name_links_are_all_pairs_of_equal_names(spark, tmp_path):
 def test_resumes_of_a_small_file_are_many_tasks(spark, sf_dir):
     resumes = queries.resumes(spark, sf_dir)
     assert len(spark.read.parquet(f"{sf_dir}/customer.parquet").inputFiles()) == 1 and resumes.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_csv_rows_do_not_carry_their_whole_text(spark, sf_dir):
+    plan = queries.QUERIES["csv_rows"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    told = re.findall(r"Generate posexplode\((.*?)\), \[([^\]]*)\]", plan)
+    first, dropped = told[0]
+    # The list in brackets is of the columns that end with the generator: all records.
+    assert len(told) == 1 and dropped != "" and re.fullmatch(r"records#\d+", first)
