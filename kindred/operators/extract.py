@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -276,15 +277,23 @@ EXTRACTORS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
-def raw_records(sources: DataFrame, csv: DataFrame | None = None) -> DataFrame:
-    """Raw records of typed sources (source_pos, source_id, source_type, url, text) and the lines of CSV files, ordered by rec_ord."""
-    parts = [csv_line_rows(csv)] if csv is not None else []
-    parts += [run(sources.where(F.col("source_type") == kind)) for kind, run in EXTRACTORS.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+def _ordered(rows: DataFrame) -> DataFrame:
+    """Rows of an extractor with rec_ord, and who they may be of."""
     order = F.col("source_pos").cast("long") * (1 << 32) + F.col("row_pos")
     f = F.col("r.fields")
     single = lambda many, one: F.coalesce(F.when(F.size(many) > 0, many), F.array(one))
     seen = hint(f["name"], single(f["emails"], f["email"]), single(f["phones"], f["phone"]))
-    return out.select(order.alias("rec_ord"), "source_pos", "row_pos", "source_id", "source_type", "r.raw_confidence", seen.alias("candidate_hint"), "r.fields")
+    return rows.select(order.alias("rec_ord"), "source_pos", "row_pos", "source_id", "source_type", "r.raw_confidence", seen.alias("candidate_hint"), "r.fields")
+
+
+def raw_parts(sources: DataFrame, csv: DataFrame | None = None, kinds: Iterable[str] = EXTRACTORS) -> list[DataFrame]:
+    """What `raw_records` unites: the records of CSV files, and of the sources of each kind."""
+    parts = [csv_line_rows(csv)] if csv is not None else []
+    return [_ordered(p) for p in (*parts, *(EXTRACTORS[kind](sources.where(F.col("source_type") == kind)) for kind in kinds))]
+
+
+def raw_records(sources: DataFrame, csv: DataFrame | None = None) -> DataFrame:
+    """Raw records of typed sources (source_pos, source_id, source_type, url, text) and the lines of CSV files, ordered by rec_ord."""
+    return reduce(DataFrame.unionByName, raw_parts(sources, csv))
+
+

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.functions.scalars import fixed2, priority, trimmed
+from kindred.plans.tables import kept, merging
 
 #: Fields with one value, in the order in which provenance lists them.
 SCALARS = ("full_name", "headline", "years_experience", "location.city", "location.region", "location.country", "links.linkedin", "links.github", "links.portfolio")
@@ -35,13 +38,20 @@ def method(n: Column, agree: Column) -> Column:
 
 def resolved(values: DataFrame) -> DataFrame:
     """(group_id, field, value, method): the value of the surest source; ties go by source type, then by order."""
-    return ranked(values).where("place = 1").select("group_id", "field", "value", method(F.col("n"), F.col("agree")).alias("method"))
+    return _winners(ranked(values))
+
+
+def _winners(told: DataFrame) -> DataFrame:
+    return told.where("place = 1").select("group_id", "field", "value", method(F.col("n"), F.col("agree")).alias("method"))
 
 
 def scalar_provenance(values: DataFrame) -> DataFrame:
     """(group_id, field, idx, seq, source, method): the winner and all sources that disagree with it, surest first."""
-    told = ranked(values).where("place = 1 or value != winner")
-    return told.select("group_id", "field", F.lit(-1).alias("idx"), F.col("place").cast("long").alias("seq"), F.col("source_id").alias("source"), method(F.col("n"), F.col("agree")).alias("method"))
+    return _conflicts(ranked(values))
+
+
+def _conflicts(told: DataFrame) -> DataFrame:
+    return told.where("place = 1 or value != winner").select("group_id", "field", F.lit(-1).alias("idx"), F.col("place").cast("long").alias("seq"), F.col("source_id").alias("source"), method(F.col("n"), F.col("agree")).alias("method"))
 
 
 def occurrences(records: DataFrame, column: str) -> DataFrame:
@@ -63,14 +73,14 @@ def listed(found: DataFrame, name: str) -> DataFrame:
 
 def list_provenance(found: DataFrame, name: str) -> DataFrame:
     """A row for each element and occurrence; the method is always `direct`. seq: record and place."""
-    return found.join(united(found).select("group_id", "value", "idx"), ["group_id", "value"]).select("group_id", F.lit(name).alias("field"), "idx", F.struct("rec_ord", F.col("pos").cast("long").alias("pos")).alias("seq"), F.col("source_id").alias("source"), F.lit("direct").alias("method"))
+    return found.join(merging(united(found).select("group_id", "value", "idx")), ["group_id", "value"]).select("group_id", F.lit(name).alias("field"), "idx", F.struct("rec_ord", F.col("pos").cast("long").alias("pos")).alias("seq"), F.col("source_id").alias("source"), F.lit("direct").alias("method"))
 
 
 def candidate_ids(records: DataFrame) -> DataFrame:
     """(group_id, candidate_id): md5 of the first email in record order, else of the first name, else of `unknown`."""
     email = records.where(F.size("emails") > 0).groupBy("group_id").agg(F.min_by(F.col("emails")[0], "rec_ord").alias("email"))
     name = records.groupBy("group_id").agg(F.min(F.when(F.col("full_name") != "", F.struct("rec_ord", "full_name")))["full_name"].alias("name"))
-    return name.join(email, "group_id", "left").select("group_id", F.md5(F.coalesce("email", "name", F.lit("unknown"))).alias("candidate_id"))
+    return name.join(merging(email), "group_id", "left").select("group_id", F.md5(F.coalesce("email", "name", F.lit("unknown"))).alias("candidate_id"))
 
 
 def skill_occurrences(records: DataFrame) -> DataFrame:
@@ -141,15 +151,32 @@ def united_provenance(merged: DataFrame, name: str) -> DataFrame:
     return merged.select("group_id", F.lit(name).alias("field"), "idx", told.alias("method"), F.posexplode("sources").alias("seq", "source")).select("group_id", "field", "idx", F.col("seq").cast("long").alias("seq"), "source", "method")
 
 
-def provenance(records: DataFrame) -> DataFrame:
+@dataclass
+class Parts:
+    """What profiles and their provenance are both made of."""
+
+    ranked: DataFrame
+    skills: DataFrame
+    experience: DataFrame
+    education: DataFrame
+
+
+def parts_of(records: DataFrame) -> Parts:
+    """The parts of records with group_id, each worked out once and written: plans that hold them several times outgrow the driver."""
+    return Parts(
+        kept(ranked(scalar_values(records)), "ranked"), kept(merged_skills(skill_occurrences(records)), "skills"),
+        kept(merged_experience(jobs_of(records)), "experience"), kept(merged_education(schools_of(records)), "education"),
+    )
+
+
+def provenance(records: DataFrame, parts: Parts | None = None) -> DataFrame:
     """(group_id, field, idx, seq, source, method) of all fields; seq is a struct, by which an element's sources are ordered. Locations count only if a group has one."""
-    values = scalar_values(records)
-    jobs, schools = jobs_of(records), schools_of(records)
-    own = [scalar_provenance(values), united_provenance(merged_skills(skill_occurrences(records)), "skills"), united_provenance(merged_experience(jobs), "experience"), united_provenance(merged_education(schools), "education")]
-    parts = [p.withColumn("seq", F.struct(F.col("seq").alias("rec_ord"), F.lit(0).cast("long").alias("pos"))) for p in own]
-    parts += [list_provenance(occurrences(records, name), name) for name in ("links.other", "emails", "phones")]
-    out = parts[0]
-    for p in parts[1:]:
+    parts = parts or parts_of(records)
+    own = [_conflicts(parts.ranked), united_provenance(parts.skills, "skills"), united_provenance(parts.experience, "experience"), united_provenance(parts.education, "education")]
+    rows = [p.withColumn("seq", F.struct(F.col("seq").alias("rec_ord"), F.lit(0).cast("long").alias("pos"))) for p in own]
+    rows += [list_provenance(occurrences(records, name), name) for name in ("links.other", "emails", "phones")]
+    out = rows[0]
+    for p in rows[1:]:
         out = out.unionByName(p)
     return out
 
@@ -166,24 +193,25 @@ def field_path(field: Column, idx: Column) -> Column:
     return F.when(idx < 0, field).otherwise(F.concat(field, F.lit("["), idx, F.lit("]")))
 
 
-def profiles(records: DataFrame) -> DataFrame:
-    """The canonical profile of each group, with overall_confidence 1.0 (see kindred.operators.confidence)."""
-    values = resolved(scalar_values(records))
+def profiles(records: DataFrame, parts: Parts | None = None, told: DataFrame | None = None) -> DataFrame:
+    """The canonical profile of each group, with overall_confidence 1.0 (see kindred.operators.confidence). told: their provenance, if it is there."""
+    parts = parts or parts_of(records)
+    told = provenance(records, parts) if told is None else told
+    values = _winners(parts.ranked)
     wide = values.groupBy("group_id").pivot("field", list(SCALARS)).agg(F.first("value"))
-    out = candidate_ids(records).join(wide, "group_id", "left")
+    out = candidate_ids(records).join(merging(wide), "group_id", "left")
     sorted_list = lambda df, name, item: df.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("idx", item.alias("item")))).alias("rows")).select("group_id", F.transform("rows", lambda r: r["item"]).alias(name))
     lists = [listed(occurrences(records, c), n) for c, n in (("emails", "emails"), ("phones", "phones"), ("links.other", "other_links"))]
-    lists.append(sorted_list(merged_skills(skill_occurrences(records)), "skills", F.struct(F.col("value").alias("name"), "confidence", "sources")))
-    lists.append(sorted_list(merged_experience(jobs_of(records)), "experience", F.struct("company", "title", "start", "end", "summary")))
-    lists.append(sorted_list(merged_education(schools_of(records)), "education", F.struct("institution", "degree", "field", "end_year")))
+    lists.append(sorted_list(parts.skills, "skills", F.struct(F.col("value").alias("name"), "confidence", "sources")))
+    lists.append(sorted_list(parts.experience, "experience", F.struct("company", "title", "start", "end", "summary")))
+    lists.append(sorted_list(parts.education, "education", F.struct("institution", "degree", "field", "end_year")))
     rank = F.lit(len(ORDER))
     for name, k in ORDER.items():
         rank = F.when(F.col("field") == name, k).otherwise(rank)
-    told = provenance(records).withColumn("rank", rank)
-    rows = told.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("rank", "idx", "seq", "field", "source", "method"))).alias("rows"))
+    rows = told.withColumn("rank", rank).groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("rank", "idx", "seq", "field", "source", "method"))).alias("rows"))
     lists.append(rows.select("group_id", F.transform("rows", lambda r: F.struct(field_path(r["field"], r["idx"]).alias("field"), r["source"].alias("source"), r["method"].alias("method"))).alias("provenance")))
     for df in lists:
-        out = out.join(df, "group_id", "left")
+        out = out.join(merging(df), "group_id", "left")
     col = lambda name: F.col(f"`{name}`")
     place = F.struct(*[col(f"location.{k}").alias(k) for k in ("city", "region", "country")])
     blank = lambda name: F.coalesce(F.col(name), F.array().cast(out.schema[name].dataType)).alias(name)

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.operators import cluster, confidence, extract, merge, normalize
+from kindred.operators import cluster, confidence, extract, normalize
 from kindred.plans.config import DEFAULT, KindredError, OutputConfig
 from kindred.plans.project import accepted, canonical_faults, checked, projected
 from kindred.plans.shape import with_faults
@@ -50,6 +50,13 @@ def warnings_of(raw: DataFrame, records: DataFrame, judged: DataFrame, out: Data
     return reduce(DataFrame.unionByName, parts)
 
 
+def raw_tables(typed: DataFrame, csv: DataFrame | None = None) -> DataFrame:
+    """The raw records of typed sources and of CSV lines, written kind by kind: a plan holds one extractor, and none of a kind that no source has."""
+    kinds = sorted(r.source_type for r in typed.select("source_type").distinct().collect())  # of TYPES, so a few
+    parts = [kept(p, "raw") for p in extract.raw_parts(typed, csv, kinds)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def run_pipeline(spark: SparkSession, sources: DataFrame, config: OutputConfig = DEFAULT, store: Store | None = None, github: DataFrame | None = None, linkedin: DataFrame | None = None, csv: DataFrame | None = None) -> PipelineResult:
     """Detects, extracts, normalizes, clusters, merges, scores, checks and projects.
 
@@ -65,11 +72,10 @@ def run_pipeline(spark: SparkSession, sources: DataFrame, config: OutputConfig =
             typed = extract.with_fixtures(typed, linkedin)
         if github is not None:
             typed = extract.with_profiles(typed, github)
-        raw = kept(extract.raw_records(kept(typed, "typed"), csv), "raw")
+        raw = raw_tables(kept(typed, "typed"), csv)
         records = kept(normalize.normalized(raw), "records")
         grouped = cluster.cluster(records)
-        profiles = confidence.scored(merge.profiles(grouped), merge.provenance(grouped), grouped)
-        judged = kept(canonical_faults(profiles), "profiles")
+        judged = kept(canonical_faults(confidence.scored_profiles(grouped)), "profiles")
         good = judged.where(F.size("faults") == 0).drop("faults")
         out = with_faults(checked(projected(good, config, ("group_id",)), config), config)
         shaped = accepted(out).orderBy("group_id").drop("group_id", "warnings", "faults")
