@@ -4,7 +4,8 @@ import json
 
 from pyspark.sql import functions as F
 
-from kindred.operators import extract
+from kindred.operators import extract, merge
+from kindred.plans import queries
 from kindred.plans.pipeline import raw_tables, run_pipeline, typed_text
 from kindred.sources import readers
 
@@ -25,3 +26,12 @@ def test_kinds_one_by_one_give_all_records(spark):
     told = lambda df: sorted(df.select("rec_ord", "source_id", "source_type", "raw_confidence", F.to_json("candidate_hint"), F.to_json("fields")).collect())
     got = told(raw_tables(typed))
     assert got == told(extract.raw_records(typed)) and len(got) == 6 and len({r.source_type for r in got}) == 4
+
+
+def test_profiles_work_out_their_parts_once(spark, sf_dir, monkeypatch):
+    made = []
+    for name in ("ranked", "merged_skills", "merged_experience", "merged_education", "provenance"):
+        own = getattr(merge, name)
+        monkeypatch.setattr(merge, name, lambda *a, own=own, name=name: made.append(name) or own(*a))
+    queries.QUERIES["canonical_profiles"](spark, sf_dir)
+    assert sorted(made) == ["merged_education", "merged_experience", "merged_skills", "provenance", "ranked"]
