@@ -40,8 +40,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm import components
-from kindred.llm.common import KeyFilter, discard, frugal, materialize, prepare, text_steps
-from kindred.llm.words import U64, mix64, words
+from kindred.llm.common import KeyFilter, discard, frugal, keep_freed, materialize, prepare, text_steps
+from kindred.llm.words import U64, mix64, solid_words
 
 #: A line is looked at if it has so many words, or so many bytes besides white space: the parameter `least`.
 LEAST = (5, 16)
@@ -56,6 +56,7 @@ PACK, STEP = 1 << 18, 1 << 18
 #: Words from which a line has 256 parities instead of 128.
 LONG = 110
 _ODD = U64(0x9E3779B97F4A7C15)
+_NONE = np.empty(0, np.uint32)
 #: Lists name partners by these bits of their keys; if two lines of a cell have the same, both are verified.
 LOW = 0xFFFFFFFF
 #: What is dealt out of a member of a prefix, packed: plain numbers, and counts in as few bytes as the largest needs.
@@ -69,12 +70,12 @@ class Lines:
     """The lines of texts that are looked at: their text, number, and words (as hashes, a line's together)."""
 
     def __init__(self, data: np.ndarray, bounds: np.ndarray, least: tuple[int, int] = LEAST):
-        starts, ends, hashes, _ = words(data, bounds)
-        feed = data == 10
+        starts, ends, hashes = solid_words(data, bounds)
+        feeds = np.flatnonzero(data == 10)
         # A line's number is the count of line feeds before it in its text. Empty lines that begin where another does have no words.
-        begin = np.unique(np.concatenate([bounds[:-1], np.flatnonzero(feed) + 1]))
-        feeds = np.concatenate([[0], np.cumsum(feed)])
-        self.per_text = feeds[bounds[1:]] - feeds[bounds[:-1]] + 1
+        begin = np.unique(np.concatenate([bounds[:-1], feeds + 1]))
+        before = np.searchsorted(feeds, bounds)
+        self.per_text = before[1:] - before[:-1] + 1
         at = np.searchsorted(starts, begin)
         count = np.diff(np.append(at, len(starts)))
         solid = np.concatenate([[0], np.cumsum(ends - starts)])
@@ -84,18 +85,24 @@ class Lines:
         self.short = np.bincount(left, minlength=len(bounds) - 1)
         begin, self.count = begin[own], count[own]
         self.text = np.searchsorted(bounds, begin, "right") - 1
-        self.number = feeds[begin] - feeds[bounds[self.text]]
+        self.number = np.searchsorted(feeds, begin) - before[self.text]
         self.start = np.concatenate([[0], np.cumsum(self.count)])
         self.line = np.repeat(np.arange(len(self.count)), self.count)
 
-    def keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """Two halves of a hash of each line's set: sums over its words, so their order makes no difference."""
+    def key(self, salt: int = 0x1F83D9AB) -> np.ndarray:
+        """A hash of each line's set: a sum over its words, so their order makes no difference."""
         if not len(self.count):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        return tuple(np.add.reduceat(mix64(self.word ^ U64(salt)), self.start[:-1]).view(np.int64) for salt in (0x1F83D9AB, 0x5BE0CD19))
+            return np.empty(0, np.int64)
+        return np.add.reduceat(mix64(self.word ^ U64(salt)), self.start[:-1]).view(np.int64)
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two halves of a hash of each line's set."""
+        return self.key(), self.key(0x5BE0CD19)
 
     def some(self, lines: np.ndarray) -> Lines:
         """Only the lines with these places."""
+        if len(lines) == len(self.count):
+            return self
         part = object.__new__(Lines)
         chosen = np.zeros(len(self.count), bool)
         chosen[lines] = True
@@ -104,24 +111,32 @@ class Lines:
         part.line = np.repeat(np.arange(len(part.count)), part.count)
         return part
 
-    def members(self, rarity: np.ndarray) -> np.ndarray:
-        """Members line by line, the rarest first. A word's second occurrence is another member than its first."""
-        bucket = (self.word >> U64(46)).astype(np.int64)
-        if len(self.count) < 1 << 16:
-            order = np.argsort((self.line.astype(U64) << U64(48)) | (rarity[bucket] << U64(30)) | (self.word & U64((1 << 30) - 1)))
-        else:
-            order = np.lexsort((self.word & U64((1 << 30) - 1), rarity[bucket], self.line))
-        word = self.word[order]
+    def members(self) -> np.ndarray:
+        """Members line by line. A word's second occurrence is another member than its first."""
+        word = self.word[np.lexsort((self.word, self.line))]
+        return mix64(word + self._times(word) * _ODD)
+
+    def _times(self, word: np.ndarray) -> np.ndarray:
+        """How often each word came in its line before, where equal ones of a line follow each other."""
         new = np.ones(len(word), bool)
         new[1:] = (word[1:] != word[:-1]) | (self.line[1:] != self.line[:-1])
         first = np.flatnonzero(new)
-        times = np.arange(len(word)) - np.repeat(first, np.diff(np.append(first, len(word))))
-        return mix64(word + times.astype(U64) * _ODD)
+        return (np.arange(len(word)) - np.repeat(first, np.diff(np.append(first, len(word))))).astype(U64)
 
-    def prefixes(self) -> tuple[np.ndarray, np.ndarray]:
-        """Each member's place in its line, and the places of those in the prefixes."""
-        spot = np.arange(len(self.word)) - np.repeat(self.start[:-1], self.count)
-        return spot, np.flatnonzero(spot < np.repeat(self.count - (3 * self.count + 3) // 4 + 1, self.count))
+    def ranked(self, rarity: np.ndarray) -> np.ndarray:
+        """Members line by line, the rarest first, by rank and 16 bits of the word. Words that agree in both count as one here, so lines
+        may seem to share more than they do, never less."""
+        rank, low = rarity[(self.word >> U64(46)).astype(np.int64)], self.word.astype(np.uint16)
+        order = np.lexsort((low, rank, self.line.astype(np.uint16) if len(self.count) < 1 << 16 else self.line))
+        word = ((rank.astype(np.uint32) << np.uint32(16)) | low)[order]
+        return mix64(word.astype(U64) + self._times(word) * _ODD)
+
+    def prefixes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the members of the prefixes: their places among all, their lines, and their places in these."""
+        n = self.count - (3 * self.count + 3) // 4 + 1
+        line, total = np.repeat(np.arange(len(n)), n), np.concatenate([[0], np.cumsum(n)])
+        spot = np.arange(total[-1]) - total[line]
+        return self.start[line] + spot, line, spot
 
 
 TABLE = "part long, spots binary, counts binary"
@@ -145,15 +160,16 @@ def _parts(total: np.ndarray) -> list[pa.Array]:
     return [pa.array([k for k, _, _ in own], pa.int64()), pa.array([at.astype(np.uint16).tobytes() for _, at, _ in own], pa.binary()), pa.array([_least(x[at]).tobytes() for _, at, x in own], pa.binary())]
 
 
-def _tally(least: tuple[int, int]):
+def _tally():
     """key, text -> the task's counts of words by bucket."""
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed()
         total = np.zeros(RARITY, np.int64)
         for batch in batches:
             for _, _, data, bounds in text_steps(batch.column(1)):
-                total += np.bincount((Lines(data, bounds, least).word >> U64(46)).astype(np.int64), minlength=RARITY)
+                np.add.at(total, (solid_words(data, bounds)[2] >> U64(46)).astype(np.int64), 1)
         yield pa.RecordBatch.from_arrays(_parts(total), ["part", "spots", "counts"])
 
     return run
@@ -194,6 +210,7 @@ def _survey(rarity: np.ndarray, least: tuple[int, int]):
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed()
         total, seen = np.zeros(HELD, np.int64), _Seen()
         names = ["kind", "key", "lines", "short", "a", "b", "c", "spots", "counts"]
         for batch in batches:
@@ -205,8 +222,7 @@ def _survey(rarity: np.ndarray, least: tuple[int, int]):
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(hi - lo, np.int32)), batch.column(0).slice(lo, hi - lo), pa.array(f.per_text.astype(np.int32)), pa.array(f.short.astype(np.int32)), *lists, *[pa.nulls(hi - lo, pa.binary())] * 2], names)
                 if fresh := seen.fresh(keys[0]):
                     f = f.some(fresh)
-                    member, (_, at) = f.members(rarity), f.prefixes()
-                    total += np.bincount((member[at] >> U64(48)).astype(np.int64), minlength=HELD)
+                    np.add.at(total, (f.ranked(rarity)[f.prefixes()[0]] >> U64(48)).astype(np.int64), 1)
         part, spots, counts = _parts(total)
         n = len(part)
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), part, *[pa.nulls(n, pa.int32())] * 2, *[pa.nulls(n, pa.list_(pa.int64()))] * 3, spots, counts], names)
@@ -220,29 +236,30 @@ def _parities(member: np.ndarray, start: np.ndarray) -> np.ndarray:
     return np.stack([np.bitwise_xor.reduceat(np.where(at == k, one, U64(0)), start[:-1]) for k in range(4)], 1)
 
 
-def _halved(parities: np.ndarray) -> np.ndarray:
-    return parities[:, :2] ^ parities[:, 2:]
-
-
-def _prefixes(rarity: np.ndarray, blocks: np.ndarray, groups: int, least: tuple[int, int], wanted: KeyFilter | None = None):
-    """rarity: each bucket's place in the order; blocks: into how many a bucket's members are dealt; wanted: the only members dealt out."""
+def _prefixes(rarity: np.ndarray, blocks: np.ndarray, groups: int, least: tuple[int, int], wanted: KeyFilter | None = None, aged: bool = True):
+    """rarity: each bucket's rank; blocks: into how many a bucket's members are dealt; wanted: the only members dealt out; aged: with documents' ages."""
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: list[tuple] = []  # of entries: group, token, line, place in it, mark
+        owners: list[tuple] = []  # of lines: key, parities, age, size
         seen = _Seen()
-        n = 0
+        n = lines = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+            group, token, line, spot, mark = (np.concatenate(x) for x in zip(*held, strict=True))
+            keys, bits, when, size = (np.concatenate(x) for x in zip(*owners, strict=True))
             held.clear()
-            order = np.argsort(columns[0], kind="stable")
-            group, token, key, bits, when, size, spot, mark = (x[order] for x in columns)
-            cut = np.searchsorted(group, np.arange(groups + 1))
+            owners.clear()
+            order = np.argsort(group, kind="stable")
+            line = line[order]
+            cut = np.searchsorted(group[order], np.arange(groups + 1))
             some = np.flatnonzero(np.diff(cut))
             own = [slice(cut[g], cut[g + 1]) for g in some]
+            token, key, half, size, spot, mark = token[order], keys[line], (bits[:, :2] ^ bits[:, 2:])[line], size[line], spot[order], mark[order]
+            long, more, when = size > LONG, np.ascontiguousarray(bits[:, 2:]), when[line] if aged else None
             pack = [[f(k).tobytes() for k in own] for f in (
-                lambda k: token[k], lambda k: key[k], lambda k: _halved(bits[k]), lambda k: bits[k][size[k] > LONG][:, 2:], lambda k: when[k],
+                lambda k: token[k], lambda k: key[k], lambda k: half[k], lambda k: more[line[k][long[k]]], lambda k: when[k] if aged else _NONE,
                 lambda k: _least(size[k]), lambda k: _least(spot[k]), lambda k: mark[k])]
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *(pa.array(x, pa.binary()) for x in pack)], ["group", *PLAIN, *SHORT])
 
@@ -251,19 +268,20 @@ def _prefixes(rarity: np.ndarray, blocks: np.ndarray, groups: int, least: tuple[
                 f = Lines(data, bounds, least)
                 age = np.clip(batch.column(0).slice(lo, hi - lo).to_numpy(), 0, 2**32 - 1).astype(np.uint32)
                 # The task's repeats of a line go here, so a line that is everywhere leaves each task a few times at most.
-                keys = f.keys()[0]
+                keys = f.key()
                 if not (fresh := seen.fresh(keys)):
                     continue
                 f, keys = f.some(fresh), keys[fresh]
-                member = f.members(rarity)
-                bits, size = _parities(member, f.start), f.count
-                spot, at = f.prefixes()
+                member, size = f.ranked(rarity), f.count
+                owners.append((keys, _parities(member, f.start), age[f.text], size))
+                at, line, spot = f.prefixes()
+                member = member[at]
                 if wanted is not None:
-                    at = at[wanted(member[at].view(np.int64))]
-                line, spot, member = np.repeat(np.arange(len(size)), size)[at], spot[at], member[at]
+                    at = np.flatnonzero(wanted(member.view(np.int64)))
+                    line, spot, member = line[at], spot[at], member[at]
                 index = spot < (size - (6 * size + 6) // 7 + 1)[line]
-                key, many = keys[line], blocks[(member >> U64(48)).astype(np.int64)]
-                own = (key.view(U64) % many.astype(U64)).astype(np.int64)
+                many = blocks[(member >> U64(48)).astype(np.int64)]
+                own = (keys[line].view(U64) % many.astype(U64)).astype(np.int64)
                 for block in range(int(many.max(initial=1))):
                     # An entry goes to the cell of its own block and to one with each other block; mark: its side there, 2 if it is alone.
                     k = np.flatnonzero(many > block)
@@ -271,11 +289,12 @@ def _prefixes(rarity: np.ndarray, blocks: np.ndarray, groups: int, least: tuple[
                     token = mix64(member[k] + (low * 0x10001 + high * 0x10000003).astype(U64) * _ODD)
                     side = np.where(low == high, 2, (own[k] == high).astype(np.int64))
                     group = ((token >> U64(32)) % U64(groups)).astype(np.uint16 if groups < 1 << 16 else np.int64)
-                    held.append((group, token.astype(np.uint32), key[k], bits[line[k]], age[f.text[line[k]]], size[line[k]], spot[k], (side << 1 | index[k]).astype(np.uint8)))
+                    held.append((group, token.astype(np.uint32), line[k] + lines, spot[k], (side << 1 | index[k]).astype(np.uint8)))
                     n += len(k)
-                if n >= PACK:
+                lines += len(size)
+                if max(n, lines) >= PACK:
                     yield from flush()
-                    n = 0
+                    n = lines = 0
         if held:
             yield from flush()
 
@@ -323,42 +342,52 @@ def _candidates(asking: KeyFilter | None = None, every: bool = False):
         bits, long = bits.reshape(-1, 2), size > LONG
         wide = np.cumsum(long) - 1  # an entry's place in `more`
         more = more.reshape(-1, 2)
-        order = np.lexsort((key, size, token))
+        if size.max(initial=0) < 1 << 16:
+            order = np.argsort((token.astype(U64) << U64(32)) | (size.astype(U64) << U64(16)) | (key.view(U64) & U64(0xFFFF)))
+        else:
+            order = np.lexsort((key, size, token))
         t, k = token[order], key[order]
+        # Entries that other tasks have dealt out too go, but for rare ones, which meet themselves below.
         new = np.ones(len(t), bool)
         new[1:] = (t[1:] != t[:-1]) | (k[1:] != k[:-1])
-        alone = np.append(t[1:] != t[:-1], True) & np.concatenate([[True], t[1:] != t[:-1]])
-        order = order[new & ~alone]
-        token, key, size, bits, spot, long, wide, when, mark = (x[order] for x in (token, key, size, bits, spot, long, wide, when, mark))
+        last = np.append(t[1:] != t[:-1], True)
+        order = order[new & ~(last & np.concatenate([[True], last[:-1]])[: len(t)])]
+        token, key, size, bits, spot, wide, mark = (x[order] for x in (token, key, size.astype(np.int32), bits, spot.astype(np.int32), np.where(long, wide, -1), mark))
+        when = when[order] if len(when) else when
         asks = asking(key) if asking is not None else None
         known, code = np.unique(key, return_inverse=True)  # pairs are told by places among these
-        index, side = (mark & 1) == 1, mark >> 1
+        index, side, rest = (mark & 1) == 1, mark >> 1, size - spot
+        sided = bool((side != 2).any())
         # Of each member's lines, by size: a line meets those before it that are in the index and not too short.
-        place = (token.astype(np.int64) << 31) | np.minimum(size, (1 << 31) - 1)
+        place = (token.astype(np.int64) << 31) | size
         shorter = np.flatnonzero(index)
-        low = np.searchsorted(place[shorter], (token.astype(np.int64) << 31) | -(-3 * size // 4))
-        high = np.searchsorted(shorter, np.arange(len(token)))
+        low = np.searchsorted(place[shorter], (token.astype(np.int64) << 31) | -(-3 * size.astype(np.int64) // 4))
+        high = np.cumsum(index) - index
         many = np.maximum(high - low, 0)
         run = np.concatenate([[0], np.cumsum(many)])
         found, cut = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        rest_of, size_of = rest[shorter], size[shorter]
         lo = 0
         while lo < len(token):
             hi = max(lo + 1, int(np.searchsorted(run, run[lo] + STEP, "right")) - 1)
-            i = np.repeat(np.arange(lo, hi), many[lo:hi])
-            j = shorter[np.arange(len(i)) - np.repeat(run[lo:hi] - run[lo], many[lo:hi]) + np.repeat(low[lo:hi], many[lo:hi])]
-            ok = (7 * np.minimum(size[i] - spot[i], size[j] - spot[j]) >= 3 * (size[i] + size[j])) & ((side[i] == 2) | (side[i] != side[j]))
-            if asks is not None:
-                ok &= (asks[i] & (when[j] <= when[i])) | (asks[j] & (when[i] <= when[j]))
-            i, j = i[ok], j[ok]
-            both = size[i] + size[j]
-            apart = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)
-            ok = 7 * ((both - apart) // 2) >= 3 * both
+            step = many[lo:hi]
+            j = np.arange(run[lo], run[hi]) + np.repeat(low[lo:hi] - run[lo:hi], step)  # places in the index
+            both = np.repeat(size[lo:hi], step) + size_of[j]
+            ok = np.flatnonzero(7 * np.minimum(np.repeat(rest[lo:hi], step), rest_of[j]).astype(np.int64) >= 3 * both.astype(np.int64))
+            i, j, both = np.repeat(np.arange(lo, hi), step)[ok], shorter[j[ok]], both[ok]
+            if sided or asks is not None:
+                ok = (side[i] == 2) | (side[i] != side[j])
+                if asks is not None:
+                    ok &= (asks[i] & (when[j] <= when[i])) | (asks[j] & (when[i] <= when[j]))
+                i, j, both = i[ok], j[ok], both[ok]
+            apart = np.bitwise_count(bits[i, 0] ^ bits[j, 0]).astype(np.int32) + np.bitwise_count(bits[i, 1] ^ bits[j, 1])
+            ok = np.flatnonzero(7 * ((both - apart) // 2).astype(np.int64) >= 3 * both.astype(np.int64))
             i, j, both, apart = i[ok], j[ok], both[ok], apart[ok]
-            k = np.flatnonzero(long[i] & long[j])
+            k = np.flatnonzero(np.minimum(wide[i], wide[j]) >= 0)
             if len(k):
                 x, y = more[wide[i[k]]], more[wide[j[k]]]
                 apart[k] = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) + np.bitwise_count(x ^ bits[i[k]] ^ y ^ bits[j[k]]).sum(1, dtype=np.int64)
-                out = k[7 * ((both[k] - apart[k]) // 2) < 3 * both[k]]
+                out = k[7 * ((both[k] - apart[k]) // 2).astype(np.int64) < 3 * both[k].astype(np.int64)]
                 i, j, both, apart = (np.delete(x, out) for x in (i, j, both, apart))
             if asks is None and not every and len(i):
                 late = (when[i] > when[j]) | ((when[i] == when[j]) & (key[i] > key[j]))
@@ -369,12 +398,15 @@ def _candidates(asking: KeyFilter | None = None, every: bool = False):
                 cut.append(np.unique(np.concatenate([key[i[~tried]], key[j[~tried]]])))
                 i, j = i[tried], j[tried]
             i, j = code[i], code[j]
-            found.append(np.unique(np.maximum(i, j) * len(known) + np.minimum(i, j)))
+            i, j = i[i != j], j[i != j]
+            found.append(np.maximum(i, j) * len(known) + np.minimum(i, j))
             lo = hi
-        pairs, cut = np.unique(np.concatenate(found)), np.unique(np.concatenate(cut))
+        pairs, cut = np.sort(np.concatenate(found)), np.unique(np.concatenate(cut))
+        pairs = pairs[np.append(pairs[1:] != pairs[:-1], True)[: len(pairs)]]
         pairs = np.stack(np.divmod(pairs, max(1, len(known))), 1)
-        own, at = np.unique(pairs, return_inverse=True)
-        ids, at = known[own], at.reshape(-1, 2)
+        met = np.zeros(len(known), bool)
+        met[pairs] = True
+        ids, at = known[met], (np.cumsum(met) - 1)[pairs]
         pairs = known[pairs]
         root = ids[_reached(len(ids), at[:, 0], at[:, 1])]
         first = np.searchsorted(at[:, 0], np.arange(len(ids) + 1))
@@ -396,11 +428,11 @@ def _fetch(documents: KeyFilter, lines: KeyFilter, least: tuple[int, int]):
             key, text = batch.column(0).take(some).to_numpy(), batch.column(1).take(some)
             for lo, _, data, bounds in text_steps(text):
                 f = Lines(data, bounds, least)
-                keys = f.keys()[0]
+                keys = f.key()
                 own = np.flatnonzero(lines(keys))
                 if len(own):
                     f = f.some(own)
-                    member = f.members(np.zeros(RARITY, np.uint32))
+                    member = f.members()
                     sets = pa.array([np.sort(member[a:z]).tobytes() for a, z in zip(f.start[:-1], f.start[1:], strict=True)], pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(keys[own]), pa.array(key[lo + f.text]), pa.array(f.number), sets], ["id", "key", "line", "members"])
 
@@ -473,10 +505,10 @@ def _wanted_members(rarity: np.ndarray, asking: KeyFilter, least: tuple[int, int
         for batch in batches:
             for _, _, data, bounds in text_steps(batch.column(1)):
                 f = Lines(data, bounds, least)
-                own = np.flatnonzero(asking(f.keys()[0]))
+                own = np.flatnonzero(asking(f.key()))
                 if len(own):
                     f = f.some(own)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.unique(f.members(rarity)[f.prefixes()[1]]).view(np.int64))], ["member"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.unique(f.ranked(rarity)[f.prefixes()[0]]).view(np.int64))], ["member"])
 
     return run
 
@@ -497,11 +529,13 @@ def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*out, lows, pa.array(np.concatenate([ahead[3], back[3]]))], ["id", "many", "root", "low", "block"])
 
 
-def _verified(plain: DataFrame, firsts: DataFrame, found: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """(id, links, gone, root) for lines that have links among the candidates `found`; an id may come several times."""
+def _verified(plain: DataFrame, classes: DataFrame, found: DataFrame, least: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """(id, links, gone, root) for lines that have links among the candidates `found`; an id may come several times. And the sets of
+    equal lines (id, b, first, n) of all candidates."""
     comps = components.components(found.where("root is not null").select("a", F.col("root").alias("b")))
     sizes = comps.groupBy("root").agg(F.ceil(F.count("*") / CELL).alias("many"))
-    placed = comps.join(sizes, "root").join(firsts.withColumnRenamed("a", "id"), "id").select("id", "root", "many", F.col("first.key").alias("first_key"), F.col("first.line").alias("first_line"))
+    held = materialize(comps.join(sizes, "root").join(classes.withColumnRenamed("a", "id"), "id"), "held")
+    placed = held.groupBy("id", "root", "many").agg(F.min("first").alias("first")).select("id", "root", "many", F.col("first.key").alias("first_key"), F.col("first.line").alias("first_line"))
     placed = materialize(placed, "placed")
     cells = max(1, -(-placed.count() // CELL))
     documents, lines = KeyFilter(placed.select("first_key").distinct()), KeyFilter(placed.select("id"))
@@ -525,18 +559,19 @@ def _verified(plain: DataFrame, firsts: DataFrame, found: DataFrame, least: tupl
     rows = sets.unionByName(lists).withColumn("whole", F.col("many") == 1)
     decided = materialize(rows.groupBy("whole", "cell", "x", "y").applyInArrow(_decided, DECIDED), "decided")
     discard(placed, met)
-    return decided
+    return decided, held.drop("root", "many")
 
 
 def line_tables(docs: DataFrame, key: str = "doc_id", text: str = "text", every: bool = False, least: tuple[int, int] = LEAST) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Documents (key, lines, short), lines (key, line, a, b), sets of equal lines (a, b, first, gone).
+    """Documents (key, lines, short), lines (key, line, a, b), sets of equal lines (a, b, first, gone): those of several lines or with
+    links (without `every`: with an earlier match).
 
     With `every`, these also have n (lines), links (to other sets) and root (first line that links and equal words reach).
     """
     prepare(docs.sparkSession)
     plain = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where("key is not null and text is not null")
-    rarity = np.empty(RARITY, np.uint32)
-    rarity[np.argsort(_table(plain.mapInArrow(_tally(least), TABLE), RARITY), kind="stable")] = np.arange(RARITY, dtype=np.uint32)
+    rarity = np.empty(RARITY, np.uint16)
+    rarity[np.argsort(_table(plain.mapInArrow(_tally(), TABLE), RARITY), kind="stable")] = np.arange(RARITY) * (1 << 16) // RARITY
     parts = materialize(plain.mapInArrow(_survey(rarity, least), PARTS), "lines")
     held = _table(parts.where("kind = 1").select(F.col("key").alias("part"), "spots", "counts"), HELD)
     # A bucket counts as hot by what it holds beyond a few times the mean.
@@ -545,33 +580,35 @@ def line_tables(docs: DataFrame, key: str = "doc_id", text: str = "text", every:
     packed = "group long, " + ", ".join(f"{c} binary" for c in (*PLAIN, *SHORT))
     lines = parts.where("kind = 0").select("key", F.inline(F.arrays_zip(F.col("a").alias("line"), F.col("b").alias("a"), F.col("c").alias("b"))))
     classes = materialize(lines.groupBy("a", "b").agg(F.min(F.struct("key", "line")).alias("first"), F.count("*").alias("n")), "classes")
-    firsts = classes.groupBy("a").agg(F.min("first").alias("first"))
 
     def candidates(members: KeyFilter | None = None, **how) -> DataFrame:
-        return materialize(plain.mapInArrow(_prefixes(rarity, blocks, groups, least, members), packed).groupBy("group").applyInArrow(_candidates(**how), FOUND), "found")
+        return materialize(plain.mapInArrow(_prefixes(rarity, blocks, groups, least, members, not how.get("every")), packed).groupBy("group").applyInArrow(_candidates(**how), FOUND), "found")
 
     gone = F.bool_or("gone").alias("gone")
     if every:
         found = candidates(every=True)
-        decided = _verified(plain, firsts, found, least)
+        decided, held = _verified(plain, classes, found, least)
         discard(found)
-        roots = materialize(components.components(decided.select(F.col("id").alias("a"), F.col("root").alias("b"))).join(firsts.withColumnRenamed("a", "id"), "id"), "roots")
-        least = roots.groupBy("root").agg(F.min("first").alias("place"))
-        roots = roots.join(least, "root").select(F.col("id").alias("a"), "place")
-        told = classes.join(decided.groupBy(F.col("id").alias("a")).agg(gone, F.sum("links").alias("links")), "a", "left").join(roots, "a", "left")
-        told = told.select("a", "b", "first", F.coalesce("gone", F.lit(False)).alias("gone"), "n", F.coalesce("links", F.lit(0).cast("long")).alias("links"), F.coalesce("place", "first").alias("root"))
+        firsts = held.groupBy("id").agg(F.min("first").alias("first"))
+        roots = materialize(components.components(decided.select(F.col("id").alias("a"), F.col("root").alias("b"))).join(firsts, "id"), "roots")
+        roots = roots.join(roots.groupBy("root").agg(F.min("first").alias("place")), "root").select("id", "place")
+        linked = materialize(decided.groupBy("id").agg(gone, F.sum("links").alias("links")).join(roots, "id"), "linked")
+        several = classes.where("n > 1").withColumnRenamed("a", "id").join(linked, "id", "left")
+        told = several.unionByName(held.where("n = 1").join(linked, "id"))
+        told = told.select(F.col("id").alias("a"), "b", "first", F.coalesce("gone", F.lit(False)).alias("gone"), "n", F.coalesce("links", F.lit(0).cast("long")).alias("links"), F.coalesce("place", "first").alias("root"))
         return parts.where("kind = 0").select("key", "lines", "short"), lines, materialize(told, "told")
 
     found = candidates()
-    out = _verified(plain, firsts, found, least).where("gone").select("id")
+    out = _verified(plain, classes, found, least)[0].where("gone").select("id")
     # Lines with pairs that weren't tried, and no earlier match so far: of these all pairs are tried.
     asking = materialize(found.where("root is null").select(F.col("a").alias("id")).distinct().join(out, "id", "left_anti"), "asking")
     if not asking.isEmpty():
         keys = KeyFilter(asking)
         members = KeyFilter(materialize(plain.mapInArrow(_wanted_members(rarity, keys, least), "member long").distinct(), "members"))
-        out = out.unionByName(_verified(plain, firsts, candidates(members, asking=keys), least).where("gone").select("id"))
+        out = out.unionByName(_verified(plain, classes, candidates(members, asking=keys), least)[0].where("gone").select("id"))
     told = classes.join(out.distinct().select(F.col("id").alias("a"), F.lit(True).alias("gone")), "a", "left")
-    return parts.where("kind = 0").select("key", "lines", "short"), lines, materialize(told.select("a", "b", "first", F.coalesce("gone", F.lit(False)).alias("gone")), "told")
+    told = told.where("gone or n > 1").select("a", "b", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
+    return parts.where("kind = 0").select("key", "lines", "short"), lines, materialize(told, "told")
 
 
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: tuple[int, int] = LEAST) -> DataFrame:

@@ -6,6 +6,8 @@ number for each byte times a power of an odd multiplier for its place, so one ru
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 MULTIPLIER = 0x9E3779B97F4A7C15
@@ -85,3 +87,43 @@ def words(data: np.ndarray, bounds: np.ndarray, of: np.ndarray = SOLID) -> tuple
     sums -= np.where(starts > 0, run[starts - 1], U64(0))
     hashes = mix64(sums * powers(INVERSE, n)[starts])
     return starts, ends, hashes, np.searchsorted(starts, bounds)
+
+
+_LOWER = bytes(c + 32 if 65 <= c < 91 else c for c in range(256))
+_KEPT = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+#: Bytes of a word that are hashed eight at a time for all words at once; a longer word is hashed by itself.
+CHUNKED = 64
+
+
+def solid_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of the words, cut at white space, of all texts. The hashes are others than those of `words`, found by a
+    few steps a word instead of a byte."""
+    n = len(data)
+    if not n:
+        empty = np.empty(0, np.int64)
+        return empty, empty, np.empty(0, U64)
+    raw = data.tobytes().translate(_LOWER) + bytes(8)
+    low = np.frombuffer(raw, np.uint8, n)
+    white = (low - np.uint8(9) < 5) | (low == 32)
+    edge = np.empty(n + 1, bool)
+    edge[0], edge[n] = not white[0], not white[-1]
+    np.not_equal(white[1:], white[:-1], out=edge[1:n])
+    at = np.flatnonzero(edge)
+    starts, ends = at[0::2], at[1::2]
+    cuts = bounds[1:-1]
+    cuts = cuts[(cuts > 0) & (cuts < n)]
+    inner = np.unique(cuts[~(white[cuts] | white[cuts - 1])])
+    if len(inner):  # a text ends in a word and the next begins with one
+        starts, ends = np.sort(np.concatenate([starts, inner])), np.sort(np.concatenate([ends, inner]))
+    size = ends - starts
+    eight = np.ndarray((n,), "<u8", raw, strides=(1,))  # the eight bytes from each byte on
+    hashes = mix64((eight[starts] & _KEPT[np.minimum(size, 8)]) + size.astype(U64) * U64(MULTIPLIER))
+    left = np.flatnonzero((size > 8) & (size <= CHUNKED))
+    for k in range(8, CHUNKED, 8):
+        left = left[size[left] > k]
+        if not len(left):
+            break
+        hashes[left] = mix64((hashes[left] ^ (eight[starts[left] + k] & _KEPT[np.minimum(size[left] - k, 8)])) + U64(MULTIPLIER))
+    for k in np.flatnonzero(size > CHUNKED).tolist():
+        hashes[k] = int.from_bytes(hashlib.blake2b(raw[starts[k] : ends[k]], digest_size=8).digest(), "little")
+    return starts, ends, hashes
