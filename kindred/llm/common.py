@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from kindred.llm.words import U64, mix64
 from kindred.plans.tables import kept as materialize
 
-__all__ = ["KeyFilter", "discard", "free_names", "frugal", "materialize", "prepare", "sample", "text_steps"]
+__all__ = ["KeyFilter", "discard", "free_names", "frugal", "keep_freed", "materialize", "one_file_a_task", "prepare", "sample", "text_steps"]
 #: Bytes of text that one numpy step works on; a longer single text is a step of its own.
 STEP_BYTES = 1 << 19
 #: Bits of the largest key filter: a broadcast of 32 MB.
@@ -29,6 +29,14 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
+def one_file_a_task(spark: SparkSession) -> None:
+    """Raises a number of shuffle partitions for which each task writes a file a partition (200, the default, is the last) to one for
+    which it writes one file. With few rows a task, opening the files is most of a shuffle's work."""
+    most = int(spark.conf.get("spark.shuffle.sort.bypassMergeThreshold", "200"))
+    if most // 2 <= int(spark.conf.get("spark.sql.shuffle.partitions")) <= most:
+        spark.conf.set("spark.sql.shuffle.partitions", str(most + 56))
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that materialize has written, when nothing reads them any more."""
     for df in tables:

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm import components
-from kindred.llm.common import KeyFilter, discard, frugal, keep_freed, materialize, prepare, text_steps
+from kindred.llm.common import KeyFilter, discard, frugal, keep_freed, materialize, one_file_a_task, prepare, text_steps
 from kindred.llm.words import U64, mix64, solid_words
 
 #: A line is looked at if it has so many words, or so many bytes besides white space: the parameter `least`.
@@ -439,14 +439,21 @@ def _fetch(documents: KeyFilter, lines: KeyFilter, least: tuple[int, int]):
     return run
 
 
-def similar(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
-    """Whether a sorted set and each of others have a Jaccard similarity of 3/4 or more."""
-    size = np.array([len(x) for x in others])
-    every = np.concatenate(others)
-    at = np.searchsorted(one, every)
-    at[at == len(one)] = 0
-    shared = np.add.reduceat(one[at] == every, np.concatenate([[0], np.cumsum(size)[:-1]]), dtype=np.int64)
-    return 4 * shared >= 3 * (len(one) + size - shared)
+def similar(sets: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
+    """Whether the sets of each of the pairs, sorted by the first of the two, have a Jaccard similarity of 3/4 or more."""
+    size = np.array([len(x) for x in sets], np.int64)
+    known, code = np.unique(np.concatenate(sets), return_inverse=True) if sets else (_NONE, _NONE)
+    code, end = code.astype(np.int32), np.cumsum(size)
+    coded = [code[z - n : z] for n, z in zip(size.tolist(), end.tolist(), strict=True)]
+    cut = np.searchsorted(pairs[:, 0], np.arange(len(sets) + 1))
+    shared, own = np.zeros(len(pairs), np.int64), np.zeros(len(known), bool)
+    for k in np.flatnonzero(np.diff(cut)).tolist():
+        others = pairs[cut[k] : cut[k + 1], 1]
+        own[coded[k]] = True
+        first = np.cumsum(size[others]) - size[others]
+        shared[cut[k] : cut[k + 1]] = np.add.reduceat(own[np.concatenate([coded[j] for j in others.tolist()])], first, dtype=np.int64)
+        own[coded[k]] = False
+    return 4 * shared >= 3 * (size[pairs].sum(1) - shared)
 
 
 DECIDED = "id long, links long, gone boolean, root long"
@@ -482,11 +489,7 @@ def _decided(table: pa.Table) -> pa.Table:
         spot = spot[spot != own]
         pairs.append(np.maximum(spot, own) * len(lines) + np.minimum(spot, own))
     at = np.stack(np.divmod(np.unique(np.concatenate(pairs)), max(1, len(lines))), 1)
-    cut = np.searchsorted(at[:, 0], np.arange(len(lines) + 1))
-    ok = np.zeros(len(at), bool)
-    for k in np.flatnonzero(np.diff(cut)).tolist():
-        own = slice(cut[k], cut[k + 1])
-        ok[own] = similar(sets[k], [sets[j] for j in at[own, 1].tolist()])
+    ok = similar(sets, at)
     i, j = at[ok, 0], at[ok, 1]
     links = np.bincount(np.concatenate([i, j]), minlength=len(lines))
     late = (age[i, 0] > age[j, 0]) | ((age[i, 0] == age[j, 0]) & (age[i, 1] > age[j, 1]))
@@ -569,6 +572,7 @@ def line_tables(docs: DataFrame, key: str = "doc_id", text: str = "text", every:
     With `every`, these also have n (lines), links (to other sets) and root (first line that links and equal words reach).
     """
     prepare(docs.sparkSession)
+    one_file_a_task(docs.sparkSession)
     plain = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where("key is not null and text is not null")
     rarity = np.empty(RARITY, np.uint16)
     rarity[np.argsort(_table(plain.mapInArrow(_tally(), TABLE), RARITY), kind="stable")] = np.arange(RARITY) * (1 << 16) // RARITY
