@@ -539,3 +539,41 @@ def test_links_and_classes_of_near_lines(spark, monkeypatch, small):
     assert max(links.values()) > 60
     for r in linedup.line_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect():
         assert (r.n_links, r.class_ids) == (links[r.doc_id], ",".join(x for _, x in sorted(told[r.doc_id])))
+
+
+def test_words_hashed_by_the_word():
+    import numpy as np
+
+    from kindred.llm.words import solid_words
+
+    texts = [b"The cat  THE", b"tHe", b"", b"\tinternationalizations x\n" + b"y" * 70, b"y" * 70 + b" " + b"Y" * 71, b"", b"a\x00 a"]
+    bounds = np.cumsum([0, *map(len, texts)])
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    starts, ends, hashes = solid_words(data, bounds)
+    found = [data[a:z].tobytes().lower() for a, z in zip(starts, ends, strict=True)]
+    assert found == [w.lower() for t in texts for w in t.split()]
+    assert len(set(found)) == len(set(hashes.tolist())) == len(set(zip(found, hashes.tolist(), strict=True)))
+
+
+def test_only_sets_of_several_lines_or_with_links_are_joined_back(spark):
+    words = [f"w{k}" for k in range(10)]
+    texts = [" ".join(words), " ".join([*words, "more"]), "this line is found here once only", "one two three four five six", "six five four three two one"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for every in (True, False):
+        told = linedup.line_tables(df, every=every)[2].collect()
+        assert sorted((r.first.key, r.gone) for r in told) == ([(0, False), (1, True), (3, False)] if every else [(1, True), (3, False)])
+    report = {r.doc_id: (r.n_removed, r.n_near, r.n_links, r.class_ids) for r in linedup.line_report(df).collect()}
+    assert report == {0: (0, 0, 1, "0=0:0"), 1: (1, 1, 1, "0=0:0"), 2: (0, 0, 0, ""), 3: (0, 0, 0, "0=3:0"), 4: (1, 0, 0, "0=3:0")}
+
+
+def test_a_shuffle_of_default_partitions_writes_one_file_a_task(spark):
+    from kindred.llm.common import one_file_a_task
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n, want in (("4", "4"), ("200", "256"), ("2000", "2000")):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            one_file_a_task(spark)
+            assert spark.conf.get("spark.sql.shuffle.partitions") == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
