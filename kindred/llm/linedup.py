@@ -8,7 +8,8 @@ counted: they repeat in clean texts by chance; with least=(1, 1) they are treate
 Equal sets are found by a 128-bit hash of the set. For the rest, members are ordered by rarity: by the count, over all
 documents, of their word's bucket (a table of RARITY sums, whatever the corpus), then by hash. A pair that matches shares a member
 among the first n - ceil(3n/4) + 1 of the longer line and the first m - ceil(6m/7) + 1 of the shorter, so only these prefixes are
-dealt out, by member, packed as arrays. There a pair must pass the length filter, the positional filter and a bound on the
+dealt out, by member, packed as arrays, and in several rounds, so that but a part of them is on disk at once; a table holds the
+prefixes meanwhile, so texts aren't read for each round. There a pair must pass the length filter, the positional filter and a bound on the
 overlap from 128 parities, 256 for long lines (of the members by hash; sets differ in as many members at least as parities), all
 of which lose no match. Members that very many prefixes hold, as counted over all documents, are dealt out in blocks that meet
 two by two, so no group of prefixes is large.
@@ -33,6 +34,7 @@ together; ties don't arise, as key and number order all lines. Empty tables give
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +51,8 @@ LEAST = (5, 16)
 RARITY, HELD, PART = 1 << 18, 1 << 16, 1 << 12
 #: Prefix members of a block of a hot member, and of a group of prefixes, that are aimed at; the least number of groups.
 BLOCK, GROUP, GROUPS = 100_000, 1_000_000, 64
+#: Prefix members that a round deals out at least, and the rounds for all lines' prefixes at most; copies of hot members take more.
+ROUND, ROUNDS = 1 << 21, 4
 #: Lines of a cell in which candidates are verified.
 CELL = 2048
 #: Prefix members that a task packs at once; pairs that numpy looks at together.
@@ -66,11 +70,17 @@ SHORT = ("size", "spot", "mark")
 FIRST = 2
 
 
+def _prefix(size: np.ndarray) -> np.ndarray:
+    """The members of the prefixes of lines of so many."""
+    return size - (3 * size + 3) // 4 + 1
+
+
 class Lines:
     """The lines of texts that are looked at: their text, number, and words (as hashes, a line's together)."""
 
     def __init__(self, data: np.ndarray, bounds: np.ndarray, least: tuple[int, int] = LEAST):
         starts, ends, hashes = solid_words(data, bounds)
+        self.words = hashes  # also of lines that aren't looked at
         feeds = np.flatnonzero(data == 10)
         # A line's number is the count of line feeds before it in its text. Empty lines that begin where another does have no words.
         begin = np.unique(np.concatenate([bounds[:-1], feeds + 1]))
@@ -123,17 +133,17 @@ class Lines:
         first = np.flatnonzero(new)
         return (np.arange(len(word)) - np.repeat(first, np.diff(np.append(first, len(word))))).astype(U64)
 
-    def ranked(self, rarity: np.ndarray) -> np.ndarray:
-        """Members line by line, the rarest first, by rank and 16 bits of the word. Words that agree in both count as one here, so lines
-        may seem to share more than they do, never less."""
+    def ranked(self, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Members line by line, the rarest first: rank and 16 bits of the word, and its times before. Words that agree in both count as
+        one here, so lines may seem to share more than they do, never less."""
         rank, low = rarity[(self.word >> U64(46)).astype(np.int64)], self.word.astype(np.uint16)
         order = np.lexsort((low, rank, self.line.astype(np.uint16) if len(self.count) < 1 << 16 else self.line))
         word = ((rank.astype(np.uint32) << np.uint32(16)) | low)[order]
-        return mix64(word.astype(U64) + self._times(word) * _ODD)
+        return word, self._times(word)
 
     def prefixes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the members of the prefixes: their places among all, their lines, and their places in these."""
-        n = self.count - (3 * self.count + 3) // 4 + 1
+        n = _prefix(self.count)
         line, total = np.repeat(np.arange(len(n)), n), np.concatenate([[0], np.cumsum(n)])
         spot = np.arange(total[-1]) - total[line]
         return self.start[line] + spot, line, spot
@@ -141,6 +151,8 @@ class Lines:
 
 TABLE = "part long, spots binary, counts binary"
 PARTS = "kind int, key long, lines int, short int, a array<long>, b array<long>, c array<long>, spots binary, counts binary"
+BEGUN_NAMES = ["part", "keys", "age", "half", "more", "size", "words", "times", "spots", "counts"]
+BEGUN = "part long, " + ", ".join(f"{c} binary" for c in BEGUN_NAMES[1:])
 FOUND = "a long, root long, others binary"
 
 
@@ -160,21 +172,6 @@ def _parts(total: np.ndarray) -> list[pa.Array]:
     return [pa.array([k for k, _, _ in own], pa.int64()), pa.array([at.astype(np.uint16).tobytes() for _, at, _ in own], pa.binary()), pa.array([_least(x[at]).tobytes() for _, at, x in own], pa.binary())]
 
 
-def _tally():
-    """key, text -> the task's counts of words by bucket."""
-
-    @frugal
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep_freed()
-        total = np.zeros(RARITY, np.int64)
-        for batch in batches:
-            for _, _, data, bounds in text_steps(batch.column(1)):
-                np.add.at(total, (solid_words(data, bounds)[2] >> U64(46)).astype(np.int64), 1)
-        yield pa.RecordBatch.from_arrays(_parts(total), ["part", "spots", "counts"])
-
-    return run
-
-
 @frugal
 def _added(table: pa.Table) -> pa.Table:
     total = np.zeros(PART, np.int64)
@@ -205,24 +202,21 @@ class _Seen:
         return [k for k, key in enumerate(keys.tolist()) if key not in self.keys and not self.keys.add(key)]
 
 
-def _survey(rarity: np.ndarray, least: tuple[int, int]):
-    """key, text -> kind 0: a document's lines (numbers, two halves of keys); kind 1: the task's counts of prefix members by bucket."""
+def _survey(least: tuple[int, int]):
+    """key, text -> kind 0: a document's lines (numbers, two halves of keys); kind 1: the task's counts of words by bucket."""
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_freed()
-        total, seen = np.zeros(HELD, np.int64), _Seen()
+        total = np.zeros(RARITY, np.int64)
         names = ["kind", "key", "lines", "short", "a", "b", "c", "spots", "counts"]
         for batch in batches:
             for lo, hi, data, bounds in text_steps(batch.column(1)):
                 f = Lines(data, bounds, least)
+                np.add.at(total, (f.words >> U64(46)).astype(np.int64), 1)
                 cut = np.searchsorted(f.text, np.arange(hi - lo + 1)).astype(np.int32)
-                keys = f.keys()
-                lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(x.astype(np.int64))) for x in (f.number, *keys)]
+                lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(x.astype(np.int64))) for x in (f.number, *f.keys())]
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(hi - lo, np.int32)), batch.column(0).slice(lo, hi - lo), pa.array(f.per_text.astype(np.int32)), pa.array(f.short.astype(np.int32)), *lists, *[pa.nulls(hi - lo, pa.binary())] * 2], names)
-                if fresh := seen.fresh(keys[0]):
-                    f = f.some(fresh)
-                    np.add.at(total, (f.ranked(rarity)[f.prefixes()[0]] >> U64(48)).astype(np.int64), 1)
         part, spots, counts = _parts(total)
         n = len(part)
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), part, *[pa.nulls(n, pa.int32())] * 2, *[pa.nulls(n, pa.list_(pa.int64()))] * 3, spots, counts], names)
@@ -230,25 +224,72 @@ def _survey(rarity: np.ndarray, least: tuple[int, int]):
     return run
 
 
+def _mixed(word: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The members that Lines.ranked tells of, as 64 bits."""
+    return mix64(word.astype(U64) + times.astype(U64) * _ODD)
+
+
 def _parities(member: np.ndarray, start: np.ndarray) -> np.ndarray:
     """256 parities of each line's members, as four words."""
     one, at = U64(1) << (member & U64(63)), (member >> U64(6)) & U64(3)
     return np.stack([np.bitwise_xor.reduceat(np.where(at == k, one, U64(0)), start[:-1]) for k in range(4)], 1)
 
 
-def _prefixes(rarity: np.ndarray, blocks: np.ndarray, groups: int, least: tuple[int, int], wanted: KeyFilter | None = None, aged: bool = True):
-    """rarity: each bucket's rank; blocks: into how many a bucket's members are dealt; wanted: the only members dealt out; aged: with documents' ages."""
+def _begun(rarity: np.ndarray, least: tuple[int, int]):
+    """rarity: each bucket's rank. key, text -> runs of lines, packed: keys, ages (documents' keys), parities, sizes, and the members of
+    their prefixes; with a part number, the task's counts of these by bucket."""
+
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed()
+        total, seen = np.zeros(HELD, np.int64), _Seen()
+        for batch in batches:
+            for lo, hi, data, bounds in text_steps(batch.column(1)):
+                f = Lines(data, bounds, least)
+                # The task's repeats of a line go here, so a line that is everywhere leaves each task a few times at most.
+                keys = f.key()
+                if not (fresh := seen.fresh(keys)):
+                    continue
+                f, keys = f.some(fresh), keys[fresh]
+                word, times = f.ranked(rarity)
+                member, at = _mixed(word, times), f.prefixes()[0]
+                np.add.at(total, (member[at] >> U64(48)).astype(np.int64), 1)
+                bits, long = _parities(member, f.start), f.count > LONG
+                age = np.clip(batch.column(0).slice(lo, hi - lo).to_numpy(), 0, 2**32 - 1).astype(np.uint32)
+                pack = (keys, age[f.text], bits[:, :2] ^ bits[:, 2:], bits[long, 2:], _least(f.count), word[at], _least(times[at]))
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in pack), *[pa.nulls(1, pa.binary())] * 2], BEGUN_NAMES)
+        part, spots, counts = _parts(total)
+        yield pa.RecordBatch.from_arrays([part, *[pa.nulls(len(part), pa.binary())] * (len(BEGUN_NAMES) - 3), spots, counts], BEGUN_NAMES)
+
+    return run
+
+
+def _run_of(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, ...]:
+    """Of a run of lines that _begun has packed: keys, ages, 128 parities, 128 more (0 for lines that aren't long), sizes, and their prefixes'
+    members, with lines and places in these."""
+    data = [batch.column(name)[k].as_buffer() for name in BEGUN_NAMES[1:-2]]
+    keys, age, half = (np.frombuffer(x, kind) for x, kind in zip(data, (np.int64, np.uint32, U64), strict=False))
+    size, word = _counts(data[4], len(keys)), np.frombuffer(data[5], np.uint32)
+    more = np.zeros((len(keys), 2), U64)
+    more[size > LONG] = np.frombuffer(data[3], U64).reshape(-1, 2)
+    n = _prefix(size)
+    line = np.repeat(np.arange(len(n)), n)
+    return keys, age, half.reshape(-1, 2), more, size, _mixed(word, _counts(data[6], len(word))), line, np.arange(len(word)) - (np.cumsum(n) - n)[line]
+
+
+def _prefixes(blocks: np.ndarray, groups: int, part: int = 0, rounds: int = 1, wanted: KeyFilter | None = None, aged: bool = True):
+    """blocks: into how many a bucket's members are dealt; part, rounds: only the groups of this round; wanted: the only members dealt
+    out; aged: with documents' ages."""
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # of entries: group, token, line, place in it, mark
         owners: list[tuple] = []  # of lines: key, parities, age, size
-        seen = _Seen()
         n = lines = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             group, token, line, spot, mark = (np.concatenate(x) for x in zip(*held, strict=True))
-            keys, bits, when, size = (np.concatenate(x) for x in zip(*owners, strict=True))
+            keys, half, more, when, size = (np.concatenate(x) for x in zip(*owners, strict=True))
             held.clear()
             owners.clear()
             order = np.argsort(group, kind="stable")
@@ -256,26 +297,16 @@ def _prefixes(rarity: np.ndarray, blocks: np.ndarray, groups: int, least: tuple[
             cut = np.searchsorted(group[order], np.arange(groups + 1))
             some = np.flatnonzero(np.diff(cut))
             own = [slice(cut[g], cut[g + 1]) for g in some]
-            token, key, half, size, spot, mark = token[order], keys[line], (bits[:, :2] ^ bits[:, 2:])[line], size[line], spot[order], mark[order]
-            long, more, when = size > LONG, np.ascontiguousarray(bits[:, 2:]), when[line] if aged else None
+            token, key, half, size, spot, mark = token[order], keys[line], half[line], size[line], spot[order], mark[order]
+            long, when = size > LONG, when[line] if aged else None
             pack = [[f(k).tobytes() for k in own] for f in (
                 lambda k: token[k], lambda k: key[k], lambda k: half[k], lambda k: more[line[k][long[k]]], lambda k: when[k] if aged else _NONE,
                 lambda k: _least(size[k]), lambda k: _least(spot[k]), lambda k: mark[k])]
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *(pa.array(x, pa.binary()) for x in pack)], ["group", *PLAIN, *SHORT])
 
         for batch in batches:
-            for lo, hi, data, bounds in text_steps(batch.column(1)):
-                f = Lines(data, bounds, least)
-                age = np.clip(batch.column(0).slice(lo, hi - lo).to_numpy(), 0, 2**32 - 1).astype(np.uint32)
-                # The task's repeats of a line go here, so a line that is everywhere leaves each task a few times at most.
-                keys = f.key()
-                if not (fresh := seen.fresh(keys)):
-                    continue
-                f, keys = f.some(fresh), keys[fresh]
-                member, size = f.ranked(rarity), f.count
-                owners.append((keys, _parities(member, f.start), age[f.text], size))
-                at, line, spot = f.prefixes()
-                member = member[at]
+            for row in range(batch.num_rows):
+                keys, age, half, more, size, member, line, spot = _run_of(batch, row)
                 if wanted is not None:
                     at = np.flatnonzero(wanted(member.view(np.int64)))
                     line, spot, member = line[at], spot[at], member[at]
@@ -287,10 +318,14 @@ def _prefixes(rarity: np.ndarray, blocks: np.ndarray, groups: int, least: tuple[
                     k = np.flatnonzero(many > block)
                     low, high = np.minimum(own[k], block), np.maximum(own[k], block)
                     token = mix64(member[k] + (low * 0x10001 + high * 0x10000003).astype(U64) * _ODD)
-                    side = np.where(low == high, 2, (own[k] == high).astype(np.int64))
                     group = ((token >> U64(32)) % U64(groups)).astype(np.uint16 if groups < 1 << 16 else np.int64)
+                    if rounds > 1:
+                        at = np.flatnonzero(group % rounds == part)
+                        k, low, high, token, group = k[at], low[at], high[at], token[at], group[at]
+                    side = np.where(low == high, 2, (own[k] == high).astype(np.int64))
                     held.append((group, token.astype(np.uint32), line[k] + lines, spot[k], (side << 1 | index[k]).astype(np.uint8)))
                     n += len(k)
+                owners.append((keys, half, more, age, size))
                 lines += len(size)
                 if max(n, lines) >= PACK:
                     yield from flush()
@@ -500,18 +535,17 @@ def _decided(table: pa.Table) -> pa.Table:
     return pa.table({"id": pa.array(lines[some]), "links": pa.array(links[some]), "gone": pa.array(gone[some]), "root": pa.array(root[some])})
 
 
-def _wanted_members(rarity: np.ndarray, asking: KeyFilter, least: tuple[int, int]):
-    """key, text -> the members of the prefixes of lines that are asking."""
+def _wanted_members(asking: KeyFilter):
+    """Runs of lines -> the members of the prefixes of lines that are asking."""
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, bounds in text_steps(batch.column(1)):
-                f = Lines(data, bounds, least)
-                own = np.flatnonzero(asking(f.key()))
-                if len(own):
-                    f = f.some(own)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.unique(f.ranked(rarity)[f.prefixes()[0]]).view(np.int64))], ["member"])
+            for k in range(batch.num_rows):
+                keys, *_, member, line, _ = _run_of(batch, k)
+                member = member[asking(keys)[line]]
+                if len(member):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.unique(member).view(np.int64))], ["member"])
 
     return run
 
@@ -574,23 +608,29 @@ def line_tables(docs: DataFrame, key: str = "doc_id", text: str = "text", every:
     prepare(docs.sparkSession)
     one_file_a_task(docs.sparkSession)
     plain = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where("key is not null and text is not null")
+    parts = materialize(plain.mapInArrow(_survey(least), PARTS), "lines")
     rarity = np.empty(RARITY, np.uint16)
-    rarity[np.argsort(_table(plain.mapInArrow(_tally(), TABLE), RARITY), kind="stable")] = np.arange(RARITY) * (1 << 16) // RARITY
-    parts = materialize(plain.mapInArrow(_survey(rarity, least), PARTS), "lines")
-    held = _table(parts.where("kind = 1").select(F.col("key").alias("part"), "spots", "counts"), HELD)
+    rarity[np.argsort(_table(parts.where("kind = 1").select(F.col("key").alias("part"), "spots", "counts"), RARITY), kind="stable")] = np.arange(RARITY) * (1 << 16) // RARITY
+    lines = parts.where("kind = 0").select("key", F.inline(F.arrays_zip(F.col("a").alias("line"), F.col("b").alias("a"), F.col("c").alias("b"))))
+    classes = materialize(lines.groupBy("a", "b").agg(F.min(F.struct("key", "line")).alias("first"), F.count("*").alias("n")), "classes")
+    begun = materialize(plain.mapInArrow(_begun(rarity, least), BEGUN), "begun")
+    held = _table(begun.where("part is not null").select("part", "spots", "counts"), HELD)
+    runs = begun.where("part is null")
     # A bucket counts as hot by what it holds beyond a few times the mean.
     blocks = 1 + np.maximum(0, held - 4 * held.sum() // HELD) // BLOCK
-    groups = int(max(GROUPS, (held * blocks).sum() // GROUP))
+    dealt = int((held * blocks).sum())
+    groups = max(GROUPS, dealt // GROUP)
+    rounds = max(1, min(-(-dealt // ROUND), -(-ROUNDS * dealt // max(1, int(held.sum()))), groups))
     packed = "group long, " + ", ".join(f"{c} binary" for c in (*PLAIN, *SHORT))
-    lines = parts.where("kind = 0").select("key", F.inline(F.arrays_zip(F.col("a").alias("line"), F.col("b").alias("a"), F.col("c").alias("b"))))
-    classes = materialize(lines.groupBy("a", "b").agg(F.min(F.struct("key", "line")).alias("first"), F.count("*").alias("n")), "classes")
 
     def candidates(members: KeyFilter | None = None, **how) -> DataFrame:
-        return materialize(plain.mapInArrow(_prefixes(rarity, blocks, groups, least, members, not how.get("every")), packed).groupBy("group").applyInArrow(_candidates(**how), FOUND), "found")
+        some = [runs.mapInArrow(_prefixes(blocks, groups, k, rounds, members, not how.get("every")), packed).groupBy("group").applyInArrow(_candidates(**how), FOUND) for k in range(rounds)]
+        return reduce(DataFrame.unionByName, [materialize(x, "found") for x in some])
 
     gone = F.bool_or("gone").alias("gone")
     if every:
         found = candidates(every=True)
+        discard(begun)
         decided, held = _verified(plain, classes, found, least)
         discard(found)
         firsts = held.groupBy("id").agg(F.min("first").alias("first"))
@@ -608,8 +648,9 @@ def line_tables(docs: DataFrame, key: str = "doc_id", text: str = "text", every:
     asking = materialize(found.where("root is null").select(F.col("a").alias("id")).distinct().join(out, "id", "left_anti"), "asking")
     if not asking.isEmpty():
         keys = KeyFilter(asking)
-        members = KeyFilter(materialize(plain.mapInArrow(_wanted_members(rarity, keys, least), "member long").distinct(), "members"))
+        members = KeyFilter(materialize(runs.mapInArrow(_wanted_members(keys), "member long").distinct(), "members"))
         out = out.unionByName(_verified(plain, classes, candidates(members, asking=keys), least)[0].where("gone").select("id"))
+    discard(begun)
     told = classes.join(out.distinct().select(F.col("id").alias("a"), F.lit(True).alias("gone")), "a", "left")
     told = told.where("gone or n > 1").select("a", "b", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
     return parts.where("kind = 0").select("key", "lines", "short"), lines, materialize(told, "told")

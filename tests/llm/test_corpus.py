@@ -3,6 +3,7 @@
 import collections
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -577,3 +578,40 @@ def test_a_shuffle_of_default_partitions_writes_one_file_a_task(spark):
             assert spark.conf.get("spark.sql.shuffle.partitions") == want
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("block", [linedup.BLOCK, 20])
+def test_prefixes_are_dealt_out_in_rounds(spark, documents, monkeypatch, block):
+    """A round has a part of the prefixes on disk; all rounds together find what one does, also if members are dealt into blocks."""
+    rng, base = random.Random(8), [f"w{k}" for k in range(40)]
+    rows = [(k, t) for k, t in documents.items() if k < 100]
+    for k in range(60):
+        words = list(base)
+        for _ in range(rng.randrange(9)):
+            words[rng.randrange(40)] = f"v{rng.randrange(10**6)}"
+        rows.append((1000 + k * 7 % 60, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    report, kept = sorted(linedup.line_report(df).collect()), sorted(linedup.deduplicated(df).collect())
+    written = []
+    monkeypatch.setattr(linedup, "BLOCK", block)
+    monkeypatch.setattr(linedup, "ROUND", 100)
+    monkeypatch.setattr(linedup, "materialize", lambda rows, name: written.append(name) or materialize(rows, name))
+    assert sorted(linedup.line_report(df).collect()) == report
+    assert written.count("found") >= linedup.ROUNDS
+    assert sorted(linedup.deduplicated(df).collect()) == kept
+    want = line_matches(rows)
+    assert all(r.removed == ",".join(map(str, sorted(want[r.doc_id]))) for r in report)
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    def files():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        return {name for k in range(blocks.size()) if (name := blocks.apply(k).toString()).startswith("shuffle_")}
+
+    df = spark.range(10_000).groupBy((F.col("id") % 100).alias("k")).agg(F.collect_list("id").alias("ids"))
+    before, out = files(), materialize(df, "lists")
+    deadline = time.monotonic() + 10
+    while files() - before and time.monotonic() < deadline:  # they are deleted a moment later
+        time.sleep(0.1)
+    assert not files() - before
+    assert out.count() == 100
