@@ -38,6 +38,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,6 +69,8 @@ PLAIN = {"token": np.uint32, "key": np.int64, "bits": U64, "more": U64, "when":
 SHORT = ("size", "spot", "mark")
 #: Candidates of a line and member that are tried first: so many by likeness, and so many by age.
 FIRST = 2
+#: Partners that lists name of a line and member, on the average of the member's lines; links of further ones that are held at once.
+LISTED, TIED = 8, 1 << 22
 
 
 def _prefix(size: np.ndarray) -> np.ndarray:
@@ -369,6 +372,9 @@ def _candidates(asking: KeyFilter | None = None, every: bool = False):
 
     With `every`, all partners. Else at first, of each line and member only the likeliest and the oldest partners, and for each line
     of which a pair is left out a row without root. With `asking`, all earlier partners of the lines that are asking.
+
+    Where a member's lines have more than LISTED partners each, these aren't named, since they grow with the square of the lines: each of the
+    lines has an empty list, and meets all others of its component that have one.
     """
 
     @frugal
@@ -401,6 +407,10 @@ def _candidates(asking: KeyFilter | None = None, every: bool = False):
         many = np.maximum(high - low, 0)
         run = np.concatenate([[0], np.cumsum(many)])
         found, cut = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        number = np.cumsum(np.append(True, token[1:] != token[:-1])[: len(token)]) - 1  # an entry's member
+        begin = np.flatnonzero(np.diff(number, prepend=-1))
+        pairs_of, thick, meets = np.zeros(len(begin), np.int64), np.zeros(len(begin), bool), np.zeros(len(token), bool)
+        tied, reach = np.empty((2, 0), np.int64), np.arange(len(known))
         rest_of, size_of = rest[shorter], size[shorter]
         lo = 0
         while lo < len(token):
@@ -432,6 +442,22 @@ def _candidates(asking: KeyFilter | None = None, every: bool = False):
                 tried[_best(later, when[older])] = True
                 cut.append(np.unique(np.concatenate([key[i[~tried]], key[j[~tried]]])))
                 i, j = i[tried], j[tried]
+            elif len(i):
+                first, end = number[lo], number[hi - 1] + 1
+                meets[i] = meets[j] = True
+                lines = np.bincount(number[begin[first] : hi][meets[begin[first] : hi]] - first, minlength=end - first)
+                pairs_of[first:end] += np.bincount(number[i] - first, minlength=end - first)
+                thick[first:end] |= pairs_of[first:end] > LISTED * lines
+                out = thick[number[i]]
+                if out.any():
+                    x, y = code[i[out]], code[j[out]]
+                    some = reach[x] != reach[y]
+                    tied = np.concatenate([tied, [x[some], y[some]]], 1)
+                    if tied.shape[1] > TIED:
+                        reach = _reached(len(known), *tied)
+                        far = np.flatnonzero(reach != np.arange(len(known)))
+                        tied = np.stack([far, reach[far]])
+                    i, j = i[~out], j[~out]
             i, j = code[i], code[j]
             i, j = i[i != j], j[i != j]
             found.append(np.maximum(i, j) * len(known) + np.minimum(i, j))
@@ -440,15 +466,19 @@ def _candidates(asking: KeyFilter | None = None, every: bool = False):
         pairs = pairs[np.append(pairs[1:] != pairs[:-1], True)[: len(pairs)]]
         pairs = np.stack(np.divmod(pairs, max(1, len(known))), 1)
         met = np.zeros(len(known), bool)
+        many = np.zeros(len(known), bool)
+        many[code[meets & thick[number]]] = True
         met[pairs] = True
-        ids, at = known[met], (np.cumsum(met) - 1)[pairs]
-        pairs = known[pairs]
-        root = ids[_reached(len(ids), at[:, 0], at[:, 1])]
+        met |= many
+        ids, at, many = known[met], (np.cumsum(met) - 1)[pairs], many[met]
+        pairs, tied = known[pairs], (np.cumsum(met) - 1)[tied]
+        root = ids[_reached(len(ids), np.append(at[:, 0], tied[0]), np.append(at[:, 1], tied[1]))]
         first = np.searchsorted(at[:, 0], np.arange(len(ids) + 1))
         low = (pairs[:, 1] & LOW).astype(np.uint32)
         others = [low[a:z].tobytes() if z > a else None for a, z in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-        roots = pa.array(np.concatenate([root, cut]), mask=np.arange(len(ids) + len(cut)) >= len(ids))
-        return pa.table({"a": pa.array(np.concatenate([ids, cut])), "root": roots, "others": pa.array(others + [None] * len(cut), pa.binary())})
+        n = len(ids) + (many := np.flatnonzero(many)).size
+        roots = pa.array(np.concatenate([root, root[many], cut]), mask=np.arange(n + len(cut)) >= n)
+        return pa.table({"a": pa.array(np.concatenate([ids, ids[many], cut])), "root": roots, "others": pa.array(others + [b""] * len(many) + [None] * len(cut), pa.binary())})
 
     return run
 
@@ -507,8 +537,26 @@ def _decided(table: pa.Table) -> pa.Table:
     by_low = np.argsort(low, kind="stable")
     low = low[by_low]
     pairs = [np.empty(0, np.int64)]
+    # Lines whose lists are empty meet all such lines of their component, of which a first look at sizes and parities leaves few in vain.
+    others, blank = table.column("others"), pc.equal(pc.binary_length(table.column("others")), 0).fill_null(False).to_numpy()
+    own, at = np.unique(np.searchsorted(lines, ids[blank]), return_index=True)
+    if len(own):
+        if not np.isin(ids[blank], lines).all():
+            raise ValueError("a candidate's set is not in its cell")
+        size, block = np.array([len(sets[k]) for k in own.tolist()], np.int64), (lines[own] & LOW) % many[blank][at]
+        bits = _parities(np.concatenate([sets[k] for k in own.tolist()]), np.append(0, np.cumsum(size)))
+        apart, kin = (x[blank][0] != y[blank][0]), table.column("first_key").to_numpy()[blank][at]
+        for part in np.split(order := np.argsort(kin, kind="stable"), np.flatnonzero(np.diff(kin[order])) + 1):
+            for k in range(1, len(part)):
+                before, one = part[:k], part[k]
+                both = size[before] + size[one]
+                shared = (both - np.bitwise_count(bits[before] ^ bits[one]).sum(1, dtype=np.int64)) // 2
+                ok = 7 * np.minimum(shared, np.minimum(size[before], size[one])) >= 3 * both
+                if many[blank][at[one]] > 1:  # in a cell of two blocks a line meets those of the other
+                    ok &= (block[before] != block[one]) == apart
+                pairs.append(own[one] * len(lines) + own[before[ok]])
     # Many lists of a line name the same partners, so they are united line by line.
-    others, lists = table.column("others"), np.flatnonzero(~has)
+    lists = np.flatnonzero(~has & ~blank)
     lists = lists[np.argsort(ids[lists], kind="stable")]
     for rows in np.split(lists, np.flatnonzero(np.diff(ids[lists])) + 1) if len(lists) else ():
         k = rows[0]
@@ -578,24 +626,29 @@ def _verified(plain: DataFrame, classes: DataFrame, found: DataFrame, least: tup
     documents, lines = KeyFilter(placed.select("first_key").distinct()), KeyFilter(placed.select("id"))
     sets = plain.mapInArrow(_fetch(documents, lines, least), "id long, key long, line long, members binary").join(placed, "id").where("key = first_key and line = first_line")
     sets = sets.groupBy("id").agg(F.first(F.struct("members", "root", "many", "first_key", "first_line")).alias("s")).select("id", "s.*")
-    lists = found.where("others is not null").join(placed.select(F.col("id").alias("a"), "root", "many"), "a").select(F.col("a").alias("id"), "others", placed["root"].alias("root"), "many")
+    places = placed.select(F.col("id").alias("a"), "root", "many")
+    lists = found.where("length(others) > 0").select("a", "others").join(places, "a").withColumnRenamed("a", "id")
+    blank = materialize(found.where("length(others) = 0").select("a", "others").distinct().join(places, "a").withColumnRenamed("a", "id"), "blank")
     # A component that fits in one cell shares it with others. The lines of a larger one are dealt into blocks, of which two meet where
-    # they have candidates: a line's set and lists go to the blocks of its partners, and a partner's set to the line's block.
+    # they have candidates: a line's set and lists go to the blocks of its partners, and a partner's set to the line's block. A line with
+    # an empty list goes to all blocks.
     block = F.pmod(F.col("id").bitwiseAND(F.lit(LOW).cast("long")), "many")
     own, other = lists.where("many > 1").mapInArrow(_partners, "id long, many long, root long, low long, block long"), F.col("low").isNull()
     met = materialize(own.distinct(), "met")
     low = F.col("id").bitwiseAND(F.lit(LOW).cast("long"))
     back = met.where(~other).select("root", "low", "block").join(placed.where("many > 1").select("id", "root", low.alias("low")), ["root", "low"]).select("id", "block")
     ahead = met.where(other).select("id", "block")
+    around = blank.where("many > 1").select("id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1)).alias("block"))
     dealt = lambda df, blocks: df.join(blocks, "id", "left").withColumn("x", F.coalesce(F.least(block, "block"), F.lit(0).cast("long"))).withColumn("y", F.coalesce(F.greatest(block, "block"), F.lit(0).cast("long")))
     cell = F.when(F.col("many") == 1, F.pmod("root", F.lit(cells))).otherwise(F.col("root")).alias("cell")
     null = lambda kind, name: F.lit(None).cast(kind).alias(name)
     where = [cell, *(F.when(F.col("many") == 1, F.lit(0).cast("long")).otherwise(F.col(c)).alias(c) for c in ("x", "y"))]
-    sets = dealt(sets, ahead.unionByName(back).distinct()).select(*where, "id", "many", "members", null("binary", "others"), "first_key", "first_line")
+    sets = dealt(sets, ahead.unionByName(back).unionByName(around).distinct()).select(*where, "id", "many", "members", null("binary", "others"), "first_key", "first_line")
     lists = dealt(lists, ahead).select(*where, "id", "many", null("binary", "members"), "others", null("long", "first_key"), null("long", "first_line"))
-    rows = sets.unionByName(lists).withColumn("whole", F.col("many") == 1)
+    named, blank = blank, dealt(blank, around).select(*where, "id", "many", null("binary", "members"), "others", F.col("root").alias("first_key"), null("long", "first_line"))
+    rows = sets.unionByName(lists).unionByName(blank).withColumn("whole", F.col("many") == 1)
     decided = materialize(rows.groupBy("whole", "cell", "x", "y").applyInArrow(_decided, DECIDED), "decided")
-    discard(placed, met)
+    discard(placed, met, named)
     return decided, held.drop("root", "many")
 
 

@@ -615,3 +615,34 @@ def test_a_written_table_leaves_no_shuffle_files(spark):
         time.sleep(0.1)
     assert not files() - before
     assert out.count() == 100
+
+
+def test_lists_of_partners_do_not_grow_with_the_square():
+    """Where many lines match each other, a line's lists name few partners; what they leave out, the cell finds."""
+    import pyarrow as pa
+
+    rng, base = random.Random(21), [f"w{k}" for k in range(40)]
+    texts = []
+    for _ in range(300):
+        words = list(base)
+        for _ in range(rng.randrange(6)):
+            words[rng.randrange(40)] = f"v{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    docs = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array(texts)], ["key", "text"])
+    runs = [b for b in linedup._begun(np.zeros(linedup.RARITY, np.uint16), linedup.LEAST)(iter([docs])) if b.column("part").null_count]
+    packed = pa.Table.from_batches(list(linedup._prefixes(np.ones(linedup.HELD, np.int64), 16, aged=False)(iter(runs))))
+    entries = sum(len(x.as_py()) // 4 for x in packed.column("token"))
+    found = [r for k in range(packed.num_rows) for r in linedup._candidates(every=True)(packed.slice(k, 1)).to_pylist()]
+    assert sum(len(r["others"] or b"") // 4 for r in found) <= 8 * entries
+    data, bounds = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)])
+    f = linedup.Lines(data, bounds)
+    keys, member = f.key().tolist(), f.members()
+    cell = [dict(id=k, many=1, members=np.sort(member[a:z]).tobytes(), others=None, first_key=n, first_line=0) for n, (k, a, z) in enumerate(zip(keys, f.start[:-1], f.start[1:], strict=True))]
+    cell += [dict(id=r["a"], many=1, members=None, others=r["others"], first_key=0, first_line=None) for r in found if r["others"] is not None]
+    schema = pa.schema([("id", pa.int64()), ("many", pa.int64()), ("members", pa.binary()), ("others", pa.binary()), ("first_key", pa.int64()), ("first_line", pa.int64())])
+    table = pa.Table.from_pylist(cell, schema).append_column("x", pa.array([0] * len(cell), pa.int64())).append_column("y", pa.array([0] * len(cell), pa.int64()))
+    told = {r["id"]: r["links"] for r in linedup._decided(table).to_pylist()}
+    sets = {k: collections.Counter(t.split(" ")) for k, t in zip(keys, texts, strict=True)}
+    for k, p in sets.items():
+        near = sum(4 * (s := (p & q).total()) >= 3 * (p.total() + q.total() - s) for j, q in sets.items() if j != k)
+        assert told.get(k, 0) == near
